@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, packing, quality, secrets
+from . import decontaminate, fingerprints, jaccard_join, language_model, packing, quality, secrets
 from .common import crc_bucket, table
 
 
@@ -34,6 +34,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = language_model.fit(docs.where(~language_model.held_out()))
+    scored = language_model.score_documents(docs, model)
+    return scored.select("doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -65,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op7_jaccard_join, op8_packing, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op7_jaccard_join, op8_packing, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
