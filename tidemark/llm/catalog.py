@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_model, packing, quality, secrets
-from .common import crc_bucket, table
+from . import decontaminate, fingerprints, jaccard_join, language_model, licenses, packing, quality, secrets, token_counts, url_filter
+from .common import crc_bucket, keep, shared_dir, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,49 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, those not in English move to a new tokenizer
+    version, and repeated texts are deleted; one batch is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    text = F.coalesce("text", F.lit(""))
+    counts = {v: token_counts.token_count(F.col("text"), v).alias(v) for v in token_counts.VERSIONS}
+    rows = keep(docs.select("doc_id", "source", "lang", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("digest"), *counts.values()), "counts")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = rows.join(first, "digest").where("doc_id <> first")
+    moved = F.coalesce(F.col("lang") != "en", F.lit(True))
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/tidemark-rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-load", token_counts.inserted(rows, "words-1", "words-1"))
+    move = token_counts.revised(rows.where(moved), ("words-1", "words-1"), ("pieces-1", "pieces-1"))
+    rollup.commit("2-move", move)
+    rollup.commit("2-move", move)
+    gone = token_counts.deleted(copies.where(moved), "pieces-1", "pieces-1").unionByName(token_counts.deleted(copies.where(~moved), "words-1", "words-1"))
+    rollup.commit("3-copies", gone)
+    return rollup.totals()
+
+
+OP4_SQL = r"""
+WITH kept AS (
+  SELECT source, lang, coalesce(text, '') AS text, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS n
+  FROM documents
+)
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-1' ELSE 'pieces-1' END AS version,
+  count(*) AS docs,
+  CAST(sum(CASE WHEN lang = 'en' THEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+    ELSE len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) END) AS BIGINT) AS tokens,
+  CAST(sum(length(text)) AS BIGINT) AS chars
+FROM kept WHERE n = 1 GROUP BY 1, 2, 3
+"""
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -72,8 +117,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op7_jaccard_join, op8_packing, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op4_token_counts, op5_licenses, op6_url_filter, op7_jaccard_join, op8_packing, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_token_counts": OP4_SQL}

@@ -48,6 +48,39 @@ def crc_bucket(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+BITMAP = 23
+
+
+def _bit_word() -> tuple[Column, Column]:
+    return F.shiftright("_h", 6), F.expr("shiftleft(1L, cast(_h & 63 as int))")
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Add ``_maybe``: whether the id's hash is set in a bitmap of ``ids``.
+
+    The bitmap has a fixed size, 2 ** BITMAP bits, so it can be broadcast
+    whatever the number of ids; a full one only says maybe of every document.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP)
+    word, bit = _bit_word()
+    bitmap = ids.select(h.alias("_h")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    looked = docs.withColumn("_h", h).withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+    return looked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_h", "_word", "_bits")
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents in ``ids``; few other texts are shuffled."""
+    some = _marked(docs.select("doc_id", "text"), ids).where("_maybe").drop("_maybe")
+    return some.join(ids.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents not in ``ids``, with all their columns; a null id stays."""
+    marked = _marked(docs, ids)
+    rest = marked.where("_maybe").join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return marked.where("not _maybe").unionByName(rest).select(*docs.columns)
+
+
 # --- words of Arrow batches, as 64-bit hashes --------------------------------
 
 _RNG = np.random.default_rng(20240229)

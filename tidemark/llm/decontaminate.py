@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep, only
+
 # Weight five, spans of eight to ten tokens.
 MASKS = ("11010011", "1100010011", "101001011")
 WINDOW = 15
@@ -26,18 +28,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
 
 
-def seeds(df: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """One row per place and mask of ``tokens``: adds ``at`` (from 0) and ``seed``.
+def seeds(df: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """(key, at, seed) for each place (from 0) of ``text`` and each mask that fits.
 
-    The hashes are computed after the generator, within whole-stage code.
+    Only places and hashes leave the text: no row carries its tokens.
     """
     span = min(len(m) for m in masks)
-    places = df.where(F.size("tokens") >= span).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - span)))
-    hashed = []
-    for number, mask in enumerate(masks):
-        ones = [F.get("tokens", F.col("at") + j) for j, bit in enumerate(mask) if bit == "1"]
-        hashed.append(F.when(F.col("at") + len(mask) <= F.size("tokens"), F.xxhash64(*ones, F.lit(number))))
-    return places.withColumn("seed", F.explode(F.array(*hashed))).where(F.col("seed").isNotNull())
+
+    def places(h: Column) -> Column:
+        def masked(i: Column) -> Column:
+            made = [F.when(i + len(m) <= F.size(h), F.xxhash64(*[F.get(h, i + j) for j, bit in enumerate(m) if bit == "1"], F.lit(k))) for k, m in enumerate(masks)]
+            return F.struct(i.alias("at"), F.array(*made).alias("seeds"))
+
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - span, F.lit(0))), masked)
+        return F.when(F.size(h) >= span, made)
+
+    hashes = F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t))
+    listed = df.select(key, F.inline(F.get(F.transform(F.array(hashes), places), F.lit(0))))
+    return listed.select(key, "at", F.explode("seeds").alias("seed")).where(F.col("seed").isNotNull())
 
 
 def best_stretch(equal: Column, window: int) -> Column:
@@ -56,24 +64,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     fewer than ``window`` tokens need that share of the shorter one's tokens,
     and ones that are shorter than every mask have no seed and no leak. Null
     and empty texts have none, an empty table gives no rows, equal documents
-    are reported each and extra columns are left out.
+    are reported each, a null doc_id is not, and extra columns are left out.
 
     The benchmark's seeds are broadcast only up to ``BROADCAST_SEEDS`` rows,
     which are counted first; beyond it both sides are shuffled by seed.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_tokens"))
-    side = seeds(items.withColumnRenamed("item_tokens", "tokens"), masks).select("item_id", F.col("at").alias("item_at"), "seed", F.col("tokens").alias("item_tokens"))
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    if seeds(items.withColumnRenamed("item_tokens", "tokens"), masks).count() <= BROADCAST_SEEDS:
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    items = benchmark.select("item_id", "text")
+    side = seeds(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed")
+    if side.count() <= BROADCAST_SEEDS:
         side = F.broadcast(side)
-    hits = seeds(texts, masks).join(side, "seed")
-    begin = F.col("at") - F.col("item_at")
+    hits = seeds(docs, "doc_id", masks).join(side, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
+    hits = keep(hits.distinct(), "hits")
+    texts = only(docs, hits.select("doc_id")).select("doc_id", tokens(F.col("text")).alias("tokens"))
+    ours = items.select("item_id", tokens(F.col("text")).alias("item_tokens"))
+    begin = F.col("start")
     skipped = F.greatest(-begin, F.lit(0))
-    length = F.least(F.size("item_tokens") - skipped, F.size("tokens") - F.greatest(begin, F.lit(0)))
-    aligned = hits.select(
+    length = F.greatest(F.least(F.size("item_tokens") - skipped, F.size("tokens") - F.greatest(begin, F.lit(0))), F.lit(0))
+    aligned = hits.join(ours, "item_id").join(texts, "doc_id").select(
         "doc_id",
         "item_id",
-        begin.alias("start"),
+        "start",
         F.slice("tokens", F.greatest(begin, F.lit(0)) + 1, length).alias("theirs"),
         F.slice("item_tokens", skipped + 1, length).alias("ours"),
     )

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, shingles, text_chunks, words
+from .common import keep, only, shingles, text_chunks, without, words
 from .components import connected_components
 
 K_WORDS = 4
@@ -171,19 +171,6 @@ def measure(pairs: DataFrame, texts: DataFrame, k: int = K_WORDS) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def only(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """The documents whose id is in ``ids``, without shuffling all texts.
-
-    A bitmap of ``2 ** bits`` hashed ids, a fixed size, first drops most of
-    the rest map-side; the join then decides.
-    """
-    h = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
-    word, bit = F.shiftright("_h", 6), F.expr("shiftleft(1L, cast(_h & 63 as int))")
-    bitmap = ids.select(h("doc_id").alias("_h")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    some = docs.withColumn("_h", h("doc_id")).withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    return some.join(ids.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
-
-
 def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, levels: int = LEVELS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -261,3 +248,20 @@ def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, l
     component = vertices.join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     joined = sets.join(component, "set_hash", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component stays, the one of the smallest id.
+
+    Of repeated rows with that id one stays; a null id always does. Texts are
+    shuffled only where a bitmap of fixed size says that a row may go.
+    """
+    found = keep(join_components(docs, **options), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    often = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    single = without(docs, gone.unionByName(often))
+    again = docs.join(often, "doc_id").select(*docs.columns)
+    if not often.limit(1).count():
+        return single
+    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    return single.unionByName(again.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))

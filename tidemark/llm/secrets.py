@@ -38,6 +38,7 @@ ENCODINGS = {
     "base64url": (r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 }
 FALSE_DISCOVERY = 0.01
+CERTAIN = 1e-4
 BLOCK = 64
 
 
@@ -148,8 +149,8 @@ def battery(match: Column) -> Column:
     return _let(given, lambda s: F.when(s["encoding"].isNotNull(), tests(s)))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and tested candidates of each document, without its text.
+def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Base spans and tested candidates of each document, if asked with its text.
 
     ``base`` is an array of struct(start, kind, end, match); ``candidates``
     adds encoding, n and p. A candidate has letters and digits, and none that
@@ -162,14 +163,15 @@ def scan(docs: DataFrame) -> DataFrame:
         columns[f"_{kind}"] = F.when(text.rlike(pattern), find_spans(text, pattern, least, group, kind)).otherwise(none)
     mixed = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")
     columns["_runs"] = F.when(text.rlike(CANDIDATE), F.filter(find_spans(text, CANDIDATE, 20, 0, "random"), mixed)).otherwise(none)
-    found = docs.select(*[c for c in docs.columns if c != "text"], *[v.alias(k) for k, v in columns.items()])
+    kept = [c for c in docs.columns if (with_text or c != "text") and c not in ("base", "candidates", "spans")]
+    found = docs.select(*kept, *[v.alias(k) for k, v in columns.items()])
     ranked = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda x: F.struct(x["start"].alias("start"), F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).otherwise(2).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"))))
     base = F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
     found = found.withColumn("_both", F.struct(base.alias("base"), F.col("_runs").alias("runs")))
     apart = lambda b: lambda r: ~F.exists(b["base"], lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"]))
     tested = lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), battery(r["match"]).alias("test"))
     result = _let(F.col("_both"), lambda b: F.struct(b["base"].alias("base"), F.transform(F.filter(b["runs"], apart(b)), tested).alias("candidates")))
-    return found.withColumn("_result", result).select(*[c for c in docs.columns if c != "text"], "_result.base", "_result.candidates")
+    return found.withColumn("_result", result).select(*kept, "_result.base", "_result.candidates")
 
 
 def _band(n: Column) -> Column:
@@ -198,22 +200,13 @@ def rejection_limits(scanned: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[
     return limits
 
 
-def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY, certain: float = 1e-4) -> DataFrame:
-    """Add ``base`` and ``spans`` to documents and take ``text`` away.
-
-    A candidate stays out if its band rejects it or its p-value is at most
-    ``certain``. Both are arrays of struct(start, kind, end, match), by start and then kind
-    as listed (assign, access, hex, random). A null or empty text has none; an
-    empty table gives no rows; repeated rows are scanned each; other columns
-    stay.
-    """
-    scanned = keep(scan(docs), "secrets")
-    limits = rejection_limits(scanned, rate)
+def add_spans(scanned: DataFrame, limits: dict[int, float], certain: float = CERTAIN) -> DataFrame:
+    """Replace candidates by ``spans``: base spans and what passed the battery."""
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else None
 
     def random(x: Column) -> Column:
         p = x["test"]["p"]
-        bound = F.coalesce(F.get(F.array(limit[_band(x["test"]["n"])]), F.lit(0)), F.lit(0.0)) if limits else F.lit(0.0)
+        bound = F.coalesce(limit[_band(x["test"]["n"])], F.lit(0.0)) if limits else F.lit(0.0)
         return p.isNotNull() & (p > bound) & (p > certain)
 
     extra = F.transform(F.filter("candidates", random), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit("").alias("match")))
@@ -223,6 +216,46 @@ def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY, certain: float
     return scanned.withColumn("spans", spans).drop("candidates")
 
 
+def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
+    """Add ``base`` and ``spans`` to documents and take ``text`` away.
+
+    A candidate stays out if its band rejects it or its p-value is at most
+    CERTAIN. Both columns are arrays of struct(start, kind, end), ``base``
+    also with the match, by start and then kind as listed (assign, access,
+    hex, random). A null or empty text has none; an empty table gives no rows;
+    repeated rows are scanned each; other columns stay, but for ones named as
+    these are.
+    """
+    scanned = keep(scan(docs), "secrets")
+    return add_spans(scanned, rejection_limits(scanned, rate))
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", rate: float = FALSE_DISCOVERY) -> DataFrame:
+    """Documents with each stretch of secret spans replaced by ``mark``.
+
+    The columns are those of ``docs``; ``n_chars`` is counted anew where
+    something was replaced. Overlapping spans make one stretch. A null text
+    stays null.
+    """
+    limits = rejection_limits(keep(scan(docs.select("text")).select("candidates"), "candidates"), rate)
+    marked = add_spans(scan(docs, with_text=True), limits)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def cut(state: Column, x: Column) -> Column:
+        between = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
+        fresh = F.concat(state["parts"], F.array(between, F.lit(mark)))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(x["start"] >= state["at"], fresh).otherwise(state["parts"]).alias("parts"))
+
+    rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
+    found = F.size("spans") > 0
+    text = F.when(found, F.aggregate("spans", start, cut, rest)).otherwise(F.col("text"))
+    clean = marked.withColumn("_clean", text)
+    columns = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(found, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
+    return clean.withColumns(columns).select(*docs.columns)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
