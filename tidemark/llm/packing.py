@@ -10,6 +10,8 @@ small. Pieces then find their bin by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -22,7 +24,7 @@ from .common import keep
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 
 PIECES = T.StructType(
     [
@@ -35,29 +37,44 @@ PIECES = T.StructType(
 )
 
 
+_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
 class _Ids(dict):
     """Token ids of chunks of text without blanks, as little-endian bytes.
 
     The tokenizer never joins characters across a blank, so the ids of a text
     are those of its chunks in order. A chunk that ends with a comma or stop
-    after a letter shares the ids of the chunk without it.
+    after a letter has the ids of both. A word of Latin letters is one piece
+    for the tokenizer's model, which is asked directly. Of the chunks, a
+    younger and an older generation are kept, so that memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.old: dict[bytes, bytes] = {}
         self[b""] = b""
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in b",." and 97 <= chunk[-2] <= 122:
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        else:
-            ids = self.whole(chunk.decode())
+        ids = self.old.get(chunk)
+        if ids is None:
+            if len(chunk) > 1 and chunk[-1] in b",." and 97 <= chunk[-2] <= 122:
+                ids = self[chunk[:-1]] + self[chunk[-1:]]
+            elif _LETTERS.fullmatch(word := chunk.decode()):
+                piece = word if word.isascii() else self.letters.pre_tokenize_str(word.lower())[0][0]
+                found = [t.id for t in self.model.tokenize(piece)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            else:
+                ids = self.whole(word)
         self[chunk] = ids
         return ids
 
@@ -65,12 +82,22 @@ class _Ids(dict):
         if "<|" in text:  # may spell a special token, which is not folded
             return self.whole(text)
         if len(self) > CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
             self[b""] = b""
         chunks = text.encode().lower().replace(b"\n", b" ").split(b" ")
         return b"".join(map(self.__getitem__, chunks))
 
 
+_KNOWN: dict[str, _Ids] = {}  # of this worker, over its tasks
+
+
+def _ids_of(path: str) -> _Ids:
+    if path not in _KNOWN:
+        _KNOWN[path] = _Ids(path)
+    return _KNOWN[path]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32.
 
@@ -82,7 +109,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     def pieces(batches):
         import pyarrow as pa
 
-        ids_of = _Ids(tokenizer)
+        ids_of = _ids_of(tokenizer)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             out = ([], [], [], [], [])
