@@ -102,7 +102,8 @@ def correlogram_rate(counts: DataFrame, points: DataFrame, unit: str, bin_size:
 def durations(samples: DataFrame, by: Sequence[str], longest: float, t: str = "t") -> DataFrame:
     """Samples with ``dt``, the time to the next one, at most ``longest``; the last one repeats."""
     w = Window.partitionBy(*by).orderBy(t)
-    step = F.least(F.lead(t).over(w) - F.col(t), F.lit(longest))
+    after = F.lead(t).over(w)
+    step = F.when(after.isNotNull(), F.least(after - F.col(t), F.lit(longest)))
     made = samples.withColumn("_dt", step)
     return made.withColumn("dt", F.coalesce("_dt", F.lag("_dt").over(w), F.lit(0.0))).drop("_dt")
 

@@ -167,11 +167,11 @@ def restrict(points: DataFrame, intervals: DataFrame, width: float, by: Sequence
 
 
 def unshift(points: DataFrame, intervals: DataFrame, width: float, by: Sequence[str], t: str = "t") -> DataFrame:
-    """The inverse of a shifted restriction."""
+    """The inverse of a shifted restriction; a time at a seam belongs to the later interval."""
     union = consolidate(intervals, by)
     order = Window.partitionBy(*by).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     based = union.withColumn("_base", F.coalesce(F.sum(F.col("stop") - F.col("start")).over(order), F.lit(0.0)))
-    moved = based.select(*by, F.col("_base").alias("_from"), (F.col("_base") + F.col("stop") - F.col("start")).alias("_to"), (F.col("start") - F.col("_base")).alias("_by"))
-    held = range_join(points, moved, width, by, t, "_from", "_to")
-    once = held.withColumn("_n", F.row_number().over(Window.partitionBy(*by, t).orderBy("_from"))).where("_n = 1")
-    return once.withColumn(t, F.col(t) + F.col("_by")).drop("_from", "_to", "_by", "_n")
+    last = F.lead("start").over(Window.partitionBy(*by).orderBy("start")).isNull()
+    moved = based.select(*by, F.col("_base").alias("_from"), (F.col("_base") + F.col("stop") - F.col("start")).alias("_to"), (F.col("start") - F.col("_base")).alias("_by"), last.alias("_last"))
+    held = range_join(points, moved, width, by, t, "_from", "_to").where((F.col(t) < F.col("_to")) | F.col("_last"))
+    return held.withColumn(t, F.col(t) + F.col("_by")).drop("_from", "_to", "_by", "_last")

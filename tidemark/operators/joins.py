@@ -70,8 +70,8 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequ
     largest values counts. Planned as a union and one ordered window per key.
     """
     down = direction == "down"
-    # order at equal times: down takes right rows first unless strict, up takes them last unless strict
-    left_rank, right_rank = (1, 0) if down != strict else (0, 1)
+    # at equal times right rows come first, and so count, unless strict
+    left_rank, right_rank = (0, 1) if strict else (1, 0)
     payload = F.struct(F.col(t).cast("double").alias("_t"), *[F.col(v).alias(v) for v in values])
     lefts = left.withColumn("_is_left", F.lit(True)).withColumn("_rank", F.lit(left_rank))
     rights = right.select(*by, t, payload.alias("_r"), F.lit(False).alias("_is_left"), F.lit(right_rank).alias("_rank"))

@@ -330,7 +330,7 @@ def spike_trains(spark, d):
 
 # --- maps ---------------------------------------------------------------------
 
-_DT = f"WITH {EV}, s AS (SELECT *, least(lead(t) OVER (PARTITION BY user_id ORDER BY t) - t, 7200) AS d FROM ev), q AS (SELECT user_id, t, greatest(1, least(8, CAST(floor(value / 200 * 8) AS INTEGER) + 1)) AS x, coalesce(d, lag(d) OVER (PARTITION BY user_id ORDER BY t), 0) AS dt FROM s)"
+_DT = f"WITH {EV}, s AS (SELECT *, CASE WHEN lead(t) OVER (PARTITION BY user_id ORDER BY t) IS NOT NULL THEN least(lead(t) OVER (PARTITION BY user_id ORDER BY t) - t, 7200) END AS d FROM ev), q AS (SELECT user_id, t, greatest(1, least(8, CAST(floor(value / 200 * 8) AS INTEGER) + 1)) AS x, coalesce(d, lag(d) OVER (PARTITION BY user_id ORDER BY t), 0) AS dt FROM s)"
 
 
 @query(f"{_DT} SELECT x, round(sum(dt), 3) AS time, count(*) AS visits FROM q GROUP BY x")
@@ -539,6 +539,123 @@ def radial_first_visits(spark, d):
     return got.select("rat", "day", "visits", "rewards", "working", "reference", F.round("performance", 6).alias("performance"))
 
 
+_Z = f"""WITH {EV}, c AS (SELECT event_type AS u, CAST(floor((t - {T0}) / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL),
+  m AS (SELECT u, sum(n) / 120.0 AS m, sqrt((sum(n * n) - CAST(sum(n) AS DOUBLE) * sum(n) / 120.0) / 119) AS s FROM c WHERE b BETWEEN 0 AND 119 GROUP BY u),
+  z AS (SELECT m.u, g.b, (coalesce(c.n, 0) - m.m) / m.s AS z FROM m CROSS JOIN range(0, 120) g(b) LEFT JOIN c ON c.u = m.u AND c.b = g.b WHERE m.s > 0)"""
+
+
+def _scores(spark, d):
+    from ..operators import populations as P
+
+    points = events(spark, d).withColumn("t", F.col("t") - T0)
+    return P.dense_zscores(H.count_matrix(points, "event_type", 6 * HOUR), 0, 120)
+
+
+@query(f"{_Z}, w AS (SELECT x.u AS a, y.u AS b, sum(x.z * y.z) / 119 AS w FROM z x JOIN z y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2) SELECT x.b AS bin, round(2 * sum(x.z * w * y.z), 5) AS strength FROM w JOIN z x ON x.u = w.a JOIN z y ON y.u = w.b AND y.b = x.b GROUP BY x.b")
+def reactivation_strength(spark, d):
+    from ..operators import populations as P
+
+    z = _scores(spark, d)
+    return P.reactivation(z, P.template(z, 120)).select("bin", F.round("strength", 5).alias("strength"))
+
+
+@query(f"""WITH {EV}, r AS (SELECT event_type AS u, greatest(1, least(8, CAST(floor(value / 200 * 8) AS INTEGER) + 1)) AS x, count(*) / 720.0 AS r FROM ev GROUP BY ALL),
+  n AS (SELECT CAST(floor(t / 86400.0) AS BIGINT) AS w, event_type AS u, count(*) AS n FROM ev GROUP BY ALL), k AS (SELECT u, x, greatest(r, 1e-6) * 24.0 AS r FROM r),
+  a AS (SELECT x, sum(r) AS s FROM k GROUP BY x), l AS (SELECT n.w, k.x, sum(n * ln(r)) AS s FROM n JOIN k USING (u) GROUP BY ALL), q AS (SELECT w, x, l.s - a.s AS s FROM l JOIN a USING (x)),
+  e AS (SELECT w, x, exp(s - max(s) OVER (PARTITION BY w)) AS e FROM q) SELECT w AS "window", x, round(e / sum(e) OVER (PARTITION BY w), 6) AS p FROM e""")
+def decode_position(spark, d):
+    from ..operators import populations as P
+
+    ev = events(spark, d)
+    rates = ev.groupBy(F.col("event_type").alias("unit"), C.bin_index(F.col("value"), 0, 200, 8).alias("x")).agg((F.count("*") / 720.0).alias("rate"))
+    counts = ev.groupBy(F.floor(F.col("t") / DAY).alias("window"), F.col("event_type").alias("unit")).agg(F.count("*").alias("n"))
+    return P.decode(rates, counts, 24.0, 8).select("window", "x", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {EV}, h AS (SELECT user_id AS u, CAST(floor((t - {T0}) / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL), c AS (SELECT b < 60 AS f, * FROM h), p AS (SELECT x.f, x.u AS a, y.u AS b, sum(x.n * y.n) AS xy FROM c x JOIN c y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2, 3), m AS (SELECT f, u, sum(n) AS s, sum(n * n) AS q FROM c GROUP BY 1, 2), r AS (SELECT p.f, p.a, p.b, (60.0 * xy - i.s * j.s) / sqrt((60.0 * i.q - i.s * i.s) * (60.0 * j.q - j.s * j.s)) AS r FROM p JOIN m i ON i.u = p.a AND i.f = p.f JOIN m j ON j.u = p.b AND j.f = p.f) SELECT round(corr(v.r, w.r), 6) AS coefficient, count(*) AS n FROM r v JOIN r w ON v.a = w.a AND v.b = w.b AND v.f AND NOT w.f")
+def cofiring(spark, d):
+    from ..operators import populations as P
+
+    counts = H.count_matrix(events(spark, d).withColumn("t", F.col("t") - T0), "user_id", 6 * HOUR)
+    return P.cofiring(counts.where("bin < 60"), 60, counts.where("bin >= 60"), 60).select(F.round("coefficient", 6).alias("coefficient"), "n")
+
+
+@query(f"WITH {EV} SELECT event_id AS iid, CAST(k AS INTEGER) AS piece, t + k * ((t + 9000.0 - t) / 4) AS start, t + (k + 1) * ((t + 9000.0 - t) / 4) AS stop FROM ev, range(0, 4) r(k) WHERE event_type = 'signup'")
+def split_evenly(spark, d):
+    return I.split_evenly(spans(spark, d, "signup", 2.5), 4).select("iid", "piece", "start", "stop")
+
+
+@query("SELECT o_custkey AS rat, CAST(n AS INTEGER) AS turn, count(*) AS n FROM (SELECT o_custkey, ((arm - lag(arm) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) + 2 + 5) % 5) - 2 AS n FROM (SELECT *, CAST(left(o_orderpriority, 1) AS INTEGER) AS arm FROM orders)) WHERE n IS NOT NULL GROUP BY 1, 2")
+def radial_turns(spark, d):
+    from ..operators.mazes import turns
+
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    visits = orders.select(F.col("o_custkey").alias("rat"), F.substring("o_orderpriority", 1, 1).cast("int").alias("arm"), F.struct("o_orderdate", "o_orderkey").alias("visit"))
+    return turns(visits, ["rat"], 5)
+
+
+def _signal(spark, d):
+    """Six-hour counts by event type as a signal of one sample a bin."""
+    counts = H.count_matrix(events(spark, d).withColumn("t", F.col("t") - T0), "event_type", HOUR)
+    units = counts.select("unit").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(719).cast("bigint"))))
+    return units.join(counts, ["unit", "bin"], "left").select("unit", F.col("bin").cast("double").alias("t"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
+
+
+@query()
+def bandpass(spark, d):
+    from ..operators import signals
+
+    got = signals.band_pass(_signal(spark, d), "v", ["unit"], 0.02, 0.2, 1.0, half=64, segment=240)
+    return got.select("unit", "t", F.round("filtered", 6).alias("filtered"))
+
+
+@query()
+def phase_hilbert(spark, d):
+    from ..operators import signals
+
+    narrow = signals.band_pass(_signal(spark, d), "v", ["unit"], 0.02, 0.2, 1.0, half=64, segment=240).select("unit", "t", "filtered")
+    return signals.phase(narrow, "filtered", ["unit"], 1.0, segment=240, halo=128).select("unit", "t", F.round("phase", 5).alias("phase"), F.round("amplitude", 5).alias("amplitude"))
+
+
+@query()
+def spectrogram(spark, d):
+    from ..operators import signals
+
+    got = signals.spectrogram(_signal(spark, d), "v", ["unit"], 1.0, 48, 24)
+    return got.select("unit", "t", F.round("f", 6).alias("f"), F.round("power", 5).alias("power"))
+
+
+@query()
+def ripples(spark, d):
+    from ..operators import signals
+
+    narrow = signals.band_pass(_signal(spark, d), "v", ["unit"], 0.1, 0.4, 1.0, half=32, segment=240).select("unit", "t", "filtered")
+    return signals.ripples(narrow, "filtered", ["unit"], 1.0, low=1.0, high=1.5, frame=3, merge=2.0, shortest=1.0, longest=40.0)
+
+
+@query()
+def isolation_distance(spark, d):
+    from ..operators import populations as P
+
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.slice("embedding", 1, 8).alias("features"))
+    return P.isolation_distance(rows, "features", "label").select("cluster", "n", F.round("distance", 5).alias("distance"))
+
+
+@query()
+def activity_states(spark, d):
+    from ..operators import populations as P
+
+    users = events(spark, d).groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"))
+    return P.states(users, ["n", "mean"], 3).select("user_id", "state")
+
+
+@query()
+def assemblies(spark, d):
+    from ..operators import populations as P
+
+    return P.assemblies(_scores(spark, d), 5, 120)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return psth(spark, d)
 
