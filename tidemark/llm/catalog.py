@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprints, jaccard_join, language_model, licenses, packing, quality, secrets, token_counts, url_filter
@@ -50,15 +50,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     counts = {v: token_counts.token_count(F.col("text"), v).alias(v) for v in token_counts.VERSIONS}
     rows = keep(docs.select("doc_id", "source", "lang", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("digest"), *counts.values()), "counts")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(first, "digest").where("doc_id <> first")
+    # equal texts of one source and language are one row before they meet by text
+    groups = rows.groupBy("digest", "source", "lang", "chars", *token_counts.VERSIONS).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"))
+    first = F.min("lo").over(Window.partitionBy("digest"))
+    copies = groups.withColumn("n", F.col("n") - F.when(F.col("lo") == first, 1).otherwise(0))
     moved = F.coalesce(F.col("lang") != "en", F.lit(True))
     rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/tidemark-rollup-{uuid.uuid4().hex}")
     rollup.commit("1-load", token_counts.inserted(rows, "words-1", "words-1"))
     move = token_counts.revised(rows.where(moved), ("words-1", "words-1"), ("pieces-1", "pieces-1"))
     rollup.commit("2-move", move)
     rollup.commit("2-move", move)
-    gone = token_counts.deleted(copies.where(moved), "pieces-1", "pieces-1").unionByName(token_counts.deleted(copies.where(~moved), "words-1", "words-1"))
+    gone = token_counts.deleted(copies.where(moved), "pieces-1", "pieces-1", "n").unionByName(token_counts.deleted(copies.where(~moved), "words-1", "words-1", "n"))
     rollup.commit("3-copies", gone)
     return rollup.totals()
 

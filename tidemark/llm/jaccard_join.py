@@ -5,18 +5,24 @@ the region of its nearest pivot, and also to every region whose pivot is at
 most twice the radius farther, since by the triangle inequality any partner
 beyond that window is too far. Between unrelated texts, however, all distances
 are close to one, so every document would lie in every window and each region
-would hold the whole table. The regions here are therefore made in two steps.
-
-1. The shingle universe is cut by hash into ``m`` slices. Of two linked sets
-   at most ``K`` shingles differ, so of ``m > K`` slices at least ``m - K``
-   hold exactly the same shingles of both. The contents of a slice are the
-   pivot of a first region, of radius zero: linked documents share one.
-   Documents of neighbouring sizes are replicated to both sizes' regions.
-2. Within such a region documents are mutually near, and metric pivots work:
-   distances to pivots are computed, links to a pivot join components, and
-   only regions that still hold several components go on, split into Voronoi
-   cells with windows of twice the radius, recursively. Small cells compare
-   what the triangle inequality leaves between different components.
+would hold the whole table. Regions and windows are therefore made from the
+differences to pivots, which the triangle inequality bounds as well.
+
+1. First regions. The shingle universe is cut by hash into ``m`` slices. Of
+   two linked sets at most ``K`` shingles differ, so of ``m > K`` slices at
+   least ``m - K`` hold exactly the same shingles of both: the contents of a
+   slice are the centre of a region of radius zero, and linked documents share
+   several. Boundary documents, those of neighbouring size classes, are
+   replicated to both classes' regions. Pairs that meet in as many small
+   regions as links must are measured.
+2. Recursion. In each large region its most central document, which is in the
+   largest regions, is the pivot ``p``, and regions with the same pivot are
+   joined. Every member ``x`` is measured against it and keeps its difference
+   x ^ p. Members lie on rings by the size of that difference; by the triangle
+   inequality a link spans one ring at most, so each ring is replicated to the
+   next one. Rings are cut into blocks, and pairs of blocks that hold several
+   components are compared exactly by x ^ y = (x ^ p) ^ (y ^ p), as matrices of
+   the elements that both blocks have. No pair is emitted but the links.
 
 Equal sets are one vertex from the start, so copies cost nothing further.
 """
@@ -24,17 +30,16 @@ Equal sets are one vertex from the start, so copies cost nothing further.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, only, shingles, text_chunks, without, words
+from .common import keep, mix, only, shingles, text_chunks, without, words
 from .components import connected_components
 
 K_WORDS = 4
 PERCENT = 85
-LEAF = 48
-PIVOTS = 6
-LEVELS = 6
+LEAF = 64
+BLOCK = 512
 
 
 def document_sets(offsets: np.ndarray, raw: np.ndarray, k: int):
@@ -55,8 +60,6 @@ def document_sets(offsets: np.ndarray, raw: np.ndarray, k: int):
 
 def set_hash(s: np.ndarray) -> int:
     """One 64-bit number for a set; sums of mixed hashes, whatever the order."""
-    from .common import mix
-
     with np.errstate(over="ignore"):
         return int(mix(np.array([np.add.reduce(s) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s))]))[0].astype(np.int64))
 
@@ -77,29 +80,37 @@ class Classes:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def slices(self, c: int) -> tuple[int, int]:
-        """(m, spare) of class c: slices, and how many may be empty in a set."""
-        self.of(self.low[-1] if c + 1 >= len(self.low) else 0)
+    def slices(self, c: int) -> tuple[int, int, int]:
+        """(m, shared, spare) of class c.
+
+        Of ``m`` slices at least ``shared + spare`` are equal in linked sets,
+        so ``shared`` ones that are not empty if one of the sets has at most
+        ``spare`` empty ones.
+        """
+        while len(self.low) <= c + 1:
+            self.of(self.low[-1])
         most = self.low[c + 1] - 1
         apart = most_apart(most + most * 100 // self.percent, self.percent)
-        spare = 1 + -(-3 * apart // 100) if apart else 0
-        return apart + 1 + spare, spare
+        if not apart:  # linked sets of this size are equal
+            return 1, 1, 0
+        shared = max(1, apart // 4)
+        spare = 1 + -(-3 * (apart + shared) // 100)
+        return apart + shared + spare, shared, spare
 
 
-def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """The keys of the first regions of one set.
+def signatures(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, family, need) of the first regions of one set.
 
-    An empty slice says nothing and gives no key. A set with more empty slices
-    than are spare could share only empty ones with another such set; it gives
-    also the keys of a prefix filter, which such pairs are sure to share.
+    Linked sets share at least ``need`` regions of some family. An empty slice
+    gives no region. Sets with more empty slices than are spare could share
+    too few; among themselves they meet by a prefix filter, a family of its own.
     """
-    from .common import mix
-
-    n, out = len(s), []
+    n = len(s)
+    regions, families, needs = [np.zeros(0, np.uint64)], [], []
     c = classes.of(n)
     for k in {c, max(c - 1, 0)}:
-        m, spare = classes.slices(k)
-        if m == 1:  # linked sets of this size are equal
+        m, shared, spare = classes.slices(k)
+        if m == 1:
             continue
         part = (s >> np.uint64(8)) % np.uint64(m)
         order = np.argsort(part, kind="stable")
@@ -107,10 +118,15 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
         begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         sums = np.add.reduceat(s[order], begin)
         salt = np.uint64((2 * k + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
-        out.append(mix(sums ^ mix(part[begin] + salt)))
+        found = [(mix(sums ^ mix(part[begin] + salt)), 2 * k, shared)]
         if m - len(begin) > spare:
-            out.append(mix(s[: n - -(-classes.percent * n // 100) + 1] ^ mix(salt + np.full(1, 0xFFFF, np.uint64))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            found.append((mix(s[: n - -(-classes.percent * n // 100) + 1] ^ mix(salt + np.full(1, 0xFFFF, np.uint64))), 2 * k + 1, 1))
+        for r, family, need in found:
+            regions.append(r)
+            families.append(np.full(len(r), family, np.int32))
+            needs.append(np.full(len(r), need, np.int32))
+    z = [np.zeros(0, np.int32)]
+    return np.concatenate(regions), np.concatenate(z + families), np.concatenate(z + needs)
 
 
 def shingle_sets(docs: DataFrame, k: int = K_WORDS) -> DataFrame:
@@ -131,7 +147,7 @@ def shingle_sets(docs: DataFrame, k: int = K_WORDS) -> DataFrame:
 
 
 def first_regions(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(region, set_hash, n) of each set; equal sets of a task come once."""
+    """(region, family, need, set_hash, n) of each set; equal sets of a task come once."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,39 +155,104 @@ def first_regions(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT) ->
         classes, seen = Classes(percent), set()
         for batch in batches:
             for _, offsets, raw in text_chunks(batch):
-                keys, ids, sizes = [], [], []
+                out = ([], [], [], [], [])
                 for s in document_sets(offsets, raw, k):
                     if not len(s) or (h := set_hash(s)) in seen:
                         continue
                     seen.add(h)
-                    key = signatures(s, classes)
-                    keys.append(key)
-                    ids.append(np.full(len(key), h, np.int64))
-                    sizes.append(np.full(len(key), len(s), np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["region", "set_hash", "n"])
+                    region, family, need = signatures(s, classes)
+                    for column, value in zip(out, (region.view(np.int64), family, need, np.full(len(region), h, np.int64), np.full(len(region), len(s), np.int32))):
+                        column.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["region", "family", "need", "set_hash", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "region long, set_hash long, n int")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "region long, family int, need int, set_hash long, n int")
 
 
-def measure(pairs: DataFrame, texts: DataFrame, k: int = K_WORDS) -> DataFrame:
-    """(a, b, both, either) of pairs of document ids: exact sizes."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def measure(pairs: DataFrame, texts: DataFrame, k: int = K_WORDS, percent: int = PERCENT, differences: bool = False) -> DataFrame:
+    """(p, x, linked, n, most, apart) of pairs of document ids: exact, by their texts.
+
+    ``n`` is the size of x's set, ``most`` how far apart p and a linked set of
+    its size can be at most, and ``apart`` the difference of the sets, sorted
+    (empty unless asked for).
+    """
+    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
+    right = texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [[s for _, offsets, raw in text_chunks(batch, c) for s in document_sets(offsets, raw, k)] for c in ("text_a", "text_b")]
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
-            either = [len(x) + len(y) - i for x, y, i in zip(*sets, both)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
-
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
-
-
-def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, levels: int = LEVELS) -> DataFrame:
+            pivots, members = ([s for _, offsets, raw in text_chunks(batch, c) for s in document_sets(offsets, raw, k)] for c in ("text_p", "text_x"))
+            linked, most, apart = [], [], []
+            for p, x in zip(pivots, members):
+                d = np.setxor1d(x, p, assume_unique=True)
+                linked.append(len(d) <= most_apart(len(x) + len(p), percent))
+                most.append(most_apart(len(x) + len(x) * 100 // percent, percent))
+                apart.append(d.view(np.int64) if differences else d[:0].view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array([len(x) for x in members], pa.int32()), pa.array(most, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["p", "x", "linked", "n", "most", "apart"])
+
+    joined = pairs.select("p", "x").join(right, "p").join(left, "x").select("p", "x", "text_p", "text_x")
+    return joined.mapInArrow(run, "p long, x long, linked boolean, n int, most int, apart array<long>")
+
+
+def compare_rings(measured: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b) of links between members of a pivot's region in different components.
+
+    ``measured`` has the members' differences to their pivot. A ring is as wide
+    as the farthest that two linked members of the region can be apart, so
+    partners lie on the same ring or the next one. A task compares two blocks
+    of some ``block`` members each, whatever the region holds.
+    """
+    width = measured.groupBy("p").agg(F.max("most").alias("width"))
+    ringed = measured.join(width, "p").withColumn("ring", F.floor(F.size("apart") / F.greatest("width", F.lit(1))))
+    named = ringed.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    sizes = named.groupBy("p", "ring").agg(F.count("*").alias("members"))
+    cut = F.pmod(F.xxhash64("x"), F.ceil(F.col("members") / block)).cast("int")
+    placed = keep(named.join(sizes, ["p", "ring"]).select("p", "ring", cut.alias("part"), "x", "n", "apart", "component"), "rings")
+    blocks = placed.groupBy("p", "ring", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = blocks.select("p", F.col("ring").alias("ring2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    reach = blocks.withColumn("ring2", F.explode(F.array("ring", F.col("ring") + 1))).join(other, ["p", "ring2"])
+    mixed = (F.least("lo", "lo2") != F.greatest("hi", "hi2")) & ((F.col("ring") != F.col("ring2")) | (F.col("part") <= F.col("part2")))
+    tasks = reach.where(mixed).select("p", "ring", "part", "ring2", "part2", F.xxhash64("p", "ring", "part", "ring2", "part2").alias("task"))
+    sides = tasks.select("p", "task", F.inline(F.array(F.struct(F.col("ring").alias("ring"), F.col("part").alias("part"), F.lit(0).alias("side")), F.struct(F.col("ring2").alias("ring"), F.col("part2").alias("part"), F.lit(1).alias("side")))))
+    rows = sides.join(placed, ["p", "ring", "part"]).select("task", "side", "x", "n", "apart", "component")
+
+    def links(group):
+        import pandas as pd
+
+        one, two = (group[group["side"] == i] for i in (0, 1))
+        d1, d2 = ([np.asarray(d) for d in side["apart"]] for side in (one, two))
+        flat1, flat2 = np.concatenate([*d1, np.zeros(0, np.int64)]), np.concatenate([*d2, np.zeros(0, np.int64)])
+        shared = np.intersect1d(flat1, flat2)
+
+        def incidence(d, flat):
+            at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+            hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+            row = np.repeat(np.arange(len(d)), [len(x) for x in d])
+            return row[hit], at[hit]
+
+        (r1, c1), (r2, c2) = incidence(d1, flat1), incidence(d2, flat2)
+        both = np.zeros((len(d1), len(d2)), np.float32)
+        for begin in range(0, len(shared), 8192):
+            a, b = np.zeros((len(d1), 8192), np.float32), np.zeros((len(d2), 8192), np.float32)
+            for m, r, c in ((a, r1, c1), (b, r2, c2)):
+                own = (c >= begin) & (c < begin + 8192)
+                m[r[own], c[own] - begin] = 1
+            both += a @ b.T
+        s1, s2 = np.array([len(x) for x in d1]), np.array([len(x) for x in d2])
+        apart = s1[:, None] + s2[None, :] - 2 * both.astype(np.int64)
+        total = one["n"].to_numpy(np.int64)[:, None] + two["n"].to_numpy(np.int64)[None, :]
+        near = apart * (100 + percent) <= total * (100 - percent)
+        near &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": one["x"].to_numpy()[i], "b": two["x"].to_numpy()[j]})
+
+    return rows.groupBy("task").applyInPandas(links, "a long, b long").distinct()
+
+
+def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Two documents link when the Jaccard likeness of their sets of distinct
@@ -180,70 +261,38 @@ def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, l
     than ``k`` words has one shingle, its sequence; a null, empty or blank one
     has none and links with nothing. Equal documents are in one component, a
     null doc_id stays null and is not linked, an empty table gives no rows,
-    and extra columns are left out.
+    and extra columns are left out. Regions of at most ``leaf`` members compare
+    pairs; larger ones compare rings of blocks of ``block`` members.
     """
-    radius = 1 - percent / 100 + 1e-9
     docs = docs.select("doc_id", "text")
     sets = keep(shingle_sets(docs, k), "sets")
     real = sets.where("set_hash is not null and doc_id is not null")
-    vertices = keep(real.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "vertices")
+    vertices = keep(real.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")), "vertices")
 
     same = Window.partitionBy("region")
     regions = first_regions(docs.where("doc_id is not null"), k, percent)
     shared = regions.withColumn("lo", F.min("set_hash").over(same)).withColumn("hi", F.max("set_hash").over(same)).where("lo <> hi")
-    named = shared.select("region", "set_hash", "n").distinct().join(vertices, "set_hash").select("region", "id", "n")
-    members = keep(named, "members")
-    texts = keep(only(docs, members.select(F.col("id").alias("doc_id")).distinct()), "texts")
-
-    measured = None
-    links = vertices.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    labels = vertices.limit(0).select("id", F.col("id").alias("component"))
-
-    def meet(pairs: DataFrame) -> None:
-        """Measure pairs that are new; their links join components."""
-        nonlocal measured, links, labels
-        pairs = pairs.distinct()
-        if measured is not None:
-            pairs = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        new = keep(measure(pairs, texts, k), "measured")
-        measured = new if measured is None else measured.unionByName(new)
-        linked = new.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
-        if linked.limit(1).count():
-            links = links.unionByName(linked)
-            labels = connected_components(links)
-
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    cells = members
-    for level in range(levels):
-        by_region = Window.partitionBy("region")
-        # one pivot of each first region, the smallest id; then several, by hash
-        rank = F.row_number().over(by_region.orderBy("id" if not level else F.xxhash64("id", F.lit(level)), "id"))
-        chosen = cells.withColumn("rank", rank).where(F.col("rank") <= (1 if not level else pivots)).select("region", F.col("id").alias("pivot"), F.col("n").alias("n_pivot"))
-        faced = cells.join(chosen, "region")
-        # a pivot of an unlinkable size need not be measured to be no link; cells need every distance
-        meet(faced.where("id <> pivot").where(fits("n", "n_pivot") | F.lit(level > 0)).select(*ordered("id", "pivot")))
-        known = measured.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-        far = faced.withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(known, ["a", "b"], "left")
-        far = far.withColumn("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        if level:
-            nearest = F.min("d").over(Window.partitionBy("region", "id"))
-            far = far.withColumn("nearest", nearest).where(F.col("d") <= F.col("nearest") + 2 * radius).withColumn("region", F.xxhash64("region", "pivot"))
-        cell = far.select("region", "id", "n", "d")
-        cell = cell.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_cells = cell.withColumn("lo", F.min("component").over(by_region)).withColumn("hi", F.max("component").over(by_region)).withColumn("size", F.count("*").over(by_region)).where("lo <> hi")
-        open_cells = keep(open_cells.select("region", "id", "n", "d", "component", "size"), "cells")
-        last = level == levels - 1
-        small = open_cells if last else open_cells.where(F.col("size") <= leaf)
-        x = small.select("region", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("component").alias("cx"))
-        y = small.select("region", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("component").alias("cy"))
-        near = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= radius, F.lit(True))
-        meet(x.join(y, "region").where("x < y and cx <> cy").where(near).where(fits("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        cells = open_cells.where(F.col("size") > leaf).select("region", "id", "n")
-        if last or not cells.limit(1).count():
-            break
+    named = shared.select("region", "family", "need", "set_hash").distinct().join(vertices, "set_hash")
+    cells = keep(named.select("region", "family", "need", "id", "n").withColumn("size", F.count("*").over(same)), "cells")
+    texts = keep(only(docs, cells.select(F.col("id").alias("doc_id")).distinct()), "texts")
+
+    # small regions: pairs that meet often enough, and whose sizes allow a link
+    x = cells.where(F.col("size") <= leaf).select("region", "family", "need", "id", "n")
+    y = x.select("region", F.col("id").alias("x"), F.col("n").alias("m"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    met = x.join(y, "region").where((F.col("id") < F.col("x")) & fits).groupBy("family", "need", F.col("id").alias("p"), "x").agg(F.count("*").alias("met"))
+    # large ones: members against the most central one, by the sizes of its regions
+    large = cells.where(F.col("size") > leaf).select("region", "id", "size")
+    central = large.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivot = F.max(F.struct("weight", (-F.col("id")).alias("id"))).over(same)
+    pivoted = keep(large.join(central, "id").select((-pivot["id"]).alias("p"), F.col("id").alias("x")).distinct(), "pivoted")
+    members = keep(measure(pivoted, texts, k, percent, differences=True), "members")
+    few = keep(measure(met.where("met >= need").select("p", "x").distinct(), texts, k, percent), "pairs")
+    links = keep(members.unionByName(few).where("linked and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b")), "linked")
+    labels = connected_components(links)
+    more = keep(compare_rings(members, labels, percent, block), "linked")
+    if more.limit(1).count():
+        labels = connected_components(links.unionByName(more))
 
     component = vertices.join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     joined = sets.join(component, "set_hash", "left")

@@ -28,7 +28,7 @@ END = np.uint64(0x5BF03635F0B7A54D)
 FOLDS, HELD_OUT = 10, 0
 PART_ROWS = 1_500_000
 HOT = 200_000
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 _MAPPED: dict[str, np.ndarray] = {}
 
 
@@ -430,7 +430,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             out = [[], [], [], []]
-            for _, offsets, raw in text_chunks(batch, max_bytes=4_000_000):
+            for _, offsets, raw in text_chunks(batch):
                 tokens, owner, opens = sentences(offsets, raw)
                 high, base, known = _log_probabilities(model, tokens, opens)
                 n = len(offsets) - 1

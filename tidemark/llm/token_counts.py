@@ -25,14 +25,16 @@ def token_count(text: Column, version: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(VERSIONS[version])).cast("bigint")
 
 
-def inserted(rows: DataFrame, tokens: str, version: str) -> DataFrame:
-    """Changes that add rows (source, lang, chars, and the named count)."""
-    return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(1).cast("bigint").alias("docs"), F.col(tokens).cast("bigint").alias("tokens"), F.col("chars").cast("bigint").alias("chars"))
+def inserted(rows: DataFrame, tokens: str, version: str, times: str | None = None) -> DataFrame:
+    """Changes that add rows (source, lang, chars, and the named count), each ``times``."""
+    n = (F.col(times) if times else F.lit(1)).cast("bigint")
+    sums = {"docs": n, "tokens": n * F.col(tokens), "chars": n * F.col("chars")}
+    return rows.select("source", "lang", F.lit(version).alias("version"), *[v.cast("bigint").alias(k) for k, v in sums.items()])
 
 
-def deleted(rows: DataFrame, tokens: str, version: str) -> DataFrame:
+def deleted(rows: DataFrame, tokens: str, version: str, times: str | None = None) -> DataFrame:
     """Changes that take rows away again."""
-    return inserted(rows, tokens, version).withColumns({c: -F.col(c) for c in SUMS})
+    return inserted(rows, tokens, version, times).withColumns({c: -F.col(c) for c in SUMS})
 
 
 def revised(rows: DataFrame, old: tuple[str, str], new: tuple[str, str]) -> DataFrame:
