@@ -196,3 +196,14 @@ def test_gradient_of_the_network():
     y = (np.arange(20) % 2).astype(float)
     model = quality.train(x, owner, y, steps=150)
     assert ((model.score(x, owner, 20) > 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_bucket_counts_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, cut in ((1, 0), (40, 3), (900, 200), (5000, 100), (1025, 30)):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[cut:], r.integers(0, 2**63, cut // 2, dtype=np.uint64)])
+        bound = jaccard_join.least_apart(jaccard_join.bucket_counts(a), jaccard_join.bucket_counts(b))
+        assert bound <= len(np.setxor1d(a, b))
+        assert bound > 0.5 * len(np.setxor1d(a, b)) or not cut
+    assert jaccard_join.least_apart(b"", jaccard_join.bucket_counts(a)) == 0

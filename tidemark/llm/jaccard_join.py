@@ -14,7 +14,10 @@ differences to pivots, which the triangle inequality bounds as well.
    slice are the centre of a region of radius zero, and linked documents share
    several. Boundary documents, those of neighbouring size classes, are
    replicated to both classes' regions. Pairs that meet in as many small
-   regions as links must are measured.
+   regions as links must are measured: first each document with the one that it
+   meets most often, then the pairs whose ends are still in different components.
+   Texts move only for pairs that the counts of their shingles by bucket, which
+   bound the distance from below, leave open.
 2. Recursion. In each large region its most central document, which is in the
    largest regions, is the pivot ``p``, and regions with the same pivot are
    joined. Every member ``x`` is measured against it and keeps its difference
@@ -177,26 +180,86 @@ def measure(pairs: DataFrame, texts: DataFrame, k: int = K_WORDS, percent: int =
     (empty unless asked for).
     """
     left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
+
+    def sets_of(batch, column):
+        for _, offsets, raw in text_chunks(batch, column):
+            yield from document_sets(offsets, raw, k)
+
     right = texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            pivots, members = ([s for _, offsets, raw in text_chunks(batch, c) for s in document_sets(offsets, raw, k)] for c in ("text_p", "text_x"))
-            linked, most, apart = [], [], []
+            pivots, members = (sets_of(batch, c) for c in ("text_p", "text_x"))
+            linked, n, most, apart = [], [], [], []
             for p, x in zip(pivots, members):
                 d = np.setxor1d(x, p, assume_unique=True)
                 linked.append(len(d) <= most_apart(len(x) + len(p), percent))
+                n.append(len(x))
                 most.append(most_apart(len(x) + len(x) * 100 // percent, percent))
                 apart.append(d.view(np.int64) if differences else d[:0].view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array([len(x) for x in members], pa.int32()), pa.array(most, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(most, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["p", "x", "linked", "n", "most", "apart"])
 
     joined = pairs.select("p", "x").join(right, "p").join(left, "x").select("p", "x", "text_p", "text_x")
     return joined.mapInArrow(run, "p long, x long, linked boolean, n int, most int, apart array<long>")
 
 
+def bucket_counts(s: np.ndarray) -> bytes:
+    """How many elements of a set fall in each of a power of two of buckets.
+
+    Sets differ by at least the sum of the differences of their counts. There
+    are at most as many buckets as elements; a full byte makes it empty.
+    """
+    size = 1 << max(len(s).bit_length() - 1, 0)
+    counts = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else b""
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the difference of two sets from their bucket counts."""
+    if not a or not b:
+        return 0
+    size = min(len(a), len(b))
+    one, two = (np.frombuffer(x, np.uint8).reshape(-1, size).sum(0, dtype=np.int32) for x in (a, b))
+    return int(np.abs(one - two).sum())
+
+
+def outlines(texts: DataFrame, k: int = K_WORDS) -> DataFrame:
+    """(doc_id, n, counts): size and bucket counts of each text's set."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, counts = [], []
+            for _, offsets, raw in text_chunks(batch):
+                for s in document_sets(offsets, raw, k):
+                    n.append(len(s))
+                    counts.append(bucket_counts(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "n", "counts"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, counts binary")
+
+
+def maybe_linked(pairs: DataFrame, outline: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(p, x, met) of the pairs whose bucket counts do not rule out a link."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, m, a, b = (batch.column(i) for i in (3, 4, 5, 6))
+            total = n.to_numpy().astype(np.int64) + m.to_numpy()
+            may = [least_apart(u.as_py(), v.as_py()) <= most_apart(int(t), percent) for u, v, t in zip(a, b, total)]
+            yield batch.select(["p", "x", "met"]).filter(pa.array(may, pa.bool_()))
+
+    of = lambda key, n, counts: outline.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("counts").alias(counts))
+    joined = pairs.select("p", "x", "met").join(of("p", "n", "a"), "p").join(of("x", "m", "b"), "x")
+    return joined.select("p", "x", "met", "n", "m", "a", "b").mapInArrow(run, "p long, x long, met long")
+
+
 def compare_rings(measured: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b) of links between members of a pivot's region in different components.
 
@@ -252,6 +315,22 @@ def compare_rings(measured: DataFrame, labels: DataFrame, percent: int = PERCENT
     return rows.groupBy("task").applyInPandas(links, "a long, b long").distinct()
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, from, to) of the pairs whose ends have different components."""
+    one = labels.select(F.col("id").alias("a"), F.col("component").alias("from"))
+    two = labels.select(F.col("id").alias("b"), F.col("component").alias("to"))
+    return pairs.join(one, "a").join(two, "b").where(F.col("from") != F.col("to")).select("a", "b", "from", "to")
+
+
+def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: what they join are whole components."""
+    if not links.limit(1).count():
+        return labels
+    joined = connected_components(between(links, labels).select(F.col("from").alias("a"), F.col("to").alias("b")))
+    moved = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    return keep(moved.select("id", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -281,20 +360,26 @@ def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, l
     y = x.select("region", F.col("id").alias("x"), F.col("n").alias("m"))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     met = x.join(y, "region").where((F.col("id") < F.col("x")) & fits).groupBy("family", "need", F.col("id").alias("p"), "x").agg(F.count("*").alias("met"))
+    often = met.where("met >= need").groupBy("p", "x").agg(F.max("met").alias("met"))
+    near = keep(maybe_linked(often, keep(outlines(texts, k), "outlines"), percent), "near")
+    closest = near.groupBy("x").agg(F.max_by("p", F.struct("met", (-F.col("p")).alias("p"))).alias("p"))
     # large ones: members against the most central one, by the sizes of its regions
     large = cells.where(F.col("size") > leaf).select("region", "id", "size")
     central = large.groupBy("id").agg(F.sum("size").alias("weight"))
     pivot = F.max(F.struct("weight", (-F.col("id")).alias("id"))).over(same)
     pivoted = keep(large.join(central, "id").select((-pivot["id"]).alias("p"), F.col("id").alias("x")).distinct(), "pivoted")
     members = keep(measure(pivoted, texts, k, percent, differences=True), "members")
-    few = keep(measure(met.where("met >= need").select("p", "x").distinct(), texts, k, percent), "pairs")
-    links = keep(members.unionByName(few).where("linked and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b")), "linked")
-    labels = connected_components(links)
-    more = keep(compare_rings(members, labels, percent, block), "linked")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
-
-    component = vertices.join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
+    first = keep(measure(closest, texts, k, percent), "pairs")
+    linked = lambda m: m.where("linked and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    found = connected_components(keep(linked(members.unionByName(first)), "linked"))
+    labels = keep(vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+    # texts are moved again only for candidates that their closest ones have not connected
+    rest = between(near.select(F.col("p").alias("a"), F.col("x").alias("b")), labels).select(F.col("a").alias("p"), F.col("b").alias("x"))
+    rest = measure(rest, texts, k, percent)
+    labels = connect(labels, keep(linked(rest), "linked"))
+    labels = connect(labels, keep(compare_rings(members, labels, percent, block), "linked"))
+
+    component = vertices.join(labels, "id").select("set_hash", F.col("component").alias("component_id"))
     joined = sets.join(component, "set_hash", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
