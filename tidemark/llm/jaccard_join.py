@@ -32,8 +32,10 @@ Equal sets are one vertex from the start, so copies cost nothing further.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, mix, only, shingles, text_chunks, without, words
@@ -43,6 +45,7 @@ K_WORDS = 4
 PERCENT = 85
 LEAF = 64
 BLOCK = 512
+BATCH_ROWS = 500
 
 
 def document_sets(offsets: np.ndarray, raw: np.ndarray, k: int):
@@ -331,6 +334,18 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return keep(moved.select("id", F.coalesce("to", "component").alias("component")), "labels")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of ``rows`` rows: long texts come in pairs, so the usual number would not fit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -343,7 +358,11 @@ def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, l
     and extra columns are left out. Regions of at most ``leaf`` members compare
     pairs; larger ones compare rings of blocks of ``block`` members.
     """
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _components(docs.select("doc_id", "text"), k, percent, leaf, block)
+
+
+def _components(docs: DataFrame, k: int, percent: int, leaf: int, block: int) -> DataFrame:
     sets = keep(shingle_sets(docs, k), "sets")
     real = sets.where("set_hash is not null and doc_id is not null")
     vertices = keep(real.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")), "vertices")
