@@ -136,20 +136,24 @@ def signatures(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray,
 
 
 def shingle_sets(docs: DataFrame, k: int = K_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) of each document; a set of none has hash null."""
+    """(doc_id, n_shingles, set_hash, counts) of each document; a set of none has hash null.
+
+    ``counts`` are those of ``bucket_counts``.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, h = [], []
+            n, h, counts = [], [], []
             for _, offsets, raw in text_chunks(batch):
                 for s in document_sets(offsets, raw, k):
                     n.append(len(s))
                     h.append(set_hash(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64())], ["doc_id", "n_shingles", "set_hash"])
+                    counts.append(bucket_counts(s) if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "n_shingles", "set_hash", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash long, counts binary")
 
 
 def first_regions(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -229,24 +233,7 @@ def least_apart(a: bytes, b: bytes) -> int:
     return int(np.abs(one - two).sum())
 
 
-def outlines(texts: DataFrame, k: int = K_WORDS) -> DataFrame:
-    """(doc_id, n, counts): size and bucket counts of each text's set."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            n, counts = [], []
-            for _, offsets, raw in text_chunks(batch):
-                for s in document_sets(offsets, raw, k):
-                    n.append(len(s))
-                    counts.append(bucket_counts(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "n", "counts"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, counts binary")
-
-
-def maybe_linked(pairs: DataFrame, outline: DataFrame, percent: int = PERCENT) -> DataFrame:
+def maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(p, x, met) of the pairs whose bucket counts do not rule out a link."""
 
     def run(batches):
@@ -254,11 +241,11 @@ def maybe_linked(pairs: DataFrame, outline: DataFrame, percent: int = PERCENT) -
 
         for batch in batches:
             n, m, a, b = (batch.column(i) for i in (3, 4, 5, 6))
-            total = n.to_numpy().astype(np.int64) + m.to_numpy()
+            total = n.to_numpy() + m.to_numpy()
             may = [least_apart(u.as_py(), v.as_py()) <= most_apart(int(t), percent) for u, v, t in zip(a, b, total)]
             yield batch.select(["p", "x", "met"]).filter(pa.array(may, pa.bool_()))
 
-    of = lambda key, n, counts: outline.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("counts").alias(counts))
+    of = lambda key, n, counts: sets.select(F.col("doc_id").alias(key), F.col("n_shingles").alias(n), F.col("counts").alias(counts))
     joined = pairs.select("p", "x", "met").join(of("p", "n", "a"), "p").join(of("x", "m", "b"), "x")
     return joined.select("p", "x", "met", "n", "m", "a", "b").mapInArrow(run, "p long, x long, met long")
 
@@ -372,7 +359,6 @@ def _components(docs: DataFrame, k: int, percent: int, leaf: int, block: int) ->
     shared = regions.withColumn("lo", F.min("set_hash").over(same)).withColumn("hi", F.max("set_hash").over(same)).where("lo <> hi")
     named = shared.select("region", "family", "need", "set_hash").distinct().join(vertices, "set_hash")
     cells = keep(named.select("region", "family", "need", "id", "n").withColumn("size", F.count("*").over(same)), "cells")
-    texts = keep(only(docs, cells.select(F.col("id").alias("doc_id")).distinct()), "texts")
 
     # small regions: pairs that meet often enough, and whose sizes allow a link
     x = cells.where(F.col("size") <= leaf).select("region", "family", "need", "id", "n")
@@ -380,13 +366,15 @@ def _components(docs: DataFrame, k: int, percent: int, leaf: int, block: int) ->
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     met = x.join(y, "region").where((F.col("id") < F.col("x")) & fits).groupBy("family", "need", F.col("id").alias("p"), "x").agg(F.count("*").alias("met"))
     often = met.where("met >= need").groupBy("p", "x").agg(F.max("met").alias("met"))
-    near = keep(maybe_linked(often, keep(outlines(texts, k), "outlines"), percent), "near")
+    near = keep(maybe_linked(often, sets, percent), "near")
     closest = near.groupBy("x").agg(F.max_by("p", F.struct("met", (-F.col("p")).alias("p"))).alias("p"))
     # large ones: members against the most central one, by the sizes of its regions
     large = cells.where(F.col("size") > leaf).select("region", "id", "size")
     central = large.groupBy("id").agg(F.sum("size").alias("weight"))
     pivot = F.max(F.struct("weight", (-F.col("id")).alias("id"))).over(same)
     pivoted = keep(large.join(central, "id").select((-pivot["id"]).alias("p"), F.col("id").alias("x")).distinct(), "pivoted")
+    asked = pivoted.select("p", "x").unionByName(near.select("p", "x"))
+    texts = keep(only(docs, asked.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct()), "texts")
     members = keep(measure(pivoted, texts, k, percent, differences=True), "members")
     first = keep(measure(closest, texts, k, percent), "pairs")
     linked = lambda m: m.where("linked and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
