@@ -83,6 +83,58 @@ def test_language_model_hot_pairs_and_no_training(spark, monkeypatch):
     assert language_model.score_documents(empty(spark), nothing).count() == 0
 
 
+def kneser_ney_three(train):
+    """The same at order three: plain counts of triples, continuation counts below (a text's start has plain ones)."""
+    triples, pairs, words = Counter(), Counter(), Counter()
+    for t in train:
+        w = [None, *split(t), "</s>"]
+        words.update(w[1:])
+        triples.update(zip(w, w[1:], w[2:]))
+        pairs[None, w[1]] += 1
+    for _, b, c in triples:
+        pairs[b, c] += 1
+    types = Counter(c for _, c in pairs)
+
+    def level(counts):
+        n = [sum(1 for x in counts.values() if x == k) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if min(n) > 0 else 0
+        d = [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.01), k - 0.01) for k in (1, 2, 3))] if min(n) > 0 else [0, 0.5, 1.0, 1.5]
+        total, rest = Counter(), Counter()
+        for key, x in counts.items():
+            total[key[:-1]] += x
+            rest[key[:-1]] += d[min(x, 3)]
+        return lambda key, low: (max(counts[key] - d[min(counts[key], 3)], 0) + rest[key[:-1]] * low) / total[key[:-1]] if total[key[:-1]] else low
+
+    high, middle, low = level(triples), level(pairs), level(Counter({(c,): n for c, n in types.items()}))
+    return (lambda a, b, c: high((a, b, c), middle((b, c), low((c,), 1 / (len(words) + 1))))), words
+
+
+@pytest.mark.parametrize("hot", [language_model.HOT, 60])
+def test_trigrams_against_brute_force(spark, tmp_path, hot):
+    texts = [*ODD, *[prose(30 + i, i % 25) for i in range(60)], "a b a a c " * 40, "w a w " * 300 + "unseen words"]
+    docs(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    p, words = kneser_ney_three(kept)
+    assert abs(sum(p(b"a", b"b", c) for c in words) + p(b"a", b"b", "unseen") - 1) < 1e-9
+    if hot == language_model.HOT:
+        got = catalog.queries()["op3_language_model"](spark, str(tmp_path)).collect()
+    else:
+        d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        got = language_model.score_documents(d, language_model.fit(d.where(~language_model.held_out()), 3, hot)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = [None, *split(texts[r.doc_id]), "</s>"]
+        want = [math.log10(p("no", None, w[1])), *(math.log10(p(*x)) for x in zip(w, w[1:], w[2:]))]
+        assert r.score == pytest.approx(sum(want)), r.doc_id
+
+
+def test_trigrams_without_training_and_other_orders(spark):
+    nothing = language_model.fit(empty(spark), 3)
+    assert [r.score for r in language_model.score_documents(docs(spark, ["x y"]), nothing).collect()] == [0.0]
+    with pytest.raises(ValueError):
+        language_model.fit(empty(spark), 4)
+
+
 def test_held_out_text_is_likelier_than_by_words_alone(spark, sf):
     r = catalog.op3_language_model(spark, sf).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b

@@ -36,9 +36,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_language_model(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    model = language_model.fit(docs.where(~language_model.held_out()))
+    model = language_model.fit(docs.where(~language_model.held_out()), order)
     scored = language_model.score_documents(docs, model)
     return scored.select("doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -118,8 +118,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is registered as op3_language_model: order three."""
+    return op3_language_model(spark, sf_dir, 3)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op4_token_counts, op5_licenses, op6_url_filter, op7_jaccard_join, op8_packing, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op4_token_counts, op5_licenses, op6_url_filter, op7_jaccard_join, op8_packing, op9_secrets, op10_quality)} | {"op3_language_model": op3_trigrams}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Language-model scoring: interpolated modified Kneser-Ney over bigrams.
+"""Language-model scoring: interpolated modified Kneser-Ney of order two or three.
 
 Spark counts the words and then the pairs of neighbouring words of the
 training texts. Both become sorted arrays of hashes or ids with their counts,
@@ -8,7 +8,11 @@ model may be larger than a worker's memory. A word is known by a 64-bit hash
 and its place in the sorted array is its id; a pair is two ids.
 
 Pairs are dealt out by their first word, and those of a frequent first word
-by the second one also, so that no word's pairs meet in one task.
+by the second one also, so that no word's pairs meet in one task. A triple is
+dealt by its last two words. So the distinct words left of a pair, its
+continuation count, are all in one part. So are the triples of a context, its
+first two words, unless the middle word is frequent; those contexts are summed
+in a shuffle.
 """
 
 from __future__ import annotations
@@ -105,6 +109,10 @@ class Model:
     discounts: tuple = (0.5, 1.0, 1.5)
     low_discounts: tuple = (0.5, 1.0, 1.5)
     low_rest: float = 1.0
+    order: int = 2
+    hot: int = HOT
+    triples: int = 0
+    high_discounts: tuple = (0.5, 1.0, 1.5)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Id of each hash of a sorted array, -1 for unknown ones."""
@@ -138,7 +146,7 @@ class Model:
 
     def part_of(self, first: np.ndarray, second: np.ndarray, n_first: np.ndarray) -> np.ndarray:
         """Part of a pair; a frequent first word is dealt out by the second."""
-        salt = mix(second.astype(np.uint64)) % (1 + n_first // HOT).astype(np.uint64)
+        salt = mix(second.astype(np.uint64)) % (1 + n_first // self.hot).astype(np.uint64)
         return (mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt) % np.uint64(self.parts)).astype(np.int64)
 
 
@@ -209,7 +217,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
                 n_first = np.r_[0, counts[back][:-1]]
                 n_first[opens] = opens.sum()
                 pairs, at, n = np.unique((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64), return_index=True, return_counts=True)
-                n_first = np.where(first[at] == model.n_words, HOT * 63, n_first[at])
+                n_first = np.where(first[at] == model.n_words, model.hot * 63, n_first[at])
                 held.append((pairs, n, model.part_of(first[at], second[at], n_first)))
                 size += len(pairs)
                 if size > FLUSH:
@@ -283,6 +291,297 @@ def _store_pairs(counted: DataFrame, model: Model) -> DataFrame:
     return dealt.mapInArrow(run, schema).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"])
 
 
+# Files of several arrays: triples by part, and contexts of triples by part.
+TRIPLES = ("<u4", "<u4", "<u4", "<u4", "<u4", "u1", "<u4", "<u8")  # first, span, second, from, left, seen, place and count of the often seen
+CONTEXTS = ("<u4", "<u4", "<u4", "u1", "<u4", "<u8")  # middle, span, left, four sums each, place and sums of the large
+LOW = np.uint64(0xFFFFFFFF)
+_VIEWS: dict[str, tuple] = {}
+
+
+def _write_arrays(path: str, arrays: list[np.ndarray], kinds: tuple) -> None:
+    sizes = np.array([a.size for a in arrays], "<i8")
+    parts = [sizes.view("u1")]
+    for a, kind in zip(arrays, kinds):
+        raw = np.ascontiguousarray(a.astype(kind, copy=False)).view("u1").ravel()
+        parts += [raw, np.zeros(-len(raw) % 8, "u1")]
+    _write(path, np.concatenate(parts))
+
+
+def _arrays(path: str, kinds: tuple) -> tuple:
+    if path not in _VIEWS:
+        raw = mapped(path, "u1")
+        if not len(raw):
+            return tuple(np.zeros(0, k) for k in kinds)
+        at, out = 8 * len(kinds), []
+        for n, kind in zip(np.array(raw[:at]).view("<i8").tolist(), kinds):
+            size = n * np.dtype(kind).itemsize
+            out.append(raw[at : at + size].view(kind))
+            at += size + -size % 8
+        _VIEWS[path] = tuple(out)
+    return _VIEWS[path]
+
+
+def _find(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value in its sorted stretch lo..hi, -1 where it is not."""
+    if not len(values):
+        return np.full(len(wanted), -1, np.int64)
+    at, end = lo.astype(np.int64), hi.astype(np.int64)
+    while (at < end).any():
+        mid = (at + end) >> 1
+        less = (at < end) & (values[np.minimum(mid, len(values) - 1)] < wanted)
+        at, end = np.where(less, mid + 1, at), np.where(less, end, np.minimum(mid, end))
+    return np.where((at < hi) & (values[np.minimum(at, len(values) - 1)] == wanted), at, -1)
+
+
+def _find_pair(high: np.ndarray, span: np.ndarray, low: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Place of each pair (x, y) among pairs stored by their first number, -1 where it is not."""
+    if not len(high):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(high, x.astype("<u4")), len(high) - 1)
+    begin, end = span[at].astype(np.int64), span[at + 1].astype(np.int64)
+    return _find(low, begin, np.where(high[at] == x, end, begin), y.astype("<u4"))
+
+
+def _split(pairs: np.ndarray) -> list[np.ndarray]:
+    """Sorted pairs as the distinct first numbers, where each begins, and the second numbers."""
+    high = pairs >> np.uint64(32)
+    begin = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+    return [high[begin], np.r_[begin, len(pairs)], pairs & LOW]
+
+
+def _triple_sums(pairs: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple:
+    """(sorted distinct pairs, place of each triple's pair, left, n) of distinct triples, sorted by pair and left word."""
+    distinct, place = np.unique(pairs, return_inverse=True)
+    keys, n = _sums((place.astype(np.uint64) << np.uint64(32)) | left.astype(np.uint64), n)
+    return distinct, (keys >> np.uint64(32)).astype(np.int64), (keys & LOW).astype(np.int64), n
+
+
+def _pack_triples(pairs: np.ndarray, left: np.ndarray, n: np.ndarray) -> bytes:
+    first = np.diff((pairs >> np.uint64(32)).astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, i] for x in (first, pairs & LOW, left, n) for i in range(4)]
+    return len(pairs).to_bytes(8, "little") + zlib.compress(np.concatenate(planes).tobytes(), 1)
+
+
+def _unpack_triples(blob: bytes) -> tuple:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(zlib.decompress(blob[8:]), np.uint8).reshape(4, 4, n)
+    first, second, left, count = (np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes)
+    return (np.cumsum(first, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64), left.astype(np.int64), count.astype(np.int64)
+
+
+def _neighbours(model: Model, tokens: np.ndarray, opens: np.ndarray):
+    """(word before the last, last word, word, count of the last word) of each token.
+
+    A text's first word has no word before the last, which is n_words + 1;
+    its last word, the start, is n_words. Unknown words are -1.
+    """
+    ids, back, counts = model.encode(tokens)
+    word = ids[back]
+    last, n_last = np.r_[model.n_words, word[:-1]], np.r_[0, counts[back][:-1]]
+    last[opens], n_last[opens] = model.n_words, model.hot * 63
+    before = np.r_[model.n_words, last[:-1]]
+    before[opens] = model.n_words + 1
+    return before, last, word, n_last
+
+
+def _count_triples(docs: DataFrame, model: Model) -> DataFrame:
+    """(part, triples): compressed sorted triples and their counts, by part.
+
+    A text's first word has only a pair with the start; it is a triple whose
+    left word is n_words + 1.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def flush():
+            pairs, left, part = (np.concatenate(x) for x in zip(*held))
+            distinct, place, left, n = _triple_sums(pairs, left, np.ones(len(pairs), np.int64))
+            of_pair = np.zeros(len(distinct), np.int64)
+            of_pair[np.searchsorted(distinct, pairs)] = part
+            part = of_pair[place]
+            by = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
+            names, blobs = [], []
+            for p in np.flatnonzero(np.diff(cuts)):
+                at = by[cuts[p] : cuts[p + 1]]
+                names.append(int(p))
+                blobs.append(_pack_triples(distinct[place[at]], left[at], n[at]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "triples"])
+
+        for batch in batches:
+            for _, offsets, raw in text_chunks(batch):
+                tokens, _, opens = sentences(offsets, raw)
+                before, last, word, n_last = _neighbours(model, tokens, opens)
+                part = model.part_of(last, word, n_last).astype(np.int32)
+                held.append(((last.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), before.astype("<u4"), part))
+                size += len(tokens)
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "part int, triples binary")
+
+
+def _write_contexts(path: str, contexts: np.ndarray, sums: np.ndarray) -> None:
+    """Sorted contexts (middle word, left word) with four sums each."""
+    large = np.flatnonzero((sums > 255).any(1))
+    small = sums.copy()
+    small[large] = 0
+    _write_arrays(path, [*_split(contexts), small, large, sums[large]], CONTEXTS)
+
+
+def _store_triples(counted: DataFrame, model: Model) -> DataFrame:
+    """Write each part's arrays; (kind, id, a, b, c, d) of what others need.
+
+    Kinds 0, 1 and 2 as for pairs, by the pairs' continuation counts (the plain
+    counts of pairs with a text's start); kind 3 a context, its middle word
+    frequent, with its total and its triples seen once, twice and more often;
+    kind 4 how many triples were seen once to four times.
+    """
+
+    def store(part: int, pairs, place, left, n):
+        import pyarrow as pa
+
+        begin = np.searchsorted(place, np.arange(len(pairs) + 1))
+        large = np.flatnonzero(n > 255)
+        seen = n.copy()
+        seen[large] = 0
+        _write_arrays(f"{model.path}/triple-{part}", [*_split(pairs), begin, left, seen, large, n[large]], TRIPLES)
+        first = (pairs >> np.uint64(32)).astype(np.int64)
+        kinds = np.where(first == model.n_words, n[begin[:-1]], np.diff(begin))
+        word = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        sums = [np.add.reduceat(x.astype(np.int64), word) for x in (kinds, kinds == 1, kinds == 2, kinds > 2)]
+        second, types = np.unique((pairs & LOW).astype(np.int64), return_counts=True)
+        real = np.flatnonzero(first[place] != model.n_words)
+        n = n[real]
+        keys = (first[place[real]].astype(np.uint64) << np.uint64(32)) | left[real].astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        opens = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        contexts = keys[opens]
+        of_context = np.stack([np.add.reduceat(x[order].astype(np.int64), opens) if len(opens) else opens for x in (n, n == 1, n == 2, n > 2)], 1)
+        middle, at = np.unique((contexts >> np.uint64(32)).astype(np.int64), return_inverse=True)
+        hot = (model.of_ids("count", "<i8", middle) >= model.hot)[at] if len(middle) else np.zeros(0, bool)
+        _write_contexts(f"{model.path}/context-{part}", contexts[~hot], of_context[~hot])
+        frequent = [contexts[hot].astype(np.int64), *of_context[hot].T]
+        zero = np.zeros(len(second), np.int64)
+        pairs_seen, triples_seen = ([int((x == k).sum()) for k in (1, 2, 3, 4)] for x in (kinds, n))
+        columns = [
+            np.repeat([0, 1, 3, 2, 4], [len(word), len(second), len(frequent[0]), 1, 1]).astype(np.int32),
+            np.r_[first[word], second, frequent[0], 0, 0],
+            *(np.r_[sums[i], zero if i else types, frequent[i + 1], pairs_seen[i], triples_seen[i]] for i in range(4)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "id", "a", "b", "c", "d"])
+
+    def merge(held):
+        pairs, left, n = (np.concatenate(x) for x in zip(*held))
+        return _triple_sums(pairs, left, n)
+
+    def run(batches):
+        part, held, size, kept = None, [], 0, 0
+        for batch in batches:
+            for p, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if p != part:
+                    if held:
+                        yield store(part, *merge(held))
+                    part, held, size, kept = p, [], 0, 0
+                held.append(_unpack_triples(b.as_py()))
+                size += len(held[-1][0])
+                if size > 2 * max(kept, FLUSH):
+                    pairs, place, left, n = merge(held)
+                    held, size, kept = [(pairs[place], left, n)], len(n), len(n)
+        if held:
+            yield store(part, *merge(held))
+
+    dealt = counted.repartition(model.parts, "part").sortWithinPartitions("part")
+    schema = "kind int, id long, a long, b long, c long, d long"
+    return dealt.mapInArrow(run, schema).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"])
+
+
+def _store_frequent_contexts(stats: DataFrame, model: Model) -> None:
+    """Write the contexts whose middle word is frequent, dealt by their number."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        part, held = None, []
+
+        def store():
+            rows = np.concatenate(held)
+            _write_contexts(f"{model.path}/frequent-{part}", rows[:, 0].astype(np.uint64), rows[:, 1:])
+
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy() for i in range(6)], 1)
+            cuts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else ()
+            for begin, end in zip(cuts, [*cuts[1:], len(rows)]):
+                if rows[begin, 0] != part:
+                    if held:
+                        store()
+                    part, held = int(rows[begin, 0]), []
+                held.append(rows[begin:end, 1:])
+        if held:
+            store()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["n"])
+
+    rows = stats.where("kind = 3").select((F.col("id") % model.parts).alias("part"), "id", *"abcd")
+    rows.repartition(model.parts, "part").sortWithinPartitions("part", "id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _by_part(part: np.ndarray, parts: int):
+    """(part, places of it) of each part that occurs."""
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        yield p, by[cuts[p] : cuts[p + 1]]
+
+
+def _seen_triples(model: Model, before: np.ndarray, last: np.ndarray, word: np.ndarray, n_last: np.ndarray):
+    """(continuation count of the pair, count of the triple) of tokens whose last two words are known."""
+    kinds, seen = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    for p, own in _by_part(model.part_of(last, word, n_last), model.parts):
+        first, span, second, begin, left, small, large, often = _arrays(f"{model.path}/triple-{p}", TRIPLES)
+        at = _find_pair(first, span, second, last[own], word[own])
+        own, at = own[at >= 0], at[at >= 0]
+        if not len(own):
+            continue
+        lo, hi = begin[at].astype(np.int64), begin[at + 1].astype(np.int64)
+        place = _find(left, lo, hi, before[own].astype(np.int64))
+        opens = last[own] == model.n_words
+        got = np.where(place >= 0, small[place], 0).astype(np.int64)
+        lots = np.flatnonzero((place >= 0) & (got == 0))
+        got[lots] = often[np.searchsorted(large, place[lots])] if len(lots) else 0
+        kinds[own] = np.where(opens, got, hi - lo)
+        seen[own] = np.where(opens, 0, got)
+    return kinds, seen
+
+
+def _contexts(model: Model, before: np.ndarray, last: np.ndarray, n_last: np.ndarray) -> np.ndarray:
+    """Total of each context (before, last) and its triples seen once, twice and more often."""
+    out = np.zeros((len(last), 4), np.int64)
+    hot = n_last >= model.hot
+    keys = (last.astype(np.int64) << 32) | before.astype(np.int64)
+    part = np.where(hot, keys % model.parts, model.part_of(last, last, np.zeros(len(last), np.int64)))
+    for name, chosen in (("context", np.flatnonzero(~hot)), ("frequent", np.flatnonzero(hot))):
+        for p, own in _by_part(part[chosen], model.parts):
+            own = chosen[own]
+            first, span, second, small, large, sums = _arrays(f"{model.path}/{name}-{p}", CONTEXTS)
+            at = _find_pair(first, span, second, last[own], before[own])
+            own, at = own[at >= 0], at[at >= 0]
+            if not len(own):
+                continue
+            got = small.reshape(-1, 4)[at].astype(np.int64)
+            lots = np.flatnonzero(got[:, 0] == 0)
+            if len(lots):
+                got[lots] = sums.reshape(-1, 4)[np.searchsorted(large, at[lots])]
+            out[own] = got
+    return out
+
+
 def _store_columns(rows: DataFrame, key: str, part, parts: int, path: str, columns: dict[str, tuple[str, str]]) -> dict[int, int]:
     """Write columns of rows, sorted by key in parts, as arrays; rows by part."""
 
@@ -313,15 +612,17 @@ def _store_columns(rows: DataFrame, key: str, part, parts: int, path: str, colum
     return {r.part: r.n for r in dealt.mapInArrow(run, "part long, n long").collect()}  # one row a part
 
 
-def fit(docs: DataFrame) -> Model:
-    """Count all words and pairs of ``docs`` (text) and store the model.
+def fit(docs: DataFrame, order: int = 2, hot: int = HOT) -> Model:
+    """Count all words, pairs and, of order three, triples of ``docs`` (text) and store the model.
 
-    A null text is empty; its end token counts. An empty table gives a model
+    Words seen ``hot`` times or more are frequent. A null text is empty; its end token counts. An empty table gives a model
     without words, for which every token is unknown.
     """
+    if order not in (2, 3):
+        raise ValueError(f"an order of two or three, not {order}")
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    model = Model(f"{shared_dir(spark)}/tidemark-lm-{uuid.uuid4().hex}")
+    model = Model(f"{shared_dir(spark)}/tidemark-lm-{uuid.uuid4().hex}", order=order, hot=hot)
     if "://" not in model.path and not model.path.startswith("file:"):
         model.path = "file://" + model.path
     elif model.path.startswith("file:/") and not model.path.startswith("file://"):
@@ -340,7 +641,13 @@ def fit(docs: DataFrame) -> Model:
         if p not in sizes:
             for name in ("word", "count"):
                 _write(f"{model.path}/{name}-{p}", np.zeros(0, "u1"))
-    stats = keep(_store_pairs(_count_pairs(docs, model), model), "pairs")
+    if order == 3:
+        stats = keep(_store_triples(_count_triples(docs, model), model), "triples")
+        high = stats.where("kind = 4").first()
+        model.high_discounts = _discounts([high.a, high.b, high.c, high.d])
+        _store_frequent_contexts(stats, model)
+    else:
+        stats = keep(_store_pairs(_count_pairs(docs, model), model), "pairs")
     seen = stats.where("kind = 2").first()
     model.discounts = _discounts([seen.a, seen.b, seen.c, seen.d])
     types = F.col("a")
@@ -380,23 +687,37 @@ def _log_probabilities(model: Model, tokens: np.ndarray, opens: np.ndarray):
     n_first = np.r_[0, counts[back][:-1]]
     t_first, r_first = np.r_[0, total[back][:-1]], np.r_[1.0, rest[back][:-1]]
     begin = len(model.starts)
-    first[opens], n_first[opens] = model.n_words, HOT * 63
+    first[opens], n_first[opens] = model.n_words, model.hot * 63
     t_first[opens], r_first[opens] = mapped(f"{model.path}/total-{begin}", "<i8")[0], mapped(f"{model.path}/rest-{begin}", "<f8")[0]
     count = np.zeros(len(tokens), np.int64)
     real = np.flatnonzero((first >= 0) & (second >= 0))
-    pairs, at, place = np.unique((first[real].astype(np.uint64) << np.uint64(32)) | second[real].astype(np.uint64), return_index=True, return_inverse=True)
-    part = model.part_of(first[real][at], second[real][at], n_first[real][at])
-    by = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
-    found = np.zeros(len(pairs), np.int64)
-    for p in np.flatnonzero(np.diff(cuts)):
-        own = by[cuts[p] : cuts[p + 1]]
-        found[own] = _seen(model, p, pairs[own])
-    count[real] = found[place]
+    if model.order == 3:
+        before = np.r_[-1, first[:-1]]
+        before[opens] = model.n_words + 1
+        triple = np.zeros(len(tokens), np.int64)
+        count[real], triple[real] = _seen_triples(model, before[real], first[real], second[real], n_first[real])
+    else:
+        pairs, at, place = np.unique((first[real].astype(np.uint64) << np.uint64(32)) | second[real].astype(np.uint64), return_index=True, return_inverse=True)
+        part = model.part_of(first[real][at], second[real][at], n_first[real][at])
+        by = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
+        found = np.zeros(len(pairs), np.int64)
+        for p in np.flatnonzero(np.diff(cuts)):
+            own = by[cuts[p] : cuts[p + 1]]
+            found[own] = _seen(model, p, pairs[own])
+        count[real] = found[place]
     d = model.discounts
     high = np.maximum(count - np.select([count == 0, count == 1, count == 2], [0, d[0], d[1]], d[2]), 0) / np.maximum(t_first, 1)
+    p = high + r_first * low[back]
+    if model.order == 3:
+        of = np.flatnonzero(~opens & (first >= 0) & (before >= 0))
+        sums = _contexts(model, before[of], first[of], n_first[of])
+        of, sums = of[sums[:, 0] > 0], sums[sums[:, 0] > 0]
+        d, n = model.high_discounts, triple[of]
+        high = np.maximum(n - np.select([n == 0, n == 1, n == 2], [0, d[0], d[1]], d[2]), 0) / sums[:, 0]
+        p[of] = high + sums[:, 1:] @ np.array(d) / sums[:, 0] * p[of]
     base = np.log10((counts + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1)))
-    return np.log10(high + r_first * low[back]), base[back], (counts > 0)[back]
+    return np.log10(p), base[back], (counts > 0)[back]
 
 
 def _seen(model: Model, part: int, pairs: np.ndarray) -> np.ndarray:
