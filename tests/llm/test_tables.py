@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import catalog, licenses, token_counts, url_filter
@@ -82,6 +83,17 @@ def test_license_with_a_replaced_word_and_twice(spark):
     assert sorted(r.start for r in got if r.doc_id == 2) == [0, 65]
 
 
+@pytest.mark.parametrize("gap", [0, 1, 2, 3, 7])
+def test_short_notices_close_together(spark, gap):
+    mit, cc = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["CC-BY-NC-4.0"][0]
+    between = [prose(gap, i) for i in range(20)]
+    texts = [" ".join(x for g in between for x in (notice, g) if x) for notice in (mit, cc)]
+    got = licenses.scan_licenses(docs(spark, texts)).collect()
+    for i, notice in enumerate((mit, cc)):
+        n = len("".join(c if c.isalnum() else " " for c in notice).split())
+        assert [r.start for r in got if r.doc_id == i] == [j * (n + gap) for j in range(20)]
+
+
 def test_license_query_against_lines(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {(r.doc_id, n) for r in d for n, ts in licenses.TEMPLATES.items() for t in ts if t in r.text}

@@ -11,6 +11,7 @@ the share of the template's shingles in a stretch of its own length.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -98,11 +99,32 @@ class Index:
                 hi += 1
             known = np.isin(s[lo:hi], own)
             sums = np.convolve(known, np.ones(min(n, len(known)), int), "valid") if len(known) else np.zeros(1)
-            k = lo + int(sums.argmax())
-            share = len(np.intersect1d(s[k : min(k + n, hi)], own)) / len(np.unique(own))
-            if share >= contained:
-                best[int(row[begin]), t, int(at[k])] = (n + SHINGLE - 1, share)
-        return [(r, self.names[t], w, n, share) for (r, t, w), (n, share) in sorted(best.items())]
+            distinct = len(np.unique(own))
+            for k in np.flatnonzero(sums >= contained * distinct - 1e-9) + lo:
+                held = len(np.intersect1d(s[k : min(k + n, hi)], own))
+                if held / distinct >= contained:
+                    best.setdefault((int(row[begin]), t), {})[int(at[k])] = held
+        out = []
+        for (r, t), places in sorted(best.items()):
+            n, distinct = len(self.shingles[t]) + SHINGLE - 1, len(np.unique(self.shingles[t]))
+            out += [(r, self.names[t], w, n, places[w] / distinct) for w in _apart(places, n)]
+        return out
+
+
+def _apart(places: dict[int, int], n: int) -> list[int]:
+    """Places at least ``n`` words apart that hold the most shingles in all, the earliest of equal ones."""
+    words = sorted(places)
+    after = [bisect.bisect_left(words, w + n) for w in words]
+    most = [0] * (len(words) + 1)
+    for i in range(len(words) - 1, -1, -1):
+        most[i] = max(most[i + 1], places[words[i]] + most[after[i]])
+    out, i = [], 0
+    while i < len(words):
+        taken = places[words[i]] + most[after[i]] == most[i]
+        if taken:
+            out.append(words[i])
+        i = after[i] if taken else i + 1
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, contained: float = CONTAINED, sure: float = SURE) -> DataFrame:
