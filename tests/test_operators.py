@@ -221,6 +221,21 @@ def test_isolation_distance(spark):
     assert got[0] == pytest.approx(d[59])
 
 
+def test_isolation_distance_query_takes_all_features(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    r = np.random.default_rng(5)
+    x = np.r_[r.normal(0, 1, (60, 12)), r.normal(0, 1, (80, 12)) + np.r_[np.zeros(8), np.full(4, 5.0)], r.normal(0, 1, (12, 12))]
+    label = [0] * 60 + [1] * 80 + [2] * 12
+    frame(spark, [(i, [float(v) for v in row], int(k)) for i, (row, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {q.cluster: (q.n, q.distance) for q in catalog.isolation_distance(spark, str(tmp_path)).collect()}
+    m, c = x[:60].mean(0), np.cov(x[:60].T)
+    d = np.sort([(v - m) @ np.linalg.inv(c) @ (v - m) for v in x[60:]])
+    assert got[0] == (60, pytest.approx(d[59], abs=1e-5))
+    assert got[1] == (80, None)  # 72 rows outside
+    assert got[2] == (12, None)  # no more rows than features
+
+
 def test_maze(spark):
     visits = frame(spark, [(1, i, a) for i, a in enumerate(["A", "B", "A", "C"])], "rat int, visit int, arm string")
     got = mazes.maze_scores(visits, ["rat"], ["A", "D"]).first()

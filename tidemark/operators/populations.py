@@ -102,12 +102,16 @@ def cluster_distances(rows: DataFrame, features: str, cluster: str) -> DataFrame
 
 
 def isolation_distance(rows: DataFrame, features: str, cluster: str) -> DataFrame:
-    """(cluster, n, distance): the n-th smallest distance of the rows outside a cluster of n rows."""
+    """(cluster, n, distance): the n-th smallest distance of the rows outside a cluster of n rows.
+
+    It is null for a cluster with no more rows than features, whose covariance
+    has no inverse, and for one with fewer rows outside than inside.
+    """
     d = cluster_distances(rows, features, cluster)
     sizes = rows.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
     outside = d.where("of <> cluster").select(F.col("of").alias("cluster"), "d2")
     ranked = outside.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("d2")))
-    return sizes.join(ranked, "cluster").where("k = n").select("cluster", "n", F.col("d2").alias("distance"))
+    return sizes.join(ranked.withColumnRenamed("k", "n"), ["cluster", "n"], "left").select("cluster", "n", F.col("d2").alias("distance"))
 
 
 def l_ratio(rows: DataFrame, features: str, cluster: str, df: int = 4) -> DataFrame:

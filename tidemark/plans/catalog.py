@@ -637,7 +637,7 @@ def ripples(spark, d):
 def isolation_distance(spark, d):
     from ..operators import populations as P
 
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.slice("embedding", 1, 8).alias("features"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.col("embedding").alias("features"))
     return P.isolation_distance(rows, "features", "label").select("cluster", "n", F.round("distance", 5).alias("distance"))
 
 
