@@ -194,20 +194,20 @@ def test_join_edge_cases(spark):
     assert got == [(2, 2, 2), (2, 2, 2), (3, 2, 2), (9, 0, 9)]
 
 
-def test_signatures_meet_for_every_linked_pair():
+def test_regions_meet_for_every_linked_pair():
     r = np.random.default_rng(5)
-    classes = jaccard_join.Classes()
-    for _ in range(3000):
-        n = int(r.integers(6, 120))
-        x = r.integers(0, 2**63, n, dtype=np.uint64)
-        a = r.integers(0, max(int(0.1 * n), 1) + 1)
-        y = np.r_[x[a:], r.integers(0, 2**63, r.integers(0, max(int(0.1 * n), 1) + 1), dtype=np.uint64)]
-        x, y = np.unique(x), np.unique(y)
-        both = len(np.intersect1d(x, y))
-        if 100 * both >= 85 * (len(x) + len(y) - both) and both < max(len(x), len(y)):
-            (rx, fx, nx), (ry, fy, _) = jaccard_join.signatures(x, classes), jaccard_join.signatures(y, classes)
-            met = [(np.intersect1d(rx[fx == f], ry[fy == f]).size, nx[fx == f][0]) for f in np.intersect1d(fx, fy)]
-            assert any(n >= need for n, need in met)
+    rarity = r.integers(60, 64, 1 << jaccard_join.CELLS).astype(np.uint8)
+    for percent in (80, 85):
+        for _ in range(3000):
+            n = int(r.integers(1, 160))
+            x = r.integers(0, 2**63, n, dtype=np.uint64)
+            few = max(int(0.12 * n), 1)
+            y = np.r_[x[r.integers(0, few + 1) :], r.integers(0, 2**63, r.integers(0, few + 1), dtype=np.uint64)]
+            x, y = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(x, y))
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                met = np.intersect1d(*(jaccard_join.first_shingles(s, rarity, percent) for s in (x, y))).size
+                assert met >= jaccard_join.need(min(len(x), len(y)))
 
 
 def test_components_of_a_long_path(spark):

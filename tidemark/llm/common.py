@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,28 +20,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset
-    (local tests) a temporary folder of this machine is used.
+    ``spark.checkpoint.dir`` names it on a cluster. Only a local master, as in
+    tests, may leave it unset and gets a temporary folder of its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value):
+    """A session setting that holds within a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage.
 
     A later stage that loses an executor rereads the files instead of
-    repeating what produced them.
+    repeating what produced them. The shuffles of the write are removed with
+    its end, not only when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_bucket(doc_id: str, n: int) -> Column:
@@ -51,34 +76,36 @@ def crc_bucket(doc_id: str, n: int) -> Column:
 BITMAP = 23
 
 
-def _bit_word() -> tuple[Column, Column]:
-    return F.shiftright("_h", 6), F.expr("shiftleft(1L, cast(_h & 63 as int))")
+def bitmap(hashes: DataFrame, column: str, bits: int = BITMAP) -> DataFrame:
+    """(word, bits) of a bitmap of 2 ** ``bits`` bits with those of ``column``.
 
+    It has a fixed size, so it can be broadcast whatever the number of hashes;
+    a full one only says maybe of everything.
+    """
+    at = F.shiftrightunsigned(column, 64 - bits)
+    marked = hashes.select(F.shiftright(at, 6).alias("word"), at.alias("at"))
+    return marked.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Add ``_maybe``: whether the id's hash is set in a bitmap of ``ids``.
 
-    The bitmap has a fixed size, 2 ** BITMAP bits, so it can be broadcast
-    whatever the number of ids; a full one only says maybe of every document.
-    """
-    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP)
-    word, bit = _bit_word()
-    bitmap = ids.select(h.alias("_h")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    looked = docs.withColumn("_h", h).withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
-    return looked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_h", "_word", "_bits")
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(row, maybe): each document, and whether its id may be one of ``ids``."""
+    known = bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+    at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP)
+    looked = docs.select(F.struct(*docs.columns).alias("row"), F.shiftright(at, 6).alias("word"), at.alias("at")).join(F.broadcast(known), "word", "left")
+    return looked.select("row", F.coalesce(F.expr("bits & shiftleft(1L, cast(at & 63 as int))") != 0, F.lit(False)).alias("maybe"))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of documents in ``ids``; few other texts are shuffled."""
-    some = _marked(docs.select("doc_id", "text"), ids).where("_maybe").drop("_maybe")
+    some = _marked(docs.select("doc_id", "text"), ids).where("maybe").select("row.*")
     return some.join(ids.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents not in ``ids``, with all their columns; a null id stays."""
     marked = _marked(docs, ids)
-    rest = marked.where("_maybe").join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
-    return marked.where("not _maybe").unionByName(rest).select(*docs.columns)
+    rest = marked.where("maybe").select("row.*").join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return marked.where("not maybe").select("row.*").unionByName(rest.select(*docs.columns))
 
 
 # --- words of Arrow batches, as 64-bit hashes --------------------------------

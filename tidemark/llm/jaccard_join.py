@@ -5,47 +5,55 @@ the region of its nearest pivot, and also to every region whose pivot is at
 most twice the radius farther, since by the triangle inequality any partner
 beyond that window is too far. Between unrelated texts, however, all distances
 are close to one, so every document would lie in every window and each region
-would hold the whole table. Regions and windows are therefore made from the
-differences to pivots, which the triangle inequality bounds as well.
-
-1. First regions. The shingle universe is cut by hash into ``m`` slices. Of
-   two linked sets at most ``K`` shingles differ, so of ``m > K`` slices at
-   least ``m - K`` hold exactly the same shingles of both: the contents of a
-   slice are the centre of a region of radius zero, and linked documents share
-   several. Boundary documents, those of neighbouring size classes, are
-   replicated to both classes' regions. Pairs that meet in as many small
-   regions as links must are measured: first each document with the one that it
-   meets most often, then the pairs whose ends are still in different components.
-   Texts move only for pairs that the counts of their shingles by bucket, which
-   bound the distance from below, leave open.
-2. Recursion. In each large region its most central document, which is in the
-   largest regions, is the pivot ``p``, and regions with the same pivot are
-   joined. Every member ``x`` is measured against it and keeps its difference
-   x ^ p. Members lie on rings by the size of that difference; by the triangle
-   inequality a link spans one ring at most, so each ring is replicated to the
-   next one. Rings are cut into blocks, and pairs of blocks that hold several
-   components are compared exactly by x ^ y = (x ^ p) ^ (y ^ p), as matrices of
-   the elements that both blocks have. No pair is emitted but the links.
+would hold the whole table. The first pivots are therefore single shingles.
+
+1. First regions. A one-shingle pivot is nearest to the sets that hold it, all
+   equally; ties are cut by one order of all shingles, the rarest first. By the
+   radius, linked sets miss few of each other's shingles, so a set is
+   replicated to the pivots of as many of its first shingles as it can miss,
+   and a few more: linked sets then meet in at least ``need`` regions. Rarity
+   is read from counts of all documents' shingles in cells of a hash; the
+   order changes how much is compared and never the result.
+2. Small regions. Pairs that meet as often as links must are measured: first
+   each document with the one that it meets most often, then the pairs whose
+   ends are still in different components. Texts move only for pairs that the
+   counts of their shingles by bucket, a lower bound of the distance, leave open.
+3. Large regions. The most central document, which is in the largest regions,
+   is the pivot; regions with the same pivot are joined, and every member is
+   measured against it. Regions whose members are all connected are done.
+4. Recursion. Regions that still hold several components are divided. First
+   into rings by the distance to their pivot, each replicated to the next one,
+   as a link spans one ring at most. Then into the Voronoi regions of two new
+   pivots from different components; members for which the two distances
+   differ by no more than twice the radius are replicated to both. This is
+   repeated on what still is large and mixed. A region of at most ``leaf``
+   members compares its pairs. One that pivots can't divide, since all its
+   distances are about equal, is cut into blocks that are compared exactly by
+   x ^ y = (x ^ p) ^ (y ^ p), as matrices of the elements that both blocks have.
+   No pair is emitted but the links.
 
 Equal sets are one vertex from the start, so copies cost nothing further.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, mix, only, shingles, text_chunks, without, words
+from .common import bitmap, discard, keep, mix, only, setting, shingles, text_chunks, without, words
 from .components import connected_components
 
 K_WORDS = 4
 PERCENT = 85
 LEAF = 64
 BLOCK = 512
-BATCH_ROWS = 500
+CELLS = 18
+REGION_BITS = 25
+# long texts come in pairs, so the usual number of rows of an Arrow batch would not fit
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def document_sets(offsets: np.ndarray, raw: np.ndarray, k: int):
@@ -75,64 +83,66 @@ def most_apart(total: int, percent: int = PERCENT) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
-class Classes:
-    """Sizes in classes such that linked sets are in the same or the next one."""
+def most_of(n, percent: int):
+    """How far apart a set of ``n`` shingles and a linked one can be at most."""
+    return most_apart(n + n * 100 // percent, percent)
 
-    def __init__(self, percent: int = PERCENT) -> None:
-        self.percent, self.low = percent, [1]
 
-    def of(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.low, n, "right")) - 1
+def need(n: int) -> int:
+    """How many regions linked sets share at least, by the size of the smaller one."""
+    return 1 + n // 32
 
-    def slices(self, c: int) -> tuple[int, int, int]:
-        """(m, shared, spare) of class c.
 
-        Of ``m`` slices at least ``shared + spare`` are equal in linked sets,
-        so ``shared`` ones that are not empty if one of the sets has at most
-        ``spare`` empty ones.
-        """
-        while len(self.low) <= c + 1:
-            self.of(self.low[-1])
-        most = self.low[c + 1] - 1
-        apart = most_apart(most + most * 100 // self.percent, self.percent)
-        if not apart:  # linked sets of this size are equal
-            return 1, 1, 0
-        shared = max(1, apart // 4)
-        spare = 1 + -(-3 * (apart + shared) // 100)
-        return apart + shared + spare, shared, spare
+def first_shingles(s: np.ndarray, rarity: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles of a sorted set whose regions it goes to.
 
+    Linked sets have at least ``percent`` hundredths of the larger one in
+    common. The last of their first ``need`` common shingles has the other
+    common ones after it, so it is among the first ones taken here of both.
+    """
+    n = len(s)
+    take = n - -(-percent * n // 100) + need(n)
+    return s[np.argsort(rarity[_cell(s)], kind="stable")[:take]]
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELLS)).astype(np.int64)
 
-def signatures(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(region, family, need) of the first regions of one set.
 
-    Linked sets share at least ``need`` regions of some family. An empty slice
-    gives no region. Sets with more empty slices than are spare could share
-    too few; among themselves they meet by a prefix filter, a family of its own.
+def shingle_rarity(docs: DataFrame, k: int = K_WORDS) -> np.ndarray:
+    """For each cell of shingle hashes, a byte that grows with its count.
+
+    The counts are of all documents; there are 2 ** CELLS cells of fixed size,
+    which are added up by Spark in parts before they reach the driver.
     """
-    n = len(s)
-    regions, families, needs = [np.zeros(0, np.uint64)], [], []
-    c = classes.of(n)
-    for k in {c, max(c - 1, 0)}:
-        m, shared, spare = classes.slices(k)
-        if m == 1:
-            continue
-        part = (s >> np.uint64(8)) % np.uint64(m)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sums = np.add.reduceat(s[order], begin)
-        salt = np.uint64((2 * k + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
-        found = [(mix(sums ^ mix(part[begin] + salt)), 2 * k, shared)]
-        if m - len(begin) > spare:
-            found.append((mix(s[: n - -(-classes.percent * n // 100) + 1] ^ mix(salt + np.full(1, 0xFFFF, np.uint64))), 2 * k + 1, 1))
-        for r, family, need in found:
-            regions.append(r)
-            families.append(np.full(len(r), family, np.int32))
-            needs.append(np.full(len(r), need, np.int32))
-    z = [np.zeros(0, np.int32)]
-    return np.concatenate(regions), np.concatenate(z + families), np.concatenate(z + needs)
+    part = 1 << 12
+    schema = "part int, counts binary"
+
+    def rows(parts):
+        import pyarrow as pa
+
+        numbers, counts = zip(*parts) if parts else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], ["part", "counts"])
+
+    def count(batches):
+        total = np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            for _, offsets, raw in text_chunks(batch):
+                total += np.bincount(_cell(np.concatenate([np.zeros(0, np.uint64), *document_sets(offsets, raw, k)])), minlength=1 << CELLS)
+        yield rows(list(enumerate(total.reshape(-1, part))))
+
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[i] = total.get(i, 0) + np.frombuffer(x.as_py(), np.int64)
+        yield rows(list(total.items()))
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    total = np.zeros(((1 << CELLS) // part, part), np.int64)
+    for i, x in counted.repartition("part").mapInArrow(add, schema).collect():
+        total[i] += np.frombuffer(x, np.int64)
+    return np.minimum(np.round(8 * np.log2(1 + total.ravel())), 255).astype(np.uint8)
 
 
 def shingle_sets(docs: DataFrame, k: int = K_WORDS) -> DataFrame:
@@ -156,35 +166,60 @@ def shingle_sets(docs: DataFrame, k: int = K_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash long, counts binary")
 
 
-def first_regions(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(region, family, need, set_hash, n) of each set; equal sets of a task come once."""
+def first_regions(docs: DataFrame, rarity: np.ndarray, k: int = K_WORDS, percent: int = PERCENT, wanted: np.ndarray | None = None) -> DataFrame:
+    """(region, set_hash) of each set; equal sets of a task come once.
+
+    ``wanted``, a bitmap as of ``bitmap``, leaves out regions that are not in it.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        classes, seen = Classes(percent), set()
+        seen = set()
         for batch in batches:
             for _, offsets, raw in text_chunks(batch):
-                out = ([], [], [], [], [])
+                regions, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for s in document_sets(offsets, raw, k):
                     if not len(s) or (h := set_hash(s)) in seen:
                         continue
                     seen.add(h)
-                    region, family, need = signatures(s, classes)
-                    for column, value in zip(out, (region.view(np.int64), family, need, np.full(len(region), h, np.int64), np.full(len(region), len(s), np.int32))):
-                        column.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["region", "family", "need", "set_hash", "n"])
+                    region = first_shingles(s, rarity, percent)
+                    if wanted is not None:
+                        at = region >> np.uint64(64 - REGION_BITS)
+                        region = region[wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1]
+                    regions.append(region)
+                    owners.append(np.full(len(region), h, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.concatenate(owners))], ["region", "set_hash"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "region long, set_hash long")
+
+
+def shared_regions(docs: DataFrame, vertices: DataFrame, k: int, percent: int) -> DataFrame:
+    """(region, id, n, size) of the regions that hold several sets, kept.
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "region long, family int, need int, set_hash long, n int")
+    Most regions hold one set, so a first pass shuffles only each region's
+    least and largest set. The others are marked in a bitmap of fixed size,
+    with which a second pass lists the sets of few regions besides them.
+    """
+    rarity = shingle_rarity(docs, k)
+    held = first_regions(docs, rarity, k, percent).groupBy("region").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"))
+    marks = keep(bitmap(held.where("lo <> hi"), "region", REGION_BITS), "several")
+    found = marks.toPandas()
+    wanted = np.zeros(1 << (REGION_BITS - 6), np.uint64)
+    wanted[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    listed = first_regions(docs, rarity, k, percent, wanted).distinct()
+    named = keep(listed.join(vertices, "set_hash").select("region", "id", "n"), "named")
+    sizes = named.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    cells = keep(named.join(sizes, "region").select("region", "id", "n", "size"), "cells")
+    discard(marks, named)
+    return cells
 
 
 def measure(pairs: DataFrame, texts: DataFrame, k: int = K_WORDS, percent: int = PERCENT, differences: bool = False) -> DataFrame:
-    """(p, x, linked, n, most, apart) of pairs of document ids: exact, by their texts.
+    """(p, x, linked, n, d, apart) of pairs of document ids: exact, by their texts.
 
-    ``n`` is the size of x's set, ``most`` how far apart p and a linked set of
-    its size can be at most, and ``apart`` the difference of the sets, sorted
-    (empty unless asked for).
+    ``n`` is the size of x's set, ``d`` the number of shingles that only one of
+    the sets has, and ``apart`` these shingles, sorted (empty unless asked for).
     """
     left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
 
@@ -199,18 +234,18 @@ def measure(pairs: DataFrame, texts: DataFrame, k: int = K_WORDS, percent: int =
 
         for batch in batches:
             pivots, members = (sets_of(batch, c) for c in ("text_p", "text_x"))
-            linked, n, most, apart = [], [], [], []
+            linked, n, sizes, apart = [], [], [], []
             for p, x in zip(pivots, members):
                 d = np.setxor1d(x, p, assume_unique=True)
-                linked.append(len(d) <= most_apart(len(x) + len(p), percent))
+                linked.append(len(d) * (100 + percent) <= (len(x) + len(p)) * (100 - percent))
                 n.append(len(x))
-                most.append(most_apart(len(x) + len(x) * 100 // percent, percent))
+                sizes.append(len(d))
                 apart.append(d.view(np.int64) if differences else d[:0].view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(most, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["p", "x", "linked", "n", "most", "apart"])
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(sizes, pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["p", "x", "linked", "n", "d", "apart"])
 
     joined = pairs.select("p", "x").join(right, "p").join(left, "x").select("p", "x", "text_p", "text_x")
-    return joined.mapInArrow(run, "p long, x long, linked boolean, n int, most int, apart array<long>")
+    return joined.mapInArrow(run, "p long, x long, linked boolean, n int, d int, apart array<long>")
 
 
 def bucket_counts(s: np.ndarray) -> bytes:
@@ -250,27 +285,23 @@ def maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     return joined.select("p", "x", "met", "n", "m", "a", "b").mapInArrow(run, "p long, x long, met long")
 
 
-def compare_rings(measured: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(a, b) of links between members of a pivot's region in different components.
+def compare_blocks(measured: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b) of links between members of a cell in different components.
 
-    ``measured`` has the members' differences to their pivot. A ring is as wide
-    as the farthest that two linked members of the region can be apart, so
-    partners lie on the same ring or the next one. A task compares two blocks
-    of some ``block`` members each, whatever the region holds.
+    ``measured`` has (cell, x, n, component, apart), ``apart`` being the
+    difference of x to the cell's pivot. A task compares two blocks of some
+    ``block`` members each, whatever the cell holds; blocks of one component
+    are not compared.
     """
-    width = measured.groupBy("p").agg(F.max("most").alias("width"))
-    ringed = measured.join(width, "p").withColumn("ring", F.floor(F.size("apart") / F.greatest("width", F.lit(1))))
-    named = ringed.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    sizes = named.groupBy("p", "ring").agg(F.count("*").alias("members"))
+    sizes = measured.groupBy("cell").agg(F.count("*").alias("members"))
     cut = F.pmod(F.xxhash64("x"), F.ceil(F.col("members") / block)).cast("int")
-    placed = keep(named.join(sizes, ["p", "ring"]).select("p", "ring", cut.alias("part"), "x", "n", "apart", "component"), "rings")
-    blocks = placed.groupBy("p", "ring", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    other = blocks.select("p", F.col("ring").alias("ring2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    reach = blocks.withColumn("ring2", F.explode(F.array("ring", F.col("ring") + 1))).join(other, ["p", "ring2"])
-    mixed = (F.least("lo", "lo2") != F.greatest("hi", "hi2")) & ((F.col("ring") != F.col("ring2")) | (F.col("part") <= F.col("part2")))
-    tasks = reach.where(mixed).select("p", "ring", "part", "ring2", "part2", F.xxhash64("p", "ring", "part", "ring2", "part2").alias("task"))
-    sides = tasks.select("p", "task", F.inline(F.array(F.struct(F.col("ring").alias("ring"), F.col("part").alias("part"), F.lit(0).alias("side")), F.struct(F.col("ring2").alias("ring"), F.col("part2").alias("part"), F.lit(1).alias("side")))))
-    rows = sides.join(placed, ["p", "ring", "part"]).select("task", "side", "x", "n", "apart", "component")
+    placed = keep(measured.join(sizes, "cell").select("cell", cut.alias("part"), "x", "n", "apart", "component"), "blocks")
+    blocks = placed.groupBy("cell", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = blocks.select("cell", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    mixed = (F.least("lo", "lo2") != F.greatest("hi", "hi2")) & (F.col("part") <= F.col("part2"))
+    tasks = blocks.join(other, "cell").where(mixed).select("cell", "part", "part2", F.xxhash64("cell", "part", "part2").alias("task"))
+    sides = tasks.select("cell", "task", F.inline(F.array(F.struct("part", F.lit(0).alias("side")), F.struct(F.col("part2").alias("part"), F.lit(1).alias("side")))))
+    rows = sides.join(placed, ["cell", "part"]).select("task", "side", "x", "n", "apart", "component")
 
     def links(group):
         import pandas as pd
@@ -321,18 +352,6 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return keep(moved.select("id", F.coalesce("to", "component").alias("component")), "labels")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """Arrow batches of ``rows`` rows: long texts come in pairs, so the usual number would not fit."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -343,54 +362,118 @@ def join_components(docs: DataFrame, k: int = K_WORDS, percent: int = PERCENT, l
     has none and links with nothing. Equal documents are in one component, a
     null doc_id stays null and is not linked, an empty table gives no rows,
     and extra columns are left out. Regions of at most ``leaf`` members compare
-    pairs; larger ones compare rings of blocks of ``block`` members.
+    pairs; larger ones that pivots don't divide compare blocks of ``block`` members.
     """
-    with small_batches(docs.sparkSession):
+    with setting(docs.sparkSession, *BATCH):
         return _components(docs.select("doc_id", "text"), k, percent, leaf, block)
 
 
+def linked(measured: DataFrame) -> DataFrame:
+    return measured.where("linked and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+
 def _components(docs: DataFrame, k: int, percent: int, leaf: int, block: int) -> DataFrame:
     sets = keep(shingle_sets(docs, k), "sets")
     real = sets.where("set_hash is not null and doc_id is not null")
     vertices = keep(real.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")), "vertices")
-
-    same = Window.partitionBy("region")
-    regions = first_regions(docs.where("doc_id is not null"), k, percent)
-    shared = regions.withColumn("lo", F.min("set_hash").over(same)).withColumn("hi", F.max("set_hash").over(same)).where("lo <> hi")
-    named = shared.select("region", "family", "need", "set_hash").distinct().join(vertices, "set_hash")
-    cells = keep(named.select("region", "family", "need", "id", "n").withColumn("size", F.count("*").over(same)), "cells")
+    cells = shared_regions(docs.where("doc_id is not null"), vertices, k, percent)
 
     # small regions: pairs that meet often enough, and whose sizes allow a link
-    x = cells.where(F.col("size") <= leaf).select("region", "family", "need", "id", "n")
+    x = cells.where(F.col("size") <= leaf).select("region", "id", "n")
     y = x.select("region", F.col("id").alias("x"), F.col("n").alias("m"))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    met = x.join(y, "region").where((F.col("id") < F.col("x")) & fits).groupBy("family", "need", F.col("id").alias("p"), "x").agg(F.count("*").alias("met"))
-    often = met.where("met >= need").groupBy("p", "x").agg(F.max("met").alias("met"))
+    met = x.join(y, "region").where((F.col("id") < F.col("x")) & fits).groupBy(F.col("id").alias("p"), "x").agg(F.count("*").alias("met"), F.min(F.least("n", "m")).alias("least"))
+    often = met.where(F.col("met") >= need_of("least")).select("p", "x", "met")
     near = keep(maybe_linked(often, sets, percent), "near")
     closest = near.groupBy("x").agg(F.max_by("p", F.struct("met", (-F.col("p")).alias("p"))).alias("p"))
     # large ones: members against the most central one, by the sizes of its regions
     large = cells.where(F.col("size") > leaf).select("region", "id", "size")
-    central = large.groupBy("id").agg(F.sum("size").alias("weight"))
-    pivot = F.max(F.struct("weight", (-F.col("id")).alias("id"))).over(same)
-    pivoted = keep(large.join(central, "id").select((-pivot["id"]).alias("p"), F.col("id").alias("x")).distinct(), "pivoted")
-    asked = pivoted.select("p", "x").unionByName(near.select("p", "x"))
+    weighed = large.join(large.groupBy("id").agg(F.sum("size").alias("weight")), "id")
+    pivots = weighed.groupBy("region").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("best")).select("region", (-F.col("best.id")).alias("p"))
+    members = keep(large.join(pivots, "region").select("p", F.col("id").alias("x")).distinct(), "members")
+    discard(cells)
+    asked = members.unionByName(near.select("p", "x"))
     texts = keep(only(docs, asked.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct()), "texts")
-    members = keep(measure(pivoted, texts, k, percent, differences=True), "members")
-    first = keep(measure(closest, texts, k, percent), "pairs")
-    linked = lambda m: m.where("linked and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    found = connected_components(keep(linked(members.unionByName(first)), "linked"))
+    star = keep(measure(members, texts, k, percent).drop("apart"), "star")
+    found = connected_components(keep(linked(star).unionByName(linked(measure(closest, texts, k, percent))), "linked"))
     labels = keep(vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     # texts are moved again only for candidates that their closest ones have not connected
     rest = between(near.select(F.col("p").alias("a"), F.col("x").alias("b")), labels).select(F.col("a").alias("p"), F.col("b").alias("x"))
-    rest = measure(rest, texts, k, percent)
-    labels = connect(labels, keep(linked(rest), "linked"))
-    labels = connect(labels, keep(compare_rings(members, labels, percent, block), "linked"))
+    labels = connect(labels, keep(linked(measure(rest, texts, k, percent)), "linked"))
+    discard(near, members)
+    labels = divide(star, labels, sets, texts, k, percent, leaf, block)
+    discard(star, texts)
 
     component = vertices.join(labels, "id").select("set_hash", F.col("component").alias("component_id"))
     joined = sets.join(component, "set_hash", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def need_of(column: str):
+    """``need`` of a column."""
+    return 1 + F.floor(F.col(column) / 32)
+
+
+def divide(star: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int, leaf: int, block: int) -> DataFrame:
+    """Labels after all links inside the regions of ``star`` (p, x, n, d).
+
+    ``d`` is the distance of the member x to the region's pivot p. Each round
+    ends small regions by their pairs, divides large ones by two pivots, and
+    compares those by blocks that were hardly divided; both pivots are done
+    with, as they were measured against every member.
+    """
+    widths = star.groupBy("p").agg(F.max(_reach("n", percent)).alias("width"))
+    ring = F.floor(F.col("d") / F.greatest("width", F.lit(1)))
+    rings = star.where("p <> x").join(widths, "p").select(F.explode(F.array(ring, ring + 1)).alias("ring"), "p", "x", "n")
+    cells = keep(rings.select(F.xxhash64("p", "ring").alias("cell"), "x", "n", F.lit(False).alias("stuck")), "cells")
+    while True:
+        named = cells.join(labels.withColumnRenamed("id", "x"), "x")
+        sizes = named.groupBy("cell").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = keep(named.join(sizes.where("lo <> hi"), "cell"), "mixed")
+        discard(cells)
+        small, large = mixed.where(F.col("size") <= leaf), mixed.where(F.col("size") > leaf)
+        kinds = [g.limit(1).count() for g in (small, large.where("stuck"), large.where("not stuck"))]
+        links = []
+        if kinds[0]:
+            one = small.select("cell", F.col("x").alias("p"), "n", "component")
+            two = small.select("cell", "x", F.col("n").alias("m"), F.col("component").alias("other"))
+            fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+            pairs = one.join(two, "cell").where((F.col("p") < F.col("x")) & (F.col("component") != F.col("other")) & fits).select("p", "x", F.lit(0).cast("long").alias("met")).distinct()
+            links.append(linked(measure(maybe_linked(pairs, sets, percent), texts, k, percent)))
+        # two pivots of different components
+        first = F.min_by("x", F.struct(F.xxhash64("x"), "x"))
+        ends = large.where("component = lo").groupBy("cell").agg(first.alias("p")).join(large.where("component = hi").groupBy("cell").agg(first.alias("q")), "cell")
+        if kinds[1]:
+            blocks = large.where("stuck").join(ends, "cell").select("cell", "p", "x", "component")
+            told = measure(blocks.select("p", "x").distinct(), texts, k, percent, differences=True).select("p", "x", "n", "apart")
+            links.append(compare_blocks(blocks.join(told, ["p", "x"]).select("cell", "x", "n", "component", "apart"), percent, block))
+        if kinds[2]:
+            halves = keep(large.where("not stuck").join(ends, "cell").select("cell", "x", "n", "size", "p", "q"), "halves")
+            told = keep(measure(halves.select(F.explode(F.array("p", "q")).alias("p"), "x").distinct(), texts, k, percent).drop("apart"), "told")
+            links.append(linked(told))
+        if links:
+            labels = connect(labels, keep(reduce(DataFrame.unionByName, links).distinct(), "linked"))
+        discard(mixed)
+        if not kinds[2]:
+            return labels
+        to_q = told.select(F.col("p").alias("q"), "x", F.col("d").alias("dq"))
+        both = halves.join(told.select("p", "x", "d"), ["p", "x"]).join(to_q, ["q", "x"]).where("x <> p and x <> q")
+        window = 2 * _reach("n", percent)
+        sides = F.array(F.when(F.col("d") - F.col("dq") <= window, F.lit(0)), F.when(F.col("dq") - F.col("d") <= window, F.lit(1)))
+        split = both.select("cell", F.explode(F.array_compact(sides)).alias("side"), "x", "n", "size")
+        fullest = split.groupBy("cell", "side", "size").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.col("n") / F.col("size")).alias("share"))
+        judged = split.join(fullest, "cell").withColumn("stuck", F.col("share") > 0.75)
+        whole = F.when(F.col("stuck"), F.col("cell")).otherwise(F.xxhash64("cell", "side"))
+        cells = keep(judged.select(whole.alias("cell"), "x", "n", "stuck").distinct(), "cells")
+        discard(halves, told)
+
+
+def _reach(n: str, percent: int):
+    """``most_of`` of a column."""
+    total = F.col(n) + F.floor(F.col(n) * 100 / percent)
+    return F.floor(total * (100 - percent) / (100 + percent))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays, the one of the smallest id.
 
