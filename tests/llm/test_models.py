@@ -210,6 +210,28 @@ def test_regions_meet_for_every_linked_pair():
                 assert met >= jaccard_join.need(min(len(x), len(y)))
 
 
+def test_a_line_that_many_documents_share(spark):
+    line = prose(40, 5)
+    texts = [f"{line} {prose(30, 100 + i)}" for i in range(1500)] + [f"{prose(60, 7)} {prose(3, 5000 + i)}" for i in range(300)]
+    got = jaccard_join.join_components(docs(spark, texts).repartition(4), leaf=16, block=64)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i if i < 1500 else 1500 for i in range(1800)}
+
+
+def test_regions_are_divided_until_they_are_small(spark, monkeypatch):
+    """Documents made of common passages: large regions of several components."""
+    rounds = []
+    blocks = jaccard_join.compare_blocks
+    monkeypatch.setattr(jaccard_join, "compare_blocks", lambda *a: rounds.append("blocks") or blocks(*a))
+    measured = jaccard_join.measure
+    monkeypatch.setattr(jaccard_join, "measure", lambda *a, **k: rounds.append("measure") or measured(*a, **k))
+    r = np.random.default_rng(8)
+    parts = [prose(25, 900 + i) for i in range(8)]
+    texts = [" ".join(edited(parts[j], 0.01, 1000 * i + j) for j in sorted(r.choice(8, 5, replace=False))) for i in range(120)]
+    got = jaccard_join.join_components(docs(spark, texts).repartition(3), leaf=4, block=8)
+    assert {q.doc_id: (q.n_shingles, q.component_id) for q in got.collect()} == brute_components(texts)
+    assert rounds.count("measure") > 4  # beyond the star, the closest ones and the rest
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in connected_components(links).collect()}
@@ -217,6 +239,26 @@ def test_components_of_a_long_path(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
+def test_a_model_of_more_than_64_parts(spark, monkeypatch):
+    texts = [*ODD, *[prose(40 + i, i % 40) for i in range(120)]]
+    d = docs(spark, texts).withColumn("score", F.lit("clash"))
+    one = language_model.score_documents(d, language_model.fit(d, 3)).orderBy("doc_id").collect()
+    monkeypatch.setattr(language_model, "PART_ROWS", 50)
+    monkeypatch.setattr(language_model, "MOST_TASKS", 7)
+    monkeypatch.setattr(language_model, "MOST_MAPPED", 20)
+    model = language_model.fit(d, 3, hot=40)
+    assert model.parts > 64 and model.n_texts == len(texts)
+    two = language_model.score_documents(d, model).orderBy("doc_id").collect()
+    assert [q.score for q in two] == pytest.approx([q.score for q in one]) and one[0].asDict().keys() == two[0].asDict().keys()
+
+
+def test_a_file_is_written_once(tmp_path):
+    path = f"file://{tmp_path}/word-0"
+    for _ in range(2):
+        language_model._write(path, np.arange(5))
+    assert [p.name for p in tmp_path.iterdir()] == ["word-0"]
+
+
 # --- quality ------------------------------------------------------------------
 
 
@@ -228,6 +270,35 @@ def test_held_out_accuracy(spark):
     assert r.n > 50 and r.right > 0.95
 
 
+def test_gradients_against_differences():
+    r = np.random.default_rng(1)
+    x, owner, y = r.normal(size=(12, quality.N_FEATURES)), np.repeat(np.arange(4), 3), np.array([0.0, 1, 1, 0])
+    model = quality.train(x, owner, y, hidden=5, gate=3, steps=1, rate=0.0, decay=0.0)
+    grad = quality.gradients(model, (x - model.mean) / model.scale, owner, y)
+    weight = np.full(4, 0.25)
+    loss = lambda: -(weight * np.log(np.where(y == 1, (p := model.score(x, owner, 4)), 1 - p))).sum()
+    for name, w in model.w.items():
+        for at in list(np.ndindex(w.shape))[:: max(w.size // 7, 1)]:
+            kept = w[at]
+            w[at] = kept + 1e-5
+            up = loss()
+            w[at] = kept - 1e-5
+            assert grad[name][at] == pytest.approx((up - loss()) / 2e-5, abs=1e-6), (name, at)
+            w[at] = kept
+
+
+def test_words_alone_tell_the_label(spark):
+    r = np.random.default_rng(2)
+    good, bad = ([f"{c}{''.join(r.choice(list('aeioulnrst'), 5))}" for _ in range(30)] for c in "bd")
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad, 90)), i % 2) for i in range(400)]
+    d = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit(d, labels)
+    got = {q.doc_id: q.score for q in quality.score_documents(d.withColumn("score", F.lit("x")), model).collect()}
+    out = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.5) == (i % 2 == 1) for i in out]) > 0.95
+
+
 def test_scores_are_defined_for_any_text(spark):
     d = docs(spark, [*ODD, prose(500, 1)])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(0, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")

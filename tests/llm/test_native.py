@@ -82,6 +82,48 @@ def test_next_document_and_edit(spark, tmp_path):
     assert got[40].near_edited > 0.3
 
 
+def python_winnowed(text):
+    """(positions, hashes) by the rules of the module, with an independent hash library."""
+    import xxhash
+
+    le = lambda x: (x % 2**64).to_bytes(8, "little")
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rotate = lambda x, n: ((x << n) | (x >> (64 - n))) % 2**64 if n else x
+    t = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.findall(r"\S{1,24}", text.lower())]
+    k, h = fingerprints.K, []
+    if 0 < len(t) < k:
+        seed = 42
+        for x in t:
+            seed = xxhash.xxh64(le(x), seed=seed).intdigest()
+        h = [signed(seed)]
+    for i in range(len(t) - k + 1):
+        mixed = 0
+        for j in range(k):
+            mixed ^= rotate(t[i + j], k - 1 - j)
+        h.append(signed(xxhash.xxh64(le(mixed), seed=42).intdigest()))
+    at = chosen(h, fingerprints.W)
+    return at, [h[i] for i in at]
+
+
+def test_likeness_columns_against_brute_force(spark, tmp_path):
+    texts = ["", "one", "a b c d", prose(30, 1), prose(30, 1) + " tail of it", prose(80, 2), " ".join(prose(80, 2).split()[10:60]), prose(12, 3), "w " * 100]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.op2_fingerprints(spark, str(tmp_path)).collect()}
+
+    def likeness(a, b):
+        a, b = set(python_winnowed(a)[1]), set(python_winnowed(b)[1])
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for i, t in enumerate(texts):
+        after, third = texts[i - 1], len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        assert got[i].positions == ",".join(map(str, python_winnowed(t)[0]))
+        assert got[i].near_edited == pytest.approx(likeness(t, edited)), i
+        assert got[i].near_next == pytest.approx(likeness(t, after)), i
+    key = {i: tuple(map(tuple, python_winnowed(t))) for i, t in enumerate(texts)}
+    assert all((key[i] == key[j]) == (got[i].fingerprint == got[j].fingerprint) for i in key for j in key)
+
+
 def test_ranges_join_up(spark):
     rows = [(i * 7 % 101, str(i)) for i in range(101)] + [(None, "null")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -194,6 +236,59 @@ def test_battery_keeps_random_keys_and_rejects_words(spark):
     assert max(p[200:]) < 0.01
 
 
+ORDINARY = ["usr/local/share/python3/site-packages", "get_customer_record_2023_final_version", "section-2-of-the-annual-report-for-2023", "en/products/summer-sale-2024/shoes/index", "com/example/project7/module/SubComponentFactory2", "AAAAAAAAAAAAAAAAAAAAAAAA1", "xyzxyzxyzxyzxyzxyzxyz123123123", "0000000000000000000001", "chapter_12_the_return_of_the_king_part_2", "2023-11-05_to_2023-11-12_meeting-notes"]
+
+
+def test_planted_keys_that_no_pattern_matches(spark):
+    """Keys of four alphabets in prose are found and ordinary runs are not; the README has the shares."""
+    r = np.random.default_rng(12)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [(upper + lower + digits, 40), (upper + lower + digits + "-_", 43), (lower + digits, 32), (upper + "234567", 32)]
+    keys = ["".join(r.choice(list(a), n)) for a, n in kinds for _ in range(60)]
+    texts = [f"{prose(20, i)} {x} {prose(20, i + 500)}" for i, x in enumerate([*keys, *ORDINARY * 12])]
+    assert not any(base(t) for t in texts)
+    got = {q.doc_id: q.spans for q in secrets.scan_secrets(docs(spark, texts)).collect()}
+    hit = [len(got[i]) == 1 and texts[i][got[i][0].start : got[i][0].end] == x for i, x in enumerate(keys)]
+    wrong = sum(len(got[i]) for i in range(len(keys), len(texts)))
+    print("recall", np.mean(hit), "precision", sum(hit) / (sum(hit) + wrong))
+    assert np.mean(hit) > 0.95 and sum(hit) / (sum(hit) + wrong) > 0.95
+
+
+def test_spans_that_touch_and_redaction_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    piece = lambda: ["token=" + "a" * r.integers(3, 30), "x" * r.integers(1, 40) + "1", "AKIA" + "B7" * 9, "0a" * 14, "\U0001f600", prose(3, int(r.integers(1000)))][r.integers(6)]
+    texts = ["".join(piece() + ["", " ", "="][r.integers(3)] for _ in range(n)) for n in (0, 1, 5, 40, 70, 400)]
+    rows = {q.doc_id: q for q in secrets.scan(docs(spark, texts)).collect()}
+    clean = {q.doc_id: q.text for q in secrets.redact(docs(spark, texts)).collect()}
+    spans = {q.doc_id: q.spans for q in secrets.scan_secrets(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = base(t)
+        assert [f"{x.kind}:{x.start}:{x.end}" for x in rows[i].base] == want
+        held = [(x.start, x.end) for x in rows[i].base]
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        assert [(x.start, x.end) for x in rows[i].candidates] == [x for x in runs if not any(a < x[1] and x[0] < b for a, b in held)]
+        out, at = "", 0
+        for x in spans[i]:
+            if x.start >= at:
+                out += t[at : x.start] + "[secret]"
+            at = max(at, x.end)
+        assert clean[i] == out + t[at:]
+
+
+def test_secrets_take_time_in_proportion_to_length(spark):
+    import time
+
+    line = "token=%06d zz Zq7Lp0sVt3KbN9wYh2Jd6RfXc8GmQ4aU%06d the of and to in is that "
+    seconds = []
+    for size in (1_000_000, 5_000_000):
+        text = "".join(line % (i, i) for i in range(size // 90)) + "9aZ" * 30_000
+        began = time.perf_counter()
+        got = secrets.redact(docs(spark, [text])).first()
+        seconds.append(time.perf_counter() - began)
+        assert got.text.count("[secret]") >= size // 90
+    assert seconds[1] < 8 * max(seconds[0], 1)
+
+
 @pytest.mark.parametrize("name", ["op1_decontamination", "op2_fingerprints", "op9_secrets"])
 def test_no_python_on_the_native_paths(spark, sf, name):
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

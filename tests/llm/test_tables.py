@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,29 @@ def test_license_query_against_lines(spark, sf):
     assert want and {(r.doc_id, r.license) for r in catalog.op5_licenses(spark, sf).collect()} == want
 
 
+def test_bands_follow_from_containment():
+    words = prose(1000, 9).split()
+    notice = " ".join(words[:40])  # pieces of seven and eight shingles
+    index = licenses.Index({"x": [notice]}, 0.999, 0.8)
+    assert (1 - licenses.least_likeness(8, 0.8)) ** index.bands <= 0.001 < licenses.Index({"x": [notice]}, 0.9, 0.8).bands
+    assert licenses.Index({"x": [notice]}, 0.999, 0.5).bands > index.bands
+    found = 0
+    for i in range(300):  # two replaced words take six of 38 shingles
+        changed = list(words[:40])
+        for j in np.random.default_rng(i).choice([3, 9, 15, 21, 27, 33], 2, replace=False):
+            changed[j] = f"other{i}"
+        text = " ".join([*prose(i % 17, i).split(), *changed, *prose(30, i + 900).split()]).encode()
+        shingles = licenses.located_shingles(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
+        found += bool(index.matches(*shingles, 0.8))
+    assert found >= 299
+
+
+def test_nearly_equal_notices_give_the_clearest(spark):
+    three = {n: licenses.TEMPLATES[n][-1] for n in ("AGPL-3.0", "GPL-3.0", "LGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0")}
+    got = licenses.scan_licenses(docs(spark, [f"{prose(9, 1)} {t} {prose(9, 2)}" for t in three.values()])).collect()
+    assert [(r.doc_id, r.license, r.containment) for r in sorted(got)] == [(i, n, 1.0) for i, n in enumerate(three)]
+
+
 # --- URL filter ---------------------------------------------------------------
 
 
@@ -144,3 +168,18 @@ def test_trees_learn_the_labels(spark):
     got = url_filter.judge_urls(pages.select("page_id", "url")).where("rule is not null")
     right = got.agg(F.avg(((F.col("score") >= 0.5) == (F.col("verdict") == "block")).cast("double"))).first()[0]
     assert right > 0.9
+
+
+def test_suffix_rates_leave_out_the_own_fold(spark):
+    counts = spark.createDataFrame([("com", 0, 3.0, 4), ("com", 1, 1.0, 2), ("one", 2, 5.0, 5)], "suffix string, fold int, s double, n long")
+    got = {(r.suffix, r.fold): r.suffix_rate for r in url_filter.suffix_rates_of_others(counts, 0.5).collect()}
+    assert got == {("com", 0): (1 + 5) / (2 + 10), ("com", 1): (3 + 5) / (4 + 10), ("one", 2): 0.5}
+    whole = {r.suffix: r.suffix_rate for r in url_filter.suffix_rates(counts, 0.5).collect()}
+    assert whole == {"com": (4 + 5) / (6 + 10), "one": 10 / 15}
+
+
+def test_copies_of_a_url_do_not_fill_the_sample(spark):
+    rows = [(i, "http://com/en/1") for i in range(500)] + [(1000 + i, f"http://a{i}.net/de/{i}") for i in range(40)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), most=30, trees=3)
+    assert got.select("score").distinct().count() > 1
+    assert got.where("verdict = 'block'").count() == 500

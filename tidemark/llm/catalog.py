@@ -33,6 +33,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("winnowed.hashes"), F.col("edited_winnowed.hashes")).alias("near_edited"),
         fingerprints.likeness(F.col("winnowed.hashes"), F.col("next_hashes")).alias("near_next"),
         F.size("winnowed.hashes").cast("bigint").alias("n_chosen"),
+        F.array_join("winnowed.positions", ",").alias("positions"),
     )
 
 

@@ -45,6 +45,11 @@ def setting(spark: SparkSession, name: str, value):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def tidy(spark: SparkSession):
+    """A block in which a query's shuffles are removed with its end."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage.
 
@@ -54,7 +59,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with tidy(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_at = path
@@ -131,19 +136,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first ``n`` powers of a base, kept for the usual length of a slice."""
+    out = _POWERS.get(int(base))
+    if out is None or len(out) < n:
+        out = np.full(max(n, CHUNK), base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-    return out
+        if n <= 2 * CHUNK:
+            _POWERS[int(base)] = out
+    return out[:n]
+
+
+CHUNK = 500_000
 
 
-def text_chunks(batch, column: str = "text", max_bytes: int = 2_000_000):
+def text_chunks(batch, column: str = "text", max_bytes: int = CHUNK):
     """Slices of an Arrow batch as (first row, row offsets, bytes).
 
     A slice holds whole texts of at most ``max_bytes`` together, or one longer
     text. Offsets have one entry more than there are rows; a null is empty.
+    What is computed of a slice takes some fifty times its bytes, so slices
+    are kept small.
     """
     import pyarrow as pa
     import pyarrow.compute as pc

@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, only
+from .common import bitmap, keep, only
 
 # Weight five, spans of eight to ten tokens.
 MASKS = ("11010011", "1100010011", "101001011")
 WINDOW = 15
 EQUAL = 0.8
 BROADCAST_SEEDS = 2_000_000
+SEED_BITS = 25
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -67,14 +68,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     are reported each, a null doc_id is not, and extra columns are left out.
 
     The benchmark's seeds are broadcast only up to ``BROADCAST_SEEDS`` rows,
-    which are counted first; beyond it both sides are shuffled by seed.
+    which are counted first; beyond it both sides are shuffled by seed, the
+    documents' only where a bitmap of fixed size may hold them.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     items = benchmark.select("item_id", "text")
     side = seeds(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed")
+    theirs = seeds(docs, "doc_id", masks)
     if side.count() <= BROADCAST_SEEDS:
         side = F.broadcast(side)
-    hits = seeds(docs, "doc_id", masks).join(side, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
+    else:
+        at = F.shiftrightunsigned("seed", 64 - SEED_BITS)
+        marked = theirs.withColumn("word", F.shiftright(at, 6)).join(F.broadcast(bitmap(side, "seed", SEED_BITS)), "word")
+        theirs = marked.where(F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0).drop("word", "bits")
+    hits = theirs.join(side, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
     hits = keep(hits.distinct(), "hits")
     texts = only(docs, hits.select("doc_id")).select("doc_id", tokens(F.col("text")).alias("tokens"))
     ours = items.select("item_id", tokens(F.col("text")).alias("item_tokens"))

@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, keep, mix, shared_dir, text_chunks, words
+from .common import crc_bucket, discard, keep, mix, shared_dir, text_chunks, tidy, words
 
 END = np.uint64(0x5BF03635F0B7A54D)
 FOLDS, HELD_OUT = 10, 0
 PART_ROWS = 1_500_000
 HOT = 200_000
 FLUSH = 1_500_000
+MOST_TASKS = 20_000
+MOST_MAPPED = 500
 _MAPPED: dict[str, np.ndarray] = {}
 
 
@@ -63,11 +65,23 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _write(path: str, array: np.ndarray) -> None:
+    """Write a file of the model under its name only when it is whole.
+
+    A repeated or speculative attempt writes the same bytes, so whichever
+    comes first may stay.
+    """
     from pyarrow import fs
 
     system, where = fs.FileSystem.from_uri(path)
-    with system.open_output_stream(where) as out:
+    attempt = f"{where}.{uuid.uuid4().hex}"
+    with system.open_output_stream(attempt) as out:
         out.write(np.ascontiguousarray(array).tobytes())
+    try:
+        system.move(attempt, where)
+    except OSError:
+        if system.get_file_info(where).type != fs.FileType.File:
+            raise
+        system.delete_file(attempt)
 
 
 def mapped(path: str, kind: str) -> np.ndarray:
@@ -78,6 +92,10 @@ def mapped(path: str, kind: str) -> np.ndarray:
     if path not in _MAPPED:
         from pyarrow import fs
 
+        if len(_MAPPED) >= MOST_MAPPED:  # each one holds an open file
+            _MAPPED.clear()
+            _VIEWS.clear()
+
         system, where = fs.FileSystem.from_uri(path)
         size = system.get_file_info(where).size
         if not size:
@@ -104,6 +122,7 @@ class Model:
     starts: list[int] = field(default_factory=list)  # first id of each part of the words
     n_words: int = 0
     n_tokens: int = 0
+    n_texts: int = 0
     parts: int = 1
     pairs: int = 0
     discounts: tuple = (0.5, 1.0, 1.5)
@@ -151,7 +170,11 @@ class Model:
 
 
 def _discounts(n: list[float]) -> tuple:
-    """Modified Kneser-Ney discounts of counts one, two, and three or more."""
+    """Modified Kneser-Ney discounts of counts one, two, and three or more.
+
+    Where one of the counts of counts is zero, as in tiny corpora, they are
+    a half, one and one and a half.
+    """
     if min(n) <= 0:
         return (0.5, 1.0, 1.5)
     y = n[0] / (n[0] + 2 * n[1])
@@ -198,11 +221,8 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
             where = np.concatenate([x[0] for x in held])
             order = np.argsort(where, kind="stable")
             part = part[order][np.searchsorted(where[order], pairs)]
-            by = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
             names, blobs = [], []
-            for p in np.flatnonzero(np.diff(cuts)):
-                at = by[cuts[p] : cuts[p + 1]]
+            for p, at in _by_part(part):
                 names.append(int(p))
                 blobs.append(_pack(pairs[at], n[at]))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "pairs"])
@@ -217,7 +237,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
                 n_first = np.r_[0, counts[back][:-1]]
                 n_first[opens] = opens.sum()
                 pairs, at, n = np.unique((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64), return_index=True, return_counts=True)
-                n_first = np.where(first[at] == model.n_words, model.hot * 63, n_first[at])
+                n_first = np.where(first[at] == model.n_words, model.n_texts, n_first[at])
                 held.append((pairs, n, model.part_of(first[at], second[at], n_first)))
                 size += len(pairs)
                 if size > FLUSH:
@@ -286,7 +306,7 @@ def _store_pairs(counted: DataFrame, model: Model) -> DataFrame:
         if blobs:
             yield store(part, blobs)
 
-    dealt = counted.repartition(model.parts, "part").sortWithinPartitions("part")
+    dealt = counted.repartition(min(model.parts, MOST_TASKS), "part").sortWithinPartitions("part")
     schema = "kind int, id long, a long, b long, c long, d long"
     return dealt.mapInArrow(run, schema).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"])
 
@@ -378,7 +398,7 @@ def _neighbours(model: Model, tokens: np.ndarray, opens: np.ndarray):
     ids, back, counts = model.encode(tokens)
     word = ids[back]
     last, n_last = np.r_[model.n_words, word[:-1]], np.r_[0, counts[back][:-1]]
-    last[opens], n_last[opens] = model.n_words, model.hot * 63
+    last[opens], n_last[opens] = model.n_words, model.n_texts
     before = np.r_[model.n_words, last[:-1]]
     before[opens] = model.n_words + 1
     return before, last, word, n_last
@@ -402,11 +422,8 @@ def _count_triples(docs: DataFrame, model: Model) -> DataFrame:
             of_pair = np.zeros(len(distinct), np.int64)
             of_pair[np.searchsorted(distinct, pairs)] = part
             part = of_pair[place]
-            by = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
             names, blobs = [], []
-            for p in np.flatnonzero(np.diff(cuts)):
-                at = by[cuts[p] : cuts[p + 1]]
+            for p, at in _by_part(part):
                 names.append(int(p))
                 blobs.append(_pack_triples(distinct[place[at]], left[at], n[at]))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "triples"])
@@ -498,7 +515,7 @@ def _store_triples(counted: DataFrame, model: Model) -> DataFrame:
         if held:
             yield store(part, *merge(held))
 
-    dealt = counted.repartition(model.parts, "part").sortWithinPartitions("part")
+    dealt = counted.repartition(min(model.parts, MOST_TASKS), "part").sortWithinPartitions("part")
     schema = "kind int, id long, a long, b long, c long, d long"
     return dealt.mapInArrow(run, schema).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"])
 
@@ -529,21 +546,22 @@ def _store_frequent_contexts(stats: DataFrame, model: Model) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["n"])
 
     rows = stats.where("kind = 3").select((F.col("id") % model.parts).alias("part"), "id", *"abcd")
-    rows.repartition(model.parts, "part").sortWithinPartitions("part", "id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    rows.repartition(min(model.parts, MOST_TASKS), "part").sortWithinPartitions("part", "id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def _by_part(part: np.ndarray, parts: int):
+def _by_part(part: np.ndarray):
     """(part, places of it) of each part that occurs."""
     by = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[by], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
-        yield p, by[cuts[p] : cuts[p + 1]]
+    part = part[by]
+    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(begin, [*begin[1:], len(by)]):
+        yield part[a], by[a:b]
 
 
 def _seen_triples(model: Model, before: np.ndarray, last: np.ndarray, word: np.ndarray, n_last: np.ndarray):
     """(continuation count of the pair, count of the triple) of tokens whose last two words are known."""
     kinds, seen = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-    for p, own in _by_part(model.part_of(last, word, n_last), model.parts):
+    for p, own in _by_part(model.part_of(last, word, n_last)):
         first, span, second, begin, left, small, large, often = _arrays(f"{model.path}/triple-{p}", TRIPLES)
         at = _find_pair(first, span, second, last[own], word[own])
         own, at = own[at >= 0], at[at >= 0]
@@ -567,7 +585,7 @@ def _contexts(model: Model, before: np.ndarray, last: np.ndarray, n_last: np.nda
     keys = (last.astype(np.int64) << 32) | before.astype(np.int64)
     part = np.where(hot, keys % model.parts, model.part_of(last, last, np.zeros(len(last), np.int64)))
     for name, chosen in (("context", np.flatnonzero(~hot)), ("frequent", np.flatnonzero(hot))):
-        for p, own in _by_part(part[chosen], model.parts):
+        for p, own in _by_part(part[chosen]):
             own = chosen[own]
             first, span, second, small, large, sums = _arrays(f"{model.path}/{name}-{p}", CONTEXTS)
             at = _find_pair(first, span, second, last[own], before[own])
@@ -615,23 +633,33 @@ def _store_columns(rows: DataFrame, key: str, part, parts: int, path: str, colum
 def fit(docs: DataFrame, order: int = 2, hot: int = HOT) -> Model:
     """Count all words, pairs and, of order three, triples of ``docs`` (text) and store the model.
 
-    Words seen ``hot`` times or more are frequent. A null text is empty; its end token counts. An empty table gives a model
-    without words, for which every token is unknown.
+    Words seen ``hot`` times or more are frequent, and so is a text's start if
+    there are as many texts. A null text is empty; its end token counts. An
+    empty table gives a model without words, for which every token is unknown.
+    Ids take 32 bits, so more distinct words than that are refused. A part of
+    the model holds some PART_ROWS tokens' rows; there are as many parts as
+    the corpus asks for, dealt over at most MOST_TASKS tasks.
     """
     if order not in (2, 3):
         raise ValueError(f"an order of two or three, not {order}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("text").cast("string").alias("text"))
+    with tidy(spark):
+        return _fit(spark, docs.select(F.col("text").cast("string").alias("text")), order, hot)
+
+
+def _fit(spark, docs: DataFrame, order: int, hot: int) -> Model:
     model = Model(f"{shared_dir(spark)}/tidemark-lm-{uuid.uuid4().hex}", order=order, hot=hot)
     if "://" not in model.path and not model.path.startswith("file:"):
         model.path = "file://" + model.path
     elif model.path.startswith("file:/") and not model.path.startswith("file://"):
         model.path = "file://" + model.path[5:]
     counted = keep(_count_words(docs), "words")
-    model.n_words, tokens = counted.agg(F.count("*"), F.sum("n")).first()
+    model.n_words, tokens, texts = counted.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("hash") == int(END.astype(np.int64)), F.col("n")))).first()
     if not model.n_words:
         return model
-    model.n_tokens = int(tokens)
+    if model.n_words + 2 > 2**32:
+        raise ValueError(f"{model.n_words} distinct words do not fit into ids of 32 bits")
+    model.n_tokens, model.n_texts = int(tokens), int(texts)
     model.bits = max(1, int(np.ceil(np.log2(model.n_words / PART_ROWS + 1))))
     model.parts = max(64, model.n_tokens // PART_ROWS)
     spark.createDataFrame([(0,)], "x int").write.mode("overwrite").parquet(f"{model.path}/_made")  # makes the folder
@@ -641,6 +669,7 @@ def fit(docs: DataFrame, order: int = 2, hot: int = HOT) -> Model:
         if p not in sizes:
             for name in ("word", "count"):
                 _write(f"{model.path}/{name}-{p}", np.zeros(0, "u1"))
+    discard(counted)
     if order == 3:
         stats = keep(_store_triples(_count_triples(docs, model), model), "triples")
         high = stats.where("kind = 4").first()
@@ -669,6 +698,7 @@ def fit(docs: DataFrame, order: int = 2, hot: int = HOT) -> Model:
     part = F.when(F.col("id") >= model.n_words, len(model.starts)).otherwise(part)
     made = _store_columns(both, "id", part, len(model.starts) + 1, model.path, {"total": ("a", "<i8"), "rest": ("rest", "<f8"), "types": ("types", "<i8"), "of": ("id", "<i8")})
     assert sum(made.values()) == model.n_words + 1
+    discard(stats)
     return model
 
 
@@ -687,7 +717,7 @@ def _log_probabilities(model: Model, tokens: np.ndarray, opens: np.ndarray):
     n_first = np.r_[0, counts[back][:-1]]
     t_first, r_first = np.r_[0, total[back][:-1]], np.r_[1.0, rest[back][:-1]]
     begin = len(model.starts)
-    first[opens], n_first[opens] = model.n_words, model.hot * 63
+    first[opens], n_first[opens] = model.n_words, model.n_texts
     t_first[opens], r_first[opens] = mapped(f"{model.path}/total-{begin}", "<i8")[0], mapped(f"{model.path}/rest-{begin}", "<f8")[0]
     count = np.zeros(len(tokens), np.int64)
     real = np.flatnonzero((first >= 0) & (second >= 0))
@@ -699,11 +729,8 @@ def _log_probabilities(model: Model, tokens: np.ndarray, opens: np.ndarray):
     else:
         pairs, at, place = np.unique((first[real].astype(np.uint64) << np.uint64(32)) | second[real].astype(np.uint64), return_index=True, return_inverse=True)
         part = model.part_of(first[real][at], second[real][at], n_first[real][at])
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(model.parts + 1))
         found = np.zeros(len(pairs), np.int64)
-        for p in np.flatnonzero(np.diff(cuts)):
-            own = by[cuts[p] : cuts[p + 1]]
+        for p, own in _by_part(part):
             found[own] = _seen(model, p, pairs[own])
         count[real] = found[place]
     d = model.discounts
@@ -738,13 +765,16 @@ def _seen(model: Model, part: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Add n_tokens, n_known, train_tokens, base_score and score to a table.
+    """Add n_tokens, n_known, train_tokens, base_score and score to a table, without its text.
 
     ``score`` is the model's log10 probability of the text with its end token,
     ``base_score`` that of smoothed word counts. A null, empty or blank text
     is its end token; equal texts score equally; an empty table gives no rows;
-    other columns stay. Without training text all scores are zero.
+    other columns stay, but for ones named as the five. Without training text
+    all scores are zero.
     """
+    added = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]
+    docs = docs.drop(*(f.name for f in added))
 
     def run(batches):
         import pyarrow as pa
@@ -761,7 +791,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(score), model.n_tokens, np.int64)), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*(c for c, k in zip(batch.columns, batch.schema.names) if k != "text"), *columns], [*(k for k in batch.schema.names if k != "text"), "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    added = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]
     return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields if f.name != "text"), *added]))
 
 

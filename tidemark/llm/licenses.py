@@ -3,10 +3,12 @@
 A text's words, without punctuation, become shingles of three; windows of two
 neighbouring blocks of eight shingles overlap by one block, so every run of
 up to nine shingles lies whole in one window. A template is cut into pieces of
-at most eight shingles. The number of bands, one hash each, follows from the
-smallest piece: with its likeness to a full window it meets the window in some
-band with the probability asked for. What meets is then verified exactly, by
-the share of the template's shingles in a stretch of its own length.
+at most eight shingles. A match holds a share of the template's shingles, so
+of its pieces one at least has that share, and what a piece then has in common
+with the window that it lies in bounds their likeness from below. The number of
+bands, one hash each, follows from the least of these: some band meets with the
+probability asked for. What meets is then verified exactly, by the share of the
+template's shingles in a stretch of its own length.
 """
 
 from __future__ import annotations
@@ -25,13 +27,26 @@ CONTAINED = 0.8
 SURE = 0.9999
 # Notices by license.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "AGPL-3.0": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    ],
+    "BSD-2-Clause": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "LGPL-3.0": ["it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 _PLAIN = np.arange(256, dtype=np.uint8)
 for _c in range(33, 127):
@@ -51,10 +66,16 @@ def located_shingles(offsets: np.ndarray, raw: np.ndarray):
     return mix(out[at]), row[at], at - first[row[at]]
 
 
+def least_likeness(n: int, contained: float) -> float:
+    """Of a piece of ``n`` shingles, as many of which as a match has, and a full window around them."""
+    held = max(math.ceil(contained * n - 1e-9), 1)
+    return held / (2 * BLOCK + n - held)
+
+
 class Index:
     """Templates, their pieces' minima, and the bands."""
 
-    def __init__(self, templates: dict[str, list[str]], sure: float = SURE) -> None:
+    def __init__(self, templates: dict[str, list[str]], sure: float = SURE, contained: float = CONTAINED) -> None:
         self.names, self.shingles, pieces = [], [], []
         for name, notices in sorted(templates.items()):
             for notice in notices:
@@ -65,8 +86,7 @@ class Index:
                 pieces += [(len(self.names), p) for p in np.array_split(s, -(-len(s) // BLOCK))]
                 self.names.append(name)
                 self.shingles.append(s)
-        least = min(len(p) for _, p in pieces)
-        self.bands = math.ceil(math.log(1 - sure) / math.log(1 - least / (2 * BLOCK)))
+        self.bands = math.ceil(math.log(1 - sure) / math.log(1 - min(least_likeness(len(np.unique(p)), contained) for _, p in pieces)))
         self.factors = mix(np.arange(1, self.bands + 1, dtype=np.uint64)) | np.uint64(1)
         self.owner = np.array([t for t, _ in pieces])
         self.minima = np.array([[(p * f).min() for f in self.factors] for _, p in pieces])
@@ -108,7 +128,19 @@ class Index:
         for (r, t), places in sorted(best.items()):
             n, distinct = len(self.shingles[t]) + SHINGLE - 1, len(np.unique(self.shingles[t]))
             out += [(r, self.names[t], w, n, places[w] / distinct) for w in _apart(places, n)]
-        return out
+        return _clearest(sorted(out, key=lambda x: (x[0], x[2], x[1])))
+
+
+def _clearest(rows: list[tuple]) -> list[tuple]:
+    """Of overlapping matches of different licenses, in order of text and place, those that hold the most of their notices."""
+    gone = set()
+    for i, (text, name, begin, n, held) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            if rows[j][0] != text or rows[j][2] >= begin + n:
+                break
+            if rows[j][1] != name and rows[j][4] != held:
+                gone.add(i if rows[j][4] > held else j)
+    return [r for i, r in enumerate(rows) if i not in gone]
 
 
 def _apart(places: dict[int, int], n: int) -> list[int]:
@@ -134,10 +166,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     is the template's length and ``containment`` the share of its distinct
     shingles that the stretch holds. A null or empty text and one without a
     notice gives no row; equal texts give equal rows each; a notice that
-    occurs several times gives a row for each place; an empty table gives
-    none. Extra columns are left out. Nothing is shuffled.
+    occurs several times gives a row for each place; where notices of
+    different licenses overlap, as nearly equal ones do, those of the greatest
+    containment stay; an empty table gives none. Extra columns are left out. Nothing is shuffled.
     """
-    index = Index(TEMPLATES if templates is None else templates, sure)
+    index = Index(TEMPLATES if templates is None else templates, sure, contained)
 
     def run(batches):
         import pyarrow as pa

@@ -1,9 +1,11 @@
 """Quality classifier: gated-attention multiple-instance learning.
 
-A document is a bag of passages of 64 words. Each passage is encoded by the
-shares of its characters' classes and by how its words repeat; a hidden layer
-makes its representation, gated attention (tanh times sigmoid) its weight, and
-the document is scored from the weighted representation. Only document labels
+A document is a bag of passages of 64 words. Each passage is encoded by its
+words, as shares of WORD_CELLS cells of a hash, by the shares of its
+characters' classes and by how its words repeat. The first layer has learned
+weights for each cell, so it is a table of hashed word vectors; what it makes
+is the passage's representation, gated attention (tanh times sigmoid) its
+weight, and the document is scored from the weighted representation. Only document labels
 are needed: attention learns which passages tell.
 
 The model is fitted on a bounded sample of the labelled documents and then
@@ -23,6 +25,8 @@ from .common import crc_bucket, mix, text_chunks, words
 
 PASSAGE = 64
 TRAIN_DOCS = 6000
+TRAIN_PASSAGES = 64
+WORD_CELLS = 128
 FOLDS, HELD_OUT = 3, 1
 MARKS = b".,!?|#$%&*:;-_=+/\\\"'()<>@"
 _CLASS = np.zeros(256, np.uint8)
@@ -35,7 +39,8 @@ _CLASS[10] = 6
 for _i, _c in enumerate(MARKS):
     _CLASS[_c] = 7 + _i
 N_CLASSES = 7 + len(MARKS)
-N_FEATURES = N_CLASSES + 4
+N_PLAIN = N_CLASSES + 4
+N_FEATURES = N_PLAIN + WORD_CELLS
 
 
 def encode_passages(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +75,9 @@ def encode_passages(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, n
     x[:, N_CLASSES + 1] = np.bincount(place, again, len(owner)) / safe
     x[:, N_CLASSES + 2] = np.bincount((key[fresh] >> np.uint64(40)).astype(np.int64), minlength=len(owner)) / safe
     x[:, N_CLASSES + 3] = np.log1p(n) / 4
+    folded = words(offsets, raw)[0]
+    cells = np.bincount(place * WORD_CELLS + (folded % np.uint64(WORD_CELLS)).astype(np.int64), minlength=len(owner) * WORD_CELLS).reshape(len(owner), WORD_CELLS)
+    x[:, N_PLAIN:] = np.sqrt(cells / safe[:, None])
     return x, owner
 
 
@@ -114,21 +122,10 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 16, gat
     w = {"enter": draw(x.shape[1], hidden), "bias": np.zeros(hidden), "tanh": draw(hidden, gate), "gate": draw(hidden, gate), "weigh": draw(gate), "out": draw(hidden), "out_bias": np.zeros(1)}
     model = Model(prior, mean, scale, w)
     x = (x - mean) / scale
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v = {k: np.zeros_like(u) for k, u in w.items()}
     for step in range(1, steps + 1):
-        f = model.forward(x, owner, len(y))
-        d = (f["p"] - y) * weight
-        dz = (d[:, None] * w["out"])[owner]
-        dh = f["a"][:, None] * dz
-        da = (dz * f["hidden"]).sum(1)
-        de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["begin"])[owner])
-        g = de[:, None] * w["weigh"]
-        dt, ds = g * f["s"] * (1 - f["t"] ** 2), g * f["t"] * f["s"] * (1 - f["s"])
-        dh += dt @ w["tanh"].T + ds @ w["gate"].T
-        dx = dh * (1 - f["hidden"] ** 2)
-        grad = {"enter": x.T @ dx, "bias": dx.sum(0), "tanh": f["hidden"].T @ dt, "gate": f["hidden"].T @ ds, "weigh": (f["t"] * f["s"]).T @ de, "out": f["z"].T @ d, "out_bias": np.array([d.sum()])}
+        grad = gradients(model, x, owner, y)
         for k in w:
             grad[k] += decay * w[k]
             m[k] += 0.1 * (grad[k] - m[k])
@@ -137,11 +134,29 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 16, gat
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
+def gradients(model: Model, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the log loss, in which both labels weigh the same, by each weight; x is standardised."""
+    w, f = model.w, model.forward(x, owner, len(y))
+    d = (f["p"] - y) * np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    dz = (d[:, None] * w["out"])[owner]
+    dh = f["a"][:, None] * dz
+    da = (dz * f["hidden"]).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["begin"])[owner])
+    g = de[:, None] * w["weigh"]
+    dt, ds = g * f["s"] * (1 - f["t"] ** 2), g * f["t"] * f["s"] * (1 - f["s"])
+    dh += dt @ w["tanh"].T + ds @ w["gate"].T
+    dx = dh * (1 - f["hidden"] ** 2)
+    return {"enter": x.T @ dx, "bias": dx.sum(0), "tanh": f["hidden"].T @ dt, "gate": f["hidden"].T @ ds, "weigh": (f["t"] * f["s"]).T @ de, "out": f["z"].T @ d, "out_bias": np.array([d.sum()])}
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages: int = TRAIN_PASSAGES) -> Model:
     """Learn from at most ``most`` labelled documents outside the held-out fold.
 
     The sample is the labelled ids with the smallest hashes, so that it does
-    not depend on the order of rows. Only text is an input.
+    not depend on the order of rows. Of a document with more than ``passages``
+    passages as many, spread evenly from its first to its last one, are
+    learned from, which bounds the bytes at the driver; scores take all
+    passages. Only text is an input.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_bucket("doc_id", FOLDS) != HELD_OUT))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality")).limit(most)
@@ -154,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
             for row, offsets, raw in text_chunks(batch):
                 x, owner = encode_passages(offsets, raw)
                 ends = np.searchsorted(owner, np.arange(len(offsets)))
-                bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(ends, ends[1:])]
+                some = lambda a, b: np.unique(np.linspace(a, b - 1, min(b - a, passages)).round().astype(int))
+                bags = [x[some(a, b)].astype("<f4").tobytes() for a, b in zip(ends, ends[1:])]
                 ids = batch.column(0).slice(row, len(bags))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(y[row : row + len(bags)], pa.int32()), pa.array(bags, pa.binary())], ["doc_id", "quality", "x"])
 
@@ -169,13 +185,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """Add the score of each whole text to a table; its other columns stay.
+    """Add the score of each whole text to a table; its other columns stay, but for one of that name.
 
     Scores lie in 0 to 1 and are higher where label 1 is likelier. A null,
     empty or blank text is scored as one passage of zeros; equal texts get
     equal scores; an empty table gives no rows.
     """
 
+    docs = docs.drop(name)
+
     def run(batches):
         import pyarrow as pa
 

@@ -39,7 +39,8 @@ ENCODINGS = {
 }
 FALSE_DISCOVERY = 0.01
 CERTAIN = 1e-4
-BLOCK = 64
+BLOCK = 32
+PIECE = 4096
 
 
 def _let(x: Column, f) -> Column:
@@ -47,20 +48,51 @@ def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _prefix_sums(lengths: Column) -> Column:
-    """Sums of all elements before each one; blocks keep long arrays cheap."""
-    n = F.size(lengths)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / BLOCK, F.lit(0)).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)))).otherwise(F.array().cast("array<bigint>"))
+def _prefixes(values: Column, reduce) -> Column:
+    """A struct of arrays that ``_before`` reads: the values, and block by block what ``reduce`` makes of them."""
 
-    def sums(b: Column) -> Column:
-        def before(_: Column, i: Column) -> Column:
-            whole = (i / BLOCK).cast("int")
-            return total(F.slice(b, 1, whole)) + total(F.slice(lengths, whole * BLOCK + 1, i - whole * BLOCK))
+    def level(lower: Column) -> Column:
+        n = F.size(lower)
+        starts = F.sequence(F.lit(0), F.greatest((n - 1) / BLOCK, F.lit(0)).cast("int"))
+        return F.when(n > 0, F.transform(starts, lambda b: reduce(F.slice(lower, b * BLOCK + 1, BLOCK)))).otherwise(F.array().cast("array<bigint>"))
 
-        return F.transform(lengths, before)
+    def third(s: Column) -> Column:
+        return _let(level(s["b"]), lambda c: F.struct(s["a"].alias("a"), s["b"].alias("b"), c.alias("c")))
 
-    return _let(blocks, sums)
+    return _let(values, lambda a: _let(F.struct(a.alias("a"), level(a).alias("b")), third))
+
+
+def _before(levels: Column, i: Column, reduce) -> Column:
+    """``reduce`` of the first ``i`` values: of whole blocks of blocks, of whole blocks, and of the rest.
+
+    Takes some 2 * BLOCK steps and one for each BLOCK ** 2 values, so a text's
+    matches cost time in proportion to their number.
+    """
+    whole = F.floor(i / BLOCK).cast("int")
+    more = F.floor(i / BLOCK**2).cast("int")
+    parts = (F.slice(levels["c"], 1, more), F.slice(levels["b"], more * BLOCK + 1, whole - more * BLOCK), F.slice(levels["a"], whole * BLOCK + 1, i - whole * BLOCK))
+    return reduce(F.array(*[reduce(x) for x in parts]))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def _max(a: Column) -> Column:
+    return F.coalesce(F.array_max(a), F.lit(-1).cast("bigint"))
+
+
+def touching(runs: Column, base: Column) -> Column:
+    """For each of ``runs``, disjoint and in order, whether it shares a place with one of ``base``, which is in order.
+
+    Run ends and base starts are sorted together: a run's place there less its
+    own number is how many spans begin before its end, and it touches one of
+    them if the farthest end among these lies behind its start.
+    """
+    events = F.sort_array(F.concat(F.transform(runs, lambda r: F.struct(r["end"].alias("at"), F.lit(0).alias("span"))), F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("span")))))
+    places = F.transform(F.filter(F.transform(events, lambda e, i: F.struct(e["span"].alias("span"), i.alias("i"))), lambda e: e["span"] == 0), lambda e, q: e["i"] - q)
+    given = F.struct(places.alias("places"), _prefixes(F.transform(base, lambda b: b["end"]), _max).alias("ends"))
+    return _let(given, lambda g: F.zip_with(runs, g["places"], lambda r, n: _before(g["ends"], n, _max) > r["start"]))
 
 
 def find_spans(text: Column, pattern: str, least: int, group: int, kind: str) -> Column:
@@ -78,7 +110,7 @@ def find_spans(text: Column, pattern: str, least: int, group: int, kind: str) ->
         return _let(F.struct(m["f"].alias("f"), m["g"].alias("g"), steps.alias("steps")), placed)
 
     def placed(m: Column) -> Column:
-        ends = F.zip_with(_prefix_sums(m["steps"]), m["steps"], lambda before, s: before + s)
+        ends = _let(_prefixes(m["steps"], _sum), lambda levels: F.transform(m["steps"], lambda s, i: _before(levels, i, _sum) + s))
         long_enough = lambda e: F.filter(made(m, e), lambda x: x["size"] >= least)
         return _let(ends, lambda e: F.transform(long_enough(e), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"))))
 
@@ -117,14 +149,15 @@ def battery(match: Column) -> Column:
 
     def tests(s: Column) -> Column:
         body = F.when(s["encoding"] == "hex", F.lower(F.rtrim(s["match"], F.lit("=")))).otherwise(F.rtrim(s["match"], F.lit("=")))
-        codes = F.transform(F.split(body, ""), lambda c: (F.position(c, s["alphabet"]) - 1).cast("double"))
-        return _let(F.struct(codes.alias("c"), F.length(s["alphabet"]).cast("double").alias("m"), s["encoding"].alias("encoding")), scores)
+        codes = lambda x: F.transform(F.split(x, ""), lambda c: (F.position(c, s["alphabet"]) - 1).cast("double"))
+        return _let(body, lambda x: _let(F.struct(codes(x).alias("c"), x.alias("body"), s["alphabet"].alias("alphabet"), F.length(s["alphabet"]).cast("double").alias("m"), s["encoding"].alias("encoding")), scores))
 
     def scores(s: Column) -> Column:
         c, m = s["c"], s["m"]
         n = F.size(c).cast("double")
+        letters = F.split(s["alphabet"], "")
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-        counts = F.transform(F.array_distinct(c), lambda k: F.size(F.filter(c, lambda x: x == k)).cast("double"))
+        counts = F.transform(letters, lambda k: n - F.length(F.replace(s["body"], k, F.lit(""))))
         chi = total(F.transform(counts, lambda x: x * x)) * m / n - n
         # both hold for any number of draws, also for fewer than there are letters
         mean, var = m - 1, 2 * (m - 1) * (n - 1) / n
@@ -168,9 +201,9 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ranked = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda x: F.struct(x["start"].alias("start"), F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).otherwise(2).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"))))
     base = F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
     found = found.withColumn("_both", F.struct(base.alias("base"), F.col("_runs").alias("runs")))
-    apart = lambda b: lambda r: ~F.exists(b["base"], lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"]))
     tested = lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), battery(r["match"]).alias("test"))
-    result = _let(F.col("_both"), lambda b: F.struct(b["base"].alias("base"), F.transform(F.filter(b["runs"], apart(b)), tested).alias("candidates")))
+    free = lambda b: _let(touching(b["runs"], b["base"]), lambda t: F.filter(b["runs"], lambda r, i: ~F.get(t, i)))
+    result = _let(F.col("_both"), lambda b: F.struct(b["base"].alias("base"), F.transform(F.when(F.size(b["runs"]) > 0, free(b)).otherwise(b["runs"]), tested).alias("candidates")))
     return found.withColumn("_result", result).select(*kept, "_result.base", "_result.candidates")
 
 
@@ -224,7 +257,7 @@ def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
     also with the match, by start and then kind as listed (assign, access,
     hex, random). A null or empty text has none; an empty table gives no rows;
     repeated rows are scanned each; other columns stay, but for ones named as
-    these are.
+    these are. Time grows in proportion to a text's length and its matches.
     """
     scanned = keep(scan(docs), "secrets")
     return add_spans(scanned, rejection_limits(scanned, rate))
@@ -239,16 +272,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = FALSE_DISCOVER
     """
     limits = rejection_limits(keep(scan(docs.select("text")).select("candidates"), "candidates"), rate)
     marked = add_spans(scan(docs, with_text=True), limits)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def cut(state: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
-        fresh = F.concat(state["parts"], F.array(between, F.lit(mark)))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(x["start"] >= state["at"], fresh).otherwise(state["parts"]).alias("parts"))
-
-    rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
     found = F.size("spans") > 0
-    text = F.when(found, F.aggregate("spans", start, cut, rest)).otherwise(F.col("text"))
+    text = F.when(found, _replaced(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
     clean = marked.withColumn("_clean", text)
     columns = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
@@ -256,6 +281,31 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = FALSE_DISCOVER
     return clean.withColumns(columns).select(*docs.columns)
 
 
+def _replaced(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each stretch of spans, which are in order.
+
+    The text is cut into pieces of PIECE code points first, so that a place is
+    found without a walk from the text's begin.
+    """
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        i, j = (F.floor(x / PIECE).cast("int") for x in (a, b))
+        part = lambda p, begin, n: F.substring(F.coalesce(F.get(pieces, p), F.lit("")), (begin + 1).cast("int"), n.cast("int"))
+        apart = F.concat(part(i, a % PIECE, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), part(j, F.lit(0), b % PIECE))
+        return F.when(i == j, part(i, a % PIECE, b - a)).otherwise(apart)
+
+    def kept(g: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            covered = lambda c: F.when(x["start"] >= c, F.concat(between(g["pieces"], c, x["start"]), F.lit(mark))).otherwise("")
+            return _let(F.greatest(_before(g["ends"], i, _max), F.lit(0).cast("bigint")), covered)
+
+        last = _let(F.array_max(F.transform(spans, lambda x: x["end"])), lambda c: between(g["pieces"], c, F.length(text).cast("bigint")))
+        return F.concat(F.array_join(F.transform(spans, one), ""), last)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _let(F.struct(pieces.alias("pieces"), _prefixes(F.transform(spans, lambda x: x["end"]), _max).alias("ends")), kept)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -3,7 +3,9 @@
 Rules name a host and a path; the longest that fits decides. What no rule
 fits is judged by trees that are trained on the URLs that rules have labelled.
 Features are lengths, depths, digit shares, entropy, parameters and how often
-the host's suffix was blocked among the labelled URLs.
+the host's suffix was blocked among all labelled pages. A URL that trains the
+trees gets that rate from the URLs of the other folds, so that it does not
+hold the URL's own label.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from .common import keep
 # The rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 TRAIN_URLS = 50_000
+URL_FOLDS = 5
 FEATURES = ["n_url", "n_host", "n_path", "host_depth", "path_depth", "digits", "host_digits", "hyphens", "entropy", "parameters", "fragment", "suffix_rate", "suffix_seen"]
 
 
@@ -74,46 +77,60 @@ def lexical(pages: DataFrame) -> DataFrame:
     return named.withColumns({k: v.cast("double") for k, v in values.items()}).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
 
 
-def suffix_rates(labelled: DataFrame, prior: float, strength: float = 10.0) -> DataFrame:
-    """(suffix, suffix_rate, suffix_seen): share of blocked URLs, smoothed to ``prior``."""
-    sums = labelled.groupBy("suffix").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
-    return sums.select("suffix", ((F.col("s") + strength * prior) / (F.col("n") + strength)).alias("suffix_rate"), F.log1p("n").alias("suffix_seen"))
+def _rate(s: Column, n: Column, prior: float, strength: float = 10.0) -> list[Column]:
+    return [((s + strength * prior) / (n + strength)).alias("suffix_rate"), F.log1p(n).alias("suffix_seen")]
+
+
+def suffix_rates(counts: DataFrame, prior: float) -> DataFrame:
+    """(suffix, suffix_rate, suffix_seen): share of blocked pages, smoothed to ``prior``."""
+    sums = counts.groupBy("suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("suffix", *_rate(F.col("s"), F.col("n"), prior))
+
+
+def suffix_rates_of_others(counts: DataFrame, prior: float) -> DataFrame:
+    """(suffix, fold, suffix_rate, suffix_seen) of the pages of all other folds."""
+    own = counts.groupBy("suffix", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    total = counts.groupBy("suffix").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    return own.join(total, "suffix").select("suffix", "fold", *_rate(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n"), prior))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, most: int = TRAIN_URLS, trees: int = 20, depth: int = 4) -> DataFrame:
     """Add host, path, rule, verdict and score to a table with ``url``.
 
-    The trees learn from at most ``most`` of the URLs that rules decide, the
-    ones of smallest hash; ``score`` is their probability of ``block``. With
-    labels of one kind only, or none, the score is the smoothed share of
-    blocked URLs among the labelled. Null, empty and malformed URLs have an
-    empty host and path and are judged by their features; equal URLs get equal
-    verdicts; an empty table gives no rows; other columns stay.
+    The trees learn from at most ``most`` of the distinct URLs that rules
+    decide, the ones of smallest hash, each weighed by how often it occurs;
+    suffix rates count all pages that rules decide. ``score`` is the trees'
+    probability of ``block``. With labels of one kind only, or none, the score
+    is the smoothed share of blocked pages among the labelled. Null, empty and
+    malformed URLs have an empty host and path and are judged by their
+    features; equal URLs get equal verdicts; an empty table gives no rows;
+    other columns stay, but for ones named as the five that are added.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    names = pages.columns
-    clash = {"host", "path", "rule", "verdict", "score", "suffix", *FEATURES} & set(names)
-    pages = pages.drop(*clash)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    known = lexical(pages).withColumn("rule", rule).withColumn("said", verdict)
-    labelled = known.where("said is not null").select("suffix", *[c for c in FEATURES if not c.startswith("suffix")], F.xxhash64("url").alias("_h"), (F.col("said") == "block").cast("double").alias("label"))
-    sample = keep(labelled.orderBy("_h", "label").limit(most), "urls")
-    prior = sample.agg(F.count("*").alias("n"), F.sum("label").alias("s")).first()
-    p = float(((prior.s or 0) + 0.5) / (prior.n + 1))
-    rates = suffix_rates(sample, p)
+    added = ["host", "path", "rule", "verdict", "score"]
+    stays = [c for c in pages.columns if c not in added]
+    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    known = lexical(pages.select(F.struct(*stays).alias("row"), "url")).withColumn("rule", rule).withColumn("said", said)
+    lexical_features = [c for c in FEATURES if not c.startswith("suffix")]
+    h = F.xxhash64("url")
+    labelled = known.where("said is not null").select("suffix", *lexical_features, h.alias("h"), F.pmod(h, F.lit(URL_FOLDS)).alias("fold"), (F.col("said") == "block").cast("double").alias("label"))
+    counts = keep(labelled.groupBy("suffix", "fold").agg(F.sum("label").alias("s"), F.count("*").alias("n")), "suffixes")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).first()
+    p = float((total.s + 0.5) / (total.n + 1))
     fill = {"suffix_rate": p, "suffix_seen": 0.0}
-    full = known.join(rates, "suffix", "left").fillna(fill)
-    if prior.n and 0 < prior.s < prior.n:
-        assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-        grown = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_c", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5).setProbabilityCol("_p").setRawPredictionCol("_r")
-        model = grown.fit(assemble.transform(sample.join(rates, "suffix", "left").fillna(fill)))
-        full = model.transform(assemble.transform(full)).withColumn("score", vector_to_array("_p")[1])
+    full = known.join(suffix_rates(counts, p), "suffix", "left").fillna(fill)
+    last = labelled.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    few = labelled.where(F.col("h") <= F.lit(last)).groupBy("h", "fold", "suffix", "label", *lexical_features).agg(F.count("*").cast("double").alias("weight"))
+    sample = keep(few.join(suffix_rates_of_others(counts, p), ["suffix", "fold"], "left").fillna(fill), "urls")
+    if sample.select("label").distinct().count() == 2:
+        assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        grown = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", predictionCol="class", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5).setProbabilityCol("p").setRawPredictionCol("raw")
+        model = grown.fit(assemble.transform(sample.orderBy("h")))
+        full = model.transform(assemble.transform(full)).withColumn("score", vector_to_array("p")[1])
     else:
         full = full.withColumn("score", F.lit(p))
     verdict = F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return full.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "verdict", "score")
-
-
+    return full.withColumn("verdict", verdict).select("row.*", *added)
