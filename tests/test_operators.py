@@ -210,6 +210,32 @@ def test_spectrogram_peak(spark):
     assert all(abs(r.f - 20) <= 1.5 for r in top)
 
 
+def test_spectrogram_of_a_text_key_against_numpy(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=90)
+    df = frame(spark, [("a", i / 10, float(v)) for i, v in enumerate(x)] + [("b", 0.0, 1.0)], "k string, t double, v double")
+    got = {(q.k, round(q.t, 6), round(q.f, 6)): q.power for q in signals.spectrogram(df, "v", ["k"], 10.0, 40, 20).collect()}
+    v = signals.tapers(40, 3.0, 5)
+    assert np.allclose(v @ v.T, np.eye(5))
+    want = {}
+    for w in range(3):
+        y = x[20 * w : 20 * w + 40]
+        for f, p in zip(np.fft.rfftfreq(40, 0.1), (np.abs(np.fft.rfft(v * (y - y.mean()))) ** 2).mean(0) / 10):
+            want["a", round(2.0 * w + 2, 6), round(f, 6)] = p
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_gap_parts_a_series(spark):
+    x = np.random.default_rng(9).normal(size=300)
+    at = np.r_[0:150, 170:320]
+    df = frame(spark, [("a", float(t) / 100, float(v)) for t, v in zip(at, x)], "k string, t double, v double")
+    for segment in (64, 1000):
+        got = np.array([q.filtered for q in signals.band_pass(df, "v", ["k"], 5.0, 20.0, 100.0, half=16, segment=segment).orderBy("t").collect()])
+        taps = signals.band_pass_taps(5.0, 20.0, 100.0, 16)
+        want = np.r_[tuple(np.convolve(np.pad(p, 16, "reflect"), taps, "valid") for p in (x[:150], x[150:]))]
+        assert np.allclose(got, want), segment
+
+
 def test_isolation_distance(spark):
     r = np.random.default_rng(3)
     x = np.r_[r.normal(0, 1, (60, 3)), r.normal(6, 1, (80, 3))]
@@ -240,3 +266,42 @@ def test_maze(spark):
     visits = frame(spark, [(1, i, a) for i, a in enumerate(["A", "B", "A", "C"])], "rat int, visit int, arm string")
     got = mazes.maze_scores(visits, ["rat"], ["A", "D"]).first()
     assert (got.visits, got.rewards, got.working, got.reference, got.performance) == (4, 1, 1, 2, 0.25)
+
+
+def test_coherence_and_point_spectra_against_numpy(spark):
+    r = np.random.default_rng(11)
+    n, w, rate = 240, 80, 20.0
+    a = r.normal(size=n)
+    b = 0.5 * np.roll(a, 3) + r.normal(size=n)
+    df = frame(spark, [("k", i / rate, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "k string, t double, a double, b double")
+    spectra = signals.coherogram(df, "a", "b", ["k"], rate, w, 40)
+    v = signals.tapers(w, 3.0, 5)
+    parts = []
+    for i in range(5):
+        ja, jb = (np.fft.rfft(v * (x - x.mean())) for x in (a[40 * i : 40 * i + w], b[40 * i : 40 * i + w]))
+        parts.append(((np.conj(ja) * jb).mean(0), (np.abs(ja) ** 2).mean(0), (np.abs(jb) ** 2).mean(0)))
+    got = {(round(q.t, 6), round(q.f, 6)): q for q in spectra.collect()}
+    f = np.round(np.fft.rfftfreq(w, 1 / rate), 6)
+    assert len(got) == 5 * len(f)
+    for i, (s, pa, pb) in enumerate(parts):
+        for j, x in enumerate(f):
+            assert got[2.0 * i + 2, x].coherence == pytest.approx(abs(s[j]) / math.sqrt(pa[j] * pb[j]))
+            assert got[2.0 * i + 2, x].phase == pytest.approx(np.angle(s[j]))
+    s, pa, pb = (np.mean(x, 0) for x in zip(*parts))
+    whole = {round(q.f, 6): q.coherence for q in signals.coherence(spectra, ["k"]).collect()}
+    assert all(whole[x] == pytest.approx(abs(s[j]) / math.sqrt(pa[j] * pb[j])) for j, x in enumerate(f))
+    mean = {round(q.f, 6): (q.power, q.n) for q in signals.spectrum(signals.spectrogram(df, "a", ["k"], rate, w, 40), ["k"]).collect()}
+    assert all(mean[x] == (pytest.approx(pa[j] / rate), 5) for j, x in enumerate(f))
+    assert signals.band_power(spectra, ["k"], {"low": (0.0, 3.0)}, "coherence").count() == 5
+
+    beat = [float(x) for x in np.arange(0.05, 12, 0.25)]
+    power = signals.point_spectrogram(frame(spark, [("k", x) for x in beat], "k string, t double"), ["k"], rate, w, 40).where("t < 10")
+    top = power.where("f > 1").groupBy("t").agg(F.max_by("f", "power").alias("f")).collect()
+    assert len(top) == 5 and all(min(abs(q.f - 4), abs(q.f - 8)) < 1 for q in top)
+
+
+def test_wavelets_and_cuts(spark):
+    x = np.sin(2 * np.pi * 5 * np.arange(600) / 100)
+    df = frame(spark, [("k", i / 100, float(v)) for i, v in enumerate(x)], "k string, t double, v double")
+    one, cut = ([q.power for q in signals.wavelet_power(df, "v", ["k"], 100.0, [5.0, 20.0], segment=s).orderBy("t").collect()] for s in (10_000, 150))
+    assert np.allclose(one, cut) and np.allclose(np.array(one)[200:400, 0], 1, atol=0.01) and np.array(one)[200:400, 1].max() < 0.01

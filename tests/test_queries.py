@@ -29,7 +29,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).columns
+    assert len(catalog.queries()[name](spark, sf).toPandas())
 
 
 def test_no_nested_loop_joins(spark, sf):

@@ -25,6 +25,11 @@ def test_binary_signal(spark, tmp_path):
     assert binary.write_binary(df.repartition(4), out, ["ch0", "ch1", "ch2"]) == 1000
     again = np.concatenate([np.fromfile(p, "<i2") for p in sorted((tmp_path / "out").iterdir())])
     assert (again.reshape(-1, 3) == data).all()
+    for chunk in (70, 5000):
+        rows = binary.read_binary(spark, out, 3, 100.0, chunk=chunk).orderBy("t").collect()
+        assert [(r.t, r.ch2) for r in rows] == [(i / 100, 3 * i + 2) for i in range(1000)]
+    with pytest.raises(FileExistsError):
+        binary.write_binary(df, out, ["ch0"])
 
 
 def test_event_files(spark, tmp_path):

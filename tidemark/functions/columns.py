@@ -122,3 +122,39 @@ def binomial_z(s1: Column, n1: Column, s0: Column, n0: Column) -> Column:
 def proportion_z(s: Column, n: Column, p: float) -> Column:
     """z of one proportion against ``p``."""
     return F.abs(s / n - p) / F.sqrt(F.lit(p * (1 - p)) / n)
+
+
+def standard_error_of_median(x: Column) -> Column:
+    """Root of the squared deviations from the median over n (n - 1), n counting nulls too; an aggregate."""
+    m, n = F.percentile(x, F.lit(0.5)), F.count("*")
+    return F.sqrt((F.sum(x * x) - 2 * m * F.sum(x) + F.count(x) * m * m) / (n * (n - 1)))
+
+
+def sem_angle(angle: Column) -> Column:
+    """Angle of the standard errors of sine and cosine, an aggregate."""
+    return F.atan2(sem(F.sin(angle)), sem(F.cos(angle)))
+
+
+def weighted_circular_corr(w: Column, x: Column, angle: Column) -> Column:
+    """Correlation of a weighted value with an angle, 0 to 1, an aggregate."""
+    s, c = F.sin(angle), F.cos(angle)
+    xs, xc, sc = weighted_corr(w, x, s), weighted_corr(w, x, c), weighted_corr(w, s, c)
+    return F.sqrt((xc * xc + xs * xs - 2 * xc * xs * sc) / (1 - sc * sc))
+
+
+def explained(x: Column, y: Column, slope: float | Column, intercept: float | Column) -> Column:
+    """Share of the variance of y that a line explains, an aggregate."""
+    rest = y - (F.lit(slope) * x + F.lit(intercept))
+    return 1 - F.sum(rest * rest) / ((F.count(y) - 1) * F.var_samp(y))
+
+
+def log_factorial(n: Column) -> Column:
+    """Logarithm of n! of a whole number from 0; nulls and numbers below 0 are null.
+
+    Stirling's series from 10 on, which is exact to double precision there,
+    and for smaller numbers the one of n + 10 less the factors between.
+    """
+    z = n.cast("double") + 11
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    between = sum((F.log(n + k) for k in range(2, 11)), F.log(n + 1))
+    return F.when(n >= 0, series - between)

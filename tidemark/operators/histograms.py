@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bin_center, bin_index
+from ..functions.columns import bin_center, bin_index, circular_mean, resultant
 from .joins import in_cells, range_join, sync
+from .series import windowed
 
 
 def grid(df: DataFrame, **sizes: int) -> DataFrame:
@@ -99,35 +100,93 @@ def correlogram_rate(counts: DataFrame, points: DataFrame, unit: str, bin_size:
     return counts.join(sizes, "a").withColumn("rate", F.col("n") / (F.col("_n") * bin_size)).drop("_n")
 
 
-def durations(samples: DataFrame, by: Sequence[str], longest: float, t: str = "t") -> DataFrame:
+def durations(samples: DataFrame, by: Sequence[str], longest: float, t: str = "t", cell: float | None = None) -> DataFrame:
     """Samples with ``dt``, the time to the next one, at most ``longest``; the last one repeats."""
-    w = Window.partitionBy(*by).orderBy(t)
-    after = F.lead(t).over(w)
-    step = F.when(after.isNotNull(), F.least(after - F.col(t), F.lit(longest)))
-    made = samples.withColumn("_dt", step)
-    return made.withColumn("dt", F.coalesce("_dt", F.lag("_dt").over(w), F.lit(0.0))).drop("_dt")
 
+    def made(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(t)
+        after = F.lead(t).over(w)
+        step = rows.withColumn("_dt", F.when(after.isNotNull(), F.least(after - F.col(t), F.lit(longest))))
+        return step.withColumn("dt", F.coalesce("_dt", F.lag("_dt").over(w), F.lit(0.0))).drop("_dt")
 
-def occupancy(samples: DataFrame, axes: dict[str, tuple[float, float, int]], by: Sequence[str], longest: float, t: str = "t") -> DataFrame:
+    return windowed(samples, by, t, cell, 1, made)
+
+
+def occupancy(samples: DataFrame, axes: dict[str, tuple[float, float, int]], by: Sequence[str], longest: float, t: str = "t", cell: float | None = None) -> DataFrame:
     """Time and visits in each cell of a grid over the named axes."""
-    timed = durations(samples, by, longest, t)
+    timed = durations(samples, by, longest, t, cell)
     binned = timed.select(*[bin_index(F.col(c), lo, hi, n).alias(c) for c, (lo, hi, n) in axes.items()], "dt")
     sums = binned.groupBy(*axes).agg(F.sum("dt").alias("time"), F.count("*").alias("visits"))
     return dense(sums, ["time", "visits"], **{c: n for c, (_, _, n) in axes.items()})
 
 
-def rate_map(samples: DataFrame, points: DataFrame, axes: dict[str, tuple[float, float, int]], by: Sequence[str], longest: float, width: float, least_time: float = 0.0, t: str = "t") -> DataFrame:
+def phase_map(rows: DataFrame, angle: str, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """Mean direction ``phase``, resultant ``r`` and count of angles in each cell of a grid; one axis makes a curve."""
+    binned = rows.select(*[bin_index(F.col(c), lo, hi, n).alias(c) for c, (lo, hi, n) in axes.items()], F.col(angle).alias("_a")).where(F.col("_a").isNotNull())
+    sums = binned.groupBy(*axes).agg(F.count("*").alias("n"), circular_mean(F.col("_a")).alias("phase"), resultant(F.col("_a")).alias("r"))
+    return dense(sums, ["n"], **{c: n for c, (_, _, n) in axes.items()})
+
+
+def short_time_correlogram(points: DataFrame, unit: str, bin_size: float, half_bins: int, window: float, step: float, least: int = 1, t: str = "t") -> DataFrame:
+    """Correlograms of successive windows [k step, k step + window): ``window``, ``a``, ``b``, ``bin``, ``n``.
+
+    Windows with fewer than ``least`` points are left out.
+    """
+    last = F.floor(F.col(t) / step)
+    spread = math.ceil(window / step)
+    copied = points.withColumn("window", F.explode(F.sequence(last - spread + 1, last))).where(F.col(t) < F.col("window") * step + window)
+    full = copied.groupBy("window").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("window")
+    return correlogram(copied.join(full, "window", "left_semi"), unit, bin_size, half_bins, ["window"], t)
+
+
+def find_field(cells: DataFrame, value: str, axes: Sequence[str], share: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """Cells of the field around the highest one: connected by edges, and at least ``share`` of the peak.
+
+    ``cells`` is a dense grid of fixed size for each key; of equal peaks the
+    first one counts. Keys, the axes, the value and ``size``, the field's cells.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(cells.dtypes)
+    names = [*by, *axes, value]
+
+    def field(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(list(axes)).reset_index(drop=True)
+        at = {tuple(p): i for i, p in enumerate(group[list(axes)].to_numpy().tolist())}
+        x = group[value].to_numpy(float)
+        peak = int(np.nanargmax(x)) if np.isfinite(x).any() else -1
+        seen, todo = set(), [peak] if peak >= 0 and x[peak] > 0 else []
+        while todo:
+            i = todo.pop()
+            if i in seen or not x[i] >= share * x[peak]:
+                continue
+            seen.add(i)
+            p = group.loc[i, list(axes)].tolist()
+            for k in range(len(axes)):
+                for d in (-1, 1):
+                    q = tuple([*p[:k], p[k] + d, *p[k + 1 :]])
+                    if q in at:
+                        todo.append(at[q])
+        return group.loc[sorted(seen), names].assign(size=len(seen))
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "size long"])
+    grouped = cells.select(*names).groupBy(*by) if by else cells.select(*names).groupBy(F.lit(0))
+    return grouped.applyInPandas(field, schema)
+
+
+def rate_map(samples: DataFrame, points: DataFrame, axes: dict[str, tuple[float, float, int]], by: Sequence[str], longest: float, width: float, least_time: float = 0.0, t: str = "t", cell: float | None = None) -> DataFrame:
     """Points per unit of time in each cell that the samples pass through.
 
     A point counts for the sample whose step holds it; cells visited for at
     most ``least_time`` have rate 0.
     """
-    timed = durations(samples, by, longest, t)
+    timed = durations(samples, by, longest, t, cell)
     steps = timed.select(*by, *[bin_index(F.col(c), lo, hi, n).alias(c) for c, (lo, hi, n) in axes.items()], F.col(t).alias("start"), (F.col(t) + F.col("dt")).alias("stop"))
     held = range_join(points.select(*by, t), steps, width, by, t).where(F.col(t) < F.col("stop"))
     counts = held.groupBy(*axes).agg(F.count("*").alias("count"))
     sizes = {c: n for c, (_, _, n) in axes.items()}
-    full = dense(occupancy(samples, axes, by, longest, t).join(counts, list(axes), "left"), ["time", "visits", "count"], **sizes)
+    full = dense(occupancy(samples, axes, by, longest, t, cell).join(counts, list(axes), "left"), ["time", "visits", "count"], **sizes)
     return full.withColumn("rate", F.when(F.col("time") > least_time, F.col("count") / F.col("time")).otherwise(0.0))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import overlap_join, range_join
+from .series import running_count, windowed
 
 TOUCH = 1e-10
 
@@ -86,15 +87,16 @@ def intersecting(a: DataFrame, b: DataFrame, width: float, by: Sequence[str] = (
     return valid(a).join(met, [*by, "iid"], "left").withColumn("intersects", F.coalesce("_met", F.lit(False))).drop("_met")
 
 
-def to_intervals(samples: DataFrame, flag: str, by: Sequence[str], t: str = "t") -> DataFrame:
-    """Runs of true rows as [first, last] of ``t``."""
-    order = Window.partitionBy(*by).orderBy(t)
-    run = F.row_number().over(order) - F.row_number().over(Window.partitionBy(*by, F.col(flag)).orderBy(t))
-    runs = samples.withColumn("_run", run).where(F.col(flag))
+def to_intervals(samples: DataFrame, flag: str, by: Sequence[str], t: str = "t", cell: float | None = None) -> DataFrame:
+    """Runs of true rows as [first, last] of ``t``; with a ``cell`` long series are dealt over tasks."""
+    true = F.coalesce(F.col(flag), F.lit(False))
+    before = lambda keys: F.lag(true).over(Window.partitionBy(*keys).orderBy(t))
+    opens = windowed(samples, by, t, cell, 1, lambda rows, keys: rows.withColumn("_new", true & ~F.coalesce(before(keys), F.lit(False))))
+    runs = running_count(opens, F.col("_new"), by, t, cell, "_run").where(true)
     return runs.groupBy(*by, "_run").agg(F.min(t).alias("start"), F.max(t).alias("stop")).drop("_run")
 
 
-def threshold(samples: DataFrame, value: str, limit: float, by: Sequence[str], above: bool = True, shortest: float = 0.0, bridge: float = 0.0, t: str = "t") -> DataFrame:
+def threshold(samples: DataFrame, value: str, limit: float, by: Sequence[str], above: bool = True, shortest: float = 0.0, bridge: float = 0.0, t: str = "t", cell: float | None = None) -> DataFrame:
     """Periods in which a value is beyond a limit.
 
     Interruptions of at most ``bridge`` are filled first, then periods shorter
@@ -102,10 +104,34 @@ def threshold(samples: DataFrame, value: str, limit: float, by: Sequence[str], a
     """
     x = F.col(value)
     flagged = samples.withColumn("_in", F.coalesce(x > limit if above else x < limit, F.lit(False)))
-    merged = consolidate(to_intervals(flagged, "_in", by, t), by, epsilon=bridge)
+    merged = consolidate(to_intervals(flagged, "_in", by, t, cell), by, epsilon=bridge, cell=cell)
     return merged.where(F.col("stop") - F.col("start") >= shortest)
 
 
+def bins(spark, start: float, stop: float, window: float, step: float | None = None) -> DataFrame:
+    """(iid, start, stop) of windows of length ``window`` every ``step`` that end by ``stop``."""
+    step = step or window
+    n = max(int((stop - start - window) / step + 1e-9) + 1, 0) if stop - start >= window else 0
+    return spark.range(n).select(F.col("id").alias("iid"), (start + F.col("id") * step).alias("start"), (start + F.col("id") * step + window).alias("stop"))
+
+
+def random_intervals(spark, n: int, share: float, seed: int = 0, parts: int = 64) -> DataFrame:
+    """(iid, start, stop): ``n`` random intervals in [0, 1] that cover ``share`` of it.
+
+    ``n`` random places divide the line; each interval takes ``share`` of the
+    stretch after its place, and the first one that of the stretch before it.
+    Places come from hashes, so they are the same after a lost executor.
+    """
+    from .series import ranked
+
+    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / float(2**53)
+    drawn = spark.range(n).select(place.alias("start"))
+    after = windowed(drawn, [], "start", 1 / parts, 1, lambda rows, keys: rows.withColumn("next", F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))))
+    numbered = ranked(after, [], "start", 1 / parts, "iid")
+    stop = F.col("start") + share * (F.coalesce("next", F.lit(1.0)) - F.col("start"))
+    return numbered.select("iid", F.when(F.col("iid") == 0, F.col("start") * (1 - share)).otherwise(F.col("start")).alias("start"), stop.alias("stop"))
+
+
 def split(intervals: DataFrame, size: float, step: float | None = None, keep: str = "discard", extend: bool = False) -> DataFrame:
     """Pieces of ``size`` every ``step``, with ``piece`` from 0.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS
+from .series import cell_of, join_cells
 
 
 def cell(x: Column, width: float) -> Column:
@@ -61,13 +62,15 @@ def overlap_join(a: DataFrame, b: DataFrame, width: float, by: Sequence[str] = (
     return joined.where(first & meets).drop("_cell")
 
 
-def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str], direction: str = "down", strict: bool = False, t: str = "t") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str], direction: str = "down", strict: bool = False, t: str = "t", cell: float | None = None) -> DataFrame:
     """Each left row with the nearest right row of equal ``by`` before or after it.
 
     ``down`` is the last right row at or before, ``up`` the first at or after;
     ``strict`` leaves out equal times. Adds ``matched_t`` and ``values``, null
     where there is none. Among right rows of equal time the one with the
-    largest values counts. Planned as a union and one ordered window per key.
+    largest values counts. Planned as a union and one ordered window per key;
+    with a ``cell`` (of time) as windows over the cells of a key, with each
+    cell's outermost right row carried on to the cells that follow.
     """
     down = direction == "down"
     # at equal times right rows come first, and so count, unless strict
@@ -76,18 +79,21 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequ
     lefts = left.withColumn("_is_left", F.lit(True)).withColumn("_rank", F.lit(left_rank))
     rights = right.select(*by, t, payload.alias("_r"), F.lit(False).alias("_is_left"), F.lit(right_rank).alias("_rank"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    w = Window.partitionBy(*by)
-    if down:
-        w = w.orderBy(t, "_rank", "_r").rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("_r", ignorenulls=True).over(w)
-    else:
-        w = w.orderBy(F.col(t).desc(), F.col("_rank"), F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("_r", ignorenulls=True).over(w)
-    done = both.withColumn("_found", found).where("_is_left")
+    keys = [*by, "_cell"] if cell else list(by)
+    if cell:
+        both = both.withColumn("_cell", cell_of(t, cell))
+    along = (lambda w, c: w.orderBy(F.col(c).asc() if down else F.col(c).desc()))
+    w = Window.partitionBy(*keys).orderBy(F.col(t).asc() if down else F.col(t).desc(), "_rank", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    done = both.withColumn("_found", F.last("_r", ignorenulls=True).over(w)).where("_is_left")
+    if cell:
+        edge = F.max("_r") if down else F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct((-F.col("_r._t")).alias("t"), F.col("_r").alias("r"))))
+        earlier = along(Window.partitionBy(*by), "_cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = both.groupBy(*keys).agg(edge.alias("_edge")).select(*keys, F.last("_edge", ignorenulls=True).over(earlier).alias("_carried"))
+        done = join_cells(done, cells, by).withColumn("_found", F.coalesce("_found", "_carried"))
     return done.select(*left.columns, F.col("_found._t").alias("matched_t"), *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def match(left: DataFrame, right: DataFrame, by: Sequence[str], direction: str = "closest", error: float = float("inf"), t: str = "t", strict_down: bool = True) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, by: Sequence[str], direction: str = "closest", error: float = float("inf"), t: str = "t", strict_down: bool = True, cell: float | None = None) -> DataFrame:
     """Time of the right row that each left row is matched to, as ``matched_t``.
 
     ``up`` is the first at or after, ``down`` the last before (strictly, unless
@@ -96,30 +102,87 @@ def match(left: DataFrame, right: DataFrame, by: Sequence[str], direction: str =
     """
     times = right.select(*by, t)
     if direction in ("up", "down"):
-        found = asof_join(left, times, [], by, direction, strict=strict_down and direction == "down", t=t)
+        found = asof_join(left, times, [], by, direction, strict=strict_down and direction == "down", t=t, cell=cell)
     else:
-        up = asof_join(left, times, [], by, "up", t=t).withColumnRenamed("matched_t", "_up")
-        both = asof_join(up, times, [], by, "down", strict=strict_down, t=t)
+        up = asof_join(left, times, [], by, "up", t=t, cell=cell).withColumnRenamed("matched_t", "_up")
+        both = asof_join(up, times, [], by, "down", strict=strict_down, t=t, cell=cell)
         nearer = F.when(F.col("_up").isNull() | (F.col(t) - F.col("matched_t") < F.col("_up") - F.col(t)), F.col("matched_t")).otherwise(F.col("_up"))
         found = both.withColumn("matched_t", nearer).drop("_up")
     return found.withColumn("matched_t", F.when(F.abs(F.col("matched_t") - F.col(t)) <= error + EPS, F.col("matched_t")))
 
 
-def interpolate(samples: DataFrame, targets: DataFrame, value: str, by: Sequence[str], max_gap: float = float("inf"), t: str = "t") -> DataFrame:
+def interpolate(samples: DataFrame, targets: DataFrame, value: str, by: Sequence[str], max_gap: float = float("inf"), t: str = "t", cell: float | None = None) -> DataFrame:
     """Linear interpolation of ``value`` at the targets' times.
 
     Null outside the samples and where the neighbours are more than ``max_gap``
     away from the target.
     """
     s = samples.select(*by, t, F.col(value).alias("_y")).where(F.col("_y").isNotNull())
-    before = asof_join(targets, s, ["_y"], by, "down", t=t).withColumnsRenamed({"matched_t": "_t0", "_y": "_y0"})
-    both = asof_join(before, s, ["_y"], by, "up", t=t).withColumnsRenamed({"matched_t": "_t1", "_y": "_y1"})
+    before = asof_join(targets, s, ["_y"], by, "down", t=t, cell=cell).withColumnsRenamed({"matched_t": "_t0", "_y": "_y0"})
+    both = asof_join(before, s, ["_y"], by, "up", t=t, cell=cell).withColumnsRenamed({"matched_t": "_t1", "_y": "_y1"})
     slope = (F.col("_y1") - F.col("_y0")) / (F.col("_t1") - F.col("_t0"))
     y = F.when(F.col("_t0") == F.col("_t1"), F.col("_y0")).otherwise(F.col("_y0") + slope * (F.col(t) - F.col("_t0")))
     near = (F.col(t) - F.col("_t0") <= max_gap) & (F.col("_t1") - F.col(t) <= max_gap)
     return both.withColumn(value, F.when(near, y)).drop("_t0", "_t1", "_y0", "_y1")
 
 
+def first_after(reference: DataFrame, tests: DataFrame, by: Sequence[str], strict: bool = False, t: str = "t", cell: float | None = None) -> DataFrame:
+    """Reference rows with ``first_after``: whether a row is the first one at or after some test time (after it, if ``strict``)."""
+    return _beside(reference, tests, by, "down", strict, "first_after", t, cell)
+
+
+def last_before(reference: DataFrame, tests: DataFrame, by: Sequence[str], strict: bool = False, t: str = "t", cell: float | None = None) -> DataFrame:
+    """Reference rows with ``last_before``: whether a row is the last one at or before some test time (before it, if ``strict``)."""
+    return _beside(reference, tests, by, "up", strict, "last_before", t, cell)
+
+
+def _beside(reference: DataFrame, tests: DataFrame, by: Sequence[str], direction: str, strict: bool, name: str, t: str, cell: float | None) -> DataFrame:
+    """Whether the nearest test time in a direction is nearer than the neighbouring reference row."""
+    near = asof_join(reference, tests.select(*by, t), [], by, direction, strict, t, cell).withColumnRenamed("matched_t", "_test")
+    other = asof_join(near, reference.select(*by, t), [], by, direction, True, t, cell)
+    x, y = (F.col("_test"), F.col("matched_t")) if direction == "down" else (F.col("matched_t"), F.col("_test"))
+    apart = (x >= y) if strict else (x > y)
+    return other.withColumn(name, F.col("_test").isNotNull() & F.coalesce(apart, F.lit(True))).drop("_test", "matched_t")
+
+
+def match_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], error: float = 0.0, t: str = "t", cell: float | None = None) -> DataFrame:
+    """(by, left_t, right_t) of nearest times in two lists, each used once; null where one has no partner.
+
+    Both lists are read in order, and the earliest times within ``error`` of
+    each other are paired. Times more than ``error`` apart part the lists into
+    groups that do not touch each other, so a group is as long as its chain of
+    close times.
+    """
+    import pandas as pd
+
+    from .series import running_count, windowed
+
+    both = left.select(*by, F.col(t).cast("double").alias("t"), F.lit(0).alias("side")).unionByName(right.select(*by, F.col(t).cast("double").alias("t"), F.lit(1).alias("side")))
+    opens = windowed(both, by, "t", cell, 1, lambda rows, keys: rows.withColumn("_new", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t")) > error))
+    chained = running_count(opens, F.col("_new"), by, "t", cell, "_chain")
+
+    def pair(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = (group.loc[group["side"] == side, "t"].sort_values().tolist() for side in (0, 1))
+        rows, j = [], 0
+        for v in x:
+            while j < len(y) and v > y[j] + error:
+                rows.append((None, y[j]))
+                j += 1
+            if j < len(y) and v >= y[j] - error:
+                rows.append((v, y[j]))
+                j += 1
+            else:
+                rows.append((v, None))
+        rows += [(None, v) for v in y[j:]]
+        out = pd.DataFrame(rows, columns=["left_t", "right_t"], dtype=float)
+        for c in by:
+            out[c] = pd.Series([group[c].iloc[0]] * len(out), dtype=object)
+        return out[[*by, "left_t", "right_t"]]
+
+    kinds = ", ".join([f"{c} {k}" for c, k in left.select(*by).dtypes] + ["left_t double", "right_t double"])
+    return chained.groupBy(*by, "_chain").applyInPandas(pair, kinds)
+
+
 def sync(samples: DataFrame, events: DataFrame, before: float, after: float, by: Sequence[str] = (), t: str = "t") -> DataFrame:
     """Samples around each event, with time relative to it.
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .histograms import unit_correlations
 
+MOST_UNITS = 4096
+
 
 def dense_zscores(counts: DataFrame, first: int, bins: int) -> DataFrame:
     """(unit, bin, z) of counts (unit, bin, n) over bins first..first+bins-1, absent ones as 0.
@@ -109,9 +111,16 @@ def isolation_distance(rows: DataFrame, features: str, cluster: str) -> DataFram
     """
     d = cluster_distances(rows, features, cluster)
     sizes = rows.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
-    outside = d.where("of <> cluster").select(F.col("of").alias("cluster"), "d2")
-    ranked = outside.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("d2")))
-    return sizes.join(ranked.withColumnRenamed("k", "n"), ["cluster", "n"], "left").select("cluster", "n", F.col("d2").alias("distance"))
+    # counts by bins of the distance's logarithm tell the bin that holds the n-th; only its rows are ranked
+    place = F.floor(64 * F.log2(F.greatest("d2", F.lit(1e-300))))
+    outside = d.where("of <> cluster").select(F.col("of").alias("cluster"), "d2", place.alias("bin"))
+    run = Window.partitionBy("cluster").orderBy("bin")
+    counts = outside.groupBy("cluster", "bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(run))
+    wanted = counts.join(sizes, "cluster").where((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("c") < F.col("n")))
+    wanted = wanted.select("cluster", "bin", (F.col("n") - F.col("upto") + F.col("c")).alias("k"))
+    inside = outside.join(F.broadcast(wanted), ["cluster", "bin"])  # a row a cluster
+    found = inside.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("d2"))).where("r = k")
+    return sizes.join(found, "cluster", "left").select("cluster", "n", F.col("d2").alias("distance"))
 
 
 def l_ratio(rows: DataFrame, features: str, cluster: str, df: int = 4) -> DataFrame:
@@ -139,9 +148,12 @@ def states(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> Da
 def assemblies(z: DataFrame, units: int, bins: int) -> DataFrame:
     """(assembly, unit, weight, eigenvalue) of the components that chance cannot explain.
 
-    Eigenvectors of the correlations above the Marchenko-Pastur edge; the
-    matrix is units by units, a size that does not grow with time.
+    Eigenvectors of the correlations above the Marchenko-Pastur edge. The
+    matrix is units by units, a size that does not grow with time; more than
+    MOST_UNITS units are refused.
     """
+    if units > MOST_UNITS or z.select("unit").distinct().count() > MOST_UNITS:
+        raise ValueError(f"a matrix of more than {MOST_UNITS} units a side")
     pairs = template(z, bins).collect()
     names = sorted({r.a for r in pairs} | {r.b for r in pairs})
     place = {u: i for i, u in enumerate(names)}

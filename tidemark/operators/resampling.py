@@ -2,7 +2,7 @@
 
 Each repetition is a key; rows are copied to the repetitions and drawn or
 shuffled by hashes of (row, repetition, seed), which gives the same result on
-every run and after a lost executor. No repetition needs all rows in a task.
+every run and after a lost executor. No repetition has all its rows in a task.
 """
 
 from __future__ import annotations
@@ -46,15 +46,30 @@ def permutation_difference(rows: DataFrame, value: str, group: str, a, b, key: s
     """(by, difference, p): difference of two groups' means against shuffled labels.
 
     A shuffle gives the label ``a`` to the right number of rows of lowest hash.
+    Counts by bins of the hash tell in which bin that number is reached; rows
+    of lower bins are only added up, and those of that bin, one in 4,096, ranked.
     """
     x = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
-    observed = x.groupBy(*by).agg(F.avg(F.when(F.col(group) == a, F.col(value))).alias("_ma"), F.avg(F.when(F.col(group) == b, F.col(value))).alias("_mb"), F.count(F.when(F.col(group) == a, 1)).alias("_na"))
-    rank = F.row_number().over(Window.partitionBy(*by, "repetition").orderBy(F.xxhash64(key, "repetition", F.lit(seed)), key))
-    mixed = repeated(x, n).withColumn("_k", rank).join(observed, list(by))
-    first = F.col("_k") <= F.col("_na")
-    drawn = mixed.groupBy(*by, "repetition").agg((F.avg(F.when(first, F.col(value))) - F.avg(F.when(~first, F.col(value)))).alias("_d"))
-    tested = drawn.join(observed, list(by)).withColumn("_beyond", (F.abs("_d") >= F.abs(F.col("_ma") - F.col("_mb"))).cast("int"))
-    return tested.groupBy(*by).agg(F.first(F.col("_ma") - F.col("_mb")).alias("difference"), ((F.sum("_beyond") + 1) / (F.count("*") + 1)).alias("p"))
+    mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
+    observed = x.groupBy(*by).agg((mean(a) - mean(b)).alias("difference"), F.count(F.when(F.col(group) == a, 1)).alias("na"), F.count("*").alias("all"), F.sum(value).alias("whole"))
+    h = F.xxhash64(key, "repetition", F.lit(seed))
+    mixed = repeated(x.select(*by, key, F.col(value).alias("v")), n).withColumn("h", h).withColumn("bin", F.shiftright("h", 52))
+    keys = [*by, "repetition"]
+    bins = mixed.groupBy(*keys, "bin").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    upto = Window.partitionBy(*keys).orderBy("bin")
+    running = bins.select(*keys, "bin", (F.sum("c").over(upto) - F.col("c")).alias("before"), "c", F.coalesce(F.sum("s").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("below"))
+    at = _join(running, observed, by).where((F.col("before") < F.col("na")) & (F.col("before") + F.col("c") >= F.col("na")))
+    edge = at.select(*keys, "bin", (F.col("na") - F.col("before")).alias("k"), "below")
+    ranked = mixed.join(edge, [*keys, "bin"]).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", key)))
+    drawn = ranked.groupBy(*keys).agg((F.first("below") + F.sum(F.when(F.col("r") <= F.col("k"), F.col("v")).otherwise(0.0))).alias("s"))
+    other = (F.col("whole") - F.col("s")) / (F.col("all") - F.col("na"))
+    tested = _join(drawn, observed, by).withColumn("beyond", (F.abs(F.col("s") / F.col("na") - other) >= F.abs("difference") * (1 - 1e-12)).cast("int"))
+    return tested.groupBy(*by).agg(F.first("difference").alias("difference"), ((F.sum("beyond") + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def _join(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their group's columns; without keys there is one group, a row of fixed size."""
+    return rows.join(groups, list(by)) if by else rows.join(F.broadcast(groups.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
 
 
 def jittered(points: DataFrame, key: str, reach: float, n: int, t: str = "t", seed: int = 0) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A series is cut into segments of equal numbers of samples; each one is sent to
 a task with as many samples of its neighbours as the transform looks at, so
-that results do not depend on where the cuts are, and a series of any length
-is dealt over tasks.
+that a series of any length is dealt over tasks. Results do not depend on
+where the cuts are if the transform looks no farther than the halo, as filters
+do; the Fourier phase looks at all samples, so near a cut it is approximate.
+Samples on both sides of a gap are not neighbours.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _no_rows(names: Sequence[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
+
+
 def over_segments(samples: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], value: str, by: Sequence[str], added: str, rate: float, segment: int = 65_536, halo: int = 4_096, t: str = "t") -> DataFrame:
     """Apply ``f`` to the values of each segment with its halo, in time order.
 
     ``f`` gives arrays as long as its input, the columns of ``added`` (a schema
-    string); those of the halo are dropped. Beyond the ends of a series the
-    values are mirrored.
+    string); those of the halo are dropped. Beyond the ends of a series, and of
+    each stretch without a missing sample, the values are mirrored.
     """
     at = F.round(F.col(t) * rate).cast("bigint")
     own = F.floor(at / segment)
@@ -35,16 +41,18 @@ def over_segments(samples: DataFrame, f: Callable[[np.ndarray], dict[str, np.nda
         group = group.sort_values("_at", kind="stable")
         mine = (group["_own"] == group["_segment"]).to_numpy()
         if not mine.any():
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in schema.names})
-        x = group[value].to_numpy(float)
-        first = group["_at"].to_numpy()
-        left = halo if first[0] >= group["_segment"].iloc[0] * segment else 0
-        right = halo if first[-1] < (group["_segment"].iloc[0] + 1) * segment else 0
-        reach = len(x) - 1
-        left, right = min(left, reach), min(right, reach)
-        padded = np.pad(x, (left, right), "reflect") if reach else x
-        made = {k: v[left : left + len(x)][mine] for k, v in f(padded).items()}
-        return group.loc[mine, names].assign(**made)[schema.names]
+            return _no_rows(schema.names)
+        x, place = group[value].to_numpy(float), group["_at"].to_numpy()
+        begin = group["_segment"].iloc[0] * segment
+        stretches = [s for s in np.split(np.arange(len(x)), np.flatnonzero(np.diff(place) > 1) + 1) if mine[s].any()]
+        parts = []
+        for s in stretches:
+            left = min(halo if place[s[0]] > begin - halo else 0, len(s) - 1)
+            right = min(halo if place[s[-1]] < begin + segment - 1 + halo else 0, len(s) - 1)
+            made = f(np.pad(x[s], (left, right), "reflect") if len(s) > 1 else x[s])
+            parts.append({k: v[left : left + len(s)][mine[s]] for k, v in made.items()})
+        own = group.iloc[np.concatenate([s[mine[s]] for s in stretches])][names]
+        return own.assign(**{k: np.concatenate([p[k] for p in parts]) for k in parts[0]})[schema.names]
 
     return copied.groupBy(*by, "_segment").applyInPandas(run, schema)
 
@@ -97,35 +105,120 @@ def tapers(n: int, half_bandwidth: float, k: int) -> np.ndarray:
     return vectors[:, ::-1][:, :k].T
 
 
-def spectrogram(samples: DataFrame, value: str, by: Sequence[str], rate: float, window: int, step: int, half_bandwidth: float = 3.0, n_tapers: int = 5, t: str = "t") -> DataFrame:
-    """Multitaper power: keys, ``t`` (window centre), ``f``, ``power``.
+def _windows(samples: DataFrame, values: Sequence[str], by: Sequence[str], rate: float, window: int, step: int, t: str, added: str, f: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """Keys, ``t`` (window centre) and what ``f`` makes of a window's values (samples by columns).
 
     Windows of ``window`` samples begin every ``step`` samples; incomplete ones
-    are left out.
+    are left out. ``added`` is the schema of the arrays that ``f`` returns.
     """
-    v = tapers(window, half_bandwidth, n_tapers)
-    frequencies = np.fft.rfftfreq(window, 1 / rate)
     at = F.round(F.col(t) * rate).cast("bigint")
     last = F.floor(at / step)
     copies = F.explode(F.sequence(F.greatest(last - (window - 1) // step, F.lit(0)), last))
-    numbered = samples.select(*by, value, at.alias("_at"), copies.alias("_w")).where(F.col("_at") < F.col("_w") * step + window)
-    fields = [f for f in samples.schema.fields if f.name in by]
-    schema = T.StructType([*fields, T.StructField("t", T.DoubleType()), T.StructField("f", T.DoubleType()), T.StructField("power", T.DoubleType())])
+    numbered = samples.select(*by, *values, at.alias("_at"), copies.alias("_w")).where(F.col("_at") < F.col("_w") * step + window)
+    schema = T.StructType([*(x for x in samples.schema.fields if x.name in by), T.StructField("t", T.DoubleType()), *T.StructType.fromDDL(added).fields])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) < window:
-            return pd.DataFrame({c: pd.Series(dtype=float) for c in schema.names})
-        x = group.sort_values("_at")[value].to_numpy(float)
-        power = (np.abs(np.fft.rfft(v * (x - x.mean()), axis=1)) ** 2).mean(0) / rate
-        out = pd.DataFrame({"t": (group["_w"].iloc[0] * step + window / 2) / rate, "f": frequencies, "power": power})
-        return out.assign(**{c: group[c].iloc[0] for c in by})[schema.names]
+            return _no_rows(schema.names)
+        made = f(group.sort_values("_at")[list(values)].to_numpy(float))
+        out = pd.DataFrame({"t": (group["_w"].iloc[0] * step + window / 2) / rate, **made})
+        return out.assign(**{c: pd.Series([group[c].iloc[0]] * len(out), dtype=object) for c in by})[schema.names]
 
     return numbered.groupBy(*by, "_w").applyInPandas(run, schema)
 
 
-def band_power(spectra: DataFrame, by: Sequence[str], bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """Mean power in named frequency bands at each time."""
-    return spectra.groupBy(*by, "t").agg(*[F.avg(F.when(F.col("f").between(a, b), F.col("power"))).alias(k) for k, (a, b) in bands.items()])
+def spectrogram(samples: DataFrame, value: str, by: Sequence[str], rate: float, window: int, step: int, half_bandwidth: float = 3.0, n_tapers: int = 5, t: str = "t") -> DataFrame:
+    """Multitaper power of successive windows: keys, ``t`` (window centre), ``f``, ``power``."""
+    v = tapers(window, half_bandwidth, n_tapers)
+    frequencies = np.fft.rfftfreq(window, 1 / rate)
+
+    def power(x: np.ndarray) -> dict[str, np.ndarray]:
+        return {"f": frequencies, "power": (np.abs(np.fft.rfft(v * (x[:, 0] - x.mean()), axis=1)) ** 2).mean(0) / rate}
+
+    return _windows(samples, [value], by, rate, window, step, t, "f double, power double", power)
+
+
+def spectrum(spectra: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean power over the windows of a spectrogram at each frequency, with its standard error: keys, f, power, error, n."""
+    n = F.count("power")
+    return spectra.groupBy(*by, "f").agg(F.avg("power").alias("power"), (F.stddev_samp("power") / F.sqrt(n)).alias("error"), n.alias("n"))
+
+
+def coherogram(samples: DataFrame, a: str, b: str, by: Sequence[str], rate: float, window: int, step: int, half_bandwidth: float = 3.0, n_tapers: int = 5, t: str = "t") -> DataFrame:
+    """Multitaper coherence of two signals: keys, ``t``, ``f``, ``coherence``, ``phase`` of b against a, power of both, and the cross spectrum's parts."""
+    v = tapers(window, half_bandwidth, n_tapers)
+    frequencies = np.fft.rfftfreq(window, 1 / rate)
+
+    def cross(x: np.ndarray) -> dict[str, np.ndarray]:
+        ja, jb = (np.fft.rfft(v * (c - c.mean()), axis=1) for c in x.T)
+        s, pa, pb = (np.conj(ja) * jb).mean(0) / rate, (np.abs(ja) ** 2).mean(0) / rate, (np.abs(jb) ** 2).mean(0) / rate
+        both = np.sqrt(pa * pb)
+        coherence = np.divide(np.abs(s), both, out=np.zeros(len(s)), where=both > 0)
+        return {"f": frequencies, "coherence": coherence, "phase": np.angle(s), "power_a": pa, "power_b": pb, "real": s.real, "imaginary": s.imag}
+
+    return _windows(samples, [a, b], by, rate, window, step, t, "f double, coherence double, phase double, power_a double, power_b double, real double, imaginary double", cross)
+
+
+def coherence(spectra: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Coherence and phase at each frequency from the spectra of all windows of a coherogram together."""
+    re, im = F.avg("real"), F.avg("imaginary")
+    both = F.sqrt(F.avg("power_a") * F.avg("power_b"))
+    return spectra.groupBy(*by, "f").agg(F.when(both > 0, F.hypot(re, im) / both).otherwise(0.0).alias("coherence"), F.atan2(im, re).alias("phase"), F.count("*").alias("n"))
+
+
+def point_spectrogram(points: DataFrame, by: Sequence[str], rate: float, window: int, step: int, half_bandwidth: float = 3.0, n_tapers: int = 5, t: str = "t") -> DataFrame:
+    """Multitaper power of a point process: keys, ``t`` (window centre), ``f``, ``power``, ``n``.
+
+    Windows and tapers count steps of ``1 / rate``; tapers are interpolated at
+    the points, and what the mean rate alone gives is taken out. Windows
+    without a point are left out.
+    """
+    v = tapers(window, half_bandwidth, n_tapers) * np.sqrt(rate)
+    frequencies = np.fft.rfftfreq(window, 1 / rate)
+    flat = np.fft.rfft(v, axis=1) / rate
+    length, hop = window / rate, step / rate
+    last = F.floor(F.col(t) / hop)
+    copies = F.explode(F.sequence(F.greatest(last - (window - 1) // step, F.lit(0)), last))
+    copied = points.select(*by, F.col(t).alias("_t"), copies.alias("_w")).where(F.col("_t") < F.col("_w") * hop + length)
+    schema = T.StructType([*(x for x in points.schema.fields if x.name in by), *T.StructType.fromDDL("t double, f double, power double, n long").fields])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        begin = group["_w"].iloc[0] * hop
+        x = group["_t"].to_numpy(float) - begin
+        at = np.array([np.interp(x * rate, np.arange(window), row) for row in v])
+        j = at @ np.exp(-2j * np.pi * np.outer(x, frequencies)) - flat * len(x) / length
+        out = pd.DataFrame({"t": begin + length / 2, "f": frequencies, "power": (np.abs(j) ** 2).mean(0), "n": len(x)})
+        return out.assign(**{c: pd.Series([group[c].iloc[0]] * len(out), dtype=object) for c in by})[schema.names]
+
+    return copied.groupBy(*by, "_w").applyInPandas(run, schema)
+
+
+def wavelet_power(samples: DataFrame, value: str, by: Sequence[str], rate: float, frequencies: Sequence[float], cycles: float = 6.0, **options) -> DataFrame:
+    """Add ``power``, an array by frequency: squared size of the convolution with complex Morlet waves of unit gain.
+
+    A wave is cut at four deviations, so a halo of that many samples of the
+    lowest frequency makes the cuts into segments exact.
+    """
+    waves = []
+    for f in frequencies:
+        sigma = cycles / (2 * np.pi * f) * rate
+        k = np.arange(-int(np.ceil(4 * sigma)), int(np.ceil(4 * sigma)) + 1)
+        g = np.exp(-0.5 * (k / sigma) ** 2)
+        waves.append(2 * g / g.sum() * np.exp(2j * np.pi * f / rate * k))
+    halo = max((len(w) // 2 for w in waves), default=0)
+
+    def f(x: np.ndarray) -> dict[str, np.ndarray]:
+        power = np.stack([np.abs(np.convolve(np.pad(x, len(w) // 2, "edge"), w, "valid")) ** 2 for w in waves], 1)
+        out = np.empty(len(x), object)
+        out[:] = list(power)
+        return {"power": out}
+
+    return over_segments(samples, f, value, by, "power array<double>", rate, halo=halo, **options)
+
+
+def band_power(spectra: DataFrame, by: Sequence[str], bands: dict[str, tuple[float, float]], value: str = "power") -> DataFrame:
+    """Mean power, or another ``value`` as coherence, in named frequency bands at each time."""
+    return spectra.groupBy(*by, "t").agg(*[F.avg(F.when(F.col("f").between(a, b), F.col(value))).alias(k) for k, (a, b) in bands.items()])
 
 
 def ripples(filtered: DataFrame, value: str, by: Sequence[str], rate: float, low: float = 2.0, high: float = 5.0, frame: int = 11, merge: float = 0.03, shortest: float = 0.02, longest: float = 0.1, t: str = "t") -> DataFrame:

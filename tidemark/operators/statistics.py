@@ -129,3 +129,62 @@ def otsu(rows: DataFrame, value: str, low: float, high: float, n: int) -> DataFr
     s = counts.withColumns({"w": F.sum("c").over(run), "m": F.sum(m).over(run), "tw": F.sum("c").over(whole), "tm": F.sum(m).over(whole)}).where("w < tw")
     between = F.pow(F.col("tm") * F.col("w") / F.col("tw") - F.col("m"), 2) / (F.col("w") * (F.col("tw") - F.col("w")))
     return s.agg(F.max_by("bin", F.struct(between, -F.col("bin"))).alias("bin"))
+
+
+def circular_anova(rows: DataFrame, angle: str, group: str) -> DataFrame:
+    """Equal mean directions of groups (Watson and Williams): statistic, degrees of freedom, p.
+
+    Statistics at a mean concentration between 2 and 10 get Stephens' factor.
+    """
+    a = F.col(angle)
+    g = rows.where(a.isNotNull()).groupBy(group).agg(F.count(a).alias("n"), F.sum(F.cos(a)).alias("c"), F.sum(F.sin(a)).alias("s"))
+    each = g.withColumn("r", F.hypot("c", "s") / F.col("n")).withColumn("k", C.concentration(F.col("r"), F.col("n")))
+    sums = each.agg(F.count("*").alias("q"), F.sum("n").alias("n"), F.hypot(F.sum("c"), F.sum("s")).alias("whole"), F.sum(F.col("n") * F.col("r")).alias("within"), (F.sum(F.col("n") * F.col("k")) / F.sum("n")).alias("kappa"))
+    ratio = (F.col("n") - F.col("q")) / (F.col("q") - 1) * (F.col("within") - F.col("whole")) / (F.col("n") - F.col("within"))
+    factor = F.when((F.col("kappa") > 2) & (F.col("kappa") < 10), 1 + 3 / (8 * F.col("kappa"))).otherwise(1.0)
+    made = sums.select((ratio * factor).alias("f"), (F.col("q") - 1).alias("df1"), (F.col("n") - F.col("q")).alias("df2"))
+    return made.withColumn("p", udf_of(f_tail)("f", "df1", "df2"))
+
+
+def circular_interval(rows: DataFrame, angle: str, by: Sequence[str], z: float = 1.959963984540054) -> DataFrame:
+    """Mean direction with its interval of ``z`` standard errors (large samples, Fisher): n, mean, low, high."""
+    a = F.col(angle)
+    s = rows.groupBy(*by).agg(F.count(a).alias("n"), C.circular_mean(a).alias("mean"), C.resultant(a).alias("r1"), C.resultant(2 * a).alias("r2"))
+    reach = z * F.sqrt((1 - F.col("r2")) / (2 * F.col("r1") ** 2) / F.col("n"))
+    error = F.when(reach < 1, F.asin(F.least(reach, F.lit(1.0)))).otherwise(F.lit(3.141592653589793))
+    return s.select(*by, "n", "mean", (F.col("mean") - error).alias("low"), (F.col("mean") + error).alias("high"))
+
+
+def multinomial_intervals(rows: DataFrame, kind: str, alpha: float = 0.05) -> DataFrame:
+    """Share of each kind with simultaneous bounds (Fitzpatrick and Scott): n, share, low, high."""
+    wide = {0.1: 1.0, 0.05: 1.13, 0.01: 1.4}
+    if alpha not in wide:
+        raise ValueError(f"alpha must be one of {sorted(wide)}")
+    counts = rows.groupBy(kind).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("_all"))
+    share, b = F.col("n") / F.col("_all"), wide[alpha] / F.sqrt("_all")
+    joined = counts.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")  # one row
+    return joined.select(kind, "n", share.alias("share"), F.greatest(share - b, F.lit(0.0)).alias("low"), F.least(share + b, F.lit(1.0)).alias("high"))
+
+
+def cdf_at(samples: DataFrame, points: DataFrame, value: str, by: Sequence[str], cell: float | None = None) -> DataFrame:
+    """Points with ``p``, the share of the samples of equal keys below their value.
+
+    With a ``cell``, a length of the value, one key's values are dealt over tasks.
+    """
+    from .series import running_sum
+
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    asked = points.select(*by, value).where(F.col(value).isNotNull()).distinct().withColumn("_n", F.lit(0).cast("bigint"))
+    steps = counts.unionByName(asked).groupBy(*by, value).agg(F.sum("_n").alias("_n"))
+    below = running_sum(steps, F.col("_n"), by, value, cell, "_upto").withColumn("_below", F.col("_upto") - F.col("_n")).drop("_upto", "_n")
+    whole = samples.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_all"))
+    found = points.join(below, [*by, value])
+    whole = found.join(whole, list(by)) if by else found.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return whole.withColumn("p", F.col("_below") / F.col("_all")).drop("_below", "_all")
+
+
+def residual_correlation(rows: DataFrame, x: str, y: str, control: str, by: Sequence[str]) -> DataFrame:
+    """Correlation of what is left of x and y after regression on ``control``, by group."""
+    left = residuals(residuals(rows, control, x, by).withColumnRenamed("residual", "_rx"), control, y, by)
+    return left.groupBy(*by).agg(F.corr("_rx", "residual").alias("r"), F.count("*").alias("n"))

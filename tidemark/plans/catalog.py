@@ -661,8 +661,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

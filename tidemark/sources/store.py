@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import getpass
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,34 @@ SCHEMA = "eid string, name string, comments string, parameters string, code stri
 
 
 class ResultStore:
-    """Results in a Parquet folder, one row for each (eid, name)."""
+    """Results in Parquet folders, one row for each (eid, name).
+
+    Each version of the table is a folder; the last of the numbered pointers
+    names the one that counts. One writer at a time: two that add the same key at once are
+    not told apart.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _current(self) -> str:
+        """Folder of the version that counts: of the pointers the last one."""
+        root = self._path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        pointers = sorted(n for n in names if n.startswith("current-"))
+        return f"{self.path}/{pointers[-1].split('@')[1]}" if pointers else f"{self.path}/version-0"
+
+    def _point(self, version: str) -> None:
+        root = self._path(self.path)
+        pointers = sorted(f.getPath().getName() for f in self._fs.listStatus(root) if f.getPath().getName().startswith("current-"))
+        n = int(pointers[-1].split("@")[0].split("-")[1]) + 1 if pointers else 1
+        self._fs.create(self._path(f"{self.path}/current-{n:08d}@{version}"), False).close()
 
     def rows(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(SCHEMA).parquet(self._current())
         except Exception as e:  # nothing stored yet
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], SCHEMA)
@@ -32,7 +53,7 @@ class ResultStore:
         clash = twice.unionByName(there).first()
         if clash:
             raise ValueError(f"already stored: {clash.eid}, {clash.name}")
-        made.write.mode("append").parquet(self.path)
+        made.write.mode("append").parquet(self._current())
 
     def get(self, where: str = "true", output: str = "full") -> DataFrame:
         """Rows under an SQL condition: ``full``, ``info`` (no payload), ``keys`` or ``variables``."""
@@ -40,13 +61,14 @@ class ResultStore:
         return {"full": rows, "info": rows.drop("payload"), "keys": rows.select("eid", "name"), "variables": rows.select("eid", "name", "payload")}[output]
 
     def remove(self, where: str) -> None:
-        """Delete rows under an SQL condition; the rest is written beside and swapped in."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        self.rows().where(f"not coalesce({where}, false)").write.mode("overwrite").parquet(self.path + ".next")
-        old, new = fs_path(self.path), fs_path(self.path + ".next")
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Delete rows under an SQL condition.
+
+        What is left is written as a version of its own, and then the pointer
+        to the version is changed, so that a crash leaves the old or the new one.
+        """
+        left = f"{self.path}/version-{uuid.uuid4().hex}"
+        self.rows().where(f"not coalesce({where}, false)").write.parquet(left)
+        self._point(left.rsplit("/", 1)[1])
 
 
 def match_values(a: DataFrame, b: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame, DataFrame]:
