@@ -158,3 +158,26 @@ def log_factorial(n: Column) -> Column:
     series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
     between = sum((F.log(n + k) for k in range(2, 11)), F.log(n + 1))
     return F.when(n >= 0, series - between)
+
+
+def portion(flag: Column) -> Column:
+    """Share of rows whose flag is true, nulls counting as false; an aggregate."""
+    return F.sum(F.coalesce(flag, F.lit(False)).cast("int")) / F.count("*")
+
+
+def circular_steps(n: int, around_zero: bool = True) -> Column:
+    """Array of ``n`` evenly spaced angles, from -pi or from 0."""
+    start = -math.pi if around_zero else 0.0
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: start + k * (2 * math.pi / n))
+
+
+def gamma_steps(a: float, b: float, gamma: float, n: int) -> Column:
+    """Array of ``n`` values from a to b, evenly spaced but for the power of one over ``gamma``."""
+    power = gamma if a > b else 1 / gamma
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.pow(k / (n - 1), F.lit(power)) * (b - a) + a)
+
+
+def steps(start: Column, stop: Column, step: Column | float = 1.0) -> Column:
+    """Array of start, start + step and so on up to stop; explode it for a row each."""
+    n = F.floor((stop - start) / step + 1e-9)
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda k: start + k * step)).otherwise(F.array().cast("array<double>"))

@@ -171,8 +171,7 @@ def find_field(cells: DataFrame, value: str, axes: Sequence[str], share: float =
         return group.loc[sorted(seen), names].assign(size=len(seen))
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "size long"])
-    grouped = cells.select(*names).groupBy(*by) if by else cells.select(*names).groupBy(F.lit(0))
-    return grouped.applyInPandas(field, schema)
+    return cells.select(*names).withColumn("_one", F.lit(0)).groupBy(*by, "_one").applyInPandas(field, schema)
 
 
 def rate_map(samples: DataFrame, points: DataFrame, axes: dict[str, tuple[float, float, int]], by: Sequence[str], longest: float, width: float, least_time: float = 0.0, t: str = "t", cell: float | None = None) -> DataFrame:

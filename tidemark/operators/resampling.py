@@ -51,20 +51,20 @@ def permutation_difference(rows: DataFrame, value: str, group: str, a, b, key: s
     """
     x = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
-    observed = x.groupBy(*by).agg((mean(a) - mean(b)).alias("difference"), F.count(F.when(F.col(group) == a, 1)).alias("na"), F.count("*").alias("all"), F.sum(value).alias("whole"))
+    observed = x.groupBy(*by).agg((mean(a) - mean(b)).alias("difference"), F.count(F.when(F.col(group) == a, 1)).alias("_na"), F.count("*").alias("_all"), F.sum(value).alias("_whole"))
     h = F.xxhash64(key, "repetition", F.lit(seed))
-    mixed = repeated(x.select(*by, key, F.col(value).alias("v")), n).withColumn("h", h).withColumn("bin", F.shiftright("h", 52))
+    mixed = repeated(x.select(*by, key, F.col(value).alias("_v")), n).withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 52))
     keys = [*by, "repetition"]
-    bins = mixed.groupBy(*keys, "bin").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
-    upto = Window.partitionBy(*keys).orderBy("bin")
-    running = bins.select(*keys, "bin", (F.sum("c").over(upto) - F.col("c")).alias("before"), "c", F.coalesce(F.sum("s").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("below"))
-    at = _join(running, observed, by).where((F.col("before") < F.col("na")) & (F.col("before") + F.col("c") >= F.col("na")))
-    edge = at.select(*keys, "bin", (F.col("na") - F.col("before")).alias("k"), "below")
-    ranked = mixed.join(edge, [*keys, "bin"]).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", key)))
-    drawn = ranked.groupBy(*keys).agg((F.first("below") + F.sum(F.when(F.col("r") <= F.col("k"), F.col("v")).otherwise(0.0))).alias("s"))
-    other = (F.col("whole") - F.col("s")) / (F.col("all") - F.col("na"))
-    tested = _join(drawn, observed, by).withColumn("beyond", (F.abs(F.col("s") / F.col("na") - other) >= F.abs("difference") * (1 - 1e-12)).cast("int"))
-    return tested.groupBy(*by).agg(F.first("difference").alias("difference"), ((F.sum("beyond") + 1) / (F.count("*") + 1)).alias("p"))
+    bins = mixed.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    upto = Window.partitionBy(*keys).orderBy("_bin")
+    running = bins.select(*keys, "_bin", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), "_c", F.coalesce(F.sum("_s").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_below"))
+    at = _join(running, observed, by).where((F.col("_before") < F.col("_na")) & (F.col("_before") + F.col("_c") >= F.col("_na")))
+    edge = at.select(*keys, "_bin", (F.col("_na") - F.col("_before")).alias("_k"), "_below")
+    ranked = mixed.join(edge, [*keys, "_bin"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key)))
+    drawn = ranked.groupBy(*keys).agg((F.first("_below") + F.sum(F.when(F.col("_r") <= F.col("_k"), F.col("_v")).otherwise(0.0))).alias("_s"))
+    other = (F.col("_whole") - F.col("_s")) / (F.col("_all") - F.col("_na"))
+    tested = _join(drawn, observed, by).withColumn("_beyond", (F.abs(F.col("_s") / F.col("_na") - other) >= F.abs("difference") * (1 - 1e-12)).cast("int"))
+    return tested.groupBy(*by).agg(F.first("difference").alias("difference"), ((F.sum("_beyond") + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def _join(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:

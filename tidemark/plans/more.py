@@ -79,7 +79,7 @@ _DY = _GRID.format(c="l_discount", lo=0.0, w=0.1, n=6)
 
 def _phase_sql(axes: dict[str, tuple[str, int]]) -> str:
     names = ", ".join(axes)
-    grid = ", ".join(f"range(1, {n + 1}) {c}_r({c})" for c, (_, n) in axes.items())
+    grid = "(SELECT * FROM " + ", ".join(f"range(1, {n + 1}) {c}_r({c})" for c, (_, n) in axes.items()) + ") g"
     return f"WITH b AS (SELECT {', '.join(f'{e} AS {c}' for c, (e, _) in axes.items())}, {ANGLE} AS a FROM lineitem), s AS (SELECT {names}, count(*) AS n, atan2(avg(sin(a)), avg(cos(a))) AS phase, sqrt(avg(cos(a)) ** 2 + avg(sin(a)) ** 2) AS r FROM b GROUP BY {names}) SELECT {names}, coalesce(n, 0) AS n, round(phase, 6) AS phase, round(r, 6) AS r FROM {grid} LEFT JOIN s USING ({names})"
 
 
@@ -103,7 +103,7 @@ def short_time_ccg(spark, d):
 
 
 @query(f"""WITH RECURSIVE b AS (SELECT {_QX} AS x, {_DY} AS y FROM lineitem), s AS (SELECT x, y, count(*) AS n FROM b GROUP BY ALL),
-  g AS (SELECT x, y, coalesce(n, 0) AS n FROM range(1, 11) r(x), range(1, 7) q(y) LEFT JOIN s USING (x, y)),
+  g AS (SELECT x, y, coalesce(n, 0) AS n FROM (SELECT * FROM range(1, 11) r(x), range(1, 7) q(y)) e LEFT JOIN s USING (x, y)),
   f(x, y) AS (SELECT x, y FROM (SELECT x, y FROM g ORDER BY n DESC, x, y LIMIT 1) UNION SELECT g.x, g.y FROM f JOIN g ON abs(g.x - f.x) + abs(g.y - f.y) = 1 WHERE g.n >= 0.9 * (SELECT max(n) FROM g))
   SELECT f.x AS l_quantity, f.y AS l_discount, g.n, (SELECT count(*) FROM f) AS size FROM f JOIN g USING (x, y)""")
 def find_field(spark, d):
@@ -195,7 +195,7 @@ def corr_residuals(spark, d):
 # --- ordered rows -------------------------------------------------------------------
 
 
-@query(f"WITH {EV}, r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t) AS place FROM ev), b AS (SELECT user_id, event_id, place AS at, 0 AS line FROM r UNION ALL SELECT user_id, -event_id, place, 1 FROM r WHERE event_type = 'purchase') SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY at, line) AS INTEGER) AS place FROM b")
+@query(f"WITH {EV}, r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t) AS place FROM ev), b AS (SELECT user_id, event_id, place AS spot, 0 AS line FROM r UNION ALL SELECT user_id, -event_id, place, 1 FROM r WHERE event_type = 'purchase') SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY spot, line) AS INTEGER) AS place FROM b")
 def insert_rows(spark, d):
     from ..operators.series import ranked
 
@@ -292,3 +292,83 @@ def permutation_test(spark, d):
 
     got = R.permutation_difference(events(spark, d), "value", "event_type", "click", "view", "event_id", [], 200)
     return got.select(F.round("difference", 6).alias("difference"), F.round("p", 6).alias("p"))
+
+
+# --- fields, distributions and phases ------------------------------------------------
+
+
+@query("WITH l AS (SELECT min(value) - (max(value) - min(value)) / 5 AS a, max(value) + (max(value) - min(value)) / 5 AS b FROM events), c AS (SELECT event_type, greatest(1, least(30, CAST(floor((value - a) / (b - a) * 30) AS INTEGER) + 1)) AS bin, count(*) AS n, any_value(a) AS a, any_value(b) AS b FROM events, l WHERE value IS NOT NULL GROUP BY 1, 2) SELECT event_type, bin, round(a + (bin - 0.5) * (b - a) / 30, 6) AS center, round(n / sum(n) OVER (PARTITION BY event_type), 9) AS share FROM c")
+def distribution(spark, d):
+    from ..operators.fields import distribution as f
+
+    got = f(events(spark, d), "value", ["event_type"], 30)
+    return got.select("event_type", "bin", F.round("center", 6).alias("center"), F.round("share", 9).alias("share"))
+
+
+@query("WITH e AS (SELECT event_id, event_type, value % 6 AS p FROM events WHERE value IS NOT NULL), c AS (SELECT p, count(*) AS n FROM e WHERE event_type = 'view' GROUP BY 1), f AS (SELECT p, CASE WHEN p = (SELECT min(p) FROM c) THEN 0 ELSE sum(n) OVER (ORDER BY p) / (SELECT sum(n) FROM c) END * 2 * pi() AS y FROM c), q AS (SELECT event_id, p FROM e WHERE event_type = 'click'), lo AS (SELECT q.event_id, q.p, f.p AS p0, f.y AS y0 FROM q ASOF LEFT JOIN f ON q.p >= f.p), hi AS (SELECT q.event_id, f.p AS p1, f.y AS y1 FROM q ASOF LEFT JOIN f ON q.p <= f.p) SELECT event_id, round(CASE WHEN p0 = p1 THEN y0 ELSE y0 + (y1 - y0) / (p1 - p0) * (p - p0) END, 6) AS corrected FROM lo JOIN hi USING (event_id)")
+def uniform_phases(spark, d):
+    from ..operators.fields import uniform_phases as f
+
+    phased = events(spark, d).where("value is not null").withColumn("phase", F.col("value") % 6)
+    got = f(phased.where("event_type = 'click'").select("event_id", "phase"), phased.where("event_type = 'view'").select("phase"), [], cell=0.5)
+    return got.select("event_id", F.round("corrected", 6).alias("corrected"))
+
+
+@query(f"WITH {EV}, g AS (SELECT user_id, regr_slope(value, t - 1704067200.0) AS b, regr_intercept(value, t - 1704067200.0) AS a FROM ev GROUP BY 1) SELECT event_id, round(value - a - b * (t - 1704067200.0), 5) AS detrended FROM ev JOIN g USING (user_id)")
+def detrended(spark, d):
+    from ..operators.fields import detrended as f
+
+    return f(events(spark, d).withColumn("t", F.col("t") - 1704067200.0), "value", USER).select("event_id", F.round("detrended", 5).alias("detrended"))
+
+
+@query("WITH b AS (SELECT CAST(l_quantity AS INTEGER) AS r, l_linenumber AS c, count(*) AS n FROM lineitem GROUP BY 1, 2), o AS (SELECT r, c FROM b WHERE n >= (SELECT 0.97 * max(n) FROM b)), g AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS BIGINT) AS c FROM range(1, 51) x(r), range(1, 8) y(c)) SELECT CAST(g.r AS BIGINT) AS row, g.c AS column, round(min(sqrt((g.r - o.r) ** 2 + (g.c - o.c) ** 2)), 6) AS distance FROM g, o GROUP BY ALL")
+def distance_transform(spark, d):
+    from ..operators.fields import distance_transform as f
+
+    counts = items(spark, d).groupBy(F.col("l_quantity").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("column")).agg(F.count("*").alias("n"))
+    full = H.dense(counts, ["n"], row=50, column=7)
+    most = counts.agg(F.max("n").alias("most"))
+    flagged = full.withColumn("one", F.lit(1)).join(F.broadcast(most.withColumn("one", F.lit(1))), "one").withColumn("flag", F.col("n") >= 0.97 * F.col("most"))
+    got = f(flagged.select("row", "column", "flag"), "flag", 50)
+    return got.select(F.col("row").cast("bigint").alias("row"), F.col("column").cast("bigint").alias("column"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH m AS (SELECT l_returnflag, atan2(avg(sin({ANGLE})), avg(cos({ANGLE}))) AS m FROM lineitem GROUP BY 1), d AS (SELECT l_returnflag, abs(sin({ANGLE} - m)) AS d FROM lineitem JOIN m USING (l_returnflag)), g AS (SELECT count(*) AS n, sum(d) AS s, sum(d * d) AS q FROM d GROUP BY l_returnflag), s AS (SELECT count(*) AS r, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s, sum(s * s / n) AS b, sum(q) AS q FROM g) SELECT round((n - r) * (b - s * s / n) / ((r - 1) * (q - b)), 5) AS f, r - 1 AS df1, n - r AS df2 FROM s")
+def concentration_test(spark, d):
+    from ..operators.fields import concentration_test as f
+
+    return f(angles(spark, d), "angle", "l_returnflag").select(F.round("f", 5).alias("f"), "df1", "df2")
+
+
+@query(f"WITH {EV}, i AS (SELECT event_id, user_id, t, t - 43200.0 AS a, t + 43200.0 AS b FROM ev WHERE event_type = 'signup') SELECT i.event_id, max_by(ev.t, (ev.value, -ev.t)) AS tuned FROM i JOIN ev ON ev.user_id = i.user_id AND ev.t BETWEEN a AND b GROUP BY 1")
+def tuned_times(spark, d):
+    from ..operators.fields import tuned_times as f
+
+    return f(events(spark, d), of_type(spark, d, "signup").select("event_id", "user_id", "t"), "value", USER, 12 * HOUR, 12 * HOUR, slope=False).select("event_id", "tuned")
+
+
+@query("SELECT event_id FROM events JOIN (SELECT user_id, min(value) AS m FROM events GROUP BY 1) USING (user_id) WHERE value >= 3 * m")
+def threshold_spikes(spark, d):
+    from ..operators.fields import above_threshold
+
+    return above_threshold(events(spark, d), "value", USER, 3.0).select("event_id")
+
+
+@query("SELECT event_type, count(*) FILTER (value > 50) / count(*) AS share, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def portion(spark, d):
+    return events(spark, d).groupBy("event_type").agg(C.portion(F.col("value") > 50).alias("share"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("SELECT r_regionkey, CAST(r_regionkey + k * 0.5 AS DOUBLE) AS x FROM region, range(0, 20) r(k) WHERE r_regionkey + k * 0.5 <= r_regionkey * 2 + 1")
+def linear_steps(spark, d):
+    region = spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", F.col("r_regionkey").cast("double").alias("k"))
+    listed = region.withColumn("x", C.steps(F.col("k"), F.col("k") * 2 + 1, 0.5))
+    return listed.select("r_regionkey", F.explode("x").alias("x"))
+
+
+@query()
+def decoded_classes(spark, d):
+    from ..operators.fields import decoded_classes as f
+
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.pmod("label", F.lit(3)).cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    return f(rows, [f"x{i}" for i in range(64)], "label", "vec_id", folds=2, iterations=5).select("vec_id", F.col("predicted").cast("int").alias("predicted"))
