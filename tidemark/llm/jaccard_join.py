@@ -388,21 +388,30 @@ def _components(docs: DataFrame, k: int, percent: int, leaf: int, block: int) ->
     closest = near.groupBy("x").agg(F.max_by("p", F.struct("met", (-F.col("p")).alias("p"))).alias("p"))
     # large ones: members against the most central one, by the sizes of its regions
     large = cells.where(F.col("size") > leaf).select("region", "id", "size")
+    crowded = bool(large.limit(1).count())
     weighed = large.join(large.groupBy("id").agg(F.sum("size").alias("weight")), "id")
     pivots = weighed.groupBy("region").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("best")).select("region", (-F.col("best.id")).alias("p"))
-    members = keep(large.join(pivots, "region").select("p", F.col("id").alias("x")).distinct(), "members")
-    discard(cells)
-    asked = members.unionByName(near.select("p", "x"))
+    asked = near.select("p", "x")
+    if crowded:
+        members = keep(large.join(pivots, "region").select("p", F.col("id").alias("x")).distinct(), "members")
+        asked = asked.unionByName(members)
     texts = keep(only(docs, asked.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct()), "texts")
-    star = keep(measure(members, texts, k, percent).drop("apart"), "star")
-    found = connected_components(keep(linked(star).unionByName(linked(measure(closest, texts, k, percent))), "linked"))
+    discard(cells)
+    links = linked(measure(closest, texts, k, percent))
+    if crowded:
+        star = keep(measure(members, texts, k, percent).drop("apart"), "star")
+        links = links.unionByName(linked(star))
+        discard(members)
+    found = connected_components(keep(links, "linked"))
     labels = keep(vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     # texts are moved again only for candidates that their closest ones have not connected
     rest = between(near.select(F.col("p").alias("a"), F.col("x").alias("b")), labels).select(F.col("a").alias("p"), F.col("b").alias("x"))
     labels = connect(labels, keep(linked(measure(rest, texts, k, percent)), "linked"))
-    discard(near, members)
-    labels = divide(star, labels, sets, texts, k, percent, leaf, block)
-    discard(star, texts)
+    discard(near)
+    if crowded:
+        labels = divide(star, labels, sets, texts, k, percent, leaf, block)
+        discard(star)
+    discard(texts)
 
     component = vertices.join(labels, "id").select("set_hash", F.col("component").alias("component_id"))
     joined = sets.join(component, "set_hash", "left")

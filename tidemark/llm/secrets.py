@@ -155,7 +155,7 @@ def battery(match: Column) -> Column:
     def scores(s: Column) -> Column:
         c, m = s["c"], s["m"]
         n = F.size(c).cast("double")
-        letters = F.split(s["alphabet"], "")
+        letters = F.transform(F.array_distinct(c), lambda x: F.substring(s["alphabet"], (x + 1).cast("int"), F.lit(1)))
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
         counts = F.transform(letters, lambda k: n - F.length(F.replace(s["body"], k, F.lit(""))))
         chi = total(F.transform(counts, lambda x: x * x)) * m / n - n
