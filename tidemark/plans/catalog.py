@@ -52,6 +52,12 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", C.seconds("ts").alias("t"), "user_id", "event_type", C.finite(F.col("value")).alias("value"))
 
 
+def extent(points: DataFrame, width: float) -> tuple[int, int]:
+    """First bin of ``width`` that the times are in, and how many there are up to the last."""
+    low, high = points.agg(F.floor(F.min("t") / width), F.floor(F.max("t") / width)).first()
+    return (low, high - low + 1) if low is not None else (0, 1)
+
+
 def of_type(spark, d, kind: str) -> DataFrame:
     return events(spark, d).where(F.col("event_type") == kind)
 
@@ -518,15 +524,16 @@ def renumber(spark, d):
 # --- populations --------------------------------------------------------------
 
 
-@query(f"WITH {EV}, c AS (SELECT user_id AS u, CAST(floor((t - {T0}) / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL), p AS (SELECT x.u AS a, y.u AS b, sum(x.n * y.n) AS xy FROM c x JOIN c y ON x.b = y.b AND x.u < y.u GROUP BY ALL), m AS (SELECT u, sum(n) AS s, sum(n * n) AS q FROM c GROUP BY u) SELECT p.a, p.b, round((120.0 * xy - i.s * j.s) / sqrt((120.0 * i.q - i.s * i.s) * (120.0 * j.q - j.s * j.s)), 6) AS r FROM p JOIN m i ON i.u = p.a JOIN m j ON j.u = p.b")
+@query(f"WITH {EV}, c AS (SELECT user_id AS u, CAST(floor(t / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL), p AS (SELECT x.u AS a, y.u AS b, sum(x.n * y.n) AS xy FROM c x JOIN c y ON x.b = y.b AND x.u < y.u GROUP BY ALL), m AS (SELECT u, sum(n) AS s, sum(n * n) AS q FROM c GROUP BY u) SELECT p.a, p.b, round((k * xy - i.s * j.s) / sqrt((k * i.q - i.s * i.s) * (k * j.q - j.s * j.s)), 6) AS r FROM p JOIN m i ON i.u = p.a JOIN m j ON j.u = p.b CROSS JOIN (SELECT max(b) - min(b) + 1.0 AS k FROM c)")
 def corr_in_intervals(spark, d):
-    points = events(spark, d).withColumn("t", F.col("t") - T0)
-    return H.unit_correlations(H.count_matrix(points, "user_id", 6 * HOUR), 120).select("a", "b", F.round("r", 6).alias("r"))
+    points = events(spark, d)
+    return H.unit_correlations(H.count_matrix(points, "user_id", 6 * HOUR), extent(points, 6 * HOUR)[1]).select("a", "b", F.round("r", 6).alias("r"))
 
 
-@query(f"WITH {EV} SELECT CAST(floor(t / 3600.0) AS BIGINT) AS bin, round(count(DISTINCT user_id) / 150.0, 6) AS share FROM ev GROUP BY 1")
+@query(f"WITH {EV} SELECT CAST(floor(t / 3600.0) AS BIGINT) AS bin, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM ev), 6) AS share FROM ev GROUP BY 1")
 def firing_ratio(spark, d):
-    return H.active_share(events(spark, d), "user_id", HOUR, 150).select("bin", F.round("share", 6).alias("share"))
+    users = events(spark, d).select("user_id").distinct().count()
+    return H.active_share(events(spark, d), "user_id", HOUR, users).select("bin", F.round("share", 6).alias("share"))
 
 
 @query("WITH v AS (SELECT o_custkey AS rat, year(o_orderdate) AS day, o_orderpriority AS arm, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS visit FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY rat, day, arm ORDER BY visit) AS k FROM v) SELECT rat, day, count(*) AS visits, count(*) FILTER (k = 1 AND arm IN ('1-URGENT', '2-HIGH')) AS rewards, count(*) FILTER (k > 1) AS working, count(*) FILTER (k = 1 AND arm NOT IN ('1-URGENT', '2-HIGH')) AS reference, round(count(*) FILTER (k = 1 AND arm IN ('1-URGENT', '2-HIGH')) / count(*), 6) AS performance FROM f GROUP BY rat, day")
@@ -539,27 +546,30 @@ def radial_first_visits(spark, d):
     return got.select("rat", "day", "visits", "rewards", "working", "reference", F.round("performance", 6).alias("performance"))
 
 
-_Z = f"""WITH {EV}, c AS (SELECT event_type AS u, CAST(floor((t - {T0}) / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL),
-  m AS (SELECT u, sum(n) / 120.0 AS m, sqrt((sum(n * n) - CAST(sum(n) AS DOUBLE) * sum(n) / 120.0) / 119) AS s FROM c WHERE b BETWEEN 0 AND 119 GROUP BY u),
-  z AS (SELECT m.u, g.b, (coalesce(c.n, 0) - m.m) / m.s AS z FROM m CROSS JOIN range(0, 120) g(b) LEFT JOIN c ON c.u = m.u AND c.b = g.b WHERE m.s > 0)"""
+_Z = f"""WITH {EV}, c AS (SELECT event_type AS u, CAST(floor(t / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL),
+  x AS (SELECT min(b) AS lo, max(b) AS hi, max(b) - min(b) + 1.0 AS k FROM c),
+  m AS (SELECT u, sum(n) / any_value(k) AS m, sqrt((sum(n * n) - CAST(sum(n) AS DOUBLE) * sum(n) / any_value(k)) / (any_value(k) - 1)) AS s FROM c, x GROUP BY u),
+  g AS (SELECT unnest(range(lo, hi + 1)) AS b FROM x),
+  z AS (SELECT m.u, g.b, (coalesce(c.n, 0) - m.m) / m.s AS z FROM m CROSS JOIN g LEFT JOIN c ON c.u = m.u AND c.b = g.b WHERE m.s > 0)"""
 
 
 def _scores(spark, d):
     from ..operators import populations as P
 
-    points = events(spark, d).withColumn("t", F.col("t") - T0)
-    return P.dense_zscores(H.count_matrix(points, "event_type", 6 * HOUR), 0, 120)
+    points = events(spark, d)
+    first, n = extent(points, 6 * HOUR)
+    return P.dense_zscores(H.count_matrix(points, "event_type", 6 * HOUR), first, n), n
 
 
-@query(f"{_Z}, w AS (SELECT x.u AS a, y.u AS b, sum(x.z * y.z) / 119 AS w FROM z x JOIN z y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2) SELECT x.b AS bin, round(2 * sum(x.z * w * y.z), 5) AS strength FROM w JOIN z x ON x.u = w.a JOIN z y ON y.u = w.b AND y.b = x.b GROUP BY x.b")
+@query(f"{_Z}, w AS (SELECT x.u AS a, y.u AS b, sum(x.z * y.z) / (SELECT k - 1 FROM x) AS w FROM z x JOIN z y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2) SELECT x.b AS bin, round(2 * sum(x.z * w * y.z), 5) AS strength FROM w JOIN z x ON x.u = w.a JOIN z y ON y.u = w.b AND y.b = x.b GROUP BY x.b")
 def reactivation_strength(spark, d):
     from ..operators import populations as P
 
-    z = _scores(spark, d)
-    return P.reactivation(z, P.template(z, 120)).select("bin", F.round("strength", 5).alias("strength"))
+    z, n = _scores(spark, d)
+    return P.reactivation(z, P.template(z, n)).select("bin", F.round("strength", 5).alias("strength"))
 
 
-@query(f"""WITH {EV}, r AS (SELECT event_type AS u, greatest(1, least(8, CAST(floor(value / 200 * 8) AS INTEGER) + 1)) AS x, count(*) / 720.0 AS r FROM ev GROUP BY ALL),
+@query(f"""WITH {EV}, r AS (SELECT event_type AS u, greatest(1, least(8, CAST(floor(value / 200 * 8) AS INTEGER) + 1)) AS x, count(*) / (SELECT floor(max(t) / 3600.0) - floor(min(t) / 3600.0) + 1 FROM ev) AS r FROM ev GROUP BY ALL),
   n AS (SELECT CAST(floor(t / 86400.0) AS BIGINT) AS w, event_type AS u, count(*) AS n FROM ev GROUP BY ALL), k AS (SELECT u, x, greatest(r, 1e-6) * 24.0 AS r FROM r),
   a AS (SELECT x, sum(r) AS s FROM k GROUP BY x), l AS (SELECT n.w, k.x, sum(n * ln(r)) AS s FROM n JOIN k USING (u) GROUP BY ALL), q AS (SELECT w, x, l.s - a.s AS s FROM l JOIN a USING (x)),
   e AS (SELECT w, x, exp(s - max(s) OVER (PARTITION BY w)) AS e FROM q) SELECT w AS "window", x, round(e / sum(e) OVER (PARTITION BY w), 6) AS p FROM e""")
@@ -567,17 +577,18 @@ def decode_position(spark, d):
     from ..operators import populations as P
 
     ev = events(spark, d)
-    rates = ev.groupBy(F.col("event_type").alias("unit"), C.bin_index(F.col("value"), 0, 200, 8).alias("x")).agg((F.count("*") / 720.0).alias("rate"))
+    rates = ev.groupBy(F.col("event_type").alias("unit"), C.bin_index(F.col("value"), 0, 200, 8).alias("x")).agg((F.count("*") / extent(ev, HOUR)[1]).alias("rate"))
     counts = ev.groupBy(F.floor(F.col("t") / DAY).alias("window"), F.col("event_type").alias("unit")).agg(F.count("*").alias("n"))
     return P.decode(rates, counts, 24.0, 8).select("window", "x", F.round("p", 6).alias("p"))
 
 
-@query(f"WITH {EV}, h AS (SELECT user_id AS u, CAST(floor((t - {T0}) / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL), c AS (SELECT b < 60 AS f, * FROM h), p AS (SELECT x.f, x.u AS a, y.u AS b, sum(x.n * y.n) AS xy FROM c x JOIN c y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2, 3), m AS (SELECT f, u, sum(n) AS s, sum(n * n) AS q FROM c GROUP BY 1, 2), r AS (SELECT p.f, p.a, p.b, (60.0 * xy - i.s * j.s) / sqrt((60.0 * i.q - i.s * i.s) * (60.0 * j.q - j.s * j.s)) AS r FROM p JOIN m i ON i.u = p.a AND i.f = p.f JOIN m j ON j.u = p.b AND j.f = p.f) SELECT round(corr(v.r, w.r), 6) AS coefficient, count(*) AS n FROM r v JOIN r w ON v.a = w.a AND v.b = w.b AND v.f AND NOT w.f")
+@query(f"WITH {EV}, h AS (SELECT user_id AS u, CAST(floor(t / 21600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL), e AS (SELECT min(b) + (max(b) - min(b) + 1) // 2 AS mid, (max(b) - min(b) + 1) // 2 AS k1, (max(b) - min(b) + 2) // 2 AS k2 FROM h), c AS (SELECT b < (SELECT mid FROM e) AS f, * FROM h), p AS (SELECT x.f, x.u AS a, y.u AS b, sum(x.n * y.n) AS xy FROM c x JOIN c y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2, 3), m AS (SELECT f, u, sum(n) AS s, sum(n * n) AS q FROM c GROUP BY 1, 2), r AS (SELECT p.f, p.a, p.b, (k * xy - i.s * j.s) / sqrt((k * i.q - i.s * i.s) * (k * j.q - j.s * j.s)) AS r FROM (SELECT *, CAST(CASE WHEN f THEN k1 ELSE k2 END AS DOUBLE) AS k FROM p, e) p JOIN m i ON i.u = p.a AND i.f = p.f JOIN m j ON j.u = p.b AND j.f = p.f) SELECT round(corr(v.r, w.r), 6) AS coefficient, count(*) AS n FROM r v JOIN r w ON v.a = w.a AND v.b = w.b AND v.f AND NOT w.f")
 def cofiring(spark, d):
     from ..operators import populations as P
 
-    counts = H.count_matrix(events(spark, d).withColumn("t", F.col("t") - T0), "user_id", 6 * HOUR)
-    return P.cofiring(counts.where("bin < 60"), 60, counts.where("bin >= 60"), 60).select(F.round("coefficient", 6).alias("coefficient"), "n")
+    first, n = extent(events(spark, d), 6 * HOUR)
+    counts, middle = H.count_matrix(events(spark, d), "user_id", 6 * HOUR), first + n // 2
+    return P.cofiring(counts.where(F.col("bin") < middle), n // 2, counts.where(F.col("bin") >= middle), n - n // 2).select(F.round("coefficient", 6).alias("coefficient"), "n")
 
 
 @query(f"WITH {EV} SELECT event_id AS iid, CAST(k AS INTEGER) AS piece, t + k * ((t + 9000.0 - t) / 4) AS start, t + (k + 1) * ((t + 9000.0 - t) / 4) AS stop FROM ev, range(0, 4) r(k) WHERE event_type = 'signup'")
@@ -595,10 +606,11 @@ def radial_turns(spark, d):
 
 
 def _signal(spark, d):
-    """Six-hour counts by event type as a signal of one sample a bin."""
-    counts = H.count_matrix(events(spark, d).withColumn("t", F.col("t") - T0), "event_type", HOUR)
-    units = counts.select("unit").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(719).cast("bigint"))))
-    return units.join(counts, ["unit", "bin"], "left").select("unit", F.col("bin").cast("double").alias("t"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
+    """Hourly counts by event type as a signal of one sample a bin, from the first event's hour."""
+    first, n = extent(events(spark, d), HOUR)
+    counts = H.count_matrix(events(spark, d), "event_type", HOUR)
+    units = counts.select("unit").distinct().withColumn("bin", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + n - 1).cast("bigint"))))
+    return units.join(counts, ["unit", "bin"], "left").select("unit", (F.col("bin") - first).cast("double").alias("t"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
 
 
 @query()
@@ -653,7 +665,8 @@ def activity_states(spark, d):
 def assemblies(spark, d):
     from ..operators import populations as P
 
-    return P.assemblies(_scores(spark, d), 5, 120)
+    z, n = _scores(spark, d)
+    return P.assemblies(z, z.select("unit").distinct().count(), n)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
