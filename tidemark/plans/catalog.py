@@ -613,7 +613,18 @@ def _signal(spark, d):
     return units.join(counts, ["unit", "bin"], "left").select("unit", (F.col("bin") - first).cast("double").alias("t"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
 
 
-@query()
+def _bandpass_sql(low: float, high: float, half: int) -> str:
+    """A convolution with the filter's taps over the hourly signal, mirrored at its ends."""
+    from ..operators.signals import band_pass_taps
+
+    taps = ", ".join(repr(float(x)) for x in band_pass_taps(low, high, 1.0, half))
+    return f"""WITH {EV}, c AS (SELECT event_type AS u, CAST(floor(t / 3600.0) AS BIGINT) AS b, count(*) AS n FROM ev GROUP BY ALL), x AS (SELECT min(b) AS lo, max(b) - min(b) AS n FROM c),
+  s AS (SELECT k.u, k.i, coalesce(c.n, 0) AS v, k.n FROM (SELECT u, unnest(range(0, n + 1)) AS i, n, lo FROM (SELECT DISTINCT u FROM c), x) k LEFT JOIN c ON c.u = k.u AND c.b = k.lo + k.i),
+  h AS (SELECT unnest(range(-{half}, {half} + 1)) AS k, unnest([{taps}]) AS w)
+  SELECT a.u AS unit, CAST(a.i AS DOUBLE) AS t, round(sum(w * b.v), 6) AS filtered FROM s a CROSS JOIN h JOIN s b ON b.u = a.u AND b.i = a.n - abs(a.n - abs(a.i + k)) GROUP BY 1, 2"""
+
+
+@query(_bandpass_sql(0.02, 0.2, 64))
 def bandpass(spark, d):
     from ..operators import signals
 

@@ -372,3 +372,73 @@ def decoded_classes(spark, d):
 
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.pmod("label", F.lit(3)).cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
     return f(rows, [f"x{i}" for i in range(64)], "label", "vec_id", folds=2, iterations=5).select("vec_id", F.col("predicted").cast("int").alias("predicted"))
+
+
+# --- whole tables ---------------------------------------------------------------------
+
+
+@query("SELECT 1 AS \"group\", event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 2, event_id FROM events WHERE event_type = 'signup'")
+def grouped_lists(spark, d):
+    from ..operators.tables import grouped
+
+    return grouped(of_type(spark, d, "click").select("event_id"), of_type(spark, d, "signup").select("event_id"))
+
+
+@query("SELECT i AS user_id, i IN (SELECT user_id FROM events WHERE event_type = 'signup') AS flag FROM (SELECT unnest(range(1, (SELECT max(user_id) FROM events WHERE event_type = 'signup') + 1)) AS i)")
+def index_flags(spark, d):
+    from ..operators.tables import flags
+
+    return flags(of_type(spark, d, "signup").where("user_id > 0"), "user_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l_orderkey AND o.o_custkey % 7 = l_linenumber) AS matched FROM lineitem")
+def matched_rows(spark, d):
+    from ..operators.tables import matched_rows as f
+
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7).cast("int").alias("l_linenumber"))
+    lines = items(spark, d).select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+    return f(lines, orders, ["l_orderkey", "l_linenumber"]).select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "matched")
+
+
+@query("WITH c AS (SELECT CAST(l_quantity AS BIGINT) AS r, l_linenumber AS c, sum(l_extendedprice) AS v FROM lineitem WHERE l_quantity <= 20 GROUP BY 1, 2) SELECT row, \"column\", round(coalesce(v, 0), 3) AS v FROM (SELECT * FROM range(1, 26) a(row), range(1, 9) b(\"column\")) g LEFT JOIN c ON c.r = g.row AND c.c = g.\"column\"")
+def filled_matrix(spark, d):
+    from ..operators.tables import filled_matrix as f
+
+    cells = items(spark, d).where("l_quantity <= 20").select(F.col("l_quantity").cast("bigint").alias("row"), F.col("l_linenumber").alias("column"), F.col("l_extendedprice").alias("v"))
+    return f(cells, "v", 25, 8, 0.0).withColumn("v", F.round("v", 3))
+
+
+@query()
+def drawn_bins(spark, d):
+    from ..operators.tables import drawn_bins as f
+
+    counts = events(spark, d).groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n")).where("bin is not null")
+    return f(counts, "bin", "n", 1000)
+
+
+@query()
+def coherogram(spark, d):
+    from ..operators import signals
+    from .catalog import _signal
+
+    wide = _signal(spark, d).where("unit in ('click', 'view')").groupBy("t").agg(*[F.sum(F.when(F.col("unit") == u, F.col("v"))).alias(u) for u in ("click", "view")])
+    got = signals.coherogram(wide.withColumn("k", F.lit("all")), "click", "view", ["k"], 1.0, 48, 24)
+    return got.select("t", F.round("f", 6).alias("f"), F.round("coherence", 5).alias("coherence"))
+
+
+@query()
+def point_spectrogram(spark, d):
+    from ..operators import signals
+
+    hours = events(spark, d).withColumn("t", (F.col("t") - 1704067200.0) / HOUR)
+    got = signals.point_spectrogram(hours, ["event_type"], 1.0, 96, 48)
+    return got.select("event_type", "t", F.round("f", 6).alias("f"), F.round("power", 5).alias("power"), "n")
+
+
+@query()
+def wavelet_power(spark, d):
+    from ..operators import signals
+    from .catalog import _signal
+
+    got = signals.wavelet_power(_signal(spark, d), "v", ["unit"], 1.0, [1 / 24, 1 / 8], segment=240)
+    return got.select("unit", "t", F.posexplode("power").alias("band", "power")).withColumn("power", F.round("power", 5))
