@@ -35,7 +35,17 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert rollup.commit("d", token_counts.inserted(rows.limit(0), "old", "v1"))
     assert rollup.committed() == ["a", "b", "c", "d"]
     assert len(rows_of(rollup.totals())) == 2
+    whole = rows_of(rollup.totals())
+    rollup.compact()
+    assert rows_of(rollup.totals()) == whole and len(rollup.totals().inputFiles()) < 4
+    assert rollup.commit("e", token_counts.inserted(rows, "old", "v1")) and not rollup.commit("a", move)
+    assert rollup.commit("f", token_counts.deleted(rows, "old", "v1")) and rows_of(rollup.totals()) == whole
+    for name in ("e", "f"):
+        (tmp_path / f"r/batches/batch-{name}/_SUCCESS").unlink()
     # an attempt that broke off has no mark: it does not count, and is replaced
+    import shutil
+
+    shutil.rmtree(tmp_path / "r/snapshots")
     (tmp_path / "r/batches/batch-b/_SUCCESS").unlink()
     assert rollup.committed() == ["a", "c", "d"]
     assert rollup.commit("b", move)

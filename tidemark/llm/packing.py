@@ -10,6 +10,7 @@ small. Pieces then find their bin by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -40,11 +41,22 @@ PIECES = T.StructType(
 _LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer folds case and blanks, and cuts words, digits and signs, as ``_Ids`` takes for granted."""
+    folds = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    blank = len(folds) == 3 and [f["type"] for f in folds] == ["NFC", "Replace", "Lowercase"] and folds[1]["pattern"] == {"Regex": r"\s+"} and folds[1]["content"] == " "
+    split = len(cuts) == 2 and cuts[0]["type"] == "Split" and cuts[0]["invert"] and cuts[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    special = all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    return blank and split and special and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and spec.get("post_processor") is None
+
+
 class _Ids(dict):
     """Token ids of chunks of text without blanks, as little-endian bytes.
 
-    The tokenizer never joins characters across a blank, so the ids of a text
-    are those of its chunks in order. A chunk that ends with a comma or stop
+    A tokenizer that ``cuts_at_blanks`` never joins characters across one, so
+    the ids of a text are those of its chunks in order; other tokenizers are
+    given whole texts. A chunk that ends with a comma or stop
     after a letter has the ids of both. A word of Latin letters is one piece
     for the tokenizer's model, which is asked directly. Of the chunks, a
     younger and an older generation are kept, so that memory is bounded.
@@ -56,6 +68,7 @@ class _Ids(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunks = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.old: dict[bytes, bytes] = {}
@@ -79,7 +92,7 @@ class _Ids(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:  # may spell a special token, which is not folded
+        if not self.by_chunks or "<|" in text:  # that may spell a special token, which is not folded
             return self.whole(text)
         if len(self) > CACHE_WORDS:
             self.old = dict(self)

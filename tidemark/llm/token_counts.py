@@ -10,6 +10,8 @@ and a repeated commit of the same id changes nothing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ class Rollup:
     """Totals in a folder of the shared store.
 
     Null sources and languages are keys of their own. Committing an empty
-    batch is a commit. Extra columns of changes are left out.
+    batch is a commit. Extra columns of changes are left out. A batch id has
+    one committer at a time: attempts one after another count once, but two
+    at the same moment are not told apart.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -79,11 +83,29 @@ class Rollup:
         changed.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batches/batch-{batch}")
         return True
 
+    def compact(self) -> None:
+        """Write the totals of all committed batches as a snapshot that names them, which ``totals`` reads instead."""
+        names = self.committed()
+        at = f"{self.path}/snapshots/{len(names):012d}-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{at}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{at}/covers")
+
+    def _snapshot(self) -> tuple[list[str], set[str]]:
+        """(folders of sums, batches that they cover) of the last whole snapshot."""
+        fs, root = self._fs(), self._path("snapshots")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+        whole = [n for n in names if fs.exists(self._path(f"snapshots/{n}/covers/_SUCCESS"))]
+        if not whole:
+            return [], set()
+        at = f"{self.path}/snapshots/{whole[-1]}"
+        return [f"{at}/sums"], {r.batch for r in self.spark.read.schema("batch string").parquet(f"{at}/covers").collect()}
+
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens, chars); keys at zero are left out."""
-        names = self.committed()
-        if not names:
+        folders, covered = self._snapshot()
+        folders += [f"{self.path}/batches/batch-{n}" for n in self.committed() if n not in covered]
+        if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
-        read = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/batches/batch-{n}" for n in names])
+        read = self.spark.read.schema(_SCHEMA).parquet(*folders)
         sums = read.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
