@@ -143,10 +143,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     """The first ``n`` powers of a base, kept for the usual length of a slice."""
     out = _POWERS.get(int(base))
     if out is None or len(out) < n:
-        out = np.full(max(n, CHUNK), base, np.uint64)
-        out[0] = 1
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
         np.multiply.accumulate(out, out=out)
-        if n <= 2 * CHUNK:
+        if n <= 4 * CHUNK:
             _POWERS[int(base)] = out
     return out[:n]
 

@@ -34,6 +34,7 @@ PART_ROWS = 1_500_000
 HOT = 200_000
 FLUSH = 1_500_000
 MOST_TASKS = 20_000
+SLICE = 1_500_000  # of text: larger than elsewhere, since each one visits all parts of the model
 MOST_MAPPED = 500
 _MAPPED: dict[str, np.ndarray] = {}
 
@@ -193,7 +194,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["hash", "n"])
 
         for batch in batches:
-            for _, offsets, raw in text_chunks(batch):
+            for _, offsets, raw in text_chunks(batch, max_bytes=SLICE):
                 k, n = np.unique(sentences(offsets, raw)[0], return_counts=True)
                 keys.append(k)
                 counts.append(n)
@@ -228,7 +229,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "pairs"])
 
         for batch in batches:
-            for _, offsets, raw in text_chunks(batch):
+            for _, offsets, raw in text_chunks(batch, max_bytes=SLICE):
                 tokens, _, opens = sentences(offsets, raw)
                 ids, back, counts = model.encode(tokens)
                 second = ids[back]
@@ -429,7 +430,7 @@ def _count_triples(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "triples"])
 
         for batch in batches:
-            for _, offsets, raw in text_chunks(batch):
+            for _, offsets, raw in text_chunks(batch, max_bytes=SLICE):
                 tokens, _, opens = sentences(offsets, raw)
                 before, last, word, n_last = _neighbours(model, tokens, opens)
                 part = model.part_of(last, word, n_last).astype(np.int32)
@@ -781,7 +782,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             out = [[], [], [], []]
-            for _, offsets, raw in text_chunks(batch):
+            for _, offsets, raw in text_chunks(batch, max_bytes=SLICE):
                 tokens, owner, opens = sentences(offsets, raw)
                 high, base, known = _log_probabilities(model, tokens, opens)
                 n = len(offsets) - 1
