@@ -34,7 +34,7 @@ PART_ROWS = 1_500_000
 HOT = 200_000
 FLUSH = 1_500_000
 MOST_TASKS = 20_000
-SLICE = 1_500_000  # of text: larger than elsewhere, since each one visits all parts of the model
+SLICE = 2_000_000  # of text: larger than elsewhere, since each one visits all parts of the model
 MOST_MAPPED = 500
 _MAPPED: dict[str, np.ndarray] = {}
 
