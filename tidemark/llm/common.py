@@ -183,16 +183,17 @@ def text_chunks(batch, column: str = "text", max_bytes: int = CHUNK):
         row = end
 
 
-def words(offsets: np.ndarray, raw: np.ndarray, fold: bool = True):
+def words(offsets: np.ndarray, raw: np.ndarray, fold: bool = True, breaks: np.ndarray = _SPACE):
     """(hash, row, first byte, end byte) of each word in a slice of texts.
 
     A word is a run of bytes other than space, tab, line feed, vertical tab,
-    form feed and carriage return; with ``fold`` A-Z count as a-z.
+    form feed and carriage return, or than those ``breaks`` marks; with
+    ``fold`` A-Z count as a-z.
     """
     if not len(raw):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    inside = ~_SPACE[raw]
+    inside = ~breaks[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[:-1] = inside
     edge[1:-1] &= ~inside[:-1]
