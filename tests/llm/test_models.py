@@ -1,6 +1,7 @@
 """Language model, Jaccard join and quality classifier against brute force."""
 
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -252,6 +253,40 @@ def test_a_model_of_more_than_64_parts(spark, monkeypatch):
     assert [q.score for q in two] == pytest.approx([q.score for q in one]) and one[0].asDict().keys() == two[0].asDict().keys()
 
 
+def test_a_model_of_a_thousand_word_parts(spark, monkeypatch):
+    d = docs(spark, [prose(60, i) + f" only{i} once{i}" for i in range(300)])
+    model = language_model.fit(d, 2)
+    want = language_model.score_documents(d, model).orderBy("doc_id").collect()
+    monkeypatch.setattr(language_model, "PART_ROWS", model.n_words / 1000)
+    monkeypatch.setattr(language_model, "MOST_TASKS", 4)
+    many = language_model.fit(d, 2)
+    assert len(many.starts) == 1024
+    got = language_model.score_documents(d, many).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx([r.score for r in want])
+
+
+@pytest.mark.parametrize("lost", ["triple", "context", "frequent", "total"])
+def test_a_lost_file_is_an_error(spark, lost):
+    texts = [prose(40 + i, i % 40) for i in range(80)]
+    model = language_model.fit(docs(spark, texts), 3, hot=20)
+    where = pathlib.Path(model.path.removeprefix("file://"))
+    for p in where.glob(f"{lost}-*"):
+        p.unlink()
+    with pytest.raises(Exception, match="has lost its file"):
+        language_model.score_documents(docs(spark, texts), model).collect()
+
+
+def test_a_path_is_of_the_file_system_that_spark_reads(spark, tmp_path):
+    assert language_model._qualified(spark, "/a/b") == "file:///a/b" == language_model._qualified(spark, "file:/a/b")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    try:
+        assert language_model._qualified(spark, "/in/b") == "viewfs://other/in/b"
+    finally:
+        conf.set("fs.defaultFS", "file:///")
+
+
 def test_a_file_is_written_once(tmp_path):
     path = f"file://{tmp_path}/word-0"
     for _ in range(2):

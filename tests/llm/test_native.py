@@ -254,6 +254,22 @@ def test_planted_keys_that_no_pattern_matches(spark):
     assert np.mean(hit) > 0.95 and sum(hit) / (sum(hit) + wrong) > 0.95
 
 
+def test_columns_named_as_the_scan_names_its_own(spark):
+    clash = ["_runs", "_assign", "_access", "_hex", "_both", "_result", "_clean", "_row", "row", "clean", "spans", "base", "candidates", "a.b"]
+    plain = docs(spark, ["password = hunter22x", None, "nothing"])
+    d = plain.withColumns({c: F.lit(f"own {c}") for c in clash})
+    want = {r.doc_id: r for r in secrets.scan_secrets(plain).collect()}
+    for r in secrets.scan_secrets(d).collect():
+        assert r["spans"] == want[r.doc_id]["spans"] and r["base"] == want[r.doc_id]["base"]
+        assert all(r[c] == f"own {c}" for c in clash if c not in ("spans", "base", "candidates"))
+    made = secrets.redact(d)
+    assert made.columns == d.columns
+    texts = {r.doc_id: r.text for r in secrets.redact(plain).collect()}
+    for r in made.collect():
+        assert r.text == texts[r.doc_id] and all(r[c] == f"own {c}" for c in clash)
+    assert "[secret]" in texts[0] and texts[1] is None
+
+
 def test_spans_that_touch_and_redaction_against_brute_force(spark):
     r = np.random.default_rng(3)
     piece = lambda: ["token=" + "a" * r.integers(3, 30), "x" * r.integers(1, 40) + "1", "AKIA" + "B7" * 9, "0a" * 14, "\U0001f600", prose(3, int(r.integers(1000)))][r.integers(6)]

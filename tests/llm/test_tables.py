@@ -19,6 +19,20 @@ def rows_of(df):
     return {tuple(r) for r in df.select("source", "lang", "version", "docs", "tokens", "chars").collect()}
 
 
+def test_batch_ids_of_any_characters(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "en", 5, 20)], "source string, lang string, old long, chars long")
+    rollup = token_counts.Rollup(spark, f"{tmp_path}/r")
+    ids = ["a/b", "a", "2024-01-01T00:00", "x%2Fy", "*?[é]{ }", ".."]
+    for batch in ids:
+        assert rollup.commit(batch, token_counts.inserted(rows, "old", "v1"))
+        assert not rollup.commit(batch, token_counts.inserted(rows, "old", "v1"))
+    assert rollup.committed() == sorted(ids)
+    assert rows_of(rollup.totals()) == {("s", "en", "v1", 6, 30, 120)}
+    rollup.compact()
+    assert rollup.commit("b/c", token_counts.inserted(rows, "old", "v1"))
+    assert rows_of(rollup.totals()) == {("s", "en", "v1", 7, 35, 140)}
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("s", "en", 5, 20, 7), ("s", "en", 3, 9, 3), (None, "de", 0, 0, 0), ("t", None, 2, 4, 2)], "source string, lang string, old long, chars long, new long")
     rollup = token_counts.Rollup(spark, f"{tmp_path}/r")
@@ -128,6 +142,25 @@ def test_bands_follow_from_containment():
     assert found >= 299
 
 
+def test_a_match_put_out_puts_out_nothing():
+    chain = [(0, "A", 0, 10, 1.0), (0, "B", 8, 10, 0.9), (0, "C", 16, 10, 0.85), (1, "B", 8, 10, 0.9), (2, "A", 0, 10, 0.9), (2, "B", 5, 10, 0.9), (2, "A", 9, 10, 0.8)]
+    assert licenses._clearest(chain) == [chain[0], chain[2], chain[3], chain[4], chain[5]]
+    rng = np.random.default_rng(4)
+    rows = sorted({(0, "ABC"[rng.integers(3)], int(rng.integers(0, 300)), int(rng.integers(5, 30)), float(rng.integers(80, 90)) / 100) for _ in range(150)}, key=lambda x: (x[0], x[2], x[1]))
+    kept = []
+    for r in sorted(rows, key=lambda x: -x[4]):
+        if not any(q[1] != r[1] and q[4] > r[4] and q[2] < r[2] + r[3] and r[2] < q[2] + q[3] for q in kept):
+            kept.append(r)
+    assert sorted(licenses._clearest(rows)) == sorted(kept)
+
+
+def test_a_whole_license_text_in_a_long_document(spark):
+    whole = prose(1200, 77)
+    texts = [f"{prose(3000, 1)} {whole} {prose(20000, 2)}", f"{prose(50, 3)} {' '.join(whole.split()[:700])}", whole]
+    got = licenses.scan_licenses(docs(spark, texts), {"own": [whole]}).collect()
+    assert sorted((r.doc_id, r.start, r.n_words, r.containment) for r in got) == [(0, 3000, 1200, 1.0), (2, 0, 1200, 1.0)]
+
+
 def test_nearly_equal_notices_give_the_clearest(spark):
     three = {n: licenses.TEMPLATES[n][-1] for n in ("AGPL-3.0", "GPL-3.0", "LGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0")}
     got = licenses.scan_licenses(docs(spark, [f"{prose(9, 1)} {t} {prose(9, 2)}" for t in three.values()])).collect()

@@ -89,6 +89,7 @@ def mapped(path: str, kind: str) -> np.ndarray:
     """A file of the model, mapped into memory.
 
     A store that cannot be mapped is copied to an unnamed local file first.
+    Each part has its files, empty ones too, so one that is not there is an error.
     """
     if path not in _MAPPED:
         from pyarrow import fs
@@ -98,8 +99,10 @@ def mapped(path: str, kind: str) -> np.ndarray:
             _VIEWS.clear()
 
         system, where = fs.FileSystem.from_uri(path)
-        size = system.get_file_info(where).size
-        if not size:
+        info = system.get_file_info(where)
+        if info.type != fs.FileType.File:
+            raise FileNotFoundError(f"the model has lost its file {path}")
+        if not info.size:
             return np.zeros(0, kind)
         if system.type_name == "local":
             _MAPPED[path] = np.memmap(where, kind, "r")
@@ -269,7 +272,7 @@ def _store_pairs(counted: DataFrame, model: Model) -> DataFrame:
 
     Kind 0 is a first word with its total and its pairs seen once, twice and
     more often; kind 1 a second word with its pairs; kind 2 how many pairs
-    were seen once to four times.
+    were seen once to four times; kind 5 a part that has files.
     """
 
     def store(part: int, blobs: list[bytes]):
@@ -288,10 +291,10 @@ def _store_pairs(counted: DataFrame, model: Model) -> DataFrame:
         zero = np.zeros(len(second), np.int64)
         seen = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         columns = [
-            np.r_[np.zeros(len(begin), np.int32), np.ones(len(second), np.int32), np.int32(2)].astype(np.int32),
-            np.r_[first[begin], second, 0],
-            np.r_[sums[0], types, seen[0]],
-            *(np.r_[s, zero, seen[i + 1]] for i, s in enumerate(sums[1:])),
+            np.r_[np.zeros(len(begin), np.int32), np.ones(len(second), np.int32), np.int32(2), np.int32(5)].astype(np.int32),
+            np.r_[first[begin], second, 0, part],
+            np.r_[sums[0], types, seen[0], 0],
+            *(np.r_[s, zero, seen[i + 1], 0] for i, s in enumerate(sums[1:])),
         ]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "id", "a", "b", "c", "d"])
 
@@ -459,7 +462,8 @@ def _store_triples(counted: DataFrame, model: Model) -> DataFrame:
     Kinds 0, 1 and 2 as for pairs, by the pairs' continuation counts (the plain
     counts of pairs with a text's start); kind 3 a context, its middle word
     frequent, with its total and its triples seen once, twice and more often;
-    kind 4 how many triples were seen once to four times.
+    kind 4 how many triples were seen once to four times; kind 5 a part that
+    has files.
     """
 
     def store(part: int, pairs, place, left, n):
@@ -490,9 +494,9 @@ def _store_triples(counted: DataFrame, model: Model) -> DataFrame:
         zero = np.zeros(len(second), np.int64)
         pairs_seen, triples_seen = ([int((x == k).sum()) for k in (1, 2, 3, 4)] for x in (kinds, n))
         columns = [
-            np.repeat([0, 1, 3, 2, 4], [len(word), len(second), len(frequent[0]), 1, 1]).astype(np.int32),
-            np.r_[first[word], second, frequent[0], 0, 0],
-            *(np.r_[sums[i], zero if i else types, frequent[i + 1], pairs_seen[i], triples_seen[i]] for i in range(4)),
+            np.repeat([0, 1, 3, 2, 4, 5], [len(word), len(second), len(frequent[0]), 1, 1, 1]).astype(np.int32),
+            np.r_[first[word], second, frequent[0], 0, 0, part],
+            *(np.r_[sums[i], zero if i else types, frequent[i + 1], pairs_seen[i], triples_seen[i], 0] for i in range(4)),
         ]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "id", "a", "b", "c", "d"])
 
@@ -648,12 +652,32 @@ def fit(docs: DataFrame, order: int = 2, hot: int = HOT) -> Model:
         return _fit(spark, docs.select(F.col("text").cast("string").alias("text")), order, hot)
 
 
+def _qualified(spark, path: str) -> str:
+    """A path with the scheme that Spark itself would read it by."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    named = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + named[5:] if named.startswith("file:/") and not named.startswith("file://") else named
+
+
+def _write_rest(spark, model: Model, names: tuple, stored: DataFrame) -> None:
+    """Empty files for the parts that no row has come to."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                for name in names:
+                    _write(f"{model.path}/{name}-{p}", np.zeros(0, "u1"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rest = spark.range(model.parts).withColumnRenamed("id", "part").join(stored, "part", "left_anti")
+    rest.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def _fit(spark, docs: DataFrame, order: int, hot: int) -> Model:
     model = Model(f"{shared_dir(spark)}/tidemark-lm-{uuid.uuid4().hex}", order=order, hot=hot)
-    if "://" not in model.path and not model.path.startswith("file:"):
-        model.path = "file://" + model.path
-    elif model.path.startswith("file:/") and not model.path.startswith("file://"):
-        model.path = "file://" + model.path[5:]
+    model.path = _qualified(spark, model.path)
     counted = keep(_count_words(docs), "words")
     model.n_words, tokens, texts = counted.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("hash") == int(END.astype(np.int64)), F.col("n")))).first()
     if not model.n_words:
@@ -676,8 +700,11 @@ def _fit(spark, docs: DataFrame, order: int, hot: int) -> Model:
         high = stats.where("kind = 4").first()
         model.high_discounts = _discounts([high.a, high.b, high.c, high.d])
         _store_frequent_contexts(stats, model)
+        _write_rest(spark, model, ("triple", "context"), stats.where("kind = 5").select(F.col("id").alias("part")))
+        _write_rest(spark, model, ("frequent",), stats.where("kind = 3").select((F.col("id") % model.parts).alias("part")).distinct())
     else:
         stats = keep(_store_pairs(_count_pairs(docs, model), model), "pairs")
+        _write_rest(spark, model, ("pair", "seen", "often"), stats.where("kind = 5").select(F.col("id").alias("part")))
     seen = stats.where("kind = 2").first()
     model.discounts = _discounts([seen.a, seen.b, seen.c, seen.d])
     types = F.col("a")
@@ -693,9 +720,10 @@ def _fit(spark, docs: DataFrame, order: int, hot: int) -> Model:
         .agg(*[F.sum(F.when(F.col("kind") == 0, F.col(c)).otherwise(0)).alias(c) for c in "abcd"], F.sum(F.when(F.col("kind") == 1, F.col("a")).otherwise(0)).alias("types"))
         .withColumn("rest", F.when(F.col("a") > 0, (d[0] * F.col("b") + d[1] * F.col("c") + d[2] * F.col("d")) / F.col("a")).otherwise(1.0))
     )
-    part = F.lit(0)
-    for start in model.starts[1:]:
-        part = part + F.when(F.col("id") >= start, 1).otherwise(0)
+    # binary search for the last part that begins at the id or before: one step a bit of their number
+    starts = F.array(*map(F.lit, model.starts))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(model.bits))])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col("id") >= F.get(starts, at + step), at + step).otherwise(at))
     part = F.when(F.col("id") >= model.n_words, len(model.starts)).otherwise(part)
     made = _store_columns(both, "id", part, len(model.starts) + 1, model.path, {"total": ("a", "<i8"), "rest": ("rest", "<f8"), "types": ("types", "<i8"), "of": ("id", "<i8")})
     assert sum(made.values()) == model.n_words + 1
@@ -749,10 +777,7 @@ def _log_probabilities(model: Model, tokens: np.ndarray, opens: np.ndarray):
 
 
 def _seen(model: Model, part: int, pairs: np.ndarray) -> np.ndarray:
-    try:
-        stored = mapped(f"{model.path}/pair-{part}", "<u8")
-    except FileNotFoundError:
-        stored = np.zeros(0, "<u8")
+    stored = mapped(f"{model.path}/pair-{part}", "<u8")
     if not len(stored):
         return np.zeros(len(pairs), np.int64)
     at = np.minimum(np.searchsorted(stored, pairs), len(stored) - 1)

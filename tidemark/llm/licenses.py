@@ -132,15 +132,27 @@ class Index:
 
 
 def _clearest(rows: list[tuple]) -> list[tuple]:
-    """Of overlapping matches of different licenses, in order of text and place, those that hold the most of their notices."""
-    gone = set()
-    for i, (text, name, begin, n, held) in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            if rows[j][0] != text or rows[j][2] >= begin + n:
+    """Matches that overlap no kept match of another license that holds more of its notice.
+
+    They are asked by falling containment, so one that is put out itself puts
+    out nothing. Rows come and go in order of text and place.
+    """
+    kept: list[int] = []
+    places: dict[int, list[tuple]] = {}  # of each text, what is kept, by first word
+    longest = max((n for _, _, _, n, _ in rows), default=0)
+    for i in sorted(range(len(rows)), key=lambda i: (-rows[i][4], i)):
+        text, name, begin, n, held = rows[i]
+        near = places.setdefault(text, [])
+        at = bisect.bisect_left(near, (begin - longest + 1,))
+        while at < len(near) and near[at][0] < begin + n:
+            first, past, other, more = near[at]
+            if past > begin and other != name and more > held:
                 break
-            if rows[j][1] != name and rows[j][4] != held:
-                gone.add(i if rows[j][4] > held else j)
-    return [r for i, r in enumerate(rows) if i not in gone]
+            at += 1
+        else:
+            kept.append(i)
+            bisect.insort(near, (begin, begin + n, name, held))
+    return [rows[i] for i in sorted(kept)]
 
 
 def _apart(places: dict[int, int], n: int) -> list[int]:

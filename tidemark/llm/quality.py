@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages: in
     not depend on the order of rows. Of a document with more than ``passages``
     passages as many, spread evenly from its first to its last one, are
     learned from, which bounds the bytes at the driver; scores take all
-    passages. Only text is an input.
+    passages. Only text is an input. An id whose labels disagree teaches
+    nothing; of a repeated id each different text is learned from.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_bucket("doc_id", FOLDS) != HELD_OUT))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality")).limit(most)
@@ -176,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages: in
 
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``most`` rows
     rows = picked.select("doc_id", "quality", "text").mapInArrow(encode, "doc_id long, quality int, x binary").toPandas()
-    rows = rows.sort_values(["doc_id", "quality"], kind="stable").drop_duplicates("doc_id")
+    rows = rows.drop_duplicates(["doc_id", "quality", "x"])
+    rows = rows[rows.groupby("doc_id")["quality"].transform("nunique") == 1].sort_values(["doc_id", "x"], kind="stable").reset_index(drop=True)
     bags = [np.frombuffer(b, "<f4").reshape(-1, N_FEATURES).astype(float) for b in rows["x"]]
     if not bags:
         return Model(0.5)

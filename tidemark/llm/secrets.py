@@ -196,15 +196,16 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
         columns[f"_{kind}"] = F.when(text.rlike(pattern), find_spans(text, pattern, least, group, kind)).otherwise(none)
     mixed = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")
     columns["_runs"] = F.when(text.rlike(CANDIDATE), F.filter(find_spans(text, CANDIDATE, 20, 0, "random"), mixed)).otherwise(none)
-    kept = [c for c in docs.columns if (with_text or c != "text") and c not in ("base", "candidates", "spans")]
-    found = docs.select(*kept, *[v.alias(k) for k, v in columns.items()])
+    kept = [c for c in docs.columns if (with_text or c != "text") and c.lower() not in ("base", "candidates", "spans")]
+    row = F.struct(*[docs[f"`{c}`"] for c in kept]) if kept else F.lit(None)  # apart from the columns made here, whatever their names
+    found = docs.select(row.alias("_row"), *[v.alias(k) for k, v in columns.items()])
     ranked = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda x: F.struct(x["start"].alias("start"), F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).otherwise(2).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"))))
     base = F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
     found = found.withColumn("_both", F.struct(base.alias("base"), F.col("_runs").alias("runs")))
     tested = lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), battery(r["match"]).alias("test"))
     free = lambda b: _let(touching(b["runs"], b["base"]), lambda t: F.filter(b["runs"], lambda r, i: ~F.get(t, i)))
     result = _let(F.col("_both"), lambda b: F.struct(b["base"].alias("base"), F.transform(F.when(F.size(b["runs"]) > 0, free(b)).otherwise(b["runs"]), tested).alias("candidates")))
-    return found.withColumn("_result", result).select(*kept, "_result.base", "_result.candidates")
+    return found.withColumn("_result", result).select(*["_row.*"] * bool(kept), "_result.base", "_result.candidates")
 
 
 def _band(n: Column) -> Column:
@@ -271,14 +272,15 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = FALSE_DISCOVER
     stays null.
     """
     limits = rejection_limits(keep(scan(docs.select("text")).select("candidates"), "candidates"), rate)
-    marked = add_spans(scan(docs, with_text=True), limits)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
+    marked = add_spans(scan(whole, with_text=True), limits)
     found = F.size("spans") > 0
     text = F.when(found, _replaced(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
-    clean = marked.withColumn("_clean", text)
-    columns = {"text": F.col("_clean")}
+    clean = marked.withColumn("clean", text)
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(found, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
-    return clean.withColumns(columns).select(*docs.columns)
+        columns["n_chars"] = F.when(found, F.length("clean").cast("bigint")).otherwise(columns["n_chars"])
+    return clean.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def _replaced(text: Column, spans: Column, mark: str) -> Column:

@@ -11,6 +11,7 @@ and a repeated commit of the same id changes nothing.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +64,17 @@ class Rollup:
         root = self._path("")
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _folder(self, batch: str) -> str:
+        """A batch's folder: its id with all but letters, digits and -._~ as in a URL."""
+        return f"{self.path}/batches/batch-{quote(batch, safe='')}"
+
     def committed(self) -> list[str]:
         """Ids of the committed batches, sorted."""
         fs, root = self._fs(), self._path("batches")
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n.removeprefix("batch-") for n in names if fs.exists(self._path(f"batches/{n}/_SUCCESS")))
+        return sorted(unquote(n.removeprefix("batch-")) for n in names if fs.exists(self._path(f"batches/{n}/_SUCCESS")))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False, and nothing is done, if its id is committed.
@@ -80,7 +85,7 @@ class Rollup:
             return False
         sums = changes.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         changed = sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
-        changed.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batches/batch-{batch}")
+        changed.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._folder(batch))
         return True
 
     def compact(self) -> None:
@@ -103,7 +108,7 @@ class Rollup:
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens, chars); keys at zero are left out."""
         folders, covered = self._snapshot()
-        folders += [f"{self.path}/batches/batch-{n}" for n in self.committed() if n not in covered]
+        folders += [self._folder(n) for n in self.committed() if n not in covered]
         if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
         read = self.spark.read.schema(_SCHEMA).parquet(*folders)
