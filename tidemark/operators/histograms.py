@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import bin_center, bin_index, circular_mean, resultant
 from .joins import in_cells, range_join, sync
@@ -246,3 +248,102 @@ def unit_correlations(counts: DataFrame, bins: int) -> DataFrame:
 def quantile_bins(x: Column, edges: Sequence[float]) -> Column:
     """Number of edges at or below a value."""
     return sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+
+def transition(histogram: DataFrame, by: Sequence[str] = (), method: str = "ml", bin: str = "bin", count: str = "n") -> DataFrame:
+    """(keys, bin, score): the bin after which a histogram's rate changes.
+
+    ``ml`` takes the two rates of greatest likelihood, ``ls`` the two slopes
+    nearest to the cumulated counts by least squares; ``score`` is the part of
+    the log-likelihood that depends on the bin, or the sum of squares. All
+    bins but the last are tried for ``ml`` (with an empty side none), those
+    from the second on for ``ls``; of equal ones (to nine digits) the first is
+    taken. Bins count from 1 without a gap. Sums over each side come from
+    running sums, so a histogram costs its bins and not their square.
+    """
+    at, f = F.col(bin), F.col(count).cast("double")
+    every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(bin)
+    size, total = F.count("*").over(every), F.sum(f).over(every)
+    if method == "ml":
+        rows = histogram.select(*by, bin, F.sum(f).over(upto).alias("one"), total.alias("total"), size.alias("size"))
+        one, two = F.col("one"), F.col("total") - F.col("one")
+        score = one * F.log(one / (at + 1)) + two * F.log(two / (F.col("size") - at))
+        tried = rows.where((at < F.col("size")) & (one > 0) & (two > 0)).withColumn("score", score)
+        order = -F.round("score", 9)
+    elif method == "ls":
+        before = F.coalesce(F.sum(f).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rows = histogram.select(*by, bin, size.alias("size"), before.alias("F"))
+        for name, x in (("f", F.col("F")), ("tf", at * F.col("F")), ("ff", F.col("F") ** 2)):
+            rows = rows.withColumn(f"{name}1", F.sum(x).over(upto)).withColumn(f"{name}2", F.sum(x).over(every) - F.col(f"{name}1"))
+        n = F.col("size") - at  # bins of the second side, from 1 on
+        u1, u2, t2 = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6, at * (at + 1) * (2 * at + 1) / 6
+        q = F.col("tf2") - at * F.col("f2")
+        first = (-F.col("tf1") - at * F.col("f2") + at * u1 * q / u2) / (at * at * u1 * u1 / u2 - t2 - at * at * n)
+        sided = rows.where((at >= 2) & (at < F.col("size"))).withColumn("a", first).withColumn("b", (q - F.col("a") * at * u1) / u2)
+        a, b = F.col("a"), F.col("b")
+        one = F.col("ff1") - 2 * a * F.col("tf1") + a * a * t2
+        two = F.col("ff2") + n * a * a * at * at + b * b * u2 - 2 * a * at * F.col("f2") - 2 * b * q + 2 * a * at * b * u1
+        tried = sided.withColumn("score", one + two)
+        order = F.round("score", 9)
+    else:
+        raise ValueError(f"unknown method: {method}")
+    chosen = tried.groupBy(*by).agg(F.min(F.struct(order.alias("order"), at.alias("bin"), F.col("score"))).alias("x"))
+    return chosen.select(*by, F.col("x.bin").alias(bin), F.col("x.score").alias("score"))
+
+
+def deconvolved(signal: DataFrame, events: DataFrame, before: float, after: float, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """(keys, bin, center, response): the signal's mean response to one event.
+
+    The histogram of the signal about the events, less its mean, is what the
+    events' own correlogram makes of the response; the system that says so (a
+    Toeplitz matrix of the correlogram, twice as wide) is solved for each key,
+    and the mean per event is added again. Where it has no single solution the
+    one of least squares is given. Only ``2 n - 1`` counts a key leave the
+    joins; keys without an event give no rows, and a signal without points a
+    response of zeros.
+    """
+    width = 2 * n - 1
+
+    def counts(samples: DataFrame, kind: int) -> DataFrame:
+        about = sync(samples, events.select(*by, "t"), 2 * before, 2 * after, by)
+        binned = about.withColumn("bin", bin_index(F.col("t"), -2 * before, 2 * after, width))
+        return binned.groupBy(*by, "bin").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+
+    shown = events.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(0).alias("bin"), "n", F.lit(2).alias("kind"))
+    both = counts(signal.select(*by, "t"), 0).unionByName(counts(events.select(*by, "t"), 1)).unionByName(shown)
+    packed = both.groupBy(*by).agg(F.collect_list(F.struct("kind", "bin", "n")).alias("counts"))  # 2 width + 1 entries at most
+    begin = (n + 1) // 2 - 1
+
+    def solve(batches):
+        import pandas as pd
+
+        for batch in batches:
+            parts = []
+            for row in batch.itertuples(index=False):
+                sums, total = np.zeros((2, width)), 0
+                for x in row.counts:
+                    if x["kind"] == 2:
+                        total = x["n"]
+                    else:
+                        sums[x["kind"], x["bin"] - 1] = x["n"]
+                if not total:
+                    continue
+                raw, own = sums
+                matrix = own[n - 1 + np.arange(n)[:, None] - np.arange(n)[None, :]]
+                mean = raw.mean()
+                wanted = (raw - mean)[begin : begin + n]
+                try:
+                    response = np.linalg.solve(matrix, wanted)
+                    if not np.isfinite(response).all() or np.linalg.cond(matrix) > 1e12:
+                        raise np.linalg.LinAlgError
+                except np.linalg.LinAlgError:
+                    response = np.linalg.lstsq(matrix, wanted, rcond=None)[0]
+                part = pd.DataFrame({"bin": np.arange(1, n + 1, dtype=np.int32), "response": response + mean / total})
+                for c in by:
+                    part[c] = getattr(row, c)
+                parts.append(part[[*by, "bin", "response"]])
+            yield pd.concat(parts) if parts else pd.DataFrame({c: [] for c in [*by, "bin", "response"]})
+
+    schema = T.StructType([*[events.schema[c] for c in by], T.StructField("bin", T.IntegerType()), T.StructField("response", T.DoubleType())])
+    made = packed.mapInPandas(solve, schema)
+    return made.select(*by, "bin", bin_center(F.col("bin"), -before, after, n).alias("center"), "response")

@@ -132,6 +132,21 @@ def random_intervals(spark, n: int, share: float, seed: int = 0, parts: int = 64
     return numbered.select("iid", F.when(F.col("iid") == 0, F.col("start") * (1 - share)).otherwise(F.col("start")).alias("start"), stop.alias("stop"))
 
 
+def random_intervals_within(spans: DataFrame, n: int, share: float, by: Sequence[str], seed: int = 0) -> DataFrame:
+    """(keys, iid, start, stop): ``n`` random intervals in each span that cover ``share`` of it.
+
+    As ``random_intervals``, with places drawn for each key; a span has ``n``
+    rows in a window, whatever its length. Empty spans give empty intervals.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*by, "_k", F.lit(seed)), 11) / float(2**53)
+    drawn = spans.select(*by, F.col("start").alias("_a"), (F.col("stop") - F.col("start")).alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k")).withColumn("_p", place)
+    order = Window.partitionBy(*by).orderBy("_p", "_k")
+    placed = drawn.withColumn("iid", F.row_number().over(order) - 1).withColumn("_next", F.coalesce(F.lead("_p").over(order), F.lit(1.0)))
+    begin = F.when(F.col("iid") == 0, F.col("_p") * (1 - share)).otherwise(F.col("_p"))
+    end = F.col("_p") + share * (F.col("_next") - F.col("_p"))
+    return placed.select(*by, "iid", (F.col("_a") + begin * F.col("_w")).alias("start"), (F.col("_a") + end * F.col("_w")).alias("stop"))
+
+
 def split(intervals: DataFrame, size: float, step: float | None = None, keep: str = "discard", extend: bool = False) -> DataFrame:
     """Pieces of ``size`` every ``step``, with ``piece`` from 0.
 

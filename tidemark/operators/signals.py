@@ -23,11 +23,12 @@ def _no_rows(names: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
 
 
-def over_segments(samples: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], value: str, by: Sequence[str], added: str, rate: float, segment: int = 65_536, halo: int = 4_096, t: str = "t") -> DataFrame:
+def over_segments(samples: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], value: str | list[str], by: Sequence[str], added: str, rate: float, segment: int = 65_536, halo: int = 4_096, t: str = "t") -> DataFrame:
     """Apply ``f`` to the values of each segment with its halo, in time order.
 
     ``f`` gives arrays as long as its input, the columns of ``added`` (a schema
-    string); those of the halo are dropped. Beyond the ends of a series, and of
+    string); those of the halo are dropped. Several values come as the columns
+    of a matrix. Beyond the ends of a series, and of
     each stretch without a missing sample, the values are mirrored.
     """
     at = F.round(F.col(t) * rate).cast("bigint")
@@ -49,7 +50,7 @@ def over_segments(samples: DataFrame, f: Callable[[np.ndarray], dict[str, np.nda
         for s in stretches:
             left = min(halo if place[s[0]] > begin - halo else 0, len(s) - 1)
             right = min(halo if place[s[-1]] < begin + segment - 1 + halo else 0, len(s) - 1)
-            made = f(np.pad(x[s], (left, right), "reflect") if len(s) > 1 else x[s])
+            made = f(np.pad(x[s], ((left, right), (0, 0))[: x.ndim], "reflect") if len(s) > 1 else x[s])
             parts.append({k: v[left : left + len(s)][mine[s]] for k, v in made.items()})
         own = group.iloc[np.concatenate([s[mine[s]] for s in stretches])][names]
         return own.assign(**{k: np.concatenate([p[k] for p in parts]) for k in parts[0]})[schema.names]

@@ -685,7 +685,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import more  # noqa: F401  registers its queries
+    from . import more, sessions  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 

@@ -12,7 +12,7 @@ from ..operators import intervals as I  # noqa: E741
 from ..operators import joins as J
 from ..operators import ordered as O  # noqa: E741
 from ..operators import statistics as S
-from .catalog import DAY, EV, HOUR, USER, events, items, merged, of_type, query, spans
+from .catalog import DAY, EV, HOUR, USER, events, extent, items, merged, of_type, query, spans
 
 ANGLE = f"(dayofyear(l_shipdate) * {2 * math.pi / 366})"
 _PAIR = "r AS (SELECT event_id, user_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS n FROM ev WHERE event_type = 'purchase'), s AS (SELECT user_id, t FROM ev WHERE event_type = 'signup')"
@@ -53,9 +53,10 @@ def interval_rank(spark, d):
     return held.select("event_id", "iid", F.col("place").cast("bigint").alias("place"))
 
 
-@query(f"WITH {EV}, b AS (SELECT k AS iid, 1704067200.0 + k * 43200.0 AS a, 1704067200.0 + k * 43200.0 + 86400.0 AS z FROM range(0, 59) r(k)) SELECT iid, a AS start, z AS stop, count(ev.t) AS n FROM b LEFT JOIN ev ON t BETWEEN a AND z GROUP BY ALL")
+@query(f"WITH {EV}, x AS (SELECT floor(min(t) / 86400.0) AS lo, floor(max(t) / 86400.0) AS hi FROM ev), b AS (SELECT k AS iid, lo * 86400.0 + k * 43200.0 AS a, lo * 86400.0 + k * 43200.0 + 86400.0 AS z FROM (SELECT lo, unnest(range(0, CAST(2 * (hi - lo) + 1 AS BIGINT))) AS k FROM x)) SELECT iid, a AS start, z AS stop, count(ev.t) AS n FROM b LEFT JOIN ev ON t BETWEEN a AND z GROUP BY ALL")
 def sliding_bins(spark, d):
-    made = I.bins(spark, 1704067200.0, 1704067200.0 + 30 * DAY, DAY, DAY / 2)
+    first, days = extent(events(spark, d), DAY)
+    made = I.bins(spark, first * DAY, (first + days) * DAY, DAY, DAY / 2)
     return I.count_in_intervals(events(spark, d), made, DAY, []).select("iid", "start", "stop", "n")
 
 
@@ -67,7 +68,8 @@ def sync_map(spark, d):
 
 @query()
 def random_intervals(spark, d):
-    return I.random_intervals(spark, 500, 0.25)
+    seen = events(spark, d).groupBy("user_id").agg(F.min("t").alias("start"), F.max("t").alias("stop"))
+    return I.random_intervals_within(seen, 20, 0.25, USER)
 
 
 # --- maps and correlograms --------------------------------------------------------
