@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import histograms as H
 from tidemark.operators import intervals as I  # noqa: E741
+from tidemark.operators import populations as P
 from tidemark.operators import recursive as R
 from tidemark.operators import sharp_waves as W
+from tidemark.operators import statistics as T
 from tidemark.sources import waveforms as S
 
 # --- sharp waves ------------------------------------------------------------------
@@ -269,3 +271,47 @@ def test_waveform_filters_reach_the_reader(spark, tmp_path):
     reader = S.FilteredReader({"path": str(tmp_path / "s.spk.1"), "channels": "2", "samples": "4"})
     assert list(reader.pushFilters([S.In(("spike",), (7, 8, 60)), S.LessThan(("spike",), 60)])) == []
     assert [p.runs for p in reader.partitions()] == [((7, 2),)]
+
+
+# --- assemblies and distributions ----------------------------------------------------
+
+
+def test_planted_assemblies_are_found(spark):
+    rng = np.random.default_rng(12)
+    units, bins = 16, 1500
+    counts = rng.poisson(2.0, (units, bins)).astype(float)
+    planted = np.zeros((2, units))
+    planted[0, [0, 1, 2, 3]] = planted[1, [3, 8, 9, 10, 11]] = 1  # one unit is in both
+    for members in planted:
+        counts += members[:, None] * 8 * (rng.random(bins) < 0.04)
+    rows = spark.createDataFrame([(f"u{i}", b, int(counts[i, b])) for i in range(units) for b in range(bins)], "unit string, bin long, n long")
+    z = P.dense_zscores(rows, 0, bins)
+    made = P.assemblies(z, units, bins, independent=True).toPandas().pivot(index="assembly", columns="unit", values="weight")
+    made = made[[f"u{i}" for i in range(units)]].to_numpy()
+    assert made.shape == (2, units) and np.allclose((made**2).sum(1), 1)
+    likeness = made @ (planted / np.linalg.norm(planted, axis=1, keepdims=True)).T
+    assert (likeness.max(0) > 0.95).all()
+    plain = P.assemblies(z, units, bins).toPandas()
+    x = (counts - counts.mean(1, keepdims=True)) / counts.std(1, ddof=1, keepdims=True)
+    values = np.linalg.eigvalsh(x @ x.T / (bins - 1))[::-1]
+    assert sorted(plain["eigenvalue"].unique(), reverse=True) == pytest.approx(values[:2])
+
+
+def test_gaps_in_cells_equal_one_window(spark):
+    rng = np.random.default_rng(13)
+    rows = spark.createDataFrame([("ab"[i % 2], "xy"[int(rng.integers(2))], float(np.round(rng.normal(), 1))) for i in range(600)], "k string, g string, v double")
+    one, two = (sorted(map(tuple, T.distribution_distance(rows, "v", "g", "x", "y", ["k"], cell).collect())) for cell in (None, 0.3))
+    assert [x[:3] for x in one] == [x[:3] for x in two] and np.allclose([x[3:] for x in one], [x[3:] for x in two])
+
+
+def test_skewness_of_fields(spark):
+    rng = np.random.default_rng(14)
+    fields = rng.poisson(3, (5, 12)).astype(float)
+    rows = spark.createDataFrame([(u, i + 1, float(x)) for u, f in enumerate(fields) for i, x in enumerate(f)] + [(7, 3, 2.0), (8, 1, 0.0)], "unit int, bin int, rate double")
+    got = {r.unit: r.skewness for r in T.field_skewness(rows, ["unit"], 12).collect()}
+    x = np.arange(1, 13)
+    for u, f in enumerate(fields):
+        p = f / f.sum()
+        m = (x * p).sum()
+        assert got[u] == pytest.approx(((x - m) ** 3 * p).sum() / (((x - m) ** 2 * p).sum()) ** 1.5 * np.sqrt(12 * 11) / 10)
+    assert got[7] is None and got[8] is None

@@ -145,26 +145,103 @@ def states(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> Da
     return model.transform(scaled).drop("_v", "_x")
 
 
-def assemblies(z: DataFrame, units: int, bins: int) -> DataFrame:
+def _wide(z: DataFrame, names: list) -> DataFrame:
+    """(bin, x): each bin's scores as one array, in the order of ``names``."""
+    kind = dict(z.dtypes)["unit"]
+    places = z.sparkSession.createDataFrame(list(enumerate(names)), f"_i int, unit {kind}")
+    placed = z.join(F.broadcast(places), "unit")  # at most MOST_UNITS rows
+    held = placed.groupBy("bin").agg(F.map_from_entries(F.collect_list(F.struct("_i", "z"))).alias("m"))
+    return held.select("bin", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("x"))
+
+
+def _matrix(batch: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack(batch[column].to_list()) if len(batch) else np.zeros((0, 0))
+
+
+def _block_sums(rows: DataFrame, size: int, f) -> np.ndarray:
+    """Sum of ``f``, a vector of ``size`` numbers, over batches of rows; one vector a task reaches the driver."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += f(batch)
+        yield pd.DataFrame({"sums": [total]})
+
+    return sum((np.asarray(r.sums) for r in rows.mapInPandas(run, "sums array<double>").toLocalIterator()), np.zeros(size))
+
+
+def _independent(y: DataFrame, k: int, bins: int, rounds: int = 500, closest: float = 1e-10) -> np.ndarray:
+    """Directions of whitened projections that are least normal (fixed-point steps, all at once).
+
+    Each round is a sum over all bins of k * k + k numbers; it starts from
+    a fixed rotation and ends when no direction turns any more.
+    """
+
+    def even(w):
+        u, _, v = np.linalg.svd(w)
+        return u @ v
+
+    w = even(np.random.default_rng(0).normal(size=(k, k)))
+    for _ in range(rounds):
+
+        def step(batch, w=w):
+            x = _matrix(batch, "y")
+            g = np.tanh(x @ w.T)
+            return np.r_[(g.T @ x).ravel(), (1 - g * g).sum(0)]
+
+        sums = _block_sums(y, k * k + k, step) / bins
+        new = even(sums[: k * k].reshape(k, k) - sums[k * k :, None] * w)
+        turned = np.abs(np.abs((new * w).sum(1)) - 1).max()
+        w = new
+        if turned < closest:
+            break
+    return w
+
+
+def assemblies(z: DataFrame, units: int, bins: int, independent: bool = False, tasks: int = 32) -> DataFrame:
     """(assembly, unit, weight, eigenvalue) of the components that chance cannot explain.
 
-    Eigenvectors of the correlations above the Marchenko-Pastur edge. The
-    matrix is units by units, a size that does not grow with time; more than
-    MOST_UNITS units are refused.
+    Eigenvectors of the correlations above the Marchenko-Pastur edge; if
+    ``independent``, they are turned to the directions of their space in which
+    the bins' scores are most independent, in order of the variance there,
+    which then stands as ``eigenvalue``. Weights have length one and their
+    largest is positive. The matrix is units by units, summed over blocks of
+    bins; its size does not grow with time, and more than MOST_UNITS units are
+    refused. Without such a component there are no rows.
     """
-    if units > MOST_UNITS or z.select("unit").distinct().count() > MOST_UNITS:
+    kind = dict(z.dtypes)["unit"]
+    schema = f"assembly int, unit {kind}, weight double, eigenvalue double"
+    names = sorted(r.unit for r in z.select("unit").distinct().limit(MOST_UNITS + 1).collect())
+    if units > MOST_UNITS or len(names) > MOST_UNITS:
         raise ValueError(f"a matrix of more than {MOST_UNITS} units a side")
-    pairs = template(z, bins).collect()
-    names = sorted({r.a for r in pairs} | {r.b for r in pairs})
-    place = {u: i for i, u in enumerate(names)}
-    c = np.eye(len(names))
-    for r in pairs:
-        c[place[r.a], place[r.b]] = c[place[r.b], place[r.a]] = r.w
-    values, vectors = np.linalg.eigh(c) if names else (np.zeros(0), np.zeros((0, 0)))
-    edge = (1 + np.sqrt(units / bins)) ** 2
+    if not names:
+        return z.sparkSession.createDataFrame([], schema)
+    n = len(names)
+    wide = _wide(z, names).coalesce(tasks).persist()
+
+    def squares(batch):
+        x = _matrix(batch, "x")
+        return (x.T @ x).ravel()
+
+    values, vectors = np.linalg.eigh(_block_sums(wide, n * n, squares).reshape(n, n) / (bins - 1))
+    strong = [k for k in range(n)[::-1] if values[k] > (1 + np.sqrt(units / bins)) ** 2]
+    values, found = values[strong], vectors[:, strong]
+    if independent and strong:
+        white = found / np.sqrt(values)
+
+        def project(batches):
+            for batch in batches:
+                yield pd.DataFrame({"y": list(_matrix(batch, "x") @ white)} if len(batch) else {"y": []})
+
+        w = _independent(wide.mapInPandas(project, "y array<double>").persist(), len(strong), bins)
+        turned = white @ w.T
+        turned /= np.linalg.norm(turned, axis=0)
+        spread = ((turned.T @ found) ** 2) @ values
+        order = np.argsort(-spread, kind="stable")
+        found, values = turned[:, order], spread[order]
     rows = []
-    for i, j in enumerate(k for k in range(len(values))[::-1] if values[k] > edge):
-        v = vectors[:, j] * np.sign(vectors[np.abs(vectors[:, j]).argmax(), j])
-        rows += [(i + 1, u, float(v[place[u]]), float(values[j])) for u in names]
-    kind = dict(z.dtypes)["unit"]
-    return z.sparkSession.createDataFrame(rows, f"assembly int, unit {kind}, weight double, eigenvalue double")
+    for j in range(found.shape[1]):
+        v = found[:, j] * np.sign(found[np.abs(found[:, j]).argmax(), j])
+        rows += [(j + 1, u, float(x), float(values[j])) for u, x in zip(names, v, strict=True)]
+    return z.sparkSession.createDataFrame(rows, schema)

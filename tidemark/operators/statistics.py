@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.distributions import chi2_tail, f_tail, normal_two_tailed, t_two_tailed, udf_of
+from .series import running_sum
 
 
 def circular_summary(rows: DataFrame, angle: str, by: Sequence[str]) -> DataFrame:
@@ -102,16 +104,18 @@ def without_outliers(rows: DataFrame, value: str, by: Sequence[str], reach: floa
     return joined.where((F.col(value) >= F.col("_q")[0] - F.col("_d")) & (F.col(value) <= F.col("_q")[1] + F.col("_d"))).drop("_q", "_d")
 
 
-def distribution_distance(rows: DataFrame, value: str, group: str, a, b, by: Sequence[str]) -> DataFrame:
+def distribution_distance(rows: DataFrame, value: str, group: str, a, b, by: Sequence[str], cell: float | None = None) -> DataFrame:
     """Watson's U2 and the largest gap of two empirical distributions, by key.
 
     Equal values are summed before the running counts, so ties are one step.
+    With a ``cell``, a length of the value, running counts are made in cells,
+    so that no task holds a key's values.
     """
     x = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     steps = x.groupBy(*by, value).agg(F.count(F.when(F.col(group) == a, 1)).alias("ca"), F.count(F.when(F.col(group) == b, 1)).alias("cb"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    d = steps.withColumns({"na": F.sum("ca").over(whole), "nb": F.sum("cb").over(whole), "d": F.sum("ca").over(run) / F.sum("ca").over(whole) - F.sum("cb").over(run) / F.sum("cb").over(whole)})
+    totals = steps.groupBy(*by).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
+    upto = running_sum(running_sum(steps, F.col("ca"), by, value, cell, "_a"), F.col("cb"), by, value, cell, "_b")
+    d = upto.join(totals, list(by)).withColumn("d", F.col("_a") / F.col("na") - F.col("_b") / F.col("nb"))
     n = F.col("ca") + F.col("cb")
     s = d.groupBy(*by).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum(n * F.col("d")).alias("s"), F.sum(n * F.col("d") ** 2).alias("q"), F.max(F.abs("d")).alias("gap"))
     total = F.col("na") + F.col("nb")
@@ -119,6 +123,41 @@ def distribution_distance(rows: DataFrame, value: str, group: str, a, b, by: Seq
     return s.select(*by, "na", "nb", u2.alias("u2"), "gap")
 
 
+def gap_tail(gap, na, nb):
+    """Chance of a larger gap of two samples of one distribution (asymptotic, the first 101 terms)."""
+    root = F.sqrt(na * nb / (na + nb))
+    reach = gap * (root + 0.12 + 0.11 / root)
+    terms = F.transform(F.sequence(F.lit(1), F.lit(101)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * reach * reach * j * j))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+
+
+def field_skewness(fields: DataFrame, by: Sequence[str], n: int, bin: str = "bin", rate: str = "rate") -> DataFrame:
+    """(keys, skewness) of fields over bins 1 to ``n``, as distributions of rates, without its bias.
+
+    Absent bins are zero; a field without a rate, or all in one bin, has a null.
+    """
+    x, w = F.col(bin).cast("double"), F.col(rate)
+    sums = fields.groupBy(*by).agg(F.sum(w).alias("_0"), *[F.sum(w * x**k).alias(f"_{k}") for k in (1, 2, 3)])
+    m, q, c = (F.try_divide(F.col(f"_{k}"), F.col("_0")) for k in (1, 2, 3))
+    spread = q - m * m
+    third = c - 3 * m * q + 2 * m * m * m
+    return sums.select(*by, F.when((F.col("_0") > 0) & (spread > 1e-12), third / F.pow(spread, 1.5) * (math.sqrt(n * (n - 1)) / (n - 2))).alias("skewness"))
+
+
+def compare_skewness(fields: DataFrame, unit: Sequence[str], group: str, a, b, n: int, by: Sequence[str] = (), bin: str = "bin", rate: str = "rate") -> DataFrame:
+    """(keys, na, nb, mean_a, mean_b, gap, p): do the fields of two conditions lean alike?
+
+    ``gap`` is the largest one of the two distributions of skewness over
+    units, ``p`` the chance of a larger one.
+    """
+    skew = field_skewness(fields.where(F.col(group).isin(a, b)), [*by, *unit, group], n, bin, rate).where("skewness is not null")
+    one = skew.withColumn("_all", F.lit(1)) if not by else skew
+    keys = list(by) or ["_all"]
+    means = one.groupBy(*keys).agg(F.avg(F.when(F.col(group) == a, F.col("skewness"))).alias("mean_a"), F.avg(F.when(F.col(group) == b, F.col("skewness"))).alias("mean_b"))
+    told = distribution_distance(one, "skewness", group, a, b, keys, cell=0.05).join(means, keys)
+    return told.select(*by, "na", "nb", "mean_a", "mean_b", "gap", gap_tail(F.col("gap"), F.col("na"), F.col("nb")).alias("p"))
+
+
 def otsu(rows: DataFrame, value: str, low: float, high: float, n: int) -> DataFrame:
     """The bin above which a value is split with the largest variance between classes."""
     counts = rows.groupBy(C.bin_index(F.col(value), low, high, n).alias("bin")).agg(F.count("*").alias("c")).where("bin is not null")

@@ -672,14 +672,6 @@ def activity_states(spark, d):
     return P.states(users, ["n", "mean"], 3).select("user_id", "state")
 
 
-@query()
-def assemblies(spark, d):
-    from ..operators import populations as P
-
-    z, n = _scores(spark, d)
-    return P.assemblies(z, z.select("unit").distinct().count(), n)
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return psth(spark, d)
 

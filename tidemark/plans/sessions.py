@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import histograms as H
+from ..operators import populations as P
 from ..operators import recursive as R
 from ..operators import sharp_waves as W
+from ..operators import statistics as S
 from .catalog import EV, HOUR, USER, events, extent, of_type, query
 
 PER_HOUR = 1 / HOUR
@@ -78,3 +80,30 @@ def recursive_bands(spark, d):
 def resampled_counts(spark, d):
     """Hourly counts at three samples in two hours."""
     return R.resample(hourly(spark, d, ["click", "view"]), ["click", "view"], [], PER_HOUR, 3, 2)
+
+
+@query()
+def assemblies(spark, d):
+    """Overlapping groups of users, those whose numbers 2 to 16 divide, as units whose six-hour counts vary together."""
+    grouped = events(spark, d).withColumn("unit", F.explode(F.sequence(F.lit(2), F.lit(16)))).where(F.col("user_id") % F.col("unit") == 0)
+    counts = H.count_matrix(grouped, "unit", 6 * HOUR)
+    low, high = counts.agg(F.min("bin"), F.max("bin")).first()
+    bins = high - low + 1 if low is not None else 0
+    z = P.dense_zscores(counts, low or 0, bins)
+    made = P.assemblies(z, z.select("unit").distinct().count(), bins, independent=True)
+    return made.select("assembly", "unit", F.round("weight", 4).alias("weight"), F.round("eigenvalue", 4).alias("eigenvalue"))
+
+
+@query(f"""WITH {EV}, f AS (SELECT user_id, event_type, CAST(floor(t / 3600.0) AS BIGINT) % 24 + 1 AS x, count(*)::DOUBLE AS r FROM ev WHERE event_type IN ('click', 'view') GROUP BY ALL),
+  m AS (SELECT user_id, event_type, sum(r) AS s0, sum(r * x) / sum(r) AS m1, sum(r * x ** 2) / sum(r) AS m2, sum(r * x ** 3) / sum(r) AS m3 FROM f GROUP BY ALL),
+  k AS (SELECT user_id, event_type, (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / (m2 - m1 * m1) ** 1.5 * sqrt(24 * 23.0) / 22 AS k FROM m WHERE m2 - m1 * m1 > 1e-12),
+  s AS (SELECT k, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b FROM k GROUP BY k),
+  d AS (SELECT max(abs(da / na - db / nb)) AS gap, max(na) AS na, max(nb) AS nb FROM (SELECT sum(a) OVER (ORDER BY k) AS da, sum(b) OVER (ORDER BY k) AS db, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM s)),
+  e AS (SELECT *, gap * (sqrt(na * nb / (na + nb)) + 0.12 + 0.11 / sqrt(na * nb / (na + nb))) AS reach FROM d)
+SELECT CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, (SELECT round(avg(k), 6) FROM k WHERE event_type = 'click') AS mean_a, (SELECT round(avg(k), 6) FROM k WHERE event_type = 'view') AS mean_b,
+  round(gap, 6) AS gap, round(greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * reach * reach * j * j)) FROM (SELECT unnest(range(1, 102)) AS j)))), 6) AS p FROM e""")
+def skewness_test(spark, d):
+    """Do a user's clicks lean to other hours of the day than the views?"""
+    fields = events(spark, d).where(F.col("event_type").isin("click", "view")).groupBy("user_id", "event_type", (F.floor(F.col("t") / HOUR) % 24 + 1).alias("bin")).agg(F.count("*").cast("double").alias("rate"))
+    made = S.compare_skewness(fields, USER, "event_type", "click", "view", 24)
+    return made.select("na", "nb", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "gap", "p")])
