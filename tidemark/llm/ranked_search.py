@@ -211,6 +211,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, doc_id: str = "doc_id
     n_items, n_terms = wanted.agg(F.count("*"), F.sum(F.size("terms"))).first()
     n_blocks = max(-(-n_items // 10_000), -(-(n_terms or 0) // block_terms))
     found = against(wanted, lists.where("n > 0").select("id", "n", "terms", "tfs"), lambda t: _Ranking(t, documents, tokens, k), "item_id long, doc_id long, score long", "id", n_blocks, lanes_for(rows))
-    ranged = found.repartitionByRange("item_id")
+    ranged = keep(found, "found").repartitionByRange("item_id")  # kept, since a range is sampled first
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return ranged.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
