@@ -381,8 +381,9 @@ def _triple_sums(pairs: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple:
 
 
 def _pack_triples(pairs: np.ndarray, left: np.ndarray, n: np.ndarray) -> bytes:
-    first = np.diff((pairs >> np.uint64(32)).astype("<u4"), prepend=np.uint32(0)).astype("<u4")
-    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, i] for x in (first, pairs & LOW, left, n) for i in range(4)]
+    # both words of sorted pairs as differences modulo 2**32, which are small
+    first, second = (np.diff(x.astype("<u4"), prepend=np.uint32(0)) for x in (pairs >> np.uint64(32), pairs & LOW))
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, i] for x in (first, second, left, n) for i in range(4)]
     return len(pairs).to_bytes(8, "little") + zlib.compress(np.concatenate(planes).tobytes(), 1)
 
 
@@ -390,7 +391,8 @@ def _unpack_triples(blob: bytes) -> tuple:
     n = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(zlib.decompress(blob[8:]), np.uint8).reshape(4, 4, n)
     first, second, left, count = (np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes)
-    return (np.cumsum(first, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64), left.astype(np.int64), count.astype(np.int64)
+    first, second = (np.cumsum(x, dtype=np.uint32).astype(np.uint64) for x in (first, second))
+    return (first << np.uint64(32)) | second, left.astype(np.int64), count.astype(np.int64)
 
 
 def _neighbours(model: Model, tokens: np.ndarray, opens: np.ndarray):
