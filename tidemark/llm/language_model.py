@@ -34,7 +34,7 @@ PART_ROWS = 1_500_000
 HOT = 200_000
 FLUSH = 1_500_000
 MOST_TASKS = 20_000
-SLICE = 1_500_000  # of text: larger than elsewhere, since each one visits all parts of the model
+SLICE = 1_750_000  # of text: larger than elsewhere, since each one visits all parts of the model
 MOST_MAPPED = 500
 _MAPPED: dict[str, np.ndarray] = {}
 
@@ -524,7 +524,11 @@ def _store_triples(counted: DataFrame, model: Model) -> DataFrame:
 
     dealt = counted.repartition(min(model.parts, MOST_TASKS), "part").sortWithinPartitions("part")
     schema = "kind int, id long, a long, b long, c long, d long"
-    return dealt.mapInArrow(run, schema).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    # kept before it is summed, so that the packed triples' shuffle is gone by then
+    told = keep(dealt.mapInArrow(run, schema), "told")
+    sums = keep(told.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"]), "triples")
+    discard(told)
+    return sums
 
 
 def _store_frequent_contexts(stats: DataFrame, model: Model) -> None:
@@ -698,7 +702,7 @@ def _fit(spark, docs: DataFrame, order: int, hot: int) -> Model:
                 _write(f"{model.path}/{name}-{p}", np.zeros(0, "u1"))
     discard(counted)
     if order == 3:
-        stats = keep(_store_triples(_count_triples(docs, model), model), "triples")
+        stats = _store_triples(_count_triples(docs, model), model)
         high = stats.where("kind = 4").first()
         model.high_discounts = _discounts([high.a, high.b, high.c, high.d])
         _store_frequent_contexts(stats, model)
