@@ -280,6 +280,25 @@ def phase_precession(spark, d):
     return got.select("l_returnflag", "n", F.round("slope", 6).alias("slope"), F.round("r", 5).alias("r"))
 
 
+@query()
+def circular_regression(spark, d):
+    """Slopes of greatest resultant and their tests, of the line items' phases on discounts."""
+    from ..operators.regression import resultant_regression as f
+
+    made = f(angles(spark, d), ["l_returnflag"], "l_discount", "angle")
+    return made.select("l_returnflag", "n", *[F.round(c, 5).alias(c) for c in ("slope", "offset", "r2", "p")])
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_custkey::DOUBLE AS x, c_acctbal::DOUBLE AS y FROM customer)
+SELECT c_nationkey, round(median((b.y - a.y) / (b.x - a.x)), 6) AS slope FROM c a JOIN c b USING (c_nationkey) WHERE a.x < b.x GROUP BY c_nationkey""")
+def median_slopes(spark, d):
+    """Median of the slopes of all pairs of a nation's customers, of balance on number."""
+    from ..operators.regression import median_slope as f
+
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", F.col("c_custkey").cast("double").alias("x"), F.col("c_acctbal").cast("double").alias("y"))
+    return f(rows, ["c_nationkey"], "x", "y").where("slope is not null").select("c_nationkey", F.round("slope", 6).alias("slope"))
+
+
 @query()
 def bootstrap_interval(spark, d):
     from ..operators import resampling as R
