@@ -210,3 +210,72 @@ def glm_gain(rows: DataFrame, features: Sequence[str], target: str, key: str, fo
         made.append(model.transform(mixed.where(F.col("_fold") == k)))
     errors = reduce(DataFrame.unionByName, made).agg(F.avg((F.col(target) - F.col("_p")) ** 2).alias("error"), F.avg((F.col("_other") - F.col("_p")) ** 2).alias("shuffled"))
     return errors.select((F.col("shuffled") / F.col("error")).alias("gain"), "error", "shuffled")
+
+
+def _relaxed(grid: np.ndarray, weights: tuple[float, float], tolerance: float, most: int) -> tuple[np.ndarray, int, float]:
+    """The grid with its missing cells filled, how many rounds it took and the greatest residual."""
+    rows, columns = grid.shape
+    gap = np.isnan(grid)
+    border = np.ones_like(gap)
+    border[1:-1, 1:-1] = False
+    if not gap.any() or gap[border].all():
+        return grid, 0, 0.0
+    inner_row = np.zeros((rows, 1))
+    inner_row[1:-1] = weights[0]
+    inner_column = np.zeros((1, columns))
+    inner_column[:, 1:-1] = weights[1]
+    down, across = np.broadcast_to(inner_row, grid.shape).copy(), np.broadcast_to(inner_column, grid.shape).copy()
+    corner = np.zeros_like(gap)
+    corner[[0, 0, -1, -1], [0, -1, 0, -1]] = True
+    down[corner] = across[corner] = 1.0
+    total = np.where(corner, 2.0, 2 * (down + across))
+    v = np.where(gap, grid[~gap].mean(), grid)
+    colour = np.add.outer(np.arange(rows), np.arange(columns)) % 2
+    parts = [gap & (colour == c) for c in (0, 1)]
+    factor = 2 / (1 + math.sin(math.pi / max(rows, columns)))
+    scale = max(1.0, float(np.abs(grid[~gap]).max()))
+
+    def off() -> np.ndarray:
+        around = np.pad(v, 1)
+        return down * (around[:-2, 1:-1] + around[2:, 1:-1]) + across * (around[1:-1, :-2] + around[1:-1, 2:]) - total * v
+
+    for n in range(1, most + 1):
+        for part in parts:
+            v[part] += factor * (off() / total)[part]
+        worst = float(np.abs(off()[gap]).max())
+        if worst <= tolerance * scale:
+            break
+    return v, n, worst
+
+
+def filled_map(cells: DataFrame, by: Sequence[str], row: str, column: str, value: str, rows: int, columns: int, weights: tuple[float, float] = (1.0, 1.0), tolerance: float = 1e-12, most: int = 20_000) -> DataFrame:
+    """(by, row, column, value, filled, rounds, residual): maps whose missing cells are harmonic in their neighbours.
+
+    A map has cells 1..rows by 1..columns, at least two each; null, NaN or
+    absent ones are missing. The weighted second differences down and across
+    are 0 in a missing cell; on an edge only the one along it counts, and a
+    corner is its two neighbours' mean. A map without any known cell on its
+    border stays as it is, since the equations have no one solution; of repeated
+    cells the mean counts; cells outside are left out. One map a task, whose
+    size is fixed by the arguments.
+    """
+    if rows < 2 or columns < 2:
+        raise ValueError("a map has at least two rows and two columns")
+    inside = F.col(row).between(1, rows) & F.col(column).between(1, columns)
+    once = cells.where(inside).groupBy(*by, F.col(row).cast("int").alias(row), F.col(column).cast("int").alias(column)).agg(F.avg(C.finite(F.col(value))).alias(value))
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((rows, columns), np.nan)
+        grid[part[row] - 1, part[column] - 1] = part[value].astype(float)
+        made, n, worst = _relaxed(grid, weights, tolerance, most)
+        out = part.iloc[[0] * grid.size][list(by)].reset_index(drop=True)
+        out[row], out[column] = np.repeat(np.arange(1, rows + 1), columns), np.tile(np.arange(1, columns + 1), rows)
+        flat = made.ravel()
+        out[value] = pd.Series(flat).astype(object).where(~np.isnan(flat), None)
+        out["filled"] = np.isnan(grid.ravel()) & ~np.isnan(flat)
+        out["rounds"], out["residual"] = n, worst
+        return out
+
+    keys = ", ".join(f"`{c}` {once.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{keys}{', ' if by else ''}`{row}` int, `{column}` int, `{value}` double, filled boolean, rounds int, residual double"
+    return once.groupBy(*by).applyInPandas(fill, schema)
