@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import clustering as K
 from ..operators import histograms as H
 from ..operators import populations as P
 from ..operators import recursive as R
+from ..operators import remapping as M
 from ..operators import sharp_waves as W
 from ..operators import statistics as S
 from .catalog import EV, HOUR, USER, events, extent, of_type, query
@@ -107,3 +109,47 @@ def skewness_test(spark, d):
     fields = events(spark, d).where(F.col("event_type").isin("click", "view")).groupBy("user_id", "event_type", (F.floor(F.col("t") / HOUR) % 24 + 1).alias("bin")).agg(F.count("*").cast("double").alias("rate"))
     made = S.compare_skewness(fields, USER, "event_type", "click", "view", 24)
     return made.select("na", "nb", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "gap", "p")])
+
+
+@query(f"""WITH {EV}, n AS (SELECT event_type, count(*) AS n FROM ev GROUP BY 1), u AS (SELECT max(t) - min(t) AS span FROM ev),
+  g AS (SELECT ev.event_type AS a, n.event_type AS b, ev.t, max(CASE WHEN ev.event_type = n.event_type THEN t END) OVER (PARTITION BY n.event_type ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p,
+    min(CASE WHEN ev.event_type = n.event_type THEN t END) OVER (PARTITION BY n.event_type ORDER BY t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM ev CROSS JOIN n),
+  m AS (SELECT a, b, avg(least(t - p, q - t)) AS m FROM g WHERE a <> b GROUP BY ALL)
+SELECT x.a, x.b, round((x.m + y.m) / 2 / (span * (na.n + nb.n) / (4.0 * na.n * nb.n)), 6) AS distance
+FROM m x JOIN m y ON x.a = y.b AND x.b = y.a JOIN n na ON na.event_type = x.a JOIN n nb ON nb.event_type = x.b CROSS JOIN u WHERE x.a < x.b""")
+def train_distances(spark, d):
+    """How near events of two types come to each other, over what chance would give."""
+    made = K.train_distances(events(spark, d), [], "event_type", "event_id", repetitions=0, cell=6 * HOUR)
+    return made.select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def functional_clusters(spark, d):
+    """The tree of the types of events, against times moved by an hour or so, 20 times."""
+    return K.functional_clusters(events(spark, d), [], "event_type", "event_id", HOUR, 20, 6 * HOUR)
+
+
+_FIELDS = "f AS (SELECT user_id, event_type, CAST(floor(t / 3600.0) AS BIGINT) % 24 + 1 AS bin, count(*)::DOUBLE AS rate FROM ev GROUP BY ALL)"
+
+
+def clock_fields(spark, d, kind: str) -> DataFrame:
+    """(user_id, bin, rate): each user's events of a kind by hour of the day."""
+    return of_type(spark, d, kind).groupBy("user_id", (F.floor(F.col("t") / HOUR) % 24 + 1).alias("bin")).agg(F.count("*").cast("double").alias("rate"))
+
+
+@query(f"""WITH {EV}, {_FIELDS}, a AS (SELECT * FROM f WHERE event_type = 'click'), b AS (SELECT * FROM f WHERE event_type = 'view'),
+  k AS (SELECT user_id FROM a INTERSECT SELECT user_id FROM b), l AS (SELECT unnest(range(-23, 24)) AS lag),
+  r AS (SELECT user_id, b.bin - a.bin AS lag, sum(a.rate * b.rate) AS s FROM a JOIN b USING (user_id) GROUP BY ALL),
+  m AS (SELECT user_id, lag FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, abs(lag), lag) = 1),
+  z AS (SELECT user_id, count(*) AS size FROM f WHERE event_type IN ('click', 'view') GROUP BY ALL)
+SELECT user_id, round(lag / 24.0, 9) AS shift, round(2.0 * lag / size, 9) AS relative FROM k JOIN m USING (user_id) JOIN z USING (user_id)""")
+def field_shifts(spark, d):
+    """Hours of the day of each user's clicks against those of the views."""
+    made = M.field_shifts(clock_fields(spark, d, "click"), clock_fields(spark, d, "view"), USER, 24)
+    return made.select("user_id", F.round("shift", 9).alias("shift"), F.round("relative", 9).alias("relative"))
+
+
+@query()
+def remapping(spark, d):
+    """Do users click at the hours at which they view, or at anyone's?"""
+    return M.remapping_test(clock_fields(spark, d, "view"), clock_fields(spark, d, "view"), clock_fields(spark, d, "click"), [], "user_id", 24, circular=True)
