@@ -3,10 +3,11 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import histograms, intervals, joins, ordered, series
+from tidemark.operators import histograms, intervals, joins, kinematics, ordered, series, signals, statistics, waves
 from tidemark.operators.resampling import permutation_difference
 from tidemark.operators.statistics import cdf_at
 
@@ -46,6 +47,14 @@ OPERATORS = {
     "interpolate": lambda s, c: joins.interpolate(s.where("id % 5 = 0"), s.select("id", "t"), "v", [], cell=c),
     "first_after": lambda s, c: joins.first_after(s.where("id % 3 = 0"), s.where("id % 7 = 1"), [], cell=c),
     "match_pairs": lambda s, c: joins.match_pairs(s.where("id % 3 = 0"), s.where("id % 2 = 1"), [], 1.2, cell=c),
+    "cycles": lambda s, c: waves.cycles(s, "v", [], cell=c),
+    "points_per_cycle": lambda s, c: waves.points_per_cycle(s.where("id % 2 = 0").select("t"), s, "v", [], 50.0, cell=c).select("iid", "n"),
+    "delta_waves": lambda s, c: waves.delta_waves(s, "v", [], 1.0, 200.0, 1.0, -1.0, cell=c),
+    "spindles": lambda s, c: waves.spindles(s, "v", [], 0.2, 1.0, 2.0, 0.0, 500.0, cell=c).select("start", "peak", "stop", F.round("height", 9)),
+    "ripples": lambda s, c: signals.ripples(s, "v", [], 1.0, 0.2, 0.8, 3, 2.0, 0.0, 500.0, cell=c).select("start", "peak", "stop", F.round("power", 9)),
+    "linear_velocity": lambda s, c: kinematics.linear_velocity(s.select("id", "t", F.col("v").alias("x"), (F.col("v") * 2).alias("y")), [], cell=c).select("id", F.round("velocity", 9)),
+    "angular_velocity": lambda s, c: kinematics.angular_velocity(s, [], "v", cell=c).select("id", F.round("velocity", 9)),
+    "mango": lambda s, c: kinematics.mango(s.select("t", F.col("v").alias("x"), F.col("v").alias("y")), s.where("id % 3 = 0").select((F.col("t") + 0.25).alias("t")), [], 50.0, {"velocity": (0.0, 20.0, 4), "acceleration": (-20.0, 20.0, 4)}, cell=c),
     "cdf_at": lambda s, c: cdf_at(s.where("id % 3 = 0").withColumn("v", F.col("t") % 50), s.select("id", (F.col("t") % 50).alias("v")), "v", [], cell=c and 5.0),
 }
 
@@ -113,3 +122,18 @@ def test_random_intervals(spark):
     assert sum(q.stop - q.start for q in got) == pytest.approx(0.3)
     assert [tuple(q) for q in intervals.bins(spark, 0.0, 5.0, 2.0, 1.0).collect()] == [(i, float(i), i + 2.0) for i in range(4)]
     assert intervals.bins(spark, 0.0, 1.0, 2.0).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_spearman_against_ranks(spark, monkeypatch, by):
+    monkeypatch.setattr(statistics, "RANK_CELLS", 7)
+    r = random.Random(5)
+    x = [r.choice([1.0, 2.0, 2.5, 40.0, float("inf"), float("-inf"), r.gauss(0, 5)]) for _ in range(200)]
+    data = [("a" if i % 3 else None, v, r.choice([v if abs(v) < 100 else 0.0, r.gauss(0, 9), 3.0])) for i, v in enumerate(x)]
+    got = {q[0] if by else "all": (q.rho, q.n) for q in statistics.spearman(frame(spark, [*data, ("a", None, 1.0), ("a", 1.0, None)], "g string, x double, y double"), "x", "y", by).collect()}
+    for k in ("a", None) if by else ("all",):
+        rows = pd.DataFrame([q[1:] for q in data if not by or q[0] == k], columns=["x", "y"])
+        assert got.pop(k) == (pytest.approx(rows["x"].rank().corr(rows["y"].rank())), len(rows))
+    assert not got
+    flat = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0)], "g string, x double, y double")
+    assert [tuple(q) for q in statistics.spearman(flat, "x", "y", ["g"]).collect()] == [("a", None, 2)]

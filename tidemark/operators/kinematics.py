@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_index, clip, wrap
+from .series import windowed
 
 
 def clean_leds(positions: DataFrame, least: float, most: float) -> DataFrame:
@@ -28,19 +29,27 @@ def head_direction(positions: DataFrame) -> DataFrame:
     return positions.withColumn("angle", F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x")))
 
 
-def linear_velocity(positions: DataFrame, by: Sequence[str], t: str = "t") -> DataFrame:
+def linear_velocity(positions: DataFrame, by: Sequence[str], t: str = "t", cell: float | None = None) -> DataFrame:
     """Add ``velocity`` by central differences (one-sided at the ends)."""
-    w = Window.partitionBy(*by).orderBy(t)
-    near = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.col(c))
-    d = lambda c: near(c, -1) - near(c, 1)
-    return positions.withColumn("velocity", F.hypot(d("x"), d("y")) / F.nullif(d(t), F.lit(0.0)))
 
+    def made(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(t)
+        near = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.col(c))
+        d = lambda c: near(c, -1) - near(c, 1)
+        return rows.withColumn("velocity", F.hypot(d("x"), d("y")) / F.nullif(d(t), F.lit(0.0)))
 
-def angular_velocity(angles: DataFrame, by: Sequence[str], angle: str = "angle", t: str = "t") -> DataFrame:
+    return windowed(positions, by, t, cell, 1, made)
+
+
+def angular_velocity(angles: DataFrame, by: Sequence[str], angle: str = "angle", t: str = "t", cell: float | None = None) -> DataFrame:
     """Add ``velocity`` of an angle, the difference taken the short way round."""
-    w = Window.partitionBy(*by).orderBy(t)
-    d = wrap(F.lead(angle).over(w) - F.col(angle))
-    return angles.withColumn("velocity", d / (F.lead(t).over(w) - F.col(t)))
+
+    def made(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(t)
+        d = wrap(F.lead(angle).over(w) - F.col(angle))
+        return rows.withColumn("velocity", d / (F.lead(t).over(w) - F.col(t)))
+
+    return windowed(angles, by, t, cell, 1, made)
 
 
 def distance(a: Column, b: Column, circular: bool = False) -> Column:
@@ -73,13 +82,16 @@ def phase_precession(spikes: DataFrame, by: Sequence[str], x: str = "x", phase:
     return sums.select(*by, "n", F.array_max(fits).alias("_f")).select(*by, "n", "_f.slope", "_f.offset", "_f.r")
 
 
-def mango(positions: DataFrame, spikes: DataFrame, by: Sequence[str], width: float, axes: dict[str, tuple[float, float, int]], t: str = "t") -> DataFrame:
+def mango(positions: DataFrame, spikes: DataFrame, by: Sequence[str], width: float, axes: dict[str, tuple[float, float, int]], t: str = "t", cell: float | None = None) -> DataFrame:
     """Counts of spikes on a grid of speed and acceleration around each sample."""
     from .joins import range_join
 
-    w = Window.partitionBy(*by).orderBy(t)
-    moving = linear_velocity(positions, by, t).withColumn("acceleration", (F.lead("velocity").over(w) - F.lag("velocity").over(w)) / (F.lead(t).over(w) - F.lag(t).over(w)))
-    steps = moving.withColumn("start", F.col(t)).withColumn("stop", F.lead(t).over(w)).drop(t)
+    def made(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(t)
+        slope = (F.lead("velocity").over(w) - F.lag("velocity").over(w)) / (F.lead(t).over(w) - F.lag(t).over(w))
+        return rows.withColumns({"acceleration": slope, "stop": F.lead(t).over(w)})
+
+    steps = windowed(linear_velocity(positions, by, t, cell), by, t, cell, 1, made).withColumnRenamed(t, "start")
     held = range_join(spikes.select(*by, t), steps, width, by, t).where(F.col(t) < F.col("stop"))
     binned = held.select(*[bin_index(F.col(c), lo, hi, n).alias(c) for c, (lo, hi, n) in axes.items()])
     return binned.groupBy(*axes).agg(F.count("*").alias("n"))

@@ -222,22 +222,27 @@ def band_power(spectra: DataFrame, by: Sequence[str], bands: dict[str, tuple[flo
     return spectra.groupBy(*by, "t").agg(*[F.avg(F.when(F.col("f").between(a, b), F.col(value))).alias(k) for k, (a, b) in bands.items()])
 
 
-def ripples(filtered: DataFrame, value: str, by: Sequence[str], rate: float, low: float = 2.0, high: float = 5.0, frame: int = 11, merge: float = 0.03, shortest: float = 0.02, longest: float = 0.1, t: str = "t") -> DataFrame:
+def ripples(filtered: DataFrame, value: str, by: Sequence[str], rate: float, low: float = 2.0, high: float = 5.0, frame: int = 11, merge: float = 0.03, shortest: float = 0.02, longest: float = 0.1, t: str = "t", cell: float | None = None) -> DataFrame:
     """Periods of a filtered signal whose smoothed power rises above ``low`` deviations
     and peaks above ``high``: keys, start, peak, stop, power."""
     from pyspark.sql import Window
 
     from .intervals import threshold
     from .joins import range_join
+    from .regression import _joined
+    from .series import windowed
 
     half = frame // 2
-    smooth = F.avg(F.col(value) * F.col(value)).over(Window.partitionBy(*by).orderBy(t).rowsBetween(-half, half))
-    powered = filtered.select(*by, t, smooth.alias("_p"))
+
+    def smoothed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.withColumn("_p", F.avg(F.col(value) * F.col(value)).over(Window.partitionBy(*keys).orderBy(t).rowsBetween(-half, half)))
+
+    powered = windowed(filtered.select(*by, t, value), by, t, cell, half, smoothed).select(*by, t, "_p")
     moments = powered.groupBy(*by).agg(F.avg("_p").alias("_m"), F.stddev_samp("_p").alias("_s"))
-    z = powered.join(moments, list(by)).select(*by, t, ((F.col("_p") - F.col("_m")) / F.col("_s")).alias("power"))
-    periods = threshold(z, "power", low, by, shortest=0.0, bridge=merge, t=t)
+    z = _joined(powered, moments, by).select(*by, t, ((F.col("_p") - F.col("_m")) / F.col("_s")).alias("power"))
+    periods = threshold(z, "power", low, by, shortest=0.0, bridge=merge, t=t, cell=cell)
     held = range_join(z, periods, max(longest, 10 / rate), by, t)
-    peaks = held.groupBy(*by, "start", "stop").agg(F.max_by(t, "power").alias("peak"), F.max("power").alias("power"))
+    peaks = held.groupBy(*by, "start", "stop").agg(F.max_by(t, F.struct(F.col("power"), -F.col(t))).alias("peak"), F.max("power").alias("power"))
     return peaks.where((F.col("power") > high) & (F.col("stop") - F.col("start")).between(shortest, longest)).select(*by, "start", "peak", "stop", "power")
 
 

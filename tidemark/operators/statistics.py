@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.distributions import chi2_tail, f_tail, normal_two_tailed, t_two_tailed, udf_of
-from .series import running_sum
+from .regression import _joined
+from .series import join_cells, running_sum
 
 
 def circular_summary(rows: DataFrame, angle: str, by: Sequence[str]) -> DataFrame:
@@ -80,27 +81,53 @@ def residuals(rows: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     return rows.join(fit, list(by)).withColumn("residual", F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b")
 
 
-def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Rank correlation with mean ranks for ties, by group."""
+RANK_CELLS = 1024  # into which a group's range is cut to rank its values
+
+
+def _mean_ranks(values: DataFrame, by: Sequence[str], c: str, name: str) -> DataFrame:
+    """(by, c, name): mean rank of each value of a group, of numbers; NaN is above all.
+
+    Values are counted first, running counts are made within cells of the
+    group's range, and one sum a cell is carried on.
+    """
+    v = F.col(c).cast("double")
+    counts = values.groupBy(*by, c).agg(F.sum("_n").alias("_n"))
+    ends = counts.groupBy(*by).agg(F.min(C.finite(F.col(c))).alias("_lo"), F.max(C.finite(F.col(c))).alias("_hi"))
+    place = F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * RANK_CELLS)
+    cell = F.when(F.isnan(v), RANK_CELLS + 1).when(v == float("inf"), RANK_CELLS).when(v == float("-inf"), -1).otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(RANK_CELLS - 1)))
+    local = _joined(counts, ends, by).select(*by, c, "_n", cell.cast("bigint").alias("_cell"))
+    upto = local.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(c)))
+    sums = local.groupBy(*by, "_cell").agg(F.sum("_n").alias("_sum"))
+    based = sums.select(*by, "_cell", (F.sum("_sum").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_sum")).alias("_base"))
+    return join_cells(upto, based, by).select(*by, c, (F.col("_base") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+
 
-    def rank(c: str):
-        first = F.rank().over(Window.partitionBy(*by).orderBy(c))
-        return first + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """(by, rho, n): rank correlation of two numbers with mean ranks for ties, by group. Rows where either is null take no part.
 
-    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return full.withColumn("_x", rank(x)).withColumn("_y", rank(y)).groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    Equal pairs are counted before they meet their ranks, and no window holds a group's values.
+    """
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n"))
+    made = _joined(_joined(pairs, _mean_ranks(pairs, by, x, "_x"), [*by, x]), _mean_ranks(pairs, by, y, "_y"), [*by, y])
+    w, a, b = F.col("_n"), F.col("_x"), F.col("_y")
+    total = made.groupBy(*by).agg(F.sum(w).alias("n"))
+    # Ranks run from 1 to n, so both means are known before any sum is made.
+    middle = (F.col("n") + 1) / 2
+    dx, dy = a - middle, b - middle
+    sums = _joined(made, total, by).groupBy(*by).agg(F.first("n").alias("n"), F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy"))
+    return sums.select(*by, (F.col("_xy") / F.nullif(F.sqrt("_xx") * F.sqrt("_yy"), F.lit(0.0))).alias("rho"), "n")
 
 
 def zscores(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Rows with ``z`` of a value within its group."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w))
+    moments = rows.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_deviation"))
+    return _joined(rows, moments, by).withColumn("z", (F.col(value) - F.col("_mean")) / F.col("_deviation")).drop("_mean", "_deviation")
 
 
 def without_outliers(rows: DataFrame, value: str, by: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Rows within ``reach`` quartile ranges of their group's quartiles."""
     q = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    joined = rows.join(q, list(by)).withColumn("_d", reach * (F.col("_q")[1] - F.col("_q")[0]))
+    joined = _joined(rows, q, by).withColumn("_d", reach * (F.col("_q")[1] - F.col("_q")[0]))
     return joined.where((F.col(value) >= F.col("_q")[0] - F.col("_d")) & (F.col(value) <= F.col("_q")[1] + F.col("_d"))).drop("_q", "_d")
 
 
@@ -115,7 +142,7 @@ def distribution_distance(rows: DataFrame, value: str, group: str, a, b, by: Seq
     steps = x.groupBy(*by, value).agg(F.count(F.when(F.col(group) == a, 1)).alias("ca"), F.count(F.when(F.col(group) == b, 1)).alias("cb"))
     totals = steps.groupBy(*by).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
     upto = running_sum(running_sum(steps, F.col("ca"), by, value, cell, "_a"), F.col("cb"), by, value, cell, "_b")
-    d = upto.join(totals, list(by)).withColumn("d", F.col("_a") / F.col("na") - F.col("_b") / F.col("nb"))
+    d = _joined(upto, totals, by).withColumn("d", F.col("_a") / F.col("na") - F.col("_b") / F.col("nb"))
     n = F.col("ca") + F.col("cb")
     s = d.groupBy(*by).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum(n * F.col("d")).alias("s"), F.sum(n * F.col("d") ** 2).alias("q"), F.max(F.abs("d")).alias("gap"))
     total = F.col("na") + F.col("nb")

@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from .intervals import consolidate, count_in_intervals, threshold
 from .joins import interpolate, range_join
 from .ordered import zero_crossings
+from .regression import _joined
+from .series import ranked, windowed
 
 
-def cycles(samples: DataFrame, value: str, by: Sequence[str], t: str = "t") -> DataFrame:
+def cycles(samples: DataFrame, value: str, by: Sequence[str], t: str = "t", cell: float | None = None) -> DataFrame:
     """Intervals between upward zero crossings: keys, ``iid`` (from 1), start, stop."""
-    up = zero_crossings(samples, value, by, t=t).where("up")
-    w = Window.partitionBy(*by).orderBy("crossing")
-    made = up.select(*by, F.row_number().over(w).alias("iid"), F.col("crossing").alias("start"), F.lead("crossing").over(w).alias("stop"))
-    return made.where("stop is not null")
+    up = zero_crossings(samples, value, by, t=t, cell=cell).where("up").select(*by, F.col("crossing").alias("start"))
+    numbered = ranked(up, by, "start", cell, "iid").withColumn("iid", F.col("iid") + 1)
 
+    def made(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.withColumn("stop", F.lead("start").over(Window.partitionBy(*keys).orderBy("start")))
 
-def points_per_cycle(points: DataFrame, samples: DataFrame, value: str, by: Sequence[str], width: float, t: str = "t") -> DataFrame:
+    return windowed(numbered, by, "start", cell, 1, made).where("stop is not null").select(*by, "iid", "start", "stop")
+
+
+def points_per_cycle(points: DataFrame, samples: DataFrame, value: str, by: Sequence[str], width: float, t: str = "t", cell: float | None = None) -> DataFrame:
     """Cycles with ``n``, how many points each holds."""
-    return count_in_intervals(points, cycles(samples, value, by, t), width, by, t)
+    return count_in_intervals(points, cycles(samples, value, by, t, cell), width, by, t)
 
 
-def delta_waves(samples: DataFrame, value: str, by: Sequence[str], shortest: float, longest: float, peak: float, trough: float, t: str = "t") -> DataFrame:
+def delta_waves(samples: DataFrame, value: str, by: Sequence[str], shortest: float, longest: float, peak: float, trough: float, t: str = "t", cell: float | None = None) -> DataFrame:
     """Waves of a filtered signal: start, peak, stop from three crossings of its slope.
 
     A wave rises to a maximum of at least ``peak`` and falls to at most
@@ -33,20 +38,23 @@ def delta_waves(samples: DataFrame, value: str, by: Sequence[str], shortest: flo
     """
     from .ordered import extrema
 
-    w = Window.partitionBy(*by).orderBy(t)
-    turning = extrema(samples, value, by, t).select(*by, t, "kind", F.col(value).alias("_v"))
-    named = turning.withColumns({"start": F.lag(t).over(w), "stop": F.lead(t).over(w), "_after": F.lead("_v").over(w)})
+    def around(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(t)
+        return rows.withColumns({"start": F.lag(t).over(w), "stop": F.lead(t).over(w), "_after": F.lead("_v").over(w)})
+
+    turning = extrema(samples, value, by, t, cell).select(*by, t, "kind", F.col(value).alias("_v"))
+    named = windowed(turning, by, t, cell, 1, around)
     wave = named.where((F.col("kind") == "max") & F.col("start").isNotNull() & F.col("stop").isNotNull())
     kept = wave.where((F.col("stop") - F.col("start")).between(shortest, longest) & (F.col("_v") >= peak) & (F.col("_after") <= trough))
     return kept.select(*by, "start", F.col(t).alias("peak"), "stop", F.col("_v").alias("height"))
 
 
-def spindles(envelope: DataFrame, value: str, by: Sequence[str], low: float = 2.5, high: float = 5.0, merge: float = 0.5, shortest: float = 0.4, longest: float = 3.5, t: str = "t") -> DataFrame:
-    """Bouts of an envelope above ``low`` deviations that reach ``high``, near ones merged."""
+def spindles(envelope: DataFrame, value: str, by: Sequence[str], low: float = 2.5, high: float = 5.0, merge: float = 0.5, shortest: float = 0.4, longest: float = 3.5, t: str = "t", cell: float | None = None) -> DataFrame:
+    """Bouts of an envelope above ``low`` deviations that reach ``high``, near ones merged; the first of equal peaks counts."""
     m = envelope.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    z = envelope.join(m, list(by)).select(*by, t, ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z"))
-    bouts = threshold(z, "z", low, by, bridge=merge, t=t)
-    peaks = range_join(z, bouts, longest, by, t).groupBy(*by, "start", "stop").agg(F.max_by(t, "z").alias("peak"), F.max("z").alias("height"))
+    z = _joined(envelope, m, by).select(*by, t, ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z"))
+    bouts = threshold(z, "z", low, by, bridge=merge, t=t, cell=cell)
+    peaks = range_join(z, bouts, longest, by, t).groupBy(*by, "start", "stop").agg(F.max_by(t, F.struct(F.col("z"), -F.col(t))).alias("peak"), F.max("z").alias("height"))
     return peaks.where((F.col("height") >= high) & (F.col("stop") - F.col("start")).between(shortest, longest)).select(*by, "start", "peak", "stop", "height")
 
 
