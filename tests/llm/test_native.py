@@ -151,6 +151,24 @@ def check_packing(rows, capacity):
     return len(bins)
 
 
+def test_what_the_tokenizer_keeps_is_bounded():
+    import sys
+
+    import public_tokenizers
+
+    ids = packing._Ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.by_chunks
+    letters = np.array(list("abcdefghijklmnop"))
+    names = ["".join(letters[[n >> s & 15 for s in (0, 4, 8, 12, 16)]]) for n in range(500_000)]
+    long = ["".join(names[i : i + 400]) for i in range(0, 8_000, 400)]
+    for text in (*(" ".join(names[i : i + 5_000]) for i in range(0, len(names), 5_000)), *long):
+        ids.encode(text)
+    kept = [*ids.items(), *ids.old.items()]
+    assert sum(sys.getsizeof(x) for pair in kept for x in pair) + sys.getsizeof(ids) + sys.getsizeof(ids.old) < 64e6
+    assert max(len(chunk) for chunk, _ in kept) <= 64
+    assert all(ids.encode(t) == ids.whole(t) for t in (long[0], " ".join(names[:50]), " ".join(names[-50:]) + " " + long[1]))
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import keep, setting
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000  # of each of two generations: some 60 MB of a worker
+CACHE_BYTES = 64  # longer chunks are not kept
+BATCH_ROWS = 1_000
 
 PIECES = T.StructType(
     [
@@ -59,7 +61,8 @@ class _Ids(dict):
     given whole texts. A chunk that ends with a comma or stop
     after a letter has the ids of both. A word of Latin letters is one piece
     for the tokenizer's model, which is asked directly. Of the chunks, a
-    younger and an older generation are kept, so that memory is bounded.
+    younger and an older generation of short ones are kept, so that memory is
+    bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,7 +91,8 @@ class _Ids(dict):
                 ids = struct.pack(f"<{len(found)}I", *found)
             else:
                 ids = self.whole(word)
-        self[chunk] = ids
+        if len(chunk) <= CACHE_BYTES:
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -245,4 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     packed as often as they occur. An empty table gives no rows. Extra columns
     are left out.
     """
-    return place(keep(tokenize(docs, tokenizer, capacity), "pieces"), capacity)
+    # texts go to the workers in small batches, of which several copies are held at once
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        pieces = keep(tokenize(docs, tokenizer, capacity), "pieces")
+    return place(pieces, capacity)
