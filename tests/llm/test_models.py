@@ -57,6 +57,26 @@ def kneser_ney(train):
     return p, words
 
 
+def test_model_files_are_plain_arrays_and_searches_find_what_is_there(tmp_path):
+    r = np.random.default_rng(5)
+    path = f"file://{tmp_path}/plain"
+    language_model._write(path, np.arange(9, dtype="<u8"))
+    assert type(language_model.mapped(path, "<u8")) is np.ndarray  # slices of a memmap took a fifth of a score's time
+    cuts = np.r_[0, np.sort(r.integers(0, 900, 60)), 900, 900]
+    values = np.concatenate([np.sort(r.choice(2000, b - a, replace=False)) for a, b in zip(cuts, cuts[1:])]).astype("<u4")
+    at = r.integers(0, len(cuts) - 1, 3000)
+    wanted = np.where(r.random(3000) < 0.5, values[np.minimum(cuts[at], 899)], r.integers(0, 2000, 3000)).astype("<u4")
+    stretches = [values[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+    expected = [cuts[k] + stretches[k].index(w) if w in stretches[k] else -1 for k, w in zip(at, wanted.tolist())]
+    assert language_model._find(values, cuts[at], cuts[at + 1], wanted).tolist() == expected
+    assert language_model._find(values, cuts[:0], cuts[:0], wanted[:0]).tolist() == []
+    pairs, left = r.integers(0, 50, 4000).astype(np.uint64) << np.uint64(32), r.integers(0, 9, 4000)
+    distinct, place, word, n, part = language_model._triple_sums(pairs, left, part=(pairs >> np.uint64(32)).astype(np.int32) % 7)
+    counted = Counter(zip(pairs.tolist(), left.tolist()))
+    assert [*zip(distinct[place].tolist(), word.tolist(), n.tolist())] == [(p, w, k) for (p, w), k in sorted(counted.items())]
+    assert (part == (distinct[place] >> np.uint64(32)).astype(np.int32) % 7).all()
+
+
 def test_language_model_against_brute_force(spark, tmp_path):
     texts = [*ODD, *[prose(30 + i, i % 25) for i in range(60)], "a a b a a c " * 40]
     docs(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")

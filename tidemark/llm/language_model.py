@@ -59,7 +59,7 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sum of their counts."""
     if not len(keys):
         return keys, n
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[begin], np.add.reduceat(n[order], begin)
@@ -105,7 +105,7 @@ def mapped(path: str, kind: str) -> np.ndarray:
         if not info.size:
             return np.zeros(0, kind)
         if system.type_name == "local":
-            _MAPPED[path] = np.memmap(where, kind, "r")
+            _MAPPED[path] = np.memmap(where, kind, "r").view(np.ndarray)  # each slice of a memmap object costs more than a search
         else:
             import shutil
             import tempfile
@@ -113,7 +113,7 @@ def mapped(path: str, kind: str) -> np.ndarray:
             with tempfile.TemporaryFile() as copy, system.open_input_stream(where) as source:
                 shutil.copyfileobj(source, copy, 1 << 24)
                 copy.flush()
-                _MAPPED[path] = np.memmap(copy, kind, "r")
+                _MAPPED[path] = np.memmap(copy, kind, "r").view(np.ndarray)
     return _MAPPED[path]
 
 
@@ -349,11 +349,12 @@ def _find(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray
     """Place of each wanted value in its sorted stretch lo..hi, -1 where it is not."""
     if not len(values):
         return np.full(len(wanted), -1, np.int64)
-    at, end = lo.astype(np.int64), hi.astype(np.int64)
-    while (at < end).any():
-        mid = (at + end) >> 1
-        less = (at < end) & (values[np.minimum(mid, len(values) - 1)] < wanted)
-        at, end = np.where(less, mid + 1, at), np.where(less, end, np.minimum(mid, end))
+    at, n = lo.astype(np.int64), hi.astype(np.int64) - lo
+    for _ in range(int(n.max(initial=0)).bit_length()):
+        half = n >> 1  # zero once a stretch is down to one value
+        n -= half
+        half *= values[at + half - 1] < wanted
+        at += half
     return np.where((at < hi) & (values[np.minimum(at, len(values) - 1)] == wanted), at, -1)
 
 
@@ -373,11 +374,21 @@ def _split(pairs: np.ndarray) -> list[np.ndarray]:
     return [high[begin], np.r_[begin, len(pairs)], pairs & LOW]
 
 
-def _triple_sums(pairs: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple:
-    """(sorted distinct pairs, place of each triple's pair, left, n) of distinct triples, sorted by pair and left word."""
+def _triple_sums(pairs: np.ndarray, left: np.ndarray, n: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple:
+    """(sorted distinct pairs, place of each triple's pair, left, n) of distinct triples, sorted by pair and left word.
+
+    Without ``n`` each triple counts once; with the pairs' ``part``, the part of each distinct triple follows.
+    """
     distinct, place = np.unique(pairs, return_inverse=True)
-    keys, n = _sums((place.astype(np.uint64) << np.uint64(32)) | left.astype(np.uint64), n)
-    return distinct, (keys >> np.uint64(32)).astype(np.int64), (keys & LOW).astype(np.int64), n
+    keys = (place.astype(np.uint64) << np.uint64(32)) | left.astype(np.uint64)
+    keys, n = np.unique(keys, return_counts=True) if n is None else _sums(keys, n)
+    own = (keys >> np.uint64(32)).astype(np.int64)
+    out = distinct, own, (keys & LOW).astype(np.int64), n
+    if part is None:
+        return out
+    of_pair = np.empty(len(distinct), part.dtype)
+    of_pair[place] = part
+    return *out, of_pair[own]
 
 
 def _pack_triples(pairs: np.ndarray, left: np.ndarray, n: np.ndarray) -> bytes:
@@ -424,10 +435,7 @@ def _count_triples(docs: DataFrame, model: Model) -> DataFrame:
 
         def flush():
             pairs, left, part = (np.concatenate(x) for x in zip(*held))
-            distinct, place, left, n = _triple_sums(pairs, left, np.ones(len(pairs), np.int64))
-            of_pair = np.zeros(len(distinct), np.int64)
-            of_pair[np.searchsorted(distinct, pairs)] = part
-            part = of_pair[place]
+            distinct, place, left, n, part = _triple_sums(pairs, left, part=part)
             names, blobs = [], []
             for p, at in _by_part(part):
                 names.append(int(p))
@@ -560,9 +568,15 @@ def _store_frequent_contexts(stats: DataFrame, model: Model) -> None:
     rows.repartition(min(model.parts, MOST_TASKS), "part").sortWithinPartitions("part", "id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def _by_part(part: np.ndarray):
-    """(part, places of it) of each part that occurs."""
-    by = np.argsort(part, kind="stable")
+def _by_part(part: np.ndarray, key: np.ndarray | None = None):
+    """(part, places of it) of each part that occurs, the places in order of a key if there is one."""
+    if len(part) and part.max() < 1 << 16:
+        part = part.astype("<u2")  # sorted by radix
+    if key is None:
+        by = np.argsort(part, kind="stable")
+    else:
+        by = np.argsort(key)
+        by = by[np.argsort(part[by], kind="stable")]
     part = part[by]
     begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     for a, b in zip(begin, [*begin[1:], len(by)]):
@@ -572,7 +586,8 @@ def _by_part(part: np.ndarray):
 def _seen_triples(model: Model, before: np.ndarray, last: np.ndarray, word: np.ndarray, n_last: np.ndarray):
     """(continuation count of the pair, count of the triple) of tokens whose last two words are known."""
     kinds, seen = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-    for p, own in _by_part(model.part_of(last, word, n_last)):
+    # searches in order of what is sought touch neighbouring places
+    for p, own in _by_part(model.part_of(last, word, n_last), (last.astype(np.int64) << 32) | word.astype(np.int64)):
         first, span, second, begin, left, small, large, often = _arrays(f"{model.path}/triple-{p}", TRIPLES)
         at = _find_pair(first, span, second, last[own], word[own])
         own, at = own[at >= 0], at[at >= 0]
@@ -596,7 +611,7 @@ def _contexts(model: Model, before: np.ndarray, last: np.ndarray, n_last: np.nda
     keys = (last.astype(np.int64) << 32) | before.astype(np.int64)
     part = np.where(hot, keys % model.parts, model.part_of(last, last, np.zeros(len(last), np.int64)))
     for name, chosen in (("context", np.flatnonzero(~hot)), ("frequent", np.flatnonzero(hot))):
-        for p, own in _by_part(part[chosen]):
+        for p, own in _by_part(part[chosen], keys[chosen]):
             own = chosen[own]
             first, span, second, small, large, sums = _arrays(f"{model.path}/{name}-{p}", CONTEXTS)
             at = _find_pair(first, span, second, last[own], before[own])
