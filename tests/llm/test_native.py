@@ -169,6 +169,23 @@ def test_what_the_tokenizer_keeps_is_bounded():
     assert all(ids.encode(t) == ids.whole(t) for t in (long[0], " ".join(names[:50]), " ".join(names[-50:]) + " " + long[1]))
 
 
+def test_words_with_signs_are_not_given_to_the_whole_tokenizer():
+    import public_tokenizers
+
+    ids = packing._Ids(public_tokenizers.path("word_bpe_49k.json"))
+    asked, whole = [], ids.whole
+    ids.whole = lambda text: asked.append(text) or whole(text)
+    letters = np.array(list("abcdefghijklmnop"))
+    names = ["".join(letters[[n * 7919 >> s & 15 for s in (0, 4, 8, 12, 16)]]) for n in range(4_000)]
+    texts = [" ".join(f"{n}***, {n}é. {n}{i % 100}" for i, n in enumerate(names[a : a + 400])) for a in range(0, len(names), 400)]
+    got = [ids.encode(t) for t in texts]
+    assert len(asked) < 20  # runs of signs and digits
+    assert len(ids) < 2.1 * len(names)
+    odd = ["It's 3,5 o'NEIL's x", "K Å ẞ Ÿ É×é÷ß", "e\u0301a\u0300 A\u030a", "a\x85b\xa0c\x0bd\x1ce", "ªº µ ² ½ 中文, ok", "''s 're", "{a}[b]~`^|\\_"]
+    assert [ids.encode(t) for t in odd] == [whole(t) for t in odd]
+    assert got == [whole(t) for t in texts]
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -27,6 +27,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 150_000  # of each of two generations: some 60 MB of a worker
 CACHE_BYTES = 64  # longer chunks are not kept
+STALE = 8  # chunks that were not kept, as a multiple of those that were, until a new generation begins
 BATCH_ROWS = 1_000
 
 PIECES = T.StructType(
@@ -40,7 +41,20 @@ PIECES = T.StructType(
 )
 
 
-_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+# texts of Latin letters, digits, ASCII signs and blanks, in lower case and Latin-1; an apostrophe may begin an ending
+_WORD = rb"[a-z\xdf-\xf6\xf8-\xff]+"
+_PIECES = re.compile(_WORD + rb"|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_LETTERS = re.compile(_WORD)
+_PLAIN = bytes(c for c in range(256) if chr(c) in " \t\n\r" or _PIECES.match(bytes([c])))
+
+
+def plain_pieces(text: str) -> list[bytes] | None:
+    """The words, digits and runs of signs of a text that has nothing else; else None."""
+    try:
+        raw = text.lower().encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if raw.translate(None, _PLAIN) else _PIECES.findall(raw)
 
 
 def cuts_at_blanks(spec: dict) -> bool:
@@ -54,15 +68,16 @@ def cuts_at_blanks(spec: dict) -> bool:
 
 
 class _Ids(dict):
-    """Token ids of chunks of text without blanks, as little-endian bytes.
-
-    A tokenizer that ``cuts_at_blanks`` never joins characters across one, so
-    the ids of a text are those of its chunks in order; other tokenizers are
-    given whole texts. A chunk that ends with a comma or stop
-    after a letter has the ids of both. A word of Latin letters is one piece
-    for the tokenizer's model, which is asked directly. Of the chunks, a
-    younger and an older generation of short ones are kept, so that memory is
-    bounded.
+    """Token ids of pieces of text (bytes) and of chunks without blanks (str), as little-endian bytes.
+
+    A tokenizer that ``cuts_at_blanks`` gives a text of ``plain_pieces`` their
+    ids in order. It never joins characters across a blank, so other texts
+    have those of their chunks; other tokenizers are given whole texts. A word
+    of Latin letters is one piece for the tokenizer's model, which is asked
+    directly. Short pieces and chunks are kept until there are
+    ``CACHE_WORDS``, which the frequent ones are among; when many others have
+    been asked for since, a new generation begins, which takes over what is
+    asked for again, so that memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,37 +88,44 @@ class _Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunks = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.old: dict[bytes, bytes] = {}
-        self[b""] = b""
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256) if _LETTERS.match(bytes([c]))}
+        self.old: dict[bytes | str, bytes] = {}
+        self.missed = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def __missing__(self, chunk: bytes | str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            if len(chunk) > 1 and chunk[-1] in b",." and 97 <= chunk[-2] <= 122:
-                ids = self[chunk[:-1]] + self[chunk[-1:]]
-            elif _LETTERS.fullmatch(word := chunk.decode()):
-                piece = word if word.isascii() else self.letters.pre_tokenize_str(word.lower())[0][0]
-                found = [t.id for t in self.model.tokenize(piece)]
+            if isinstance(chunk, str):
+                pieces = plain_pieces(chunk)
+                if pieces is not None:
+                    return b"".join([self[p] for p in pieces])
+                ids = self.whole(chunk)
+            elif _LETTERS.match(chunk):
+                word = chunk.decode("latin-1")
+                found = [t.id for t in self.model.tokenize(word if chunk.isascii() else word.translate(self.letters))]
                 ids = struct.pack(f"<{len(found)}I", *found)
             else:
-                ids = self.whole(word)
-        if len(chunk) <= CACHE_BYTES:
+                ids = self.whole(chunk.decode("latin-1"))
+        if len(self) >= CACHE_WORDS:
+            self.missed += 1
+        elif len(chunk) <= CACHE_BYTES:
             self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunks or "<|" in text:  # that may spell a special token, which is not folded
             return self.whole(text)
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
+        if self.missed > STALE * CACHE_WORDS:
+            self.old, self.missed = dict(self), 0
             self.clear()
-            self[b""] = b""
-        chunks = text.encode().lower().replace(b"\n", b" ").split(b" ")
-        return b"".join(map(self.__getitem__, chunks))
+        elif self.missed:
+            self.old = {}
+        pieces = plain_pieces(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ") if pieces is None else pieces))
 
 
 _KNOWN: dict[str, _Ids] = {}  # of this worker, over its tasks
