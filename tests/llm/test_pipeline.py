@@ -41,6 +41,15 @@ def test_stages_one_after_another(spark):
     check_packing(packed, 4096)
 
 
+def test_quality_moves_whole_rows_in_small_batches(spark, monkeypatch):
+    name, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", [], cp.keep
+    monkeypatch.setattr(cp, "keep", lambda df, to: (seen.append(int(spark.conf.get(name))), keep(df, to))[1])
+    docs_in, before = spark.read.parquet(f"{SF}/documents.parquet"), spark.conf.get(name)
+    got = cp.quality_classifier(spark, docs_in, SF)
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
+    assert got.columns == docs_in.columns and 0 < got.count() < docs_in.count()
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
