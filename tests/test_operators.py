@@ -305,3 +305,27 @@ def test_wavelets_and_cuts(spark):
     df = frame(spark, [("k", i / 100, float(v)) for i, v in enumerate(x)], "k string, t double, v double")
     one, cut = ([q.power for q in signals.wavelet_power(df, "v", ["k"], 100.0, [5.0, 20.0], segment=s).orderBy("t").collect()] for s in (10_000, 150))
     assert np.allclose(one, cut) and np.allclose(np.array(one)[200:400, 0], 1, atol=0.01) and np.array(one)[200:400, 1].max() < 0.01
+
+
+def test_pairs_of_units_by_blocks(spark):
+    # blocks of two or three units, and one unit whose count is the same in every bin
+    from tidemark.operators.populations import cofiring
+    from tidemark.operators.unit_pairs import correlation_of_correlations
+
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.7, (2, 13, 20))
+    x[:, 0, :10] = 0
+    x[:, 1, 10:] = 0
+    tables = [frame(spark, [(f"u{u}", int(b), int(m[u, b])) for u, b in zip(*np.nonzero(m))], "unit string, bin long, n long") for m in x]
+    pairs = [{(f"u{i}", f"u{j}"): np.corrcoef(m[i], m[j])[0, 1] for i in range(13) for j in range(13) if f"u{i}" < f"u{j}" and m[i] @ m[j]} for m in x]
+    got = H.unit_correlations(tables[0], 20, block=3)
+    assert got.columns == ["a", "b", "r"] and {(r.a, r.b): r.r for r in got.collect()} == pytest.approx(pairs[0])
+    both = sorted(set(pairs[0]) & set(pairs[1]))
+    want = np.corrcoef([pairs[0][p] for p in both], [pairs[1][p] for p in both])[0, 1]
+    for made in (correlation_of_correlations(tables[0], 20, tables[1], 20, block=2), cofiring(tables[0], 20, tables[1], 20)):
+        row = made.first()
+        assert row.coefficient == pytest.approx(want) and row.n == len(both)
+    plan = H.unit_correlations(tables[0], 20, block=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # no row for a pair and bin is shuffled
+    assert cofiring(tables[0].where("false"), 20, tables[1], 20).collect() == [(None, 0)]
+    assert H.unit_correlations(tables[0].where("false"), 20).count() == 0
