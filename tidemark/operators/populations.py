@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .histograms import unit_correlations
+from .unit_pairs import correlation_of_correlations
 
 MOST_UNITS = 4096
 
@@ -44,9 +44,7 @@ def reactivation(z: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def cofiring(a: DataFrame, bins_a: int, b: DataFrame, bins_b: int) -> DataFrame:
     """Correlation of the pairwise correlations in two epochs, with ``n`` pairs."""
-    x = unit_correlations(a, bins_a).withColumnRenamed("r", "ra")
-    y = unit_correlations(b, bins_b).withColumnRenamed("r", "rb")
-    return x.join(y, ["a", "b"]).agg(F.corr("ra", "rb").alias("coefficient"), F.count("*").alias("n"))
+    return correlation_of_correlations(a, bins_a, b, bins_b)
 
 
 def decode(rates: DataFrame, counts: DataFrame, width: float, bins: int) -> DataFrame:
