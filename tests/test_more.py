@@ -60,3 +60,23 @@ def test_jitter_and_trains(spark):
     assert got.count() == 150 and got.where(F.abs(F.col("t") - F.col("id")) > 0.5).count() == 0
     train = R.poisson_train(spark, "unit", 4, 2.0, 100.0)
     assert train.count() == 800 and train.agg(F.min("t") >= 0, F.max("t") < 100).first() == (True, True)
+
+
+def test_permutations_do_not_broadcast_the_copies(spark):
+    # the copies are n times the rows, which a plan's estimate of size does not see
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    for by in ([], ["k"]):
+        got = R.permutation_difference(df, "v", "g", "a", "b", "id", by, 30)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        join = next(line for line in plan.splitlines() if "Join Inner" in line and "_bin" in line)
+        assert "rightHint=(strategy=broadcast)" in join and "leftHint" not in join
+    # brute force: the labels of a go to the rows of lowest hash
+    rows = df.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("repetition"))).withColumn("h", F.xxhash64("id", "repetition", F.lit(0))).toPandas()
+    na = int((rows[rows.repetition == 1].g == "a").sum())
+    seen = rows[rows.repetition == 1].groupby("g").v.mean()
+    beyond = 0
+    for _, one in rows.groupby("repetition"):
+        v = one.sort_values(["h", "id"]).v.to_numpy()
+        beyond += abs(v[:na].mean() - v[na:].mean()) >= abs(seen["a"] - seen["b"]) * (1 - 1e-12)
+    found = R.permutation_difference(df, "v", "g", "a", "b", "id", [], 30).first()
+    assert abs(found.difference - (seen["a"] - seen["b"])) < 1e-9 and found.p == (beyond + 1) / 31

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HASH_BITS = 8
+MOST_EDGES = 1 << 20
+
 
 def repeated(rows: DataFrame, n: int) -> DataFrame:
     """Rows with ``repetition`` 1..n."""
@@ -47,20 +50,25 @@ def permutation_difference(rows: DataFrame, value: str, group: str, a, b, key: s
 
     A shuffle gives the label ``a`` to the right number of rows of lowest hash.
     Counts by bins of the hash tell in which bin that number is reached; rows
-    of lower bins are only added up, and those of that bin, one in 4,096, ranked.
+    of lower bins are only added up, and those of that bin, one in 256, ranked.
+    The bins that are asked for, one a repetition and group, are broadcast if
+    they are few; the copies of the rows, ``n`` times as many as the table has, never are.
     """
     x = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
     observed = x.groupBy(*by).agg((mean(a) - mean(b)).alias("difference"), F.count(F.when(F.col(group) == a, 1)).alias("_na"), F.count("*").alias("_all"), F.sum(value).alias("_whole"))
     h = F.xxhash64(key, "repetition", F.lit(seed))
-    mixed = repeated(x.select(*by, key, F.col(value).alias("_v")), n).withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 52))
+    # a small file is one task, and its copies are many
+    dealt = x.select(*by, key, F.col(value).alias("_v")).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    mixed = repeated(dealt, n).withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 64 - HASH_BITS))
     keys = [*by, "repetition"]
     bins = mixed.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
     upto = Window.partitionBy(*keys).orderBy("_bin")
     running = bins.select(*keys, "_bin", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), "_c", F.coalesce(F.sum("_s").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_below"))
     at = _join(running, observed, by).where((F.col("_before") < F.col("_na")) & (F.col("_before") + F.col("_c") >= F.col("_na")))
     edge = at.select(*keys, "_bin", (F.col("_na") - F.col("_before")).alias("_k"), "_below")
-    ranked = mixed.join(edge, [*keys, "_bin"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key)))
+    few = not by or observed.count() * n <= MOST_EDGES
+    ranked = mixed.join(F.broadcast(edge) if few else edge.hint("shuffle_merge"), [*keys, "_bin"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key)))
     drawn = ranked.groupBy(*keys).agg((F.first("_below") + F.sum(F.when(F.col("_r") <= F.col("_k"), F.col("_v")).otherwise(0.0))).alias("_s"))
     other = (F.col("_whole") - F.col("_s")) / (F.col("_all") - F.col("_na"))
     tested = _join(drawn, observed, by).withColumn("_beyond", (F.abs(F.col("_s") / F.col("_na") - other) >= F.abs("difference") * (1 - 1e-12)).cast("int"))
