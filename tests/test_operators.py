@@ -329,3 +329,23 @@ def test_pairs_of_units_by_blocks(spark):
     assert "Join" not in plan  # no row for a pair and bin is shuffled
     assert cofiring(tables[0].where("false"), 20, tables[1], 20).collect() == [(None, 0)]
     assert H.unit_correlations(tables[0].where("false"), 20).count() == 0
+
+
+def test_correlogram_of_dense_and_equal_points(spark):
+    # few units with many points (counted by places), many with few, equal times, null units, differences at the bins' edges
+    rng = np.random.default_rng(6)
+    for units, n, half, size in ((2, 400, 3, 0.5), (40, 120, 2, 0.1), (3, 60, 0, 1.0)):
+        rows = [(int(u) if u else None, float(x) / 10, int(k)) for u, x, k in zip(rng.integers(0, units, n), rng.integers(0, 90, n), rng.integers(0, 2, n))] + [(1, None, 0)]
+        want = {}
+        for a, x, j in rows[:-1]:
+            for b, y, k in rows[:-1]:
+                lag = math.floor((y - x) / size + 0.5)
+                apart = x != y or (a is not None and b is not None and a != b)
+                if j == k and apart and abs(lag) <= half:
+                    want[j, a, b, lag] = want.get((j, a, b, lag), 0) + 1
+        got = H.counted_correlogram(frame(spark, rows, "unit int, t double, k int"), "unit", size, half, ["k"]).collect()
+        assert {(r.k, r.a, r.b, r.bin): r.n for r in got} == want and len(got) == len(want)
+        assert sorted(map(repr, H.correlogram(frame(spark, rows, "unit int, t double, k int"), "unit", size, half, ["k"]).collect())) == sorted(map(repr, got))
+    points = frame(spark, rows, "unit int, t double, k int").where("t is not null")
+    plan = H.short_time_correlogram(points, "unit", 1.0, 2, 4.0, 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Inner" not in plan  # no row for a pair

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,93 @@ def correlogram(points: DataFrame, unit: str, bin_size: float, half_bins: int, b
     return found.where(F.col("bin").between(-half_bins, half_bins)).groupBy(*by, "a", "b", "bin").agg(F.count("*").alias("n"))
 
 
+def counted_correlogram(points: DataFrame, unit: str, bin_size: float, half_bins: int, by: Sequence[str] = (), t: str = "t") -> DataFrame:
+    """As ``correlogram``, for few keys with many points, whose pairs are too many to be joined.
+
+    Null times, NaN and null keys take no part. Equal points are first added up. Time is cut into cells, and
+    a task has the points of a cell and those of the next ones, where it counts
+    by places in sorted times, without the pairs, unless the pairs are fewer.
+    """
+    kinds = points.schema
+    u = F.col(t).cast("double")
+    whole = points.where(u.isNotNull() & ~F.isnan(u)).dropna(subset=list(by)) if by else points.where(u.isNotNull() & ~F.isnan(u))
+    weighed = whole.groupBy(*by, F.col(unit).alias("unit"), u.alias("t")).agg(F.count("*").alias("w"))
+    # a little wider than the reach, so that no rounding puts a pair outside
+    width = (half_bins + 0.5) * bin_size * (1 + 1e-6) + 1e-6
+    own = F.floor(F.col("t") / width)
+    copied = weighed.withColumn("_own", own).withColumn("_cell", F.explode(F.array(own - 1, own, own + 1)))
+    names = [*by, "a", "b", "bin", "n"]
+    schema = T.StructType([*[T.StructField(c, kinds[c].dataType) for c in by], T.StructField("a", kinds[unit].dataType), T.StructField("b", kinds[unit].dataType), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def count(cell: pd.DataFrame) -> pd.DataFrame:
+        code, names_of = pd.factorize(cell["unit"], use_na_sentinel=False)
+        order = np.lexsort((code, cell["t"].to_numpy()))
+        u, code, w, own = cell["t"].to_numpy()[order], code[order], cell["w"].to_numpy()[order], (cell["_own"] == cell["_cell"]).to_numpy()[order]
+        sums = _lag_counts(u, code, w, own, len(names_of), bin_size, half_bins, pd.isna(np.asarray(names_of, dtype=object)))
+        made = pd.DataFrame({"a": names_of[sums["a"]], "b": names_of[sums["b"]], "bin": (sums["k"] - half_bins).astype(np.int32), "n": sums["n"]})
+        for c in by:
+            made[c] = cell[c].iat[0]
+        return made[names]
+
+    found = copied.groupBy(*by, "_cell").applyInPandas(count, schema)
+    return found.groupBy(*by, "a", "b", "bin").agg(F.sum("n").alias("n"))
+
+
+def _lag_counts(t: np.ndarray, code: np.ndarray, w: np.ndarray, own: np.ndarray, units: int, bin_size: float, half: int, nameless: np.ndarray) -> pd.DataFrame:
+    """(a, b, k, n): weighted counts, above 0, of the pairs of an own point of a and a point of b by bin, k = bin + half; times are sorted.
+
+    ``nameless`` units (null) are compared with none at the same time.
+    """
+    lag = lambda at, u: np.floor((u - at) / bin_size + 0.5)
+    mine = np.flatnonzero(own)
+    edges = np.arange(-half, half + 2)
+
+    def places(u: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """How many of the sorted times u have a lag below k: nearly where its edge is, as rounding goes."""
+        found = np.searchsorted(u, at + (k - 0.5) * bin_size)
+        while (high := (found > 0) & ~(lag(at, u[np.maximum(found - 1, 0)]) < k)).any():
+            found -= high
+        while (low := (found < len(u)) & (lag(at, u[np.minimum(found, len(u) - 1)]) < k)).any():
+            found += low
+        return found
+
+    size = 2 * half + 1
+    parts = []
+
+    def add(a, b, k, n) -> None:
+        rows = pd.DataFrame({"key": (np.asarray(a, np.int64) * units + b) * size + k, "n": n})
+        parts.append(rows.groupby("key", as_index=False)["n"].sum())
+
+    first, last = places(t, t[mine], -half), places(t, t[mine], half + 1)
+    many = last - first
+    if many.sum() > len(mine) * units * len(edges):
+        for b in range(units):
+            at = code == b
+            u, upto = t[at], np.concatenate([[0], np.cumsum(w[at])])
+            below = [upto[places(u, t[mine], k)] for k in edges]
+            for k, (lo, hi) in enumerate(zip(below, below[1:])):
+                add(code[mine], b, k, (hi - lo) * w[mine])
+    else:
+        ends = np.cumsum(many)
+        for begin in range(0, int(many.sum()), 1 << 20):
+            pair = np.arange(begin, min(begin + (1 << 20), ends[-1]))
+            i = np.searchsorted(ends, pair, side="right")
+            x, y = mine[i], first[i] + pair - (ends[i] - many[i])
+            add(code[x], code[y], lag(t[x], t[y]).astype(np.int64) + half, w[x] * w[y])
+    # neither the same unit at the same time, nor a null one
+    add(code[mine], code[mine], half, -w[mine] * w[mine])
+    if nameless.any():
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        stops = np.append(starts[1:], len(t))
+        beside = [(x, y) for x in mine for y in range(starts[group[x]], stops[group[x]]) if code[x] != code[y] and (nameless[code[x]] or nameless[code[y]])]
+        x, y = np.array(beside, np.int64).reshape(-1, 2).T
+        add(code[x], code[y], half, -w[x] * w[y])
+    sums = pd.concat(parts).groupby("key", as_index=False)["n"].sum().query("n > 0")
+    key = sums["key"].to_numpy()
+    return pd.DataFrame({"a": key // (size * units), "b": key // size % units, "k": key % size, "n": sums["n"].to_numpy()})
+
+
 def correlogram_rate(counts: DataFrame, points: DataFrame, unit: str, bin_size: float) -> DataFrame:
     """Counts as the rate of ``b`` around a point of ``a``."""
     sizes = points.groupBy(F.col(unit).alias("a")).agg(F.count("*").alias("_n"))
@@ -139,7 +227,7 @@ def short_time_correlogram(points: DataFrame, unit: str, bin_size: float, half_b
     spread = math.ceil(window / step)
     copied = points.withColumn("window", F.explode(F.sequence(last - spread + 1, last))).where(F.col(t) < F.col("window") * step + window)
     full = copied.groupBy("window").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("window")
-    return correlogram(copied.join(full, "window", "left_semi"), unit, bin_size, half_bins, ["window"], t)
+    return counted_correlogram(copied.join(full, "window", "left_semi"), unit, bin_size, half_bins, ["window"], t)
 
 
 def find_field(cells: DataFrame, value: str, axes: Sequence[str], share: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
@@ -148,9 +236,6 @@ def find_field(cells: DataFrame, value: str, axes: Sequence[str], share: float =
     ``cells`` is a dense grid of fixed size for each key; of equal peaks the
     first one counts. Keys, the axes, the value and ``size``, the field's cells.
     """
-    import numpy as np
-    import pandas as pd
-
     kinds = dict(cells.dtypes)
     names = [*by, *axes, value]
 
@@ -299,8 +384,6 @@ def deconvolved(signal: DataFrame, events: DataFrame, before: float, after: floa
     begin = (n + 1) // 2 - 1
 
     def solve(batches):
-        import pandas as pd
-
         for batch in batches:
             parts = []
             for row in batch.itertuples(index=False):
