@@ -137,3 +137,25 @@ def test_spearman_against_ranks(spark, monkeypatch, by):
     assert not got
     flat = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0)], "g string, x double, y double")
     assert [tuple(q) for q in statistics.spearman(flat, "x", "y", ["g"]).collect()] == [("a", None, 2)]
+
+
+def test_pairs_of_many_short_chains_are_one_task_group(spark):
+    # keys with nulls, null times, and chains that go on over Arrow batches
+    r = random.Random(8)
+    keys = [None, "a", "b"]
+    rows = [(r.choice(keys), float(r.randint(0, 60)), side) for side in (0, 1) for _ in range(150)] + [("a", None, 0), (None, None, 1)]
+    df = frame(spark, rows, "k string, t double, side int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for error in (0.0, 1.2):
+            want = []
+            for k in keys:
+                x, y = (sorted(t for c, t, s in rows if c == k and s == side and t is not None) for side in (0, 1))
+                want += [(k, *p) for p in brute_pairs(x, y, error)]
+            want += [("a", None, None), (None, None, None)]
+            made = joins.match_pairs(df.where("side = 0"), df.where("side = 1"), ["k"], error, cell=10.0)
+            assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "InArrow" in plan and "FlatMapGroups" not in plan  # no call for each chain

@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import EPS
 from .series import cell_of, join_cells
@@ -153,34 +156,77 @@ def match_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], error: flo
     groups that do not touch each other, so a group is as long as its chain of
     close times.
     """
-    import pandas as pd
-
     from .series import running_count, windowed
 
     both = left.select(*by, F.col(t).cast("double").alias("t"), F.lit(0).alias("side")).unionByName(right.select(*by, F.col(t).cast("double").alias("t"), F.lit(1).alias("side")))
     opens = windowed(both, by, "t", cell, 1, lambda rows, keys: rows.withColumn("_new", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t")) > error))
     chained = running_count(opens, F.col("_new"), by, "t", cell, "_chain")
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = (group.loc[group["side"] == side, "t"].sort_values().tolist() for side in (0, 1))
-        rows, j = [], 0
-        for v in x:
-            while j < len(y) and v > y[j] + error:
-                rows.append((None, y[j]))
-                j += 1
-            if j < len(y) and v >= y[j] - error:
-                rows.append((v, y[j]))
-                j += 1
+    keys = [*by, "_chain"]
+    # a task reads its chains in order, as most have a row or two
+    dealt = chained.select(*keys, "t", "side").repartition(*keys).sortWithinPartitions(*keys, "t")
+
+    def pair(batches):
+        def done(parts):
+            rows = pa.Table.from_batches(parts)
+            t = rows["t"].to_numpy(zero_copy_only=False)
+            one, two = _pair_places(t, rows["side"].to_numpy(), _starts(rows, keys), error)
+            held = rows.select(list(by)).take(pa.array(np.where(one < 0, two, one)))
+            times = [pa.array(np.where(at < 0, np.nan, t[at]), pa.float64(), from_pandas=True) for at in (one, two)]
+            made = pa.Table.from_arrays([*held.columns, *times], [*by, "left_t", "right_t"])
+            return made.combine_chunks().to_batches(10_000)
+
+        open_rows = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = [open_rows[-1].slice(len(open_rows[-1]) - 1)] if open_rows else []
+            starts = _starts(pa.Table.from_batches([*last, batch]), keys)[1 if last else 0 :] - len(last)
+            if len(starts) and (open_rows or starts[-1]):
+                yield from done([*open_rows, batch.slice(0, int(starts[-1]))])
+                open_rows = [batch.slice(int(starts[-1]))]
             else:
-                rows.append((v, None))
-        rows += [(None, v) for v in y[j:]]
-        out = pd.DataFrame(rows, columns=["left_t", "right_t"], dtype=float)
-        for c in by:
-            out[c] = pd.Series([group[c].iloc[0]] * len(out), dtype=object)
-        return out[[*by, "left_t", "right_t"]]
-
-    kinds = ", ".join([f"{c} {k}" for c, k in left.select(*by).dtypes] + ["left_t double", "right_t double"])
-    return chained.groupBy(*by, "_chain").applyInPandas(pair, kinds)
+                open_rows.append(batch)
+        if open_rows:
+            yield from done(open_rows)
+
+    schema = T.StructType([*[chained.schema[c] for c in by], T.StructField("left_t", T.DoubleType()), T.StructField("right_t", T.DoubleType())])
+    return dealt.mapInArrow(pair, schema)
+
+
+def _starts(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Places of the rows whose keys differ from those of the row before, the first one among them; nulls are equal."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in keys:
+        code = pa.concat_arrays(rows[c].chunks).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _pair_places(t: np.ndarray, side: np.ndarray, starts: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the left and the right row of each pair, -1 where there is none; chains begin at ``starts`` and are in order of time."""
+    stops = np.append(starts[1:], len(t))
+    alone = starts[stops - starts == 1]
+    pairs, times, sides, missing = [], t.tolist(), side.tolist(), np.isnan(t).tolist()
+    long = stops - starts > 1
+    for begin, end in zip(starts[long].tolist(), stops[long].tolist()):
+        y, j = [i for i in range(begin, end) if sides[i] and not missing[i]], 0
+        for i in range(begin, end):
+            if missing[i]:
+                pairs.append((-1, i) if sides[i] else (i, -1))
+            elif not sides[i]:
+                while j < len(y) and times[i] > times[y[j]] + error:
+                    pairs.append((-1, y[j]))
+                    j += 1
+                if j < len(y) and times[i] >= times[y[j]] - error:
+                    pairs.append((i, y[j]))
+                    j += 1
+                else:
+                    pairs.append((i, -1))
+        pairs += [(-1, i) for i in y[j:]]
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    one, two = np.where(side[alone] == 0, alone, -1), np.where(side[alone] == 1, alone, -1)
+    return np.concatenate([one, found[:, 0]]), np.concatenate([two, found[:, 1]])
 
 
 def sync(samples: DataFrame, events: DataFrame, before: float, after: float, by: Sequence[str] = (), t: str = "t") -> DataFrame:
