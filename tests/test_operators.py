@@ -349,3 +349,23 @@ def test_correlogram_of_dense_and_equal_points(spark):
     points = frame(spark, rows, "unit int, t double, k int").where("t is not null")
     plan = H.short_time_correlogram(points, "unit", 1.0, 2, 4.0, 2.0)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "Inner" not in plan  # no row for a pair
+
+
+@pytest.mark.parametrize("rows_of_cell", [1, 30, 1 << 16])
+def test_event_histograms_of_a_value_by_running_sums(spark, monkeypatch, rows_of_cell):
+    # against the joined form, with times on the bins' edges, null values, events that share a key or see no sample
+    monkeypatch.setattr(H, "CELL_ROWS", rows_of_cell)
+    rng = np.random.default_rng(9)
+    t0 = 1704067200.0
+    samples = frame(spark, [(t0 + float(x) / 4, None if x % 11 == 0 else float(v), 1) for x, v in zip(rng.integers(0, 400, 300), rng.normal(50, 9, 300))] + [(None, 1.0, 1)], "t double, value double, k int")
+    events = frame(spark, [(int(i // 2), t0 + float(x) / 4, 1) for i, x in enumerate(rng.integers(-40, 440, 60))] + [(99, t0 + 1e6, 1), (98, None, 1)], "id int, t double, k int")
+    drop = lambda df: df.drop("k")
+    made = H.peth(drop(samples), drop(events), 5.0, 5.0, 10, key="id", value="value")
+    want = {(r.event_id, r.bin): r for r in H.peth(samples, events, 5.0, 5.0, 10, ["k"], key="id", value="value").collect()}
+    got = {(r.event_id, r.bin): r for r in made.collect()}
+    assert made.columns == ["event_id", "bin", "n", "mean", "deviation"] and set(got) == set(want) and len(got) > 100
+    for at, r in got.items():
+        assert r.n == want[at].n and r.mean == pytest.approx(want[at].mean) and r.deviation == pytest.approx(want[at].deviation, abs=1e-6)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # samples are not joined to the events around them
+    assert H.peth(drop(samples).where("false"), drop(events), 5.0, 5.0, 10, key="id", value="value").count() == 0

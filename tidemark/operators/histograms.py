@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import bin_center, bin_index, circular_mean, resultant
+from ..functions.columns import bin_center, bin_index, circular_mean, finite, resultant
 from .joins import in_cells, range_join, sync
 from .series import windowed
 from .unit_pairs import unit_correlations  # noqa: F401
 
+CELL_ROWS = 1 << 16
+
 
 def grid(df: DataFrame, **sizes: int) -> DataFrame:
     """All combinations of bins 1..n of each named axis, a table of fixed size."""
@@ -49,8 +51,13 @@ def peth(samples: DataFrame, events: DataFrame, before: float, after: float, n:
 
     Without ``value`` points are counted, and ``rate`` is the mean rate over
     all events, also those without any point; with it ``mean`` is the value's.
-    ``key``, a column of the events, gives a histogram for each event.
+    ``key``, a column of the events, gives a histogram for each event; with it
+    and ``value``, and without ``by``, sums come from running sums, so that
+    samples are not joined to all events around them (NaN and infinite values
+    then count as null, and the samples are counted first).
     """
+    if key and value and not by:
+        return _summed_peth(samples, events, before, after, n, key, value)
     relative = sync(samples, events, before, after, by)
     binned = relative.withColumn("bin", bin_index(F.col("t"), -before, after, n))
     keys = [f"event_{key}"] if key else []
@@ -64,6 +71,57 @@ def peth(samples: DataFrame, events: DataFrame, before: float, after: float, n:
     return full.withColumn("center", bin_center(F.col("bin"), -before, after, n)).withColumn("rate", F.col("n") / (max(total, 1) * (before + after) / n))
 
 
+def _summed_peth(samples: DataFrame, events: DataFrame, before: float, after: float, n: int, key: str, value: str) -> DataFrame:
+    """``peth`` of a value for each event: a bin's sums are differences of running sums of the sorted samples of two cells."""
+    seen = samples.select(F.col("t").cast("double").alias("t"), finite(F.col(value)).alias("v")).where(finite(F.col("t")).isNotNull())
+    low, high, many = seen.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    low, high = low or 0.0, high or 0.0
+    step = (before + after) / n
+    # by rounding a sample may be a little outside its bin; cells are at least as wide as a bin, and hold some CELL_ROWS samples if they can
+    margin = 1e-6 + 1e-15 * max(abs(low), abs(high))
+    width = max(step + 4 * margin, (high - low) * CELL_ROWS / max(many, 1))
+    own = F.floor(F.col("t") / width)
+    held = seen.withColumn("_cell", F.explode(F.array(own - 1, own)))
+    edge = F.col("t") - before + (F.col("bin") - 1) * step - margin
+    asked = events.where(finite(F.col("t")).isNotNull()).select(F.col(key).alias("key"), F.col("t").cast("double").alias("t")).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    asked = asked.where(edge.between(low - 2 * width, high + 2 * width)).withColumn("_cell", F.floor(edge / width))
+
+    def sums(rows: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        u, v = rows["t"].to_numpy(), rows["v"].to_numpy(float)
+        there = ~np.isnan(v)
+        middle = v[there].mean() if there.any() else 0.0
+        d = np.where(there, v.astype(np.longdouble) - middle, 0)
+        counts, one, two = (np.concatenate([[0], np.cumsum(x)]) for x in (there, d, d * d))
+        t, k = bins["t"].to_numpy(), bins["bin"].to_numpy()
+
+        def places(k: np.ndarray) -> np.ndarray:
+            """How many samples are before bin k, which rounding puts nearly at its edge."""
+            first, last = np.searchsorted(u, t - before), np.searchsorted(u, t + after, "right")
+            reached = lambda i: np.floor((u[i] - t + before) / (after + before) * n) + 1 >= k
+            found = np.searchsorted(u, t - before + (k - 1) * step)
+            while (high := (found > 0) & reached(np.maximum(found - 1, 0))).any():
+                found -= high
+            while (low := (found < len(u)) & ~reached(np.minimum(found, len(u) - 1))).any():
+                found += low
+            return np.where(k == 1, first, np.where(k == n + 1, last, np.clip(found, first, last)))
+
+        if not len(u) or not len(t):
+            return pd.DataFrame({c: [] for c in schema.names})
+        lo, hi = places(k), places(k + 1)
+        size, s, q = (x[hi] - x[lo] for x in (counts, one, two))
+        squares = q - s * s / np.maximum(size, 1)
+        made = pd.DataFrame({f"event_{key}": bins["key"], "bin": k, "n": size, "total": (s + size * np.longdouble(middle)).astype(float), "squares": np.maximum(squares, 0).astype(float)})
+        return made[hi > lo]
+
+    schema = T.StructType([T.StructField(f"event_{key}", events.schema[key].dataType), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("squares", T.DoubleType())])
+    parts = held.groupBy("_cell").cogroup(asked.groupBy("_cell")).applyInPandas(sums, schema)
+    total, size = F.sum("total"), F.sum("n")
+    apart = F.sum("squares") + F.when(F.count("*") > 1, F.greatest(F.sum(F.col("total") ** 2 / F.nullif("n", F.lit(0))) - total * total / F.nullif(size, F.lit(0)), F.lit(0.0))).otherwise(0.0)
+    mean, deviation = total / F.nullif(size, F.lit(0)), F.sqrt(apart / F.when(size > 1, size - 1))
+    return parts.groupBy(f"event_{key}", "bin").agg(size.alias("n"), mean.alias("mean"), deviation.alias("deviation"))
+
+
 def joint_peth(a: DataFrame, b: DataFrame, key: str, n_events: int, n: int) -> DataFrame:
     """Joint counts of two histograms by event and what independence expects.
 
