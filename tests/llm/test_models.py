@@ -385,3 +385,24 @@ def test_bucket_counts_bound_the_difference():
         assert bound <= len(np.setxor1d(a, b))
         assert bound > 0.5 * len(np.setxor1d(a, b)) or not cut
     assert jaccard_join.least_apart(b"", jaccard_join.bucket_counts(a)) == 0
+
+
+def test_regions_of_one_set_are_dropped_before_they_are_joined(spark, monkeypatch):
+    # a bitmap that is full says maybe of everything: the second pass then lists all regions
+    from tidemark.llm import jaccard_join as J
+
+    rows = [(i, " ".join(f"w{i // 2}x{j}" if j != 3 or i % 2 else "other" for j in range(30))) for i in range(40)] + [(100, rows_of := "a b c d e f g h"), (101, rows_of)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = J.shingle_sets(docs)
+    vertices = sets.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
+    wide = {tuple(r) for r in J.shared_regions(docs, vertices, J.K_WORDS, J.PERCENT).collect()}
+    monkeypatch.setattr(J, "REGION_BITS", (6, 6))
+    names, joined, real = [], [], J.keep
+    monkeypatch.setattr(J, "keep", lambda df, name: (names.append(name), joined.append(df), real(df, name))[-1])
+    full = {tuple(r) for r in J.shared_regions(docs, vertices, J.K_WORDS, J.PERCENT).collect()}
+    brute = {}
+    for r in J.first_regions(docs, J.shingle_rarity(docs)).distinct().join(vertices, "set_hash").collect():
+        brute.setdefault(r.region, set()).add((r.id, r.n))
+    want = {(region, i, n, len(of)) for region, of in brute.items() for i, n in of if len(of) > 1}
+    assert full == wide == want and want
+    assert names == ["several", "cells"]  # regions of one set are not written
